@@ -54,6 +54,11 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), WHITE), "")
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value evaluated once for a row, also where f uses it inside lambda functions."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def id_crc(c: Column) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))

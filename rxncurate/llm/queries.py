@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxncurate.llm import exact_dedup, mixing, sharding
+from rxncurate.llm import bpe, exact_dedup, mixing, quality, sharding, token_files, toxicity
 from rxncurate.llm.common import documents
 from rxncurate.llm.oracles import ORACLE  # noqa: F401
 
@@ -24,8 +24,40 @@ def lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir).select("doc_id"), "doc_id", SHARDS).select("doc_id", F.col("shard_slot").alias("slot"), "shard")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+
+
+def prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
+
+
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _labels(spark, sf_dir).where("quality = 1").select("doc_id")
+    return quality.apply_rules(documents(spark, sf_dir), trusted).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 QUERIES = {
+    "op2_token_blocks": token_blocks,
     "op3_exact_dedup": exact_dedup_index,
+    "op5_prefix_bpe": prefix_bpe,
+    "op7_quality_rules": quality_rules,
     "op8_source_mixing": source_mixing,
+    "op9_toxicity": toxicity_model,
     "op10_lookup_sharding": lookup_sharding,
 }
