@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxncurate.llm import bpe, exact_dedup, mixing, quality, sharding, token_files, toxicity
+from rxncurate.llm import bpe, exact_dedup, mixing, ppm, quality, sharding, token_files, toxicity
 from rxncurate.llm.common import documents
 from rxncurate.llm.oracles import ORACLE  # noqa: F401
 
@@ -38,6 +38,10 @@ def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(documents(spark, sf_dir))
+
+
 def prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
@@ -55,6 +59,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_blocks": token_blocks,
     "op3_exact_dedup": exact_dedup_index,
+    "op4_ppm": ppm_scores,
     "op5_prefix_bpe": prefix_bpe,
     "op7_quality_rules": quality_rules,
     "op8_source_mixing": source_mixing,
