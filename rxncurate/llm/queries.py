@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxncurate.llm import bpe, exact_dedup, mixing, ppm, quality, sharding, token_files, toxicity
+from rxncurate.llm import bpe, exact_dedup, jaccard_join, mixing, ppm, quality, sharding, token_files, toxicity
 from rxncurate.llm.common import documents
 from rxncurate.llm.oracles import ORACLE  # noqa: F401
 
@@ -46,6 +46,10 @@ def prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
+def jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_components(documents(spark, sf_dir))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _labels(spark, sf_dir).where("quality = 1").select("doc_id")
     return quality.apply_rules(documents(spark, sf_dir), trusted).select(
@@ -61,6 +65,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup_index,
     "op4_ppm": ppm_scores,
     "op5_prefix_bpe": prefix_bpe,
+    "op6_jaccard_join": jaccard_components,
     "op7_quality_rules": quality_rules,
     "op8_source_mixing": source_mixing,
     "op9_toxicity": toxicity_model,
