@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxncurate.llm import bpe, exact_dedup, jaccard_join, mixing, ppm, quality, sharding, token_files, toxicity
+from rxncurate.llm import bpe, exact_dedup, jaccard_join, mixing, ppm, quality, sharding, surrogates, token_files, toxicity
 from rxncurate.llm.common import documents
 from rxncurate.llm.oracles import ORACLE  # noqa: F401
 
+#: The key of registered runs; a real run takes its own secret.
+SURROGATE_KEY = b"example key, not a secret"
 SHARDS = tuple(f"shard-{k:03d}" for k in range(64))
 
 
@@ -60,7 +62,12 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def surrogate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(documents(spark, sf_dir), SURROGATE_KEY)
+
+
 QUERIES = {
+    "op1_surrogates": surrogate_texts,
     "op2_token_blocks": token_blocks,
     "op3_exact_dedup": exact_dedup_index,
     "op4_ppm": ppm_scores,
