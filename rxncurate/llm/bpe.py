@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the public pattern that cuts a text into pieces before the merges.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Cut points that no piece crosses: before a single space that a non-space follows.
+#: Most repeated pieces that an encoder keeps.
 _KNOWN = 250_000
 _BASE = 17
 
@@ -116,13 +116,15 @@ class Encoder:
         self.added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(v["added"], key=len, reverse=True)) + ")") if v["added"] else None
         self.ids_of_added = v["added"]
         self.step = dict(zip(v["keys"].tolist(), v["ends"].tolist()))
-        self.link, self.longest, self.up = v["link"].tolist(), v["longest"].tolist(), v["up"].tolist()
+        self.link, self.longest, up = v["link"].tolist(), v["longest"].tolist(), v["up"].tolist()
         self.tokens = v["tokens"]
-        self.at = {s: sorted(((len(self.tokens[i]), i) for i in ids), reverse=True) for s, ids in v["at"].items()}
+        own = {s: sorted(((len(self.tokens[i]), i) for i in ids), reverse=True) for s, ids in v["at"].items()}
+        self.own, self.up, self.endings = own, up, {}
+        self.go: dict[int, tuple] = {}
         self.rank, self.left, self.right = v["rank"].tolist(), v["left"].tolist(), v["right"].tolist()
         self.merged = {self.left[i] << _BASE | self.right[i]: r for i, r in enumerate(self.rank) if r >= 0}
         self.fits: dict[int, bool] = {}
-        self.known, self.most = {}, known
+        self.known, self.pieces, self.most = {}, {}, known
         self.decoded = {i: t for i, t in enumerate(self.tokens)} | {i: t.encode() for t, i in v["added"].items()}
 
     def may_follow(self, a: int, b: int) -> bool:
@@ -142,51 +144,87 @@ class Encoder:
             else:
                 limit, b = rb + 1, self.left[b]
 
-    def piece(self, s: bytes) -> list[int]:
-        """Ids of one piece."""
-        step, link, longest, up, at, fits = self.step, self.link, self.longest, self.up, self.at, self.fits
-        last, state, depth = [-1], 0, 0
-        for i, c in enumerate(s, 1):
-            while True:
-                q = step.get(state << 8 | c)
-                if q is not None:
-                    state, depth = q, depth + 1
+    def move(self, state: int, c: int) -> tuple[int, int, list[tuple[int, int]]]:
+        """(next state, matched length if it became shorter and else 0, tokens that end there, longest
+        first) of the automaton after one more byte."""
+        step, link, at, cut = self.step, self.link, state, 0
+        while (q := step.get(at << 8 | c)) is None:
+            if not at:
+                raise ValueError(f"byte {c} is not in the vocabulary")
+            at = link[at]
+            cut = self.longest[at] + 1
+        ends = self.endings.get(q)
+        if ends is None:
+            ends, u = [], q if q in self.own else self.up[q]
+            while u >= 0:
+                ends += self.own.get(u, [])
+                u = self.up[u]
+            self.endings[q] = ends
+        if len(self.go) > 600_000:
+            self.go.clear()
+        self.go[state << 8 | c] = out = (q, cut, ends)
+        return out
+
+    def pieces_of(self, found: list[bytes]) -> Iterator[list[int]]:
+        """Ids of pieces. In sorted order, the prefix that a piece shares with the one before it is
+        not worked out again."""
+        go, fits, tokens = self.go, self.fits, self.tokens
+        before, last, states, depths = b"", [-1], [0], [0]
+        for s in found:
+            same = 0
+            for a, b in zip(before, s):
+                if a != b:
                     break
-                if not state:
-                    raise ValueError(f"byte {c} is not in the vocabulary")
-                state = link[state]
-                depth = longest[state]
-            u, found = state if state in at else up[state], -1
-            while found < 0:
-                for n, t in at[u]:
+                same += 1
+            before = s
+            del last[same + 1:], states[same + 1:], depths[same + 1:]
+            state, depth = states[same], depths[same]
+            for i in range(same + 1, len(s) + 1):
+                c = s[i - 1]
+                state, cut, ends = go.get(state << 8 | c) or self.move(state, c)
+                depth = cut or depth + 1
+                for n, t in ends:
+                    if n >= i:
+                        if n > i or n > depth:
+                            continue
+                        break
                     if n > depth:
                         continue
-                    if n == i:
-                        found = t
-                        break
                     key = last[i - n] << _BASE | t
                     ok = fits.get(key)
                     if ok is None:
                         ok = fits[key] = self.may_follow(last[i - n], t)
                     if ok:
-                        found = t
                         break
-                u = up[u]
-            last.append(found)
-        if len(fits) > 500_000:
-            fits.clear()
-        out, i, tokens = [], len(s), self.tokens
-        while i:
-            out.append(last[i])
-            i -= len(tokens[last[i]])
-        out.reverse()
-        return out
+                last.append(t)
+                states.append(state)
+                depths.append(depth)
+            if len(fits) > 500_000:
+                fits.clear()
+            out, i = [], len(s)
+            while i:
+                t = last[i]
+                out.append(t)
+                i -= len(tokens[t])
+            out.reverse()
+            yield out
 
-    def chunk(self, s: str) -> tuple[str, int, bytes]:
-        """(ids joined by commas, their number, the bytes they decode to) of a text cut nowhere but
-        where pieces end anyway."""
-        ids = [i for p in self.cut.findall(s) for i in self.piece(p.encode())]
-        return ",".join(map(str, ids)), len(ids), b"".join([self.decoded[i] for i in ids])
+    def piece(self, s: bytes) -> list[int]:
+        """Ids of one piece."""
+        return next(self.pieces_of([s]))
+
+    def learn(self, chunks: set[str]) -> None:
+        """Adds chunks to those known, with their pieces in sorted order."""
+        pieces = self.pieces
+        if len(pieces) > self.most:
+            pieces.clear()
+        cut = {c: self.cut.findall(c) for c in chunks}
+        new = sorted({p.encode() for own in cut.values() for p in own if p not in pieces})
+        pieces.update(zip([p.decode() for p in new], self.pieces_of(new)))
+        decoded = self.decoded
+        for c, own in cut.items():
+            ids = [i for p in own for i in pieces[p]]
+            self.known[c] = (",".join(map(str, ids)), len(ids), b"".join([decoded[i] for i in ids]))
 
     def chunks(self, text: str) -> list[str]:
         if self.odd.search(text):
@@ -201,30 +239,23 @@ class Encoder:
             out += [" " + w for w in rest]
         return out
 
-    def text(self, text: str) -> tuple[str, int, bytes]:
-        """The same of a whole text; the strings of added tokens stand for their ids."""
-        parts = []
-        for k, part in enumerate(self.added.split(text) if self.added else [text]):
-            if k % 2:
-                parts.append((str(self.ids_of_added[part]), 1, part.encode()))
-            elif part:
-                parts += self.plain(part)
-        if not parts:
-            return "", 0, b""
-        ids, n, decoded = zip(*parts)
-        return ",".join(ids), sum(n), b"".join(decoded)
-
-    def plain(self, text: str) -> list[tuple[str, int, bytes]]:
-        known, found = self.known, self.chunks(text)
+    def texts(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
+        """(ids joined by commas, their number, the bytes they decode to) of whole texts. The strings
+        of added tokens stand for their ids. A chunk is a text cut where pieces end anyway."""
+        known, split = self.known, self.added.split if self.added else lambda t: [t]
         if len(known) > self.most:
             known.clear()
-        try:
-            return [known[c] for c in found]
-        except KeyError:
-            for c in found:
-                if c not in known:
-                    known[c] = self.chunk(c)
-            return [known[c] for c in found]
+        cut = [[self.chunks(part) if k % 2 == 0 else part for k, part in enumerate(split(t))] for t in texts]
+        self.learn({c for parts in cut for own in parts[::2] for c in own if c not in known})
+        for parts in cut:
+            found = []
+            for k, own in enumerate(parts):
+                found += [(str(self.ids_of_added[own]), 1, own.encode())] if k % 2 else [known[c] for c in own]
+            ids, n, decoded = zip(*found) if found else ((), (), ())
+            yield ",".join([i for i in ids if i]), sum(n), b"".join(decoded)
+
+    def text(self, text: str) -> tuple[str, int, bytes]:
+        return next(self.texts([text]))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -240,11 +271,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         own = shared.value  # kept by the worker process, and the encoder with it
         if "encoder" not in own:
             own["encoder"] = Encoder(own["tables"])
-        encode = own["encoder"].text
+        encode = own["encoder"].texts
         for b in batches:
             ids_sha, text_sha, count, every = [], [], [], []
-            for t in b["t"]:
-                ids, n, decoded = encode(t)
+            texts = b["t"].tolist()
+            for ids, n, decoded in (x for k in range(0, len(texts), 1000) for x in encode(texts[k:k + 1000])):
                 count.append(n)
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest())
