@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from rxncurate.plans import scoring
+from rxncurate.plans import curation, scoring
 
-_MODULES = (scoring,)
+_MODULES = (scoring, curation)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

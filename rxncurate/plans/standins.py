@@ -32,6 +32,20 @@ SQL = {
         MIN(CASE WHEN l_orderkey % 5 <> 0 THEN 1 ELSE 0 END) AS noise_free FROM lineitem GROUP BY l_orderkey""",
     "mapped_component": f"""SELECT l_orderkey AS rxn_id, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS section,
         concat('[C:', CAST(l_partkey % 23 + 1 AS STRING), ']') AS smiles FROM lineitem""",
+    "answers": """SELECT k, CASE WHEN k % 5 = 0 THEN concat('"', replace(replace(c, chr(92), concat(chr(92), chr(92))), '"', concat(chr(92), '"')), '"') ELSE c END AS answer
+      FROM (SELECT k, CASE WHEN k % 7 = 0 THEN substr(b, 1, length(b) - 1) ELSE b END AS c
+      FROM (SELECT o_orderkey AS k, concat('{"Reactants, Solvents, Catalysts": {"A": "', o_orderpriority, '", "B": "c', CASE WHEN o_orderkey % 11 = 0 THEN concat(chr(92), '-') ELSE '' END, CAST(o_orderkey % 13 AS STRING),
+        '"}, "Products": {"C": "p', CAST(o_orderkey % 7 AS STRING), '"}, "Reaction Steps": {"1 (', CASE WHEN o_orderkey % 6 = 0 THEN 'Work-up' ELSE 'Reaction' END, ', mix)": "A+B', CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE '->' END, 'C"}}') AS b FROM orders) x) y""",
+    "names": """SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN concat('Compound ', CAST(p_partkey AS STRING)) WHEN 1 THEN 'silica gel' WHEN 2 THEN concat(p_name, '  anhydrous') WHEN 3 THEN concat('5% ', p_name)
+        WHEN 4 THEN concat(p_name, ' (dry)') WHEN 5 THEN 'DMSO' WHEN 6 THEN concat('α-é<b>', p_name, '</b>') ELSE p_name END AS name FROM part""",
+    "dictionary": "SELECT lower(p_name) AS lower_name, concat('C', CAST(p_size AS STRING)) AS smiles, p_brand AS source, CAST(p_partkey % 5 AS INT) AS priority FROM part WHERE p_partkey % 3 <> 1",
+    "codes": """SELECT l_orderkey AS idx, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS pos, 3 AS n_sections, CAST(l_suppkey % 4 AS BIGINT) AS model, concat('c', CAST(l_linenumber AS STRING)) AS code,
+        CASE WHEN l_partkey % 5 = 0 THEN concat('[part ', CAST(l_partkey % 50 AS STRING), ' (NoSmi)]') ELSE 'CC' END AS value FROM lineitem""",
+    "decisions": """SELECT p_partkey AS idx, concat('part ', CAST(p_partkey % 50 AS STRING)) AS name_key, concat(CAST(p_partkey AS STRING), ':part ', CAST(p_partkey % 50 AS STRING)) AS review_id,
+        CASE p_partkey % 6 WHEN 0 THEN 'approve' WHEN 1 THEN 'exclude' WHEN 2 THEN 'keep_unresolved' WHEN 3 THEN 'maybe' ELSE '' END AS review_decision,
+        CASE WHEN p_partkey % 12 = 0 THEN concat('C', CAST(p_size AS STRING)) ELSE '' END AS reviewed_smiles, '' AS evidence, p_brand AS review_note FROM part""",
+    "atoms": """SELECT l_orderkey AS rxn_id, CASE WHEN l_returnflag = 'N' THEN 'product' ELSE 'input' END AS side, CAST(l_partkey % 11 AS INT) AS map, CASE l_suppkey % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'N' ELSE 'O' END AS element FROM lineitem""",
+    "bonds": """SELECT l_orderkey AS rxn_id, CASE WHEN l_returnflag = 'N' THEN 'product' ELSE 'input' END AS side, CAST(l_partkey % 7 AS INT) AS a, CAST(7 + l_suppkey % 5 AS INT) AS b, CAST(1 + l_linenumber % 2 AS INT) AS bond_order FROM lineitem""",
 }
 
 
@@ -42,8 +56,9 @@ def with_sql(names: list[str], body: str) -> str:
 
 def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stand-in as a DataFrame, on the tables of a folder."""
-    base = {"template_rows": "events"}.get(name, "lineitem")
-    return spark.sql(SQL[name].replace(f"FROM {base}", f"FROM {{{base}}}"), **{base: table(spark, sf_dir, base)})
+    base = {"template_rows": "events", "answers": "orders", "names": "part", "dictionary": "part", "decisions": "part"}.get(name, "lineitem")
+    text = SQL[name].replace("{", "{{").replace("}", "}}").replace(f"FROM {base}", f"FROM {{{base}}}")
+    return spark.sql(text, **{base: table(spark, sf_dir, base)})
 
 
 def noise_flags(rows: DataFrame) -> DataFrame:
