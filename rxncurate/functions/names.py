@@ -10,6 +10,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Qualifiers that are cut out of a name, in this order of trial.
 QUALIFIERS = [
@@ -83,7 +84,7 @@ def name_key_of(name: str) -> str:
     return re.sub(r"[^a-z0-9]", "", v)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _name_keys(names: pd.Series) -> pd.Series:
     return names.map(lambda n: None if n is None else name_key_of(n))
 
