@@ -59,7 +59,7 @@ MAY_NAME = rf"\b({'|'.join(_ANY_TITLE + _ANY_GIVEN)})\b"
 
 EMAIL = re.compile(r"[\w.+-]*[\w+-]@(?:[\w-]+\.)+[^\W\d_]{2,}")
 DIGITS = re.compile(r"(?<![\w.])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d+(?:[ .()-]{1,2}\d+)*(?![\w])")
-LONG = re.compile(r"(?<!\d)\d{13,19}(?!\d)")
+LONG = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4})(?!\d)|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]\d|\d)")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 _GENDER = {n: g for g, v in GIVEN.items() for n in v}
 _TITLE_GENDER = {t: g for g, v in TITLES.items() for t in v}
@@ -190,13 +190,19 @@ class Surrogates:
             norm = m.group().replace(" ", "")
             if 15 <= len(norm) <= 34 and int("".join(str(int(c, 36)) for c in norm[4:] + norm[:4])) % 97 == 1:
                 out.append((m.start(), m.end(), "iban", _shaped(m.group(), self.surrogate("iban", norm))))
+        rest, at = [], 0
         for m in LONG.finditer(text):
-            out.append((m.start(), m.end(), "card", self.surrogate("card", m.group())))
-        for m in DIGITS.finditer(text):
             kind = digit_kind(m.group())
             if kind == "ip":
                 out.append((m.start(), m.end(), kind, self.surrogate(kind, m.group())))
             elif kind:
+                out.append((m.start(), m.end(), kind, _shaped(m.group(), self.surrogate(kind, re.sub(r"\D", "", m.group())))))
+            if kind:
+                rest += [text[at:m.start()], "x" * len(m.group())]
+                at = m.end()
+        for m in DIGITS.finditer("".join(rest) + text[at:] if at else text):
+            kind = digit_kind(m.group())
+            if kind:
                 norm = re.sub(r"\D", "", m.group())
                 head = ""
                 if kind == "phone" and m.group()[0] == "+":
