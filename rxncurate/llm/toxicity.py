@@ -136,6 +136,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score is under the threshold, with their columns."""
-    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"), F.col("text").alias("text"))
-    return score(wrapped.drop("_id"), fit(docs, labels)).where(F.col("toxicity") < threshold).select("row.*")
+    """The rows of docs whose score is under the threshold, with their columns, whatever their names."""
+    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
+    return score(wrapped, fit(docs, labels)).where(F.col("toxicity") < threshold).select("row.*")

@@ -263,8 +263,12 @@ def test_toxicity(spark, odd, empty):
     df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     got = toxicity.toxicity_scores(df, labels).collect()
     assert len(got) == 400 and sum(r["predicted"] == int(r["doc_id"] % 5 == 0) for r in got if r["held_out"]) >= 0.95 * sum(r["held_out"] for r in got)
-    kept = toxicity.drop_toxic(odd, labels)
-    assert kept.columns == odd.columns and kept.where("text is null or text = ''").count() == 2
+    scored = toxicity.score(odd, toxicity.fit(df, labels))
+    blank = {round(r["toxicity"], 9) for r in scored.where("text is null or trim(text) = ''").collect()}
+    assert scored.columns == [*odd.columns, "toxicity"] and scored.count() == odd.count() and len(blank) == 1 and max(blank) < 0.5
+    clashing = df.withColumn("toxicity", F.lit("x")).withColumn("row", F.lit(1))
+    kept = toxicity.drop_toxic(clashing, labels)
+    assert kept.columns == clashing.columns and 300 <= kept.count() <= 340
     assert toxicity.toxicity_scores(empty, labels).count() == 0
 
 
