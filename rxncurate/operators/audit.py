@@ -4,13 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: more changed bonds than this are a large centre.
 LARGE_CENTRE = 8
-#: Element symbols of a component: in brackets any, outside the organic subset.
-ATOM = r"\[\d*([A-Z][a-z]?|[a-z][a-z]?)|(Cl|Br|[BCNOPSFIbcnops])"
+#: Reasons of the label audit with their conditions, critical ones first.
+CRITICAL_REASONS = (
+    ("invalid SMILES", "invalid_smiles_count > 0"),
+    ("product contains an element absent from all inputs", "element_deficit_flag"),
+    ("atom mapping failed", "coalesce(mapping_error, '') <> '' OR coalesce(mapped_reaction, '') = ''"),
+    ("product atom mapping incomplete", "NOT product_mapping_complete"),
+    ("duplicate atom-map numbers", "duplicate_atom_maps > 0"),
+    ("atom-map element mismatch", "atom_element_mismatch > 0"),
+)
+REVIEW_REASONS = (
+    ("reagent contributes product atoms", "reagent_contributes_to_product"),
+    ("reactant contributes no product atoms", "noncontributing_reactant"),
+    ("mapped and labeled components do not align", "role_assignment_unmatched_components > 0"),
+    ("no mapped covalent/charge change", "no_detectable_transformation"),
+    ("unusually large reaction center", "large_reaction_center"),
+    ("LocalMapper marked mapping unconfident", "NOT mapping_confident"),
+    ("no mapping template", "coalesce(mapping_template, '') = ''"),
+    ("same structure labeled as reactant and reagent", "role_overlap_count > 0"),
+    ("a product is also present on the input side", "product_reactant_overlap_count > 0 OR product_reagent_overlap_count > 0"),
+    ("possible flattened multistep sequence", "multistep_model_count >= 2 AND product_count > 1"),
+    ("validated ground truth has no model support", "relaxed_model_support_count = 0"),
+    ("reactant and product structure sets are identical", "identical_reactant_product"),
+)
 
 
 def element_counts(components: DataFrame) -> DataFrame:
@@ -77,11 +98,11 @@ def role_contradictions(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("rxn_id").agg(F.count_if((F.col("role") == "reagents") & F.col("shares")).alias("reagents_contributing"), F.count_if((F.col("role") == "reactants") & ~F.col("shares")).alias("reactants_idle"))
 
 
-def risk_levels(df: DataFrame, critical: Sequence[tuple[str, Column]], review: Sequence[tuple[str, Column]]) -> DataFrame:
-    """df with risk_level (critical, review or low) and risk_reasons, the names of conditions that hold."""
-    held = lambda rules: F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())
+def risk_levels(df: DataFrame, critical: Sequence[tuple[str, str]] = CRITICAL_REASONS, review: Sequence[tuple[str, str]] = REVIEW_REASONS) -> DataFrame:
+    """df with risk_level (critical, manual_review or pass) and risk_reasons, those whose condition holds."""
+    held = lambda rules: F.filter(F.array(*[F.when(F.expr(c), F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())
     out = df.withColumn("_c", held(critical)).withColumn("_r", held(review))
-    level = F.when(F.size("_c") > 0, "critical").when(F.size("_r") > 0, "review").otherwise("low")
+    level = F.when(F.size("_c") > 0, "critical").when(F.size("_r") > 0, "manual_review").otherwise("pass")
     return out.withColumn("risk_level", level).withColumn("risk_reasons", F.array_join(F.concat("_c", "_r"), "; ")).drop("_c", "_r")
 
 

@@ -11,6 +11,21 @@ from rxncurate.functions.stats import interval_text, percent_text, rate, wilson
 ROLES = ("reactants", "reagents", "products")
 MULTISET = "reactants"
 
+#: The configurations of each model family, families in order of publication.
+FAMILIES = {
+    "qwen-3.5-9B": ("qwen-3.5-9b-off", "qwen-3.5-9b-low", "qwen-3.5-9b-high"),
+    "fine-tuned qwen-3.5-9B": ("qwen-3.5-9b-ft-off", "qwen-3.5-9b-ft-low", "qwen-3.5-9b-ft-high"),
+    "gpt-4.1-mini": ("gpt-4.1-mini-nonreasoning-shared",),
+    "fine-tuned gpt-4.1-mini": ("gpt-4.1-mini-ft-nonreasoning-shared",),
+    "gpt-5.4": ("gpt-5.4-none", "gpt-5.4-low", "gpt-5.4-high"),
+    "gpt-5.6-sol": ("gpt-5.6-sol-none", "gpt-5.6-sol-low", "gpt-5.6-sol-high"),
+    "gemini-2.5-flash": ("gemini-2.5-flash-none",),
+    "gemini-3.1-pro-preview": ("gemini-3.1-pro-preview-low", "gemini-3.1-pro-preview-high"),
+    "gemini-3.6-flash": ("gemini-3.6-flash-low", "gemini-3.6-flash-high"),
+}
+#: Effort labels in a configuration's name, and their ranks.
+EFFORTS = {"off": 0, "none": 0, "nonreasoning": 0, "low": 1, "high": 2}
+
 
 def component_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     """Number of each component in each role by keys; 1 at most in the roles that are sets."""
@@ -86,6 +101,23 @@ def effort_rank(method: Column, labels: dict[str, int], default: int = 99) -> Co
     return out
 
 
+def family_of(method: Column) -> Column:
+    """struct(name, place) of a configuration's family; null for other methods."""
+    out = None
+    for k, (name, members) in enumerate(FAMILIES.items()):
+        value = F.struct(F.lit(name).alias("name"), F.lit(k).alias("place"))
+        out = F.when(method.isin(*members), value) if out is None else out.when(method.isin(*members), value)
+    return out
+
+
+def best_of_families(metrics: DataFrame, baseline: str) -> DataFrame:
+    """The baseline's row, then the best configuration of each family, with their place in the table."""
+    known = metrics.withColumn("_family", family_of(F.col("method"))).where("_family IS NOT NULL")
+    best = best_configuration(known, F.col("_family.name"), effort_rank(F.col("method"), EFFORTS)).withColumn("place", F.col("_family.place") + 1).drop("_family")
+    first = metrics.where(F.col("method") == baseline).withColumn("family", F.lit(baseline)).withColumn("effort", F.lit(None).cast("int")).withColumn("place", F.lit(0))
+    return first.unionByName(best).orderBy("place")
+
+
 def signature(keys: Column, multiset: bool) -> Column:
     """Canonical order of component keys; null if any is null."""
     whole = F.array_sort(keys if multiset else F.array_distinct(keys))

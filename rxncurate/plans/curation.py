@@ -261,8 +261,7 @@ _REVIEW = (("duplicate maps", "duplicate_maps > 0"), ("maps missing on the left"
 
 
 def risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = lambda x: [(n, F.expr(c)) for n, c in x]
-    return audit.risk_levels(audit.map_audit(standin(spark, sf_dir, "atoms")), rules(_CRITICAL), rules(_REVIEW)).select("rxn_id", "risk_level", "risk_reasons")
+    return audit.risk_levels(audit.map_audit(standin(spark, sf_dir, "atoms")), _CRITICAL, _REVIEW).select("rxn_id", "risk_level", "risk_reasons")
 
 
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,7 +62,7 @@ _LEFT = """, lf AS (SELECT l_orderkey AS rxn_id, row_number() OVER (PARTITION BY
 _MAPS = """, pp AS (SELECT * FROM atoms WHERE side = 'product'), pm AS (SELECT rxn_id, map, count(*) AS n, min(element) AS e FROM pp WHERE map > 0 GROUP BY ALL), lm AS (SELECT rxn_id, map, min(element) AS le FROM atoms WHERE side = 'input' AND map > 0 GROUP BY ALL),
   ms AS (SELECT rxn_id, count(*) FILTER (n > 1) AS duplicate_maps, count(*) FILTER (le IS NULL) AS missing_left, count(*) FILTER (le <> e) AS element_mismatch FROM pm LEFT JOIN lm USING (rxn_id, map) GROUP BY rxn_id),
   ma AS (SELECT rxn_id, unmapped, coalesce(duplicate_maps, 0) AS duplicate_maps, coalesce(missing_left, 0) AS missing_left, coalesce(element_mismatch, 0) AS element_mismatch FROM (SELECT rxn_id, count(*) FILTER (map = 0) AS unmapped FROM pp GROUP BY rxn_id) LEFT JOIN ms USING (rxn_id)),
-  ri AS (SELECT rxn_id, CASE WHEN unmapped > 1 OR element_mismatch > 0 THEN 'critical' WHEN duplicate_maps > 0 OR missing_left > 1 THEN 'review' ELSE 'low' END AS risk_level,
+  ri AS (SELECT rxn_id, CASE WHEN unmapped > 1 OR element_mismatch > 0 THEN 'critical' WHEN duplicate_maps > 0 OR missing_left > 1 THEN 'manual_review' ELSE 'pass' END AS risk_level,
     array_to_string(list_filter([CASE WHEN unmapped > 1 THEN 'unmapped product atoms' END, CASE WHEN element_mismatch > 0 THEN 'element mismatch' END, CASE WHEN duplicate_maps > 0 THEN 'duplicate maps' END, CASE WHEN missing_left > 1 THEN 'maps missing on the left' END], lambda z: z IS NOT NULL), '; ') AS risk_reasons FROM ma)"""
 
 ORACLE = {

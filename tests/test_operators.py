@@ -85,3 +85,21 @@ def test_chat_records(spark):
     t = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", '"{\\"a\\": 1}"'), (2, 0, "user", "u")], "conv_id int, turn int, role string, text string")
     got = {r["conv_id"]: (r["error"], r["target"]) for r in finetune.convert(finetune.assemble(t)).collect()}
     assert got == {1: (None, '{"a":1}'), 2: ("not three messages", None)}
+
+
+def test_best_of_families(spark):
+    from rxncurate.operators import score
+
+    rows = [("original", 0.378), ("gpt-5.4-low", 0.8375), ("gpt-5.4-none", 0.8375), ("gpt-5.4-high", 0.7), ("gemini-3.6-flash-high", 0.8657), ("gemini-3.6-flash-low", 0.8), ("other", 0.99)]
+    df = spark.createDataFrame(rows, "method string, accuracy double")
+    assert [(r["method"], r["effort"]) for r in score.best_of_families(df, "original").collect()] == [("original", None), ("gpt-5.4-none", 0), ("gemini-3.6-flash-high", 2)]
+
+
+def test_risk_reasons(spark):
+    from rxncurate.operators import audit
+
+    df = spark.range(2).select("id", *[F.lit(0).alias(c) for c in ("invalid_smiles_count", "duplicate_atom_maps", "atom_element_mismatch", "role_assignment_unmatched_components", "role_overlap_count", "product_reactant_overlap_count", "product_reagent_overlap_count", "multistep_model_count", "product_count")],
+        *[F.lit(False).alias(c) for c in ("element_deficit_flag", "reagent_contributes_to_product", "noncontributing_reactant", "no_detectable_transformation", "large_reaction_center", "identical_reactant_product")],
+        *[F.lit(True).alias(c) for c in ("product_mapping_complete", "mapping_confident")], F.lit(None).cast("string").alias("mapping_error"), F.lit("a>>b").alias("mapped_reaction"), F.lit("t").alias("mapping_template"), F.col("id").alias("relaxed_model_support_count"))
+    got = {r["id"]: (r["risk_level"], r["risk_reasons"]) for r in audit.risk_levels(df).collect()}
+    assert got == {0: ("manual_review", "validated ground truth has no model support"), 1: ("pass", "")}
