@@ -49,15 +49,22 @@ def section_counts(pairs: DataFrame, pred: DataFrame, truth: DataFrame) -> DataF
     return filled.withColumn("exact", ((F.col("fp") == 0) & (F.col("fn") == 0)).cast("int")).withColumn("covered", (F.col("fn") == 0).cast("int"))
 
 
+COUNTS = tuple(f"{r}_{c}" for r in ROLES for c in ("tp", "fp", "fn"))
+
+
 def compare_alternatives(sections: DataFrame) -> DataFrame:
-    """Roles combined: exact and covered if all are, tp, and the errors fp + fn, by (rxn_id, method, slot)."""
-    return sections.groupBy("rxn_id", "method", "slot").agg(F.min("exact").alias("exact"), F.min("covered").alias("covered"), F.sum("tp").alias("tp"), F.sum(F.col("fp") + F.col("fn")).alias("errors"))
+    """Roles combined by (rxn_id, method, slot): exact and covered if all are, tp, the errors fp + fn, and
+    each role's counts as columns, so that nothing has to go back to the sections."""
+    of = lambda r, c: F.sum(F.when(F.col("role") == r, F.col(c)).otherwise(0)).alias(f"{r}_{c}")
+    return sections.groupBy("rxn_id", "method", "slot").agg(
+        F.min("exact").alias("exact"), F.min("covered").alias("covered"), F.sum("tp").alias("tp"), F.sum(F.col("fp") + F.col("fn")).alias("errors"),
+        *[of(r, c) for r in ROLES for c in ("tp", "fp", "fn")])
 
 
 def best_ground_truth(compared: DataFrame, prefer_coverage: bool = False) -> DataFrame:
     """The best alternative of each (rxn_id, method): [covered,] exact, more tp, fewer errors, lower slot."""
     order = ([F.col("covered")] if prefer_coverage else []) + [F.col("exact"), F.col("tp"), -F.col("errors"), -F.col("slot")]
-    best = F.max_by(F.struct("slot", "exact", "covered", "tp", "errors"), F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)]))
+    best = F.max_by(F.struct("slot", "exact", "covered", "tp", "errors", *COUNTS), F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)]))
     return compared.groupBy("rxn_id", "method").agg(best.alias("b")).select("rxn_id", "method", "b.*")
 
 
@@ -68,15 +75,15 @@ def extraction_flags(best: DataFrame, unresolved: DataFrame) -> DataFrame:
     return best.join(u, ["rxn_id", "method"], "left").fillna(0, ["has_unresolved"]).withColumn("reaction_correct", ((F.col("exact") == 1) & (F.col("has_unresolved") == 0)).cast("int"))
 
 
-def extraction_metrics(sections: DataFrame, flags: DataFrame) -> DataFrame:
+def extraction_metrics(flags: DataFrame) -> DataFrame:
     """For each method and role: sums, precision and recall (null on an empty denominator); and the
-    method's correct reactions, accuracy and Wilson interval. sections holds the chosen slots."""
-    chosen = sections.join(flags.select("rxn_id", "method", "slot"), ["rxn_id", "method", "slot"])
-    sums = chosen.groupBy("method", "role").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    rows = flags.groupBy("method").agg(F.count(F.lit(1)).alias("evaluated"), F.sum("reaction_correct").alias("correct"))
+    method's correct reactions, accuracy and Wilson interval. One aggregation of extraction_flags."""
+    sums = flags.groupBy("method").agg(F.count(F.lit(1)).alias("evaluated"), F.sum("reaction_correct").alias("correct"), *[F.sum(c).alias(c) for c in COUNTS])
+    roles = F.array(*[F.struct(F.lit(r).alias("role"), *[F.col(f"{r}_{c}").alias(c) for c in ("tp", "fp", "fn")]) for r in ROLES])
     low, high = wilson(F.col("correct"), F.col("evaluated"))
-    rows = rows.withColumn("incorrect", F.col("evaluated") - F.col("correct")).withColumn("accuracy", rate(F.col("correct"), F.col("evaluated"))).withColumn("ci_lower", low).withColumn("ci_upper", high)
-    return sums.withColumn("precision", rate(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", rate(F.col("tp"), F.col("tp") + F.col("fn"))).join(rows, "method")
+    rows = sums.select("method", "evaluated", "correct", F.inline(roles))
+    rows = rows.withColumn("precision", rate(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", rate(F.col("tp"), F.col("tp") + F.col("fn")))
+    return rows.withColumn("incorrect", F.col("evaluated") - F.col("correct")).withColumn("accuracy", rate(F.col("correct"), F.col("evaluated"))).withColumn("ci_lower", low).withColumn("ci_upper", high)
 
 
 def best_configuration(metrics: DataFrame, family: Column, effort: Column) -> DataFrame:

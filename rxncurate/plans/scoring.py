@@ -63,12 +63,11 @@ def section_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flags(spark, sf_dir, _scored(spark, sf_dir))
+    return _flags(spark, sf_dir, _scored(spark, sf_dir)).drop(*score.COUNTS)
 
 
 def _metrics(spark, sf_dir):
-    sections = _scored(spark, sf_dir)
-    return score.extraction_metrics(sections, _flags(spark, sf_dir, sections))
+    return score.extraction_metrics(_flags(spark, sf_dir, _scored(spark, sf_dir)))
 
 
 def extraction_metrics_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
