@@ -12,7 +12,9 @@ bits. The width is the one that a percentile of the block's values fit.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,7 +35,12 @@ PERCENTILE = 90
 CHUNK_IDS = 262_144
 #: Fixed value of the contract: the id that ends a document.
 END_ID = 1
-_KNOWN = 300_000
+#: How a tokenizer file says that letters and digits form pieces of their own; letters of
+#: Latin-1, white space, digits and punctuation without apostrophes; the pieces of texts of these.
+LETTERS_APART = r"|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PLAIN = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])).encode("latin-1") + b" \n\t\r0123456789!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+PART = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+")
+_KNOWN = 500_000
 
 
 def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> tuple[np.ndarray, bytes]:
@@ -113,25 +120,64 @@ def unpack_chunk(chunk: bytes) -> list[np.ndarray]:
     return np.split(ids, np.cumsum(lengths)[:-1]) if docs else []
 
 
+def plain(text: str) -> bool:
+    """Whether a text has only characters of PLAIN and nothing that may be a special token."""
+    try:
+        return not text.encode("latin-1").translate(None, PLAIN) and "<|" not in text
+    except UnicodeEncodeError:
+        return False
+
+
 class WordCache:
-    """Encodes texts with the tokenizers library, each distinct run of characters between spaces
-    once. Right for tokenizers whose tokens never hold white space; keeps a bounded number of runs."""
+    """Encodes texts with the tokenizers library, each distinct piece once; keeps a bounded number.
+
+    A piece is a run of characters between spaces: right for tokenizers whose tokens never hold white
+    space. Where the file cuts letters, digits and punctuation apart and marks the ends of words,
+    texts of plain characters are cut that way first, and new pieces are encoded in one call, joined
+    by spaces.
+    """
 
     def __init__(self, spec: str, most: int = _KNOWN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_str(spec), {}, most
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = [w for w in set().union(*parts) if w not in known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in p]) for p in parts]
+        self.tokenizer, self.runs, self.parts, self.most = Tokenizer.from_str(spec), {}, {}, most
+        model = json.loads(spec)["model"]
+        suffix = model.get("end_of_word_suffix")
+        self.ends = None
+        if suffix and LETTERS_APART in spec:
+            self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+            # Parts are normalised and cut already: the library's model is all they need.
+            bare = json.loads(spec) | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+            self.bare = Tokenizer.from_str(json.dumps(bare))
+
+    def _learn_parts(self, fresh: list[str]) -> None:
+        ids = np.array(self.bare.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(fresh):
+            raise ValueError("a part of a word has more than one end mark")
+        data, at = ids.tobytes(), 0
+        for x, stop in zip(fresh, (4 * stops).tolist()):
+            self.parts[x] = data[at:stop]
+            at = stop
+
+    def _learn_runs(self, fresh: list[str]) -> None:
+        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            self.runs[w] = np.array(e.ids, "<u4").tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        if self.ends is not None and plain(text):
+            known, learn, found = self.parts, self._learn_parts, PART.findall(text.lower())
+        else:
+            known, learn, found = self.runs, self._learn_runs, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        try:
+            return b"".join([known[w] for w in found])
+        except KeyError:
+            if len(known) > self.most:
+                known.clear()
+            learn([w for w in set(found) if w not in known])
+            return b"".join([known[w] for w in found])
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -154,15 +200,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
             return pd.DataFrame({"shard": [shard], "chunk": [chunk], "doc_ids": [ids], "n_ids": [size], "payload": [pack_chunk(packed)]})
 
         for b in batches:
-            for k in range(0, len(b), 500):
-                part = b.iloc[k:k + 500]
-                for i, e in zip(part["id"], own["cache"](part["t"].tolist())):
-                    ids.append(i)
-                    packed.append(e + end)
-                    size += len(e) // 4 + 1
-                    if size >= CHUNK_IDS:
-                        yield close()
-                        chunk, ids, packed, size = chunk + 1, [], [], 0
+            for i, t in zip(b["id"], b["t"]):
+                e = own["cache"](t)
+                ids.append(i)
+                packed.append(e + end)
+                size += len(e) // 4 + 1
+                if size >= CHUNK_IDS:
+                    yield close()
+                    chunk, ids, packed, size = chunk + 1, [], [], 0
         if ids:
             yield close()
 
