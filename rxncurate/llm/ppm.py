@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,11 +26,12 @@ from rxncurate.llm.common import LOWER, UPPER, id_crc, stored, text_bytes
 #: Bytes of the longest context. A context and its byte fit 48 bits.
 ORDER = 5
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 #: Fixed values of the contract.
 HELD_OUT = (7, 2)
-#: Bytes worked on at once inside a block, and the documents that 16 bits can number.
-_PART_BYTES, _PART_DOCS = 4 << 20, 65_536
+#: Bytes worked on at once inside a block, when counting and when scoring (about 40 bytes of arrays
+#: each), and the documents that 16 bits can number.
+_COUNT_BYTES, _SCORE_BYTES, _PART_DOCS = 2 << 20, 1 << 20, 65_536
 _TABLE = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _END = b"\n"
 
@@ -45,17 +46,19 @@ def word_key(word: bytes) -> int:
     return -1 - (int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "big") >> 1)
 
 
-def parts(docs: list[list[bytes]]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of documents as byte strings, each with its first number, of bounded size where documents are."""
-    first, size, run = 0, 0, []
-    for k, words in enumerate(docs):
-        run.append(b" ".join(words) + _END)
+def parts(texts: Iterable[str], size_limit: int) -> Iterator[tuple[int, list[list[bytes]], list[bytes]]]:
+    """Runs of documents: the first one's number, their words, and their bytes with end marks. A run is
+    of bounded size where documents are; only one is held at a time."""
+    first, size, words, run = 0, 0, [], []
+    for t in texts:
+        words.append(tokens(t))
+        run.append(b" ".join(words[-1]) + _END)
         size += len(run[-1])
-        if size >= _PART_BYTES or len(run) == _PART_DOCS:
-            yield first, run
-            first, size, run = k + 1, 0, []
+        if size >= size_limit or len(run) == _PART_DOCS:
+            yield first, words, run
+            first, size, words, run = first + len(run), 0, [], []
     if run:
-        yield first, run
+        yield first, words, run
 
 
 def numbered_grams(run: list[bytes]) -> np.ndarray:
@@ -92,16 +95,16 @@ def census(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: dict[int, Counter] = {}
     for b in batches:
         for (block, held), g in b.groupby(["block", "held"]):
-            docs = [tokens(t) for t in g["t"]]
             seen = counts.setdefault(block, Counter())
-            for words in docs:
-                if held:
-                    for w in set(words).difference(seen):
-                        seen[w] = 0
-                else:
-                    seen.update(words)
-            seen[_END] += 0 if held else len(docs)
-            for _, run in parts(docs):
+            seen[_END] += 0 if held else len(g)
+            for _, words, run in parts(g["t"], _COUNT_BYTES):
+                for own in words:
+                    if held:
+                        for w in own:
+                            if w not in seen:
+                                seen[w] = 0
+                    else:
+                        seen.update(own)
                 keys, n = np.unique(numbered_grams(run) >> np.uint64(16), return_counts=True)
                 grams[block] = _merge(grams.get(block, (none, none)), keys.astype(np.int64), n * (not held))
     for block in list(grams):
@@ -157,28 +160,26 @@ def gram_values(asked: DataFrame, nodes: DataFrame, ctx: DataFrame) -> DataFrame
 
 def _score_block(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(table["key"].to_numpy(), kind="stable")
-    key, value, known = (table[c].to_numpy()[order] for c in ("key", "value", "known"))
+    key, value, known = (table.pop(c).to_numpy()[order] for c in ("key", "value", "known"))
+    del order
     first = np.searchsorted(key, 0)
     gram, gram_value = key[first:].astype(np.uint64) << np.uint64(16), value[first:]
-    words = [tokens(t) for t in docs["t"]]
-    index: dict[bytes, int] = {}
-    for doc in words:
-        for w in set(doc).difference(index):
-            index[w] = len(index)
-    at = np.searchsorted(key[:first], np.fromiter(map(word_key, index), np.int64, len(index)))
-    base, hit = value[at], known[at].astype(np.int64)
-    end = int(np.searchsorted(key[:first], word_key(_END)))
-    n, score, base_score, n_known = len(words), np.zeros(len(words)), np.zeros(len(words)), np.zeros(len(words), np.int64)
-    for k, doc in enumerate(words):
-        own = np.fromiter(map(index.__getitem__, doc), np.int64, len(doc))
-        base_score[k] = base[own].sum() + value[end]
-        n_known[k] = hit[own].sum() + int(known[end])
-    for begin, run in parts(words):
+    n = len(docs)
+    score, base_score, n_known, n_tokens = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    place = lambda w: int(np.searchsorted(key[:first], word_key(w)))
+    end, at = place(_END), {}
+    for begin, words, run in parts(docs["t"], _SCORE_BYTES):
+        new = list(set().union(*words).difference(at))
+        at.update(zip(new, np.searchsorted(key[:first], np.fromiter(map(word_key, new), np.int64, len(new))).tolist()))
+        for k, doc in enumerate(words, begin):
+            own = np.fromiter(map(at.__getitem__, doc), np.int64, len(doc))
+            base_score[k] = value[own].sum() + value[end]
+            n_known[k] = np.count_nonzero(known[own]) + int(known[end])
+            n_tokens[k] = len(doc) + 1
         numbered = numbered_grams(run)
         bounds = np.append(np.searchsorted(numbered, gram), len(numbered))
-        each = np.repeat(gram_value, np.diff(bounds))
-        score[begin:begin + len(run)] = np.bincount((numbered & np.uint64(0xFFFF)).astype(np.int64), each, len(run))
-    return pd.DataFrame({"doc_id": docs["doc_id"].to_numpy(), "held_out": docs["held"].to_numpy(), "n_tokens": np.fromiter((len(d) + 1 for d in words), np.int64, n), "n_known": n_known, "base_score": base_score, "score": score})
+        score[begin:begin + len(run)] = np.bincount((numbered & np.uint64(0xFFFF)).astype(np.int64), np.repeat(gram_value, np.diff(bounds)), len(run))
+    return pd.DataFrame({"doc_id": docs["doc_id"].to_numpy(), "held_out": docs["held"].to_numpy(), "n_tokens": n_tokens, "n_known": n_known, "base_score": base_score, "score": score})
 
 
 def score_documents(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
