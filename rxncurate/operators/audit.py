@@ -24,7 +24,7 @@ REVIEW_REASONS = (
     ("mapped and labeled components do not align", "role_assignment_unmatched_components > 0"),
     ("no mapped covalent/charge change", "no_detectable_transformation"),
     ("unusually large reaction center", "large_reaction_center"),
-    ("LocalMapper marked mapping unconfident", "NOT mapping_confident"),
+    ("mapper marked mapping unconfident", "NOT mapping_confident"),
     ("no mapping template", "coalesce(mapping_template, '') = ''"),
     ("same structure labeled as reactant and reagent", "role_overlap_count > 0"),
     ("a product is also present on the input side", "product_reactant_overlap_count > 0 OR product_reagent_overlap_count > 0"),
