@@ -58,8 +58,23 @@ FULL = re.compile(rf"\b({'|'.join(_ANY_GIVEN)}) ({_NAME})")
 MAY_NAME = rf"\b({'|'.join(_ANY_TITLE + _ANY_GIVEN)})\b"
 
 EMAIL = re.compile(r"[\w.+-]*[\w+-]@(?:[\w-]+\.)+[^\W\d_]{2,}")
-DIGITS = re.compile(r"(?<![\w.])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d+(?:[ .()-]{1,2}\d+)*(?![\w])")
+DIGIT = re.compile(r"\d[ .()-]{0,2}\d")
 LONG = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4})(?!\d)|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]\d|\d)")
+#: The shapes of other numbers, looked for inside the text, so that numbers beside them are not joined
+#: to them: an international number's start, a number with an area code in brackets, US social security
+#: and phone numbers, national numbers with a leading 0, account numbers. A digit's end may be an extension.
+_EDGE = r"(?!(?!x\d)\w)"
+_GROUPS = r"\d+(?:(?:[ .-]|[ -]?\(|\)[ .-]?)\d+)*\)?"
+PLUS = re.compile(rf"(?<!\w)\+\(?{_GROUPS}{_EDGE}")
+BRACKETS = re.compile(rf"(?<!\w)(?:\d{{1,4}}[ .-]?)?\(\d{{1,5}}\)(?:[ .-]?{_GROUPS}){_EDGE}")
+SSN = re.compile(rf"(?<!\w)\d{{3}}-\d{{2}}-\d{{4}}{_EDGE}")
+US_PHONE = re.compile(rf"(?<!\w)\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}{_EDGE}")
+ZERO_PHONE = re.compile(rf"(?<!\w)0\d{{1,4}}[ -]\d{{3,4}}[ -]?\d{{3,4}}{_EDGE}")
+ACCOUNT = re.compile(rf"(?<!\w)\d{{4}}(?:[ -]\d{{4}}){{2,3}}(?:[ -]\d{{1,3}})?{_EDGE}")
+#: Country codes of one and two digits; all others have three.
+COUNTRY_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Most digits behind a country code, where numbers are not as long as the 15 in all allow.
+NATIONAL = {"1": 10, "7": 10, "30": 10, "31": 9, "32": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "49": 11, "61": 9, "86": 11, "90": 10, "91": 10, "351": 9, "420": 9, "421": 9}
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 _GENDER = {n: g for g, v in GIVEN.items() for n in v}
 _TITLE_GENDER = {t: g for g, v in TITLES.items() for t in v}
@@ -178,6 +193,37 @@ class Surrogates:
         rest = "".join(str(int(c, 36)) for c in body + norm[:2]) + "00"
         return f"{norm[:2]}{98 - int(rest) % 97:02d}{body}"
 
+    def _numbers(self, text: str) -> list[tuple[int, int, str, str]]:
+        """Entities made of digits. Each shape is looked for in what those before it have left."""
+        out: list[tuple[int, int, str, str]] = []
+
+        def take(pattern: re.Pattern, measure) -> None:
+            nonlocal text
+            rest, at, m = [], 0, pattern.search(text)
+            while m:
+                start, end, kind, head = measure(text, m)
+                if kind:
+                    s = text[start:end]
+                    norm = re.sub(r"\D", "", s)
+                    new = self.surrogate(kind, s) if kind == "ip" else _shaped(s, norm[:head] + self.surrogate(kind, norm[head:]))
+                    out.append((start, end, kind, new))
+                    rest += [text[at:start], "\0" * (end - start)]
+                    at = end
+                m = pattern.search(text, end)
+            if at:
+                text = "".join(rest) + text[at:]
+
+        take(LONG, lambda t, m: (m.start(), m.end(), digit_kind(m.group()), 0))
+        if "+" in text:
+            take(PLUS, _plus_phone)
+        take(SSN, lambda t, m: (m.start(), m.end(), "ssn", 0))
+        if "(" in text:
+            take(BRACKETS, _bracket_phone)
+        take(US_PHONE, lambda t, m: (m.start(), m.end(), "phone", 0))
+        take(ZERO_PHONE, lambda t, m: (m.start(), m.end(), "phone", 0))
+        take(ACCOUNT, lambda t, m: (m.start(), m.end(), "card", 0))
+        return out
+
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, type, replacement), in order and apart, of all entities but names."""
         out: list[tuple[int, int, str, str]] = []
@@ -190,26 +236,8 @@ class Surrogates:
             norm = m.group().replace(" ", "")
             if 15 <= len(norm) <= 34 and int("".join(str(int(c, 36)) for c in norm[4:] + norm[:4])) % 97 == 1:
                 out.append((m.start(), m.end(), "iban", _shaped(m.group(), self.surrogate("iban", norm))))
-        rest, at = [], 0
-        for m in LONG.finditer(text):
-            kind = digit_kind(m.group())
-            if kind == "ip":
-                out.append((m.start(), m.end(), kind, self.surrogate(kind, m.group())))
-            elif kind:
-                out.append((m.start(), m.end(), kind, _shaped(m.group(), self.surrogate(kind, re.sub(r"\D", "", m.group())))))
-            if kind:
-                rest += [text[at:m.start()], "x" * len(m.group())]
-                at = m.end()
-        for m in DIGITS.finditer("".join(rest) + text[at:] if at else text):
-            kind = digit_kind(m.group())
-            if kind:
-                norm = re.sub(r"\D", "", m.group())
-                head = ""
-                if kind == "phone" and m.group()[0] == "+":
-                    head = re.match(r"\+\d{1,3}", m.group()).group()[1:]
-                    if len(head) == len(norm):
-                        head = head[:1]
-                out.append((m.start(), m.end(), kind, _shaped(m.group(), head + self.surrogate(kind, norm[len(head):]))))
+        if DIGIT.search(text):
+            out += self._numbers(text)
         out.sort()
         apart: list[tuple[int, int, str, str]] = []
         for x in out:
@@ -227,17 +255,60 @@ def luhn(digits: str) -> bool:
 
 
 def digit_kind(s: str) -> str | None:
-    """The type of a run of digits and separators; None for plain numbers and dates."""
-    if re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", s):
+    """The type of what LONG finds; None for four numbers that are no address."""
+    if "." in s:
         return "ip" if all(int(p) < 256 for p in s.split(".")) else None
-    n = len(re.sub(r"\D", "", s))
-    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", s):
-        return "ssn"
-    if re.fullmatch(r"\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?", s):
-        return "card"
-    if 7 <= n <= 15 and (s[0] in "+(" or "(" in s):
-        return "phone"
-    return "phone" if re.fullmatch(r"\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{1,4}[ -]\d{3,4}[ -]?\d{3,4}", s) else None
+    return "card"
+
+
+def _group_end(text: str, start: int, end: int, least: int, most: int) -> int:
+    """Where the number that starts at start ends: it takes group after group, up to most digits once
+    it has the least, and none after a space or in brackets where it is long enough and another number begins."""
+    n = last = 0
+    at = start
+    for g in re.finditer(r"\d+", text[start:end]):
+        i = start + g.start()
+        more = n + len(g.group())
+        if n and (more > 15 or more > most and n >= least or text[i - 1] == "(" and text[start] == "("):
+            break
+        if n >= 7 and (text[i - 1] == "(" or text[i - 1] == " " and (n >= 10 or last >= 6 or SSN.match(text, i) or US_PHONE.match(text, i))):
+            break
+        n, last, at = more, len(g.group()), start + g.end()
+    return at + (text[at:at + 1] == ")" and text.count("(", start, at) > text.count(")", start, at))
+
+
+def _plus_phone(text: str, m: re.Match) -> tuple[int, int, str | None, int]:
+    """(start, end, kind, digits kept) of an international number: its country code and a 0 in
+    brackets stay, and it is no longer than numbers of its country are."""
+    digits = re.sub(r"\D", "", m.group())
+    code = next((digits[:k] for k in (1, 2) if digits[:k] in COUNTRY_CODES), digits[:3])
+    head = 0 if code[0] == "0" else len(code)
+    body = m.start()
+    for _ in range(head):
+        body = re.compile(r"\d").search(text, body).end()
+    trunk = re.compile(r"[ .-]?\(0\)").match(text, body)
+    if trunk:
+        body, head = trunk.end(), head + 1
+    first = re.compile(r"\d+").search(text, body, m.end())
+    if not first:
+        return m.start(), m.end(), None, 0
+    most = NATIONAL.get(code, 15 - len(code)) if head else 15
+    end = _group_end(text, body, m.end(), most if code in "17" else most - 2, most)
+    n = len(re.sub(r"\D", "", text[m.start():end]))
+    return m.start(), end, "phone" if 7 <= n <= 16 else None, head
+
+
+def _bracket_phone(text: str, m: re.Match) -> tuple[int, int, str | None, int]:
+    """(start, end, kind, digits kept) of a number with an area code in brackets. What stands before
+    the bracket is a part of it only if the rest is too short to be a number with area code."""
+    bracket = text.index("(", m.start())
+    us = re.compile(r"\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}" + _EDGE).match(text, bracket)
+    end = us.end() if us else _group_end(text, bracket, m.end(), 15, 15)
+    before = len(re.sub(r"\D", "", text[m.start():bracket]))
+    n = len(re.sub(r"\D", "", text[bracket:end]))
+    start = m.start() if before and n < 10 and text[bracket + 1] != "0" and before + n <= 15 else bracket
+    n += before if start < bracket else 0
+    return start, end, "phone" if 7 <= n <= 15 else None, 0
 
 
 def _shaped(pattern: str, chars: str) -> str:

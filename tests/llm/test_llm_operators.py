@@ -44,6 +44,29 @@ def test_surrogates(spark, empty):
     assert surrogates.replace_entities(empty, b"k").count() == 0
 
 
+def test_numbers_beside_numbers():
+    s = surrogates.Surrogates(b"k")
+
+    def replaced(t):
+        out, at = [], 0
+        for i, j, _, new in s.find(t):
+            out += [t[at:i], new]
+            at = j
+        return "".join(out) + t[at:]
+
+    phones, ssns = ["555-123-4567", "555-987-6543", "(555) 123-4567", "+1 (171) 555-2028", "+44 20 7946 0958"], ["123-45-6789", "987-65-4321"]
+    alone = {x: replaced(x) for x in phones + ssns}
+    assert all(a != b and re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) for a, b in alone.items())
+    for x in alone:
+        for form in ("In 2019 {}", "on May 5. {}", "room 12 {}", "{}. 20 items", "{}, 3", "{} 2024-01-31"):
+            assert replaced(form.format(x)) == form.format(alone[x])
+        for y in alone:
+            assert replaced(f"{x} {y}") == f"{alone[x]} {alone[y]}"
+    national = [re.sub(r"\D", "", replaced(x))[-10:] for x in ("+15551234567", "+1 555 123 4567", "1-555-123-4567", "(555) 123-4567")]
+    assert len(set(national)) == 1 and replaced("+15551234567").startswith("+1")
+    assert replaced("2024-01-31 12 3.5 (12) 34") == "2024-01-31 12 3.5 (12) 34"
+
+
 def test_permutation_is_one_to_one_without_fixed_points():
     p = surrogates.Permutation(b"x" * 64)
     for n in (2, 3, 10, 97, 256):
