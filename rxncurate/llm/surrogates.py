@@ -7,7 +7,8 @@ lookup is needed. Case, script, digits and separators stay; check digits are mad
 
 Names come from a rule-made pool by gender and script. Distinct name parts of the whole corpus meet
 in one table, where those that draw the same surrogate, or one that is a real name of the corpus,
-are told apart. A part keeps its surrogate wherever it occurs, so "Mr Smith" follows "John Smith".
+are told apart. A part keeps its surrogate wherever it occurs, in capitals too, so "Mr Smith" and
+"JOHN SMITH" follow "John Smith". Only names behind a listed title or given name are looked for.
 """
 
 from __future__ import annotations
@@ -49,11 +50,26 @@ ENDINGS = {
 #: Domains that belong to nobody.
 RESERVED = ("example.com", "example.org", "example.net", "example", "test", "invalid", "localhost")
 
-_ANY_TITLE = sorted((t for v in TITLES.values() for t in v), key=len, reverse=True)
-_ANY_GIVEN = sorted((n for v in GIVEN.values() for n in v), key=len, reverse=True)
-_NAME = r"[^\W\d_a-zà-ÿа-яё][^\W\d_]*(?:[-'’][^\W\d_]+)*"
-TITLED = re.compile(rf"\b({'|'.join(_ANY_TITLE)})\.? ((?:{_NAME})(?: {_NAME})?)")
-FULL = re.compile(rf"\b({'|'.join(_ANY_GIVEN)}) ({_NAME})")
+#: Small words inside names and what follows a surname; both stay.
+SUFFIXES = ("Jr", "Sr", "JR", "SR", "II", "III", "IV")
+PARTICLES = "von van de der den del della di da dos du la le ter zu bin al".split()
+
+
+def _cased(names) -> list[str]:
+    """The names and their forms in capitals, longest first."""
+    return sorted({x for n in names for x in (n, n.upper())}, key=lambda n: (-len(n), n))
+
+
+_ANY_TITLE = _cased(t for v in TITLES.values() for t in v)
+_ANY_GIVEN = _cased(n for v in GIVEN.values() for n in v)
+#: The letters of small case in the scripts of the pools.
+_SMALL = "".join(c for c in map(chr, [*range(0x530), *range(0x1E00, 0x2000)]) if c.islower())
+_NAME = rf"[^\W\d_{_SMALL}][^\W\d_]*(?:[-'’][^\W\d_]+)*"
+_TITLE = rf"(?:{'|'.join(_ANY_TITLE)})\b"
+_WORD = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}(?!{_TITLE})(?:(?:[^\W\d_{_SMALL}]\.-?)+|{_NAME})"
+#: A title or a listed given name, and all name words and initials that follow.
+TITLED = re.compile(rf"\b((?:{_TITLE}\.? )+)({_WORD}(?: {_WORD})*)")
+FULL = re.compile(rf"\b((?:{'|'.join(_ANY_GIVEN)})(?: {_WORD})+)")
 #: What a text must hold to hold a name; also for Spark's own rlike.
 MAY_NAME = rf"\b({'|'.join(_ANY_TITLE + _ANY_GIVEN)})\b"
 
@@ -76,8 +92,8 @@ COUNTRY_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 4
 #: Most digits behind a country code, where numbers are not as long as the 15 in all allow.
 NATIONAL = {"1": 10, "7": 10, "30": 10, "31": 9, "32": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "49": 11, "61": 9, "86": 11, "90": 10, "91": 10, "351": 9, "420": 9, "421": 9}
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
-_GENDER = {n: g for g, v in GIVEN.items() for n in v}
-_TITLE_GENDER = {t: g for g, v in TITLES.items() for t in v}
+_GENDER = {n.casefold(): g for g, v in GIVEN.items() for n in v}
+_TITLE_GENDER = {t.casefold(): g for g, v in TITLES.items() for t in v}
 
 
 class Permutation:
@@ -188,6 +204,11 @@ class Surrogates:
     def _ssn(self, norm: str) -> str:
         return self._digits(norm, "ssn")
 
+    def _initial(self, norm: str) -> str:
+        small = unicodedata.normalize("NFD", norm.lower())[0]
+        new = self._string(small, "initial").upper()
+        return new if new != norm and len(_classes(small)) > 1 else "X"
+
     def _iban(self, norm: str) -> str:
         body = self._string(norm[4:], "iban" + norm[:2])
         rest = "".join(str(int(c, 36)) for c in body + norm[:2]) + "00"
@@ -323,22 +344,32 @@ def script_of(name: str) -> str:
 
 
 def find_names(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, part) of name parts: kind is m, f or u for given names, s for surnames."""
-    out = []
+    """(start, end, kind, part) of name parts: kind is m, f or u for given names, s for surnames, i for
+    the letter of an initial. The last word is the surname, if no initial; small words and suffixes stay."""
+    out: list[tuple[int, int, str, str]] = []
+    inside = set()
     for m in TITLED.finditer(text):
-        parts = m.group(2).split(" ")
-        g, at = _TITLE_GENDER[m.group(1)], m.start(2)
-        if len(parts) == 2:
-            out.append((at, at + len(parts[0]), _GENDER.get(parts[0], g), parts[0]))
-        out.append((m.end(2) - len(parts[-1]), m.end(2), "s", parts[-1]))
-    taken = {x[0] for x in out}
+        genders = [_TITLE_GENDER[t.rstrip(".").casefold()] for t in m.group(1).split(" ")[:-1]]
+        inside.update(range(m.start(2), m.end(2)))
+        out += _name_parts(m.group(2), m.start(2), next((g for g in genders if g != "u"), "u"))
     for m in FULL.finditer(text):
-        if m.start(1) not in taken:
-            out.append((m.start(1), m.end(1), _GENDER[m.group(1)], m.group(1)))
-        if m.start(2) not in taken:
-            out.append((m.start(2), m.end(2), "s", m.group(2)))
-    out.sort()
-    return [x for k, x in enumerate(out) if not k or x[0] >= out[k - 1][1]]
+        if m.start() not in inside:
+            out += _name_parts(m.group(), m.start(), "u")
+    return sorted(out)
+
+
+def _name_parts(name: str, start: int, gender: str) -> list[tuple[int, int, str, str]]:
+    words = [(w.start(), re.sub("['’][sS]$", "", w.group())) for w in re.finditer("[^ ]+", name)]
+    words = [(i, w) for i, w in words if w not in PARTICLES and w not in SUFFIXES]
+    gender = next((_GENDER[w.casefold()] for _, w in words if w.casefold() in _GENDER), gender)
+    out = []
+    for k, (i, w) in enumerate(words):
+        if "." in w or len(w) == 1:
+            out += [(start + i + j, start + i + j + 1, "i", c) for j, c in enumerate(w) if c.isalpha()]
+        else:
+            kind = "s" if k == len(words) - 1 else _GENDER.get(w.casefold(), gender)
+            out.append((start + i, start + i + len(w), kind, w))
+    return out
 
 
 def pool_name(kind: str, script: str, number: int, rank: int) -> str:
@@ -358,19 +389,23 @@ def pool_name(kind: str, script: str, number: int, rank: int) -> str:
     return name
 
 
+def _cased_like(part: str, name: str) -> str:
+    return name.upper() if part.isupper() else name
+
+
 def name_table(mentions: DataFrame, key: bytes) -> DataFrame:
     """(kind, part, surrogate) for the distinct name parts of (kind, part): one-to-one, and never a
-    part that the corpus holds. Parts that draw one pool name meet in a small group and are ranked;
-    a real name equal to the pool name takes the first rank."""
+    part that the corpus holds, in any case. Parts that draw one pool name meet in a small group and are
+    ranked; a real name equal to the pool name takes the first rank. Mentions hold case-folded parts."""
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             script = [script_of(p) for p in b["part"]]
             number = [int.from_bytes(hmac.new(key, f"{k}:{p}".encode(), hashlib.sha256).digest()[:6], "big") % len(SYLLABLES[s]) ** 3 for k, p, s in zip(b["kind"], b["part"], script)]
-            yield b.assign(script=script, number=number, drawn=[pool_name(k, s, n, 0) for k, s, n in zip(b["kind"], script, number)])
+            yield b.assign(script=script, number=number, drawn=[pool_name(k, s, n, 0).casefold() for k, s, n in zip(b["kind"], script, number)], folded=[p.casefold() for p in b["part"]])
 
-    drawn = stored(mentions.select("kind", "part").distinct().mapInPandas(draw, "kind string, part string, script string, number long, drawn string"))
-    real = drawn.select(F.lit("").alias("kind"), F.col("part"), F.col("part").alias("drawn"), F.lit(None).cast("string").alias("script"), F.lit(None).cast("long").alias("number")).distinct()
+    drawn = stored(mentions.select("kind", "part").distinct().mapInPandas(draw, "kind string, part string, script string, number long, drawn string, folded string"))
+    real = drawn.select(F.lit("").alias("kind"), F.col("folded").alias("part"), F.col("folded").alias("drawn"), F.lit(None).cast("string").alias("script"), F.lit(None).cast("long").alias("number")).distinct()
     group = Window.partitionBy("drawn").orderBy("kind", "part")
     ranked = drawn.select("kind", "part", "drawn", "script", "number").unionByName(real).withColumn("rank", F.row_number().over(group) - 1).where("kind <> ''")
 
@@ -388,10 +423,10 @@ def _replace(key: bytes, named: bool):
             texts, kinds, starts, ends = [], [], [], []
             for t, names in zip(b["text"], b["names"] if named else [None] * len(b)):
                 spans = s.find(t) if t else []
-                if t and names is not None and len(names):
-                    table = {(x["kind"], x["part"]): x["surrogate"] for x in names}
+                if t and named:
+                    table = {(x["kind"], x["part"]): x["surrogate"] for x in (names if names is not None else ())}
                     busy = [(x[0], x[1]) for x in spans]
-                    spans += [(i, j, "name", table[k, p]) for i, j, k, p in find_names(t) if (k, p) in table and all(j <= a or i >= z for a, z in busy)]
+                    spans += [(i, j, "name", s.surrogate("initial", p) if k == "i" else _cased_like(p, table[k, p.casefold()])) for i, j, k, p in find_names(t) if all(j <= a or i >= z for a, z in busy)]
                     spans.sort()
                 out, at, w0, w1 = [], 0, [], []
                 for i, j, _, new in spans:
@@ -424,7 +459,7 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
 
     def mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(i, k, p) for i, t in zip(b["doc_id"], b["text"]) for k, p in sorted({x[2:] for x in find_names(t)})]
+            found = [(i, k, p) for i, t in zip(b["doc_id"], b["text"]) for k, p in sorted({(k, p.casefold()) for _, _, k, p in find_names(t) if k != "i"})]
             yield pd.DataFrame(found, columns=["doc_id", "kind", "part"])
 
     named = stored(rows.where(may).mapInPandas(mentions, f"doc_id {kind}, kind string, part string"))

@@ -67,6 +67,17 @@ def test_numbers_beside_numbers():
     assert replaced("2024-01-31 12 3.5 (12) 34") == "2024-01-31 12 3.5 (12) 34"
 
 
+def test_whole_names(spark):
+    texts = ["Mr John Paul Smith left", "John Paul Smith's dog", "JOHN PAUL SMITH left", "MR SMITH left", "John Q. Public met Dr. Smith", "Prof. Dr. Hans von Braun Jr", "Mr J. R. Smith left", "господин Иван Петрович Сидоров был", "κύριος Νίκος Παπάς και κύριος ΠΑΠΆΣ", "Mr Smith Mrs Smith"]
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b"k").collect()}
+    real = {w.casefold() for t in texts for w in re.findall(r"[^\W\d_]{2,}", t)} - set("mr mrs dr prof met left dog von jr господин был κύριος και".casefold().split())
+    assert not real & {w.casefold() for t in got.values() for w in re.findall(r"[^\W\d_]{2,}", t)}
+    john, paul, smith = re.fullmatch(r"Mr (\w+) (\w+) (\w+) left", got[0]).groups()
+    assert got[1] == f"{john} {paul} {smith}'s dog" and got[2] == f"{john} {paul} {smith}".upper() + " left" and got[3] == f"MR {smith.upper()} left"
+    assert re.fullmatch(rf"{john} [A-PR-Z]\. \w+ met Dr\. {smith}", got[4]) and re.fullmatch(r"Prof\. Dr\. \w+ von \w+ Jr", got[5])
+    assert re.fullmatch(rf"Mr [A-Z]\. [A-Z]\. {smith} left", got[6]) and " J." not in got[6] and " R." not in got[6] and got[9] == f"Mr {smith} Mrs {smith}"
+
+
 def test_permutation_is_one_to_one_without_fixed_points():
     p = surrogates.Permutation(b"x" * 64)
     for n in (2, 3, 10, 97, 256):
