@@ -72,16 +72,27 @@ def with_reactions(df: DataFrame, skeletons: str = "skeletons", smiles: str = "s
     return df.withColumn(out, F.when(s.isNull() | (F.size(s) == 0), F.array(F.lit("Error: empty rxn_codes"))).otherwise(made))
 
 
-def expand_inputs(edges: DataFrame, max_depth: int = 20) -> DataFrame:
+def expand_inputs(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(idx, node, base): the inputs of each intermediate that are made from nothing, over edges
-    (idx, node, input). Goes one level a round, as many as the longest chain; cycles end at max_depth."""
-    now = edges.select("idx", "node", F.col("input").alias("base"))
-    e = edges.select("idx", F.col("node").alias("base"), F.col("input").alias("below"))
-    done = None
-    for _ in range(max_depth):
-        inner = now.join(e.select("idx", "base").distinct(), ["idx", "base"], "left_anti")
-        done = inner if done is None else done.unionByName(inner)
-        now = now.join(e, ["idx", "base"]).select("idx", "node", F.col("below").alias("base")).distinct()
-        if now.isEmpty():
-            break
-    return done.select("idx", "node", "base").distinct()
+    (idx, node, input), however long the chain: each round doubles the levels that are reached and the
+    last adds nothing, so that cycles end too. A node that leads only into cycles has no base. With
+    max_depth, a ValueError tells of chains of more levels, instead of a part of the result."""
+    e = edges.select("idx", "node", F.col("input").alias("base")).distinct().localCheckpoint()
+    inner = e.select("idx", F.col("node").alias("base")).distinct()
+    if max_depth is not None:
+        now = e
+        for _ in range(max_depth):
+            now = now.join(e.select("idx", F.col("node").alias("base"), F.col("base").alias("below")), ["idx", "base"]).select("idx", "node", F.col("below").alias("base")).distinct().localCheckpoint()
+            if now.isEmpty():
+                break
+        else:
+            raise ValueError(f"chains of more than {max_depth} levels")
+    reached, n = e, e.count()
+    while True:
+        further = reached.select("idx", F.col("node").alias("base"), F.col("base").alias("below"))
+        longer = reached.join(further, ["idx", "base"]).select("idx", "node", F.col("below").alias("base"))
+        reached = reached.unionByName(longer).distinct().localCheckpoint()
+        more = reached.count()
+        if more == n:
+            return reached.join(inner, ["idx", "base"], "left_anti").select("idx", "node", "base")
+        n = more

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from rxncurate.operators import denoise, finetune, names, review, skeleton
@@ -50,6 +51,16 @@ def test_lineage(spark):
     assert {b for n, b in got if n == "P"} == {"A", "B", "C"} and {b for n, b in got if n == "m2"} == {"A", "B"}
 
 
+def test_lineage_of_long_chains_and_cycles(spark):
+    chain = [(1, f"n{k}", f"n{k + 1}") for k in range(50)] + [(1, "n50", "A"), (1, "n3", "B")]
+    cycle = [(2, "x", "y"), (2, "y", "x"), (2, "y", "C"), (2, "s", "s"), (2, "P", "x"), (2, "P", "s")]
+    e = spark.createDataFrame(chain + cycle, "idx int, node string, input string")
+    got = {(r["idx"], r["node"], r["base"]) for r in skeleton.expand_inputs(e).collect()}
+    assert got == {(1, f"n{k}", "A") for k in range(51)} | {(1, f"n{k}", "B") for k in range(4)} | {(2, n, "C") for n in "xyP"}
+    with pytest.raises(ValueError):
+        skeleton.expand_inputs(e.where("idx = 1"), max_depth=20)
+
+
 def test_names_resolve_once(spark):
     occ = spark.createDataFrame([(0, "DMSO"), (1, "toluene"), (2, "toluene"), (3, "compound 3"), (4, "toluene anhydrous"), (5, None)], "row int, name string")
     d = spark.createDataFrame([("toluene", "Cc1ccccc1", "A", 1), ("toluene", "X", "B", 2)], "lower_name string, smiles string, source string, priority int")
