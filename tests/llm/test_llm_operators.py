@@ -292,6 +292,21 @@ def test_mixing(odd, odd_rows, empty):
     assert mixing.mixed_sizes(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("shared", [7, None])
+def test_mixing_cuts_between_rows_of_one_id(spark, shared):
+    rows = [(shared, "one two three", "a", i) for i in range(300)] + [(1000 + i, "one two " * (1 + i % 4), "a", i) for i in range(30)] + [(2000 + i, "w " * 9, "b", i) for i in range(300)] + [(9, "w " * (1 + i % 5), "c", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(6)
+    got = mixing.mixed_sizes(df).collect()
+    taken, target = Counter(), {r["source"]: r["target"] for r in got}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    mixed = Counter()
+    for r in mixing.mix(df).collect():
+        mixed[r["source"]] += len(r["text"].split())
+    largest = {"a": 8, "b": 9, "c": 5}
+    assert len(got) == len(rows) and mixed == taken and all(abs(taken[s] - target[s]) <= largest[s] / 2 for s in largest)
+
+
 def test_toxicity(spark, odd, empty):
     rows = [(i, f"plain words number {i} are good here" + (" you idiot" if i % 5 == 0 else "")) for i in range(400)]
     df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)] + [(None, 1), (3, None)], "doc_id long, toxic int")
