@@ -449,8 +449,8 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
     and type and place (characters of the old text) of each entity.
 
     Texts without entities, null and empty ones stay as they are. Only rows that may hold a name are
-    joined with the name table; the others are read and written where they lie. Rows that share an
-    id (null too) share their names. An empty table gives an empty result; other columns are not read.
+    joined with the name table; the others are read and written where they lie. Names are collected
+    for each distinct text, whatever ids its rows have. An empty table gives an empty result; other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text string, n_entities int, kinds array<string>, starts array<int>, ends array<int>"
@@ -459,11 +459,12 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
 
     def mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(i, k, p) for i, t in zip(b["doc_id"], b["text"]) for k, p in sorted({(k, p.casefold()) for _, _, k, p in find_names(t) if k != "i"})]
-            yield pd.DataFrame(found, columns=["doc_id", "kind", "part"])
+            found = [(i, k, p) for i, t in zip(b["h"], b["text"]) for k, p in sorted({(k, p.casefold()) for _, _, k, p in find_names(t) if k != "i"})]
+            yield pd.DataFrame(found, columns=["h", "kind", "part"])
 
-    named = stored(rows.where(may).mapInPandas(mentions, f"doc_id {kind}, kind string, part string"))
+    hashed = rows.where(may).withColumn("h", F.md5(F.col("text").cast("binary")))
+    named = stored(hashed.select("h", "text").mapInPandas(mentions, "h string, kind string, part string").distinct())
     table = name_table(named, key)
-    by_doc = named.distinct().join(table, ["kind", "part"]).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "part", "surrogate")).alias("names")).alias("n")
-    with_names = rows.where(may).alias("d").join(by_doc, F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")), "left").select("d.doc_id", "d.text", "n.names")
+    by_text = named.join(table, ["kind", "part"]).groupBy("h").agg(F.collect_list(F.struct("kind", "part", "surrogate")).alias("names"))
+    with_names = hashed.join(by_text, "h", "left").select("doc_id", "text", "names")
     return rows.where(~may).mapInPandas(_replace(key, False), schema).unionByName(with_names.mapInPandas(_replace(key, True), schema))

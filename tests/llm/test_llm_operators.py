@@ -78,6 +78,25 @@ def test_whole_names(spark):
     assert re.fullmatch(rf"Mr [A-Z]\. [A-Z]\. {smith} left", got[6]) and " J." not in got[6] and " R." not in got[6] and got[9] == f"Mr {smith} Mrs {smith}"
 
 
+def test_names_of_one_id_are_not_gathered(spark, monkeypatch):
+    replace = surrogates._replace
+
+    def watched(key, named):
+        run = replace(key, named)
+
+        def counted(batches):
+            for b in batches:
+                assert not named or max(len(n) for n in b["names"]) <= 2
+                yield from run(iter([b]))
+
+        return counted
+
+    monkeypatch.setattr(surrogates, "_replace", watched)
+    df = spark.createDataFrame([(None if i % 2 else 7, f"Mr Jonas Nam{chr(97 + i)}") for i in range(20)], "doc_id long, text string")
+    got = [r["text"] for r in surrogates.replace_entities(df, b"k").collect()]
+    assert len(got) == len(set(got)) == 20 and not any("Nam" in t for t in got)
+
+
 def test_permutation_is_one_to_one_without_fixed_points():
     p = surrogates.Permutation(b"x" * 64)
     for n in (2, 3, 10, 97, 256):
