@@ -71,7 +71,7 @@ _WORD = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}(?!{_TITLE})(?:(?:[^\W\d_{_SMALL
 TITLED = re.compile(rf"\b((?:{_TITLE}\.? )+)({_WORD}(?: {_WORD})*)")
 FULL = re.compile(rf"\b((?:{'|'.join(_ANY_GIVEN)})(?: {_WORD})+)")
 #: What a text must hold to hold a name; also for Spark's own rlike.
-MAY_NAME = rf"\b({'|'.join(_ANY_TITLE + _ANY_GIVEN)})\b"
+MAY_NAME = rf"\b(?=[{''.join(sorted({n[0] for n in _ANY_TITLE + _ANY_GIVEN}))}])({'|'.join(_ANY_TITLE + _ANY_GIVEN)})\b"
 
 EMAIL = re.compile(r"[\w.+-]*[\w+-]@(?:[\w-]+\.)+[^\W\d_]{2,}")
 DIGIT = re.compile(r"\d[ .()-]{0,2}\d")
