@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -25,10 +26,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, the folder that all executors share. Where that
-    setting is unset (local tests) one temporary folder of this process takes its place."""
+    setting is unset a local session (tests) uses one temporary folder of this process; on a cluster
+    that is an error, as executors do not share the driver's folders."""
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if _own_dir is None:
             _own_dir = tempfile.mkdtemp(prefix="rxncurate-")
             atexit.register(shutil.rmtree, _own_dir, True)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rxncurate.llm.common import shared_dir
+from rxncurate.llm.common import shared_dir, stored
 
 MAGIC = b"PFR1"
 BLOCK = 1024
@@ -41,6 +41,9 @@ LETTERS_APART = r"|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 PLAIN = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])).encode("latin-1") + b" \n\t\r0123456789!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PART = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+")
 _KNOWN = 500_000
+_CHUNKS = "shard int, chunk int, ids_before long, doc_ids array<string>, n_ids long, payload binary"
+#: Shards' totals (16 bytes each) are broadcast up to this number.
+MOST_BROADCAST_SHARDS = 1_000_000
 
 
 def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> tuple[np.ndarray, bytes]:
@@ -182,10 +185,13 @@ class WordCache:
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of every whole text, each ended by end_id, in ascending order of id (null
-    first; rows of equal id by text), as rows (shard, chunk, doc_ids, n_ids, payload).
+    first; rows of equal id by their texts' hashes), as rows (shard, chunk, ids_before, doc_ids, n_ids, payload).
 
     tokenizer is a file of the tokenizers library whose tokens hold no white space. Shards are
-    ranges of ids in order, chunks are in order within a shard. Null text counts as empty.
+    ranges of ids in order, chunks are in order within a shard, and ids_before counts the ids of a
+    shard's chunks before it. Null text counts as empty, and an empty text is the end id alone; a very
+    long text has a chunk of its own. Repeated ids are documents like others; an empty table writes
+    no chunk. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast({"spec": open(tokenizer, encoding="utf-8").read()})
     end = struct.pack("<I", end_id)
@@ -194,10 +200,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
         own = shared.value  # kept by the worker process, and the cache with it
         if "cache" not in own:
             own["cache"] = WordCache(own["spec"])
-        shard, chunk, ids, packed, size = TaskContext.get().partitionId(), 0, [], [], 0
+        shard, chunk, before, ids, packed, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def close():
-            return pd.DataFrame({"shard": [shard], "chunk": [chunk], "doc_ids": [ids], "n_ids": [size], "payload": [pack_chunk(packed)]})
+            return pd.DataFrame({"shard": [shard], "chunk": [chunk], "ids_before": [before], "doc_ids": [ids], "n_ids": [size], "payload": [pack_chunk(packed)]})
 
         for b in batches:
             for i, t in zip(b["id"], b["t"]):
@@ -207,37 +213,45 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
                 size += len(e) // 4 + 1
                 if size >= CHUNK_IDS:
                     yield close()
-                    chunk, ids, packed, size = chunk + 1, [], [], 0
+                    chunk, before, ids, packed, size = chunk + 1, before + size, [], [], 0
         if ids:
             yield close()
 
-    ordered = docs.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("_order"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).repartitionByRange("_order").sortWithinPartitions("_order", "t")
-    ordered.select("id", "t").mapInPandas(run, "shard int, chunk int, doc_ids array<string>, n_ids long, payload binary").write.parquet(path)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("_order"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    ordered = rows.repartitionByRange("_order", F.xxhash64("t")).sortWithinPartitions("_order", F.xxhash64("t"), "t")
+    ordered.select("id", "t").mapInPandas(run, _CHUNKS).write.parquet(path)
 
 
 def read_token_files(spark, path: str, id_type: str = "bigint") -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone: start counts the
-    ids of all documents before it. Each chunk is decoded by itself; only the shards' totals, one
-    row a partition, are summed across shards."""
+    ids of all documents before it. Each chunk is decoded where it is read and knows how many ids come
+    before it in its shard; only the shards' totals, one row a partition, are summed across shards.
+    A file without chunks gives an empty result; null ids come back as null."""
     chunks = spark.read.parquet(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for shard, before, ids, payload in zip(b["shard"], b["before"], b["doc_ids"], b["payload"]):
+            for before, ids, payload in zip(b["before"], b["doc_ids"], b["payload"]):
                 found = unpack_chunk(payload)
                 n = np.array([len(x) for x in found], np.int64)
-                yield pd.DataFrame({"id": list(ids), "start": before + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in found]})
+                crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in found]
+                yield pd.DataFrame({"id": list(ids), "start": before + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": crc})
 
     totals = chunks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    starts = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shard_start"))
-    in_shard = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    places = chunks.select("shard", "chunk", F.coalesce(F.sum("n_ids").over(in_shard), F.lit(0)).alias("chunk_start")).join(starts, "shard").select("shard", "chunk", (F.col("shard_start") + F.col("chunk_start")).alias("before"))
-    placed = chunks.select("shard", "chunk", "doc_ids", "payload").join(places, ["shard", "chunk"]).select("shard", "before", "doc_ids", "payload")
-    return placed.mapInPandas(run, "id string, start long, n_tokens long, ids_crc32 long").select(F.col("id").cast(id_type).alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    to_shard = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored(totals.select("shard", F.coalesce(F.sum("n").over(to_shard), F.lit(0)).alias("shard_start")))
+    # One row a shard. Beyond the limit the small side is left to Spark's own choice of join.
+    small = F.broadcast(starts) if starts.count() <= MOST_BROADCAST_SHARDS else starts
+    before = (F.col("shard_start") + F.col("ids_before")).alias("before")
+    placed = chunks.select("shard", "ids_before", "doc_ids", "payload").join(small, "shard").select(before, "doc_ids", "payload")
+    decoded = placed.mapInPandas(run, "id string, start long, n_tokens long, ids_crc32 long")
+    return decoded.select(F.col("id").cast(id_type).alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, path: str | None = None) -> DataFrame:
-    """Writes the token files of docs to path (else a new shared folder) and reads them back."""
+    """Writes the token files of docs to path (else a new shared folder) and reads them back: one row
+    for every row of docs, as read_token_files says. Nulls, empty and very long texts and an empty
+    table are as write_token_files says."""
     path = path or shared_dir(docs.sparkSession)
     write_token_files(docs, tokenizer, path, end_id)
     return read_token_files(docs.sparkSession, path, docs.schema["doc_id"].dataType.simpleString())
