@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the public pattern that cuts a text into pieces before the merges.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Most repeated pieces that an encoder keeps.
+#: Most chunks in each of the two generations that an encoder keeps.
 _KNOWN = 250_000
 _BASE = 17
 
@@ -106,13 +106,14 @@ def suffix_automaton(tokens: list[bytes]) -> dict:
 
 
 class Encoder:
-    """Encodes pieces and whole texts. Keeps results of repeated pieces, a bounded number."""
+    """Encodes pieces and whole texts. Results are kept in two generations: when the younger one is
+    full it becomes the older one, whose results are taken over as they are met again. So repeated
+    chunks stay known, and rare ones go, in bounded memory."""
 
     def __init__(self, v: dict, known: int = _KNOWN):
         import regex
 
         self.cut = regex.compile(PIECES)
-        self.odd = regex.compile(r"\s\s|[^\S \n]|^\s|\s$")
         self.added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(v["added"], key=len, reverse=True)) + ")") if v["added"] else None
         self.ids_of_added = v["added"]
         self.step = dict(zip(v["keys"].tolist(), v["ends"].tolist()))
@@ -124,8 +125,7 @@ class Encoder:
         self.rank, self.left, self.right = v["rank"].tolist(), v["left"].tolist(), v["right"].tolist()
         self.merged = {self.left[i] << _BASE | self.right[i]: r for i, r in enumerate(self.rank) if r >= 0}
         self.fits: dict[int, bool] = {}
-        self.known, self.pieces, self.most = {}, {}, known
-        self.decoded = {i: t for i, t in enumerate(self.tokens)} | {i: t.encode() for t, i in v["added"].items()}
+        self.known, self.older, self.most = {}, {}, known
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether b stays apart from a when their bytes stand together. Merges are undone from the
@@ -168,42 +168,41 @@ class Encoder:
     def pieces_of(self, found: list[bytes]) -> Iterator[list[int]]:
         """Ids of pieces. In sorted order, the prefix that a piece shares with the one before it is
         not worked out again."""
-        go, fits, tokens = self.go, self.fits, self.tokens
+        go, fits, tokens, may_follow = self.go, self.fits, self.tokens, self.may_follow
+        # For every prefix its last token, ready to be the left part of a pair's key.
         before, last, states, depths = b"", [-1], [0], [0]
         for s in found:
-            same = 0
+            i = 0
             for a, b in zip(before, s):
                 if a != b:
                     break
-                same += 1
+                i += 1
             before = s
-            del last[same + 1:], states[same + 1:], depths[same + 1:]
-            state, depth = states[same], depths[same]
-            for i in range(same + 1, len(s) + 1):
-                c = s[i - 1]
+            del last[i + 1:], states[i + 1:], depths[i + 1:]
+            state, depth = states[i], depths[i]
+            for c in s[i:]:
+                i += 1
                 state, cut, ends = go.get(state << 8 | c) or self.move(state, c)
                 depth = cut or depth + 1
                 for n, t in ends:
-                    if n >= i:
-                        if n > i or n > depth:
-                            continue
-                        break
                     if n > depth:
                         continue
-                    key = last[i - n] << _BASE | t
+                    if n == i:
+                        break
+                    key = last[i - n] | t
                     ok = fits.get(key)
                     if ok is None:
-                        ok = fits[key] = self.may_follow(last[i - n], t)
+                        ok = fits[key] = may_follow(key >> _BASE, t)
                     if ok:
                         break
-                last.append(t)
+                last.append(t << _BASE)
                 states.append(state)
                 depths.append(depth)
             if len(fits) > 500_000:
                 fits.clear()
-            out, i = [], len(s)
+            out = []
             while i:
-                t = last[i]
+                t = last[i] >> _BASE
                 out.append(t)
                 i -= len(tokens[t])
             out.reverse()
@@ -214,24 +213,38 @@ class Encoder:
         return next(self.pieces_of([s]))
 
     def learn(self, chunks: set[str]) -> None:
-        """Adds chunks to those known, with their pieces in sorted order."""
-        pieces = self.pieces
-        if len(pieces) > self.most:
-            pieces.clear()
-        cut = {c: self.cut.findall(c) for c in chunks}
-        new = sorted({p.encode() for own in cut.values() for p in own if p not in pieces})
-        pieces.update(zip([p.decode() for p in new], self.pieces_of(new)))
-        decoded = self.decoded
+        """Adds chunks to those known, new pieces worked out in sorted order: the ids joined by commas,
+        once it is seen that they decode to the chunk's own bytes."""
+        known, older, tokens = self.known, self.older, self.tokens
+        cut: dict[str, list[str]] = {}
+        for c in chunks:
+            if c in older:
+                known[c] = older[c]
+            else:
+                cut[c] = [c] if c.isalpha() or c[0] == " " and c[1:].isalpha() else self.cut.findall(c)
+        pieces = {p for own in cut.values() for p in own}.difference(known)
+        again = pieces.intersection(older)
+        known.update((p, older[p]) for p in again)
+        new = sorted(p.encode() for p in pieces.difference(again))
+        for p, ids in zip(new, self.pieces_of(new)):
+            if b"".join([tokens[i] for i in ids]) != p:
+                raise ValueError("ids do not decode to their piece")
+            known[p.decode()] = ",".join(map(str, ids))
         for c, own in cut.items():
-            ids = [i for p in own for i in pieces[p]]
-            self.known[c] = (",".join(map(str, ids)), len(ids), b"".join([decoded[i] for i in ids]))
+            if len(own) > 1:
+                known[c] = ",".join([known[p] for p in own])
 
     def chunks(self, text: str) -> list[str]:
-        if self.odd.search(text):
+        """The text in parts that begin where pieces do. Single blanks and line ends between words
+        always are such places; other white space is left to the pattern."""
+        words = text.split()
+        blanks = text.count(" ") + text.count("\n")
+        if blanks != len(words) - 1 or len(text) - blanks != sum(map(len, words)):
             return self.cut.findall(text)
-        lines = text.split("\n")
+        if "\n" not in text:
+            return words[:1] + [" " + w for w in words[1:]]
         out: list[str] = []
-        for k, line in enumerate(lines):
+        for k, line in enumerate(text.split("\n")):
             if k:
                 out.append("\n")
             first, *rest = line.split(" ")
@@ -241,18 +254,26 @@ class Encoder:
 
     def texts(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
         """(ids joined by commas, their number, the bytes they decode to) of whole texts. The strings
-        of added tokens stand for their ids. A chunk is a text cut where pieces end anyway."""
-        known, split = self.known, self.added.split if self.added else lambda t: [t]
-        if len(known) > self.most:
-            known.clear()
+        of added tokens stand for their ids. Each chunk's ids were seen to decode to its own bytes when
+        it was learnt, and those of an added token stand for its string, so a text's ids decode to
+        the chunks and strings they were made for, put together."""
+        split, added = self.added.split if self.added else lambda t: [t], self.ids_of_added
+        if len(self.known) > self.most:
+            self.older, self.known = self.known, {}
+        known = self.known
         cut = [[self.chunks(part) if k % 2 == 0 else part for k, part in enumerate(split(t))] for t in texts]
-        self.learn({c for parts in cut for own in parts[::2] for c in own if c not in known})
+        met = {c for parts in cut for own in parts[::2] for c in own}
+        met.discard("")
+        self.learn(met.difference(known))
         for parts in cut:
-            found = []
-            for k, own in enumerate(parts):
-                found += [(str(self.ids_of_added[own]), 1, own.encode())] if k % 2 else [known[c] for c in own]
-            ids, n, decoded = zip(*found) if found else ((), (), ())
-            yield ",".join([i for i in ids if i]), sum(n), b"".join(decoded)
+            if len(parts) == 1:
+                ids = ",".join([known[c] for c in parts[0] if c])
+                decoded = "".join(parts[0])
+            else:
+                found = [[str(added[own])] if k % 2 else [known[c] for c in own if c] for k, own in enumerate(parts)]
+                ids = ",".join([i for own in found for i in own])
+                decoded = "".join([own if k % 2 else "".join(own) for k, own in enumerate(parts)])
+            yield ids, ids.count(",") + 1 if ids else 0, decoded.encode("utf-8")
 
     def text(self, text: str) -> tuple[str, int, bytes]:
         return next(self.texts([text]))
@@ -278,7 +299,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
             for ids, n, decoded in (x for k in range(0, len(texts), 1000) for x in encode(texts[k:k + 1000])):
                 count.append(n)
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest())
+                text_sha.append(hashlib.sha256(decoded).hexdigest())
                 if keep_ids:
                     every.append([int(i) for i in ids.split(",")] if n else [])
             out = pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": count, "ids_sha256": ids_sha, "decoded_sha256": text_sha})
