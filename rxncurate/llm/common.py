@@ -72,3 +72,9 @@ def text_bytes(df: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """Rows and bytes of the texts: two numbers that size blocks and partitions."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("b")).first()
     return int(row["n"]), int(row["b"])
+
+
+def dealt_block(blocks: int) -> Column:
+    """The block, from 0 to blocks - 1, of a row (doc_id, text): by the hash of both and, so that the
+    copies of one row are spread too, of the input partition."""
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.spark_partition_id()), F.lit(blocks)).cast("int")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rxncurate.llm.common import LOWER, UPPER, id_crc, stored, text_bytes
+from rxncurate.llm.common import LOWER, UPPER, dealt_block, id_crc, stored, text_bytes
 
 #: Bytes of the longest context. A context and its byte fit 48 bits.
 ORDER = 5
@@ -32,6 +32,8 @@ HELD_OUT = (7, 2)
 #: Bytes worked on at once inside a block, when counting and when scoring (about 40 bytes of arrays
 #: each), and the documents that 16 bits can number.
 _COUNT_BYTES, _SCORE_BYTES, _PART_DOCS = 2 << 20, 1 << 20, 65_536
+#: Counted runs of a block that are held before they are merged.
+_RUNS = 6
 _TABLE = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _END = b"\n"
 
@@ -81,17 +83,27 @@ def numbered_grams(run: list[bytes]) -> np.ndarray:
     return out
 
 
-def _merge(a: tuple[np.ndarray, np.ndarray], keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    every = np.concatenate([a[0], keys])
-    found, at = np.unique(every, return_inverse=True)
-    return found, np.bincount(at, np.concatenate([a[1], n]), len(found)).astype(np.int64)
+def _counted(ordered: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers of an ordered array and how often each occurs, or the sum of its n."""
+    if not len(ordered):
+        return ordered, np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[first], np.diff(np.append(first, len(ordered))) if n is None else np.add.reduceat(n, first)
+
+
+def _merge(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One run of (distinct keys, counts) out of several."""
+    if len(runs) == 1:
+        return runs[0]
+    keys, n = (np.concatenate([r[k] for r in runs]) for k in (0, 1))
+    order = np.argsort(keys, kind="stable")
+    return _counted(keys[order], n[order])
 
 
 def census(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(block, key, n): the distinct byte n-grams and words of each block, with their counts in
     training documents (0 where only others have them)."""
-    none = np.zeros(0, np.int64)
-    grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    grams: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     counts: dict[int, Counter] = {}
     for b in batches:
         for (block, held), g in b.groupby(["block", "held"]):
@@ -105,10 +117,13 @@ def census(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                 seen[w] = 0
                     else:
                         seen.update(own)
-                keys, n = np.unique(numbered_grams(run) >> np.uint64(16), return_counts=True)
-                grams[block] = _merge(grams.get(block, (none, none)), keys.astype(np.int64), n * (not held))
+                keys, n = _counted(numbered_grams(run) >> np.uint64(16))
+                runs = grams.setdefault(block, [])
+                runs.append((keys.astype(np.int64), n * (not held)))
+                if len(runs) == _RUNS:
+                    runs[:] = [_merge(runs)]
     for block in list(grams):
-        keys, n = grams.pop(block)
+        keys, n = _merge(grams.pop(block))
         yield pd.DataFrame({"block": block, "key": keys, "n": n})
         seen = counts.pop(block)
         yield pd.DataFrame({"block": block, "key": np.fromiter(map(word_key, seen), np.int64, len(seen)), "n": np.fromiter(seen.values(), np.int64, len(seen))})
@@ -189,13 +204,14 @@ def score_documents(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, block
     log10 probability of the words joined by single spaces, and the end mark; base_score is the
     add-one unigram model's. Null and empty texts are an end mark alone; a null id counts as the empty
     text for the split; repeated rows count and score like any. Without training rows bytes are
-    uniform. An empty table gives an empty result.
+    uniform. An empty table gives an empty result. Very long texts are worked on whole, one at a time.
+    Rows are dealt to blocks by id, text and input partition, so that an id or a text of a third of
+    all rows is spread; a block is one task. Other columns are not read.
     """
     n, size = text_bytes(docs.select("text"))
     blocks = max(1, math.ceil((size + 8 * n) / block_bytes))
     held = id_crc(F.col("doc_id")) % held_out[0] == held_out[1]
-    spread = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), F.lit(blocks)).cast("int")
-    dealt = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"), held.alias("held"), spread.alias("block")).repartition(blocks, "block")
+    dealt = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"), held.alias("held"), dealt_block(blocks).alias("block")).repartitionById(blocks, "block")
     asked = stored(dealt.select("block", "held", "t").mapInPandas(census, "block int, key long, n long"))
     counts = stored(asked.groupBy("key").agg(F.sum("n").alias("n")))
     row = counts.where("key < 0").agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("kinds")).first()
@@ -208,7 +224,7 @@ def score_documents(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, block
     plain = grams.where("n > 0").join(top, F.shiftright("key", 8) == F.col("context")).select("key", F.log10((2 * F.col("n") - 1) / (2 * F.col("total"))).alias("value"))
     values = plain.unionByName(gram_values(grams.where("n = 0"), nodes, ctx)).select("key", "value", F.lit(True).alias("known"))
     words = counts.where("key < 0").select("key", F.log10((F.col("n") + 1) / F.lit(float(train_tokens + kinds + 1))).alias("value"), (F.col("n") > 0).alias("known"))
-    table = asked.select("block", "key").join(values.unionByName(words), "key")
+    table = asked.select("block", "key").join(values.unionByName(words), "key").repartitionById(blocks, "block")
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = dealt.groupBy("block").cogroup(table.groupBy("block")).applyInPandas(_score_block, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
