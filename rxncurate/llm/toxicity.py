@@ -32,7 +32,7 @@ HELD_OUT = (4, 2)
 THRESHOLD = 0.3
 
 WORD = re.compile(r"[^\W_]+")
-_KNOWN_WORDS = 300_000
+_KNOWN_WORDS = 200_000
 
 
 class Hasher:
@@ -58,7 +58,12 @@ class Hasher:
 def train(batches: Iterator[pd.DataFrame], epochs: int = EPOCHS, dimensions: int = DIMENSIONS) -> pd.DataFrame:
     """(feature, weight) of the weights that are not zero; feature -1 is the intercept."""
     hasher = Hasher(dimensions)
-    rows = [(np.append(np.unique(hasher(t)), dimensions), y) for b in batches for t, y in zip(b["t"], b["y"])]
+    rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for b in batches:  # a batch is one array of coordinates, and where each text's end
+        own = [np.append(np.unique(hasher(t)), dimensions).astype(np.int32) for t in b["t"]]
+        if own:
+            rows.append((np.concatenate(own), np.cumsum([len(i) for i in own]), b["y"].to_numpy()))
+    hasher.known.clear()
     z, n = np.zeros(dimensions + 1), np.zeros(dimensions + 1)
     penalty = np.full(dimensions + 1, L1)
     penalty[dimensions] = 0.0
@@ -68,7 +73,7 @@ def train(batches: Iterator[pd.DataFrame], epochs: int = EPOCHS, dimensions: int
         return np.where(np.abs(zi) <= penalty[i], 0.0, (np.sign(zi) * penalty[i] - zi) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
     for _ in range(epochs):
-        for i, y in rows:
+        for i, y in ((part, y) for flat, ends, ys in rows for part, y in zip(np.split(flat, ends[:-1]), ys)):
             w = weights(i)
             g = 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, w.sum())))) - y
             grown = n[i] + g * g
@@ -82,15 +87,19 @@ def train(batches: Iterator[pd.DataFrame], epochs: int = EPOCHS, dimensions: int
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, held_out: tuple[int, int] = HELD_OUT) -> DataFrame:
     """The model (feature int, weight double), learnt from texts of docs whose labels.toxic is 0 or 1
-    and whose crc32(doc_id) modulo held_out[0] is not held_out[1]; at most max_train ids, those of
-    lowest hash. Repeated labels of an id count as toxic if one is. Only this sample is gathered."""
+    and whose crc32(doc_id) modulo held_out[0] is not held_out[1]; at most max_train rows, those whose
+    ids have the lowest hash. Repeated labels of an id count as toxic if one is; of the rows of one
+    id those of lowest text hash come first. Null texts count as empty, rows of null id are not used,
+    and without labels the model is the intercept 0. Only this sample is gathered."""
     pick = F.md5(F.col("doc_id").cast("string").cast("binary"))
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (id_crc(F.col("doc_id")) % held_out[0] != held_out[1]))
         .groupBy("doc_id").agg(F.max("toxic").cast("double").alias("y")).orderBy(pick, "doc_id").limit(max_train)
         .select(F.col("doc_id").alias("id"), "y", pick.alias("k"))
     )
-    sample = docs.select("doc_id", ascii_lower(F.col("text")).alias("t")).join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("k", "t", "y").repartition(1).sortWithinPartitions("k", "t")
+    labelled = docs.select("doc_id", ascii_lower(F.col("text")).alias("t")).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
+    sample = labelled.select("k", F.xxhash64("t").alias("h"), "t", "y").orderBy("k", "h").limit(max_train)
+    sample = sample.select("k", "h", "t", "y").repartition(1).sortWithinPartitions("k", "h")
     return sample.mapInPandas(lambda batches: iter([train(batches)]), "feature int, weight double")
 
 
