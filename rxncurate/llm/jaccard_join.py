@@ -1,16 +1,20 @@
 """Exact join of documents by the Jaccard distance of their word n-gram sets.
 
-Jaccard distance is a metric. The join goes in three steps:
+Jaccard distance is a metric; documents link within a radius. The join goes in these steps:
 
 * A census finds in how many documents each shingle occurs. A document whose shingles occur mostly
-  in it alone is farther than the radius from every other, and is left out.
-* The rest is dealt to regions around pivots. Two documents within the radius share a shingle among
-  the rarest of either; the smallest document with that shingle is the pivot, and each document is
-  replicated to the regions of all its rarest shingles, so both meet in one.
-* In a region, pivot after pivot is measured against the documents left. A document is done when, by
-  the triangle inequality, all documents that it could link are in its component. A region too large
-  for a task is cut into slices by distance from its pivot, and slices that are at most the radius
-  apart are joined pairwise, again by this step.
+  in it alone is farther than the radius from every other, and is left out. (Without it nearly all
+  documents would be at distance 1 from every pivot, and no pivot could part them.)
+* Pivots are picked among the rest by anchors: each set names two of its shingles by a keyed hash, and
+  the first set with an anchor is the pivot of all that name it. A set within the radius of a pivot
+  is linked to it and belongs to the region of the nearest; a set that no pivot is near is a pivot.
+* Pivots are joined with pivots. Two regions can hold a link only if their pivots are at most both
+  regions' extents and the radius apart; a prefix of the rarest shingles finds all such pivots.
+* Where two such regions are not linked yet, each document that the triangle inequality lets reach
+  the other region is measured against its pivot; it is linked, or in the other's window, or out.
+* Documents in each other's windows are compared: in one task where they fit, else they are the input
+  of the next level, with other anchors and so other pivots. If a level parts too few of them, they
+  are cut into slices, of which every pair is compared.
 
 All comparisons are of whole sets, in integers. Shingles are 64-bit hashes of their words.
 """
@@ -23,18 +27,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rxncurate.llm.common import LOWER, UPPER, stored, text_bytes
+from rxncurate.llm.common import LOWER, UPPER, dealt_block, stored, text_bytes
 from rxncurate.llm.graph import components
 
 #: Bytes of text in a block of the census, about.
-BLOCK_BYTES = 32 << 20
-#: Most documents of one side of a region's task; larger regions are cut into slices of this size.
-SLICE = 2_000
-_MOST_BUCKETS = 65_536
-_KNOWN = 300_000
+BLOCK_BYTES = 16 << 20
+#: Most shingles (8 bytes each) of the documents that one task compares.
+TASK_SHINGLES = 1 << 20
+#: Anchors of a set in each level, and the share of a level's sets that the next may hold at most.
+ANCHORS, LEAST_PROGRESS = 2, 0.7
+#: Beyond this number of buckets a block's row for a bucket would hold but a few shingles.
+_MOST_BUCKETS = 1 << 20
+_KNOWN = 200_000
+_EPSILON = 1e-9
 _TABLE = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -93,8 +101,19 @@ def _sum_bucket(b: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": b["block"], "bucket": b["bucket"], "totals": [x.tobytes() for x in np.split(total, cut)]})
 
 
+def _wide(percent: int) -> int:
+    """The similarity, in percent, of pivots whose regions may hold a link: three radii apart."""
+    return 3 * percent - 200
+
+
+def _prefix_size(n: int, percent: int) -> int:
+    """How many of n shingles, in any fixed order, must hold one that a set this similar has too."""
+    return n * (100 - percent) // 100 + 1
+
+
 def _profile(n: int, bits: int, percent: int):
-    """Per document its set's size and, where enough shingles occur elsewhere, set and rarest shingles."""
+    """Per document its set's size and, where enough shingles occur elsewhere, its set, how many are in
+    it alone, and the shared ones of its longest prefix, rarest first."""
 
     def run(docs: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
         shingles = Shingler(n)
@@ -104,136 +123,198 @@ def _profile(n: int, bits: int, percent: int):
         rows = []
         for s in sets:
             df = totals[np.searchsorted(keys, s >> np.uint64(32 - bits))]
-            if not len(s) or 100 * np.count_nonzero(df > 1) < percent * len(s):
-                rows.append((len(s), None, None, None))
+            alone = len(s) - np.count_nonzero(df > 1)
+            if not len(s) or 100 * (len(s) - alone) < percent * len(s):
+                rows.append((len(s), None, None, None, None))
                 continue
-            first = np.lexsort((s, df))[:len(s) - -(-percent * len(s) // 100) + 1]
-            rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), s.tobytes(), s[first[df[first] > 1]].astype(np.int64)))
-        return pd.DataFrame(rows, columns=["n_shingles", "set_hash", "set", "rarest"]).assign(doc_id=docs["doc_id"].to_numpy())
+            prefix = np.lexsort((s, df))[alone:_prefix_size(len(s), _wide(percent))]
+            rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), s.astype(np.int64), alone, s[prefix].astype(np.int64)))
+        return pd.DataFrame(rows, columns=["n_shingles", "set_hash", "set", "alone", "rarest"]).assign(doc_id=docs["doc_id"].to_numpy())
 
     return run
 
 
-def link_region(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Edges (id, smallest id of its component) of the links among the sets, with exact components."""
-    n = len(ids)
-    size = np.array([len(s) for s in sets], np.int64)
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), size)
-    ends = np.cumsum(size)
-    own = [flat[e - k:e] for e, k in zip(ends, size)]
-    comp, active = np.arange(n), np.ones(n, bool)
-    # A shingle of one set here is in no intersection.
-    shared = np.bincount(flat)[flat] > 1
-    flat_left, owner_left = flat[shared], owner[shared]
-    mark = np.zeros(int(flat.max()) + 1, bool)
-    radius, left = 1 - percent / 100, n
-    for p in range(n):
-        if not active[p]:
-            continue
-        mark[own[p]] = True
-        both = np.bincount(owner_left[mark[flat_left]], minlength=n)
-        mark[own[p]] = False
-        both[p] = size[p]
-        union = size[p] + size - both
-        link = active & (100 * both >= percent * union)
-        for c in np.unique(comp[link]):
-            comp[comp == c] = comp[p]
-        active[p] = False
-        same = comp == comp[p]
-        distance = 1 - both / union
-        nearest = distance[active & ~same].min(initial=np.inf)
-        active &= ~(same & (distance + radius < nearest - 1e-9))
-        now = np.count_nonzero(active)
-        if not now:
-            break
-        if now < left // 2:
-            keep = active[owner_left]
-            flat_left, owner_left, left = flat_left[keep], owner_left[keep], now
-    out = []
-    for c in np.unique(comp):
-        group = np.sort(ids[comp == c])
-        out += [(int(x), int(group[0])) for x in group[1:]]
-    return out
-
-
-def _link_group(percent: int):
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        edges = link_region(g["rep"].to_numpy(), [np.frombuffer(s, np.uint64) for s in g["set"]], percent)
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+def _linked(percent: int) -> Column:
+    return 100 * F.col("both") >= percent * F.col("either")
 
-    return run
+
+def _distance() -> Column:
+    return 1 - F.col("both") / F.col("either")
+
+
+def _measure(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+    """pairs with the sizes of the intersection (both) and union (either) of the sets of keys a and b."""
+    left = sets.select(F.col("key").alias(a), F.col("set").alias("_a"))
+    right = sets.select(F.col("key").alias(b), F.col("set").alias("_b"))
+    met = pairs.join(left, a).join(right, b).withColumn("both", F.size(F.array_intersect("_a", "_b")))
+    return met.withColumn("either", F.size("_a") + F.size("_b") - F.col("both")).drop("_a", "_b")
 
 
-def _pivot_distance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for x, p in zip(b["set"], b["pivot_set"]):
-            x, p = np.frombuffer(x, np.uint64), np.frombuffer(p, np.uint64)
-            both = len(np.intersect1d(x, p, assume_unique=True))
-            out.append(1 - both / (len(x) + len(p) - both))
-        yield pd.DataFrame({"pivot": b["pivot"], "rep": b["rep"], "distance": out})
+def _pivot_pairs(pivots: DataFrame, percent: int) -> DataFrame:
+    """(a, b, extent_a, extent_b): pairs of pivots (key, n, alone, rarest, extent) whose regions may
+    hold a link. A pivot alone in its region has no extent (null), and needs less similar ones less."""
+
+    def prefixes(side: str, some: Column, least: int) -> DataFrame:
+        shared = F.greatest((F.floor(F.col("n") * (100 - least) / 100) + 1 - F.col("alone")).cast("int"), F.lit(0))
+        rows = pivots.where(some).select("key", "n", "extent", F.explode(F.slice("rarest", F.lit(1), shared)).alias("shingle"))
+        return rows.select("shingle", F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("extent").alias(f"extent_{side}"))
+
+    alone, large = F.col("extent").isNull(), F.col("extent").isNotNull()
+    found = []
+    for left, right, least in ((alone, alone, percent), (large, alone, 2 * percent - 100), (large, large, _wide(percent))):
+        met = prefixes("a", left, least).join(prefixes("b", right, least), "shingle")
+        met = met.where(F.col("a") < F.col("b")) if left is right else met.where(F.col("a") != F.col("b"))
+        met = met.where(100 * F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
+        found.append(met.select("a", "b", "extent_a", "extent_b").distinct())
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def _first_link(percent: int):
+    """One link (x, y) between the two sides of a region's windows, if there is any: all documents of
+    a side are linked with each other through its pivot."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"x": [], "y": []}, dtype="int64")
+        left, right = g[g["side"] == "a"], g[g["side"] == "b"]
+        if not len(left) or not len(right):
+            return none
+        size = np.array([len(s) for s in left["set"]], np.int64)
+        names, flat = np.unique(np.concatenate(left["set"].to_list()), return_inverse=True)
+        owner, mark = np.repeat(np.arange(len(left)), size), np.zeros(len(names) + 1, bool)
+        keys, own, other = left["key"].to_numpy(), left["own"].to_numpy(), left["other"].to_numpy()
+        radius = 1 - percent / 100 + _EPSILON
+        for y, s, to_b, to_a in zip(right["key"], right["set"], right["own"], right["other"]):
+            near = (np.abs(own - to_a) <= radius) & (np.abs(other - to_b) <= radius)
+            if not near.any():
+                continue
+            at = np.searchsorted(names, s)
+            at[(at == len(names)) | (names[np.minimum(at, len(names) - 1)] != s)] = len(names)
+            mark[at] = True
+            mark[-1] = False
+            both = np.bincount(owner[mark[flat]], minlength=len(left))
+            mark[at] = False
+            hit = np.flatnonzero(near & (100 * both >= percent * (size + len(s) - both)))
+            if len(hit):
+                return pd.DataFrame({"x": [int(keys[hit[0]])], "y": [int(y)]})
+        return none
+
+    return run
 
 
-def near_components(docs: DataFrame, n: int = 4, percent: int = 85, slice_size: int = SLICE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _level(items: DataFrame, sets: DataFrame, before: DataFrame | None, level: int, percent: int, task_shingles: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(edges, rest): edges (a, b) that, with those before, connect all linked sets of items (key) but
+    those whose both ends are among rest, the sets of regions too large for a task. If last, regions are
+    cut into slices instead, and there is no rest."""
+    radius = 1 - percent / 100 + _EPSILON
+    own = sets if before is None else sets.join(items, "key", "left_semi")
+    anchor = lambda k: F.array_min(F.transform("rarest", lambda x: F.xxhash64(x, F.lit(ANCHORS * level + k))))
+    anchors = own.select("key", F.posexplode(F.array(*[anchor(k) for k in range(ANCHORS)])).alias("k", "anchor"))
+    first = anchors.groupBy("k", "anchor").agg(F.min("key").alias("pivot"))
+    named = stored(anchors.join(first, ["k", "anchor"]).select("key", "pivot").distinct())
+    measured = stored(_measure(named.where("key <> pivot"), sets, "key", "pivot"))
+    near = measured.where(_linked(percent)).select("key", "pivot", _distance().alias("d"))
+    chosen = named.select(F.col("pivot").alias("key")).distinct()
+    regions = stored(near.join(chosen, "key", "left_anti").groupBy("key").agg(F.min(F.struct("d", "pivot")).alias("m")).select("key", "m.pivot", "m.d"))
+    extents = regions.groupBy(F.col("pivot").alias("key")).agg(F.max("d").alias("extent"))
+    pivots = own.join(regions, "key", "left_anti").join(extents, "key", "left").select("key", F.col("n_shingles").alias("n"), "alone", "rarest", "extent")
+    reach = F.coalesce("extent_a", F.lit(0.0)) + F.coalesce("extent_b", F.lit(0.0)) + radius
+    met = stored(_measure(_pivot_pairs(pivots, percent), sets, "a", "b").withColumn("d", _distance()).where(F.col("d") <= reach))
+    edges = near.select(F.col("key").alias("a"), F.col("pivot").alias("b")).unionByName(met.where(_linked(percent)).select("a", "b"))
+    edges = stored(edges if before is None else edges.unionByName(before))
+
+    apart = met.where(~_linked(percent) & (F.col("extent_a").isNotNull() | F.col("extent_b").isNotNull()))
+    if apart.isEmpty():
+        return edges, None
+    roots = components(edges)
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    open_pairs = apart.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    open_pairs = stored(open_pairs.select("a", "b", "d", "extent_a", "extent_b"))
+    one = open_pairs.select("a", "b", "d", F.lit("a").alias("side"), F.col("a").alias("pivot"), F.col("b").alias("goal"), F.col("extent_b").alias("extent"))
+    two = open_pairs.select("a", "b", "d", F.lit("b").alias("side"), F.col("b").alias("pivot"), F.col("a").alias("goal"), F.col("extent_a").alias("extent"))
+    may = one.unionByName(two).join(regions.select("key", "pivot", F.col("d").alias("own")), "pivot")
+    may = may.where(F.col("own") >= F.col("d") - F.coalesce("extent", F.lit(0.0)) - radius).select("a", "b", "side", "goal", "extent", "key", "own")
+    reached = stored(_measure(may, sets, "key", "goal"))
+    edges = edges.unionByName(reached.where(_linked(percent)).select(F.col("key").alias("a"), F.col("goal").alias("b")))
+    inside = reached.where(~_linked(percent) & (_distance() <= F.col("extent") + radius))
+    inside = inside.select("a", "b", "side", "key", "own", _distance().alias("other"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    size = sets.select("key", F.col("n_shingles").alias("n"))
+    of_side = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("n"))), F.lit(0)).alias(f"n_{side}")
+    sums = inside.join(size, "key").groupBy("a", "b").agg(of_side("a"), of_side("b")).where("n_a > 0 AND n_b > 0")
+    sums = stored(sums.withColumn("fits", F.col("n_a") + F.col("n_b") <= task_shingles))
+    if sums.isEmpty():
+        return edges, None
+    fitting = inside.join(sums.where("fits").select("a", "b"), ["a", "b"])
+    large = inside.join(sums.where("NOT fits").select("a", "b", "n_a", "n_b"), ["a", "b"])
+    if last:
+        slices = lambda side: F.ceil(2 * F.col(f"n_{side}") / task_shingles).cast("int")
+        mine = lambda side: F.pmod(F.xxhash64("key"), slices(side)).cast("int")
+        every = lambda side: F.explode(F.sequence(F.lit(0), slices(side) - 1))
+        rows = ["a", "b", "side", "key", "own", "other"]
+        a = large.where("side = 'a'").select(*rows, mine("a").alias("i"), every("b").alias("j"))
+        b = large.where("side = 'b'").select(*rows, every("a").alias("i"), mine("b").alias("j"))
+        fitting = fitting.unionByName(a).unionByName(b)
+    with_sets = fitting.join(sets.select("key", "set"), "key")
+    links = with_sets.groupBy("a", "b", "i", "j").applyInPandas(_first_link(percent), "x long, y long")
+    edges = edges.unionByName(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return edges, None if last else large.select("key").distinct()
+
+
+def link_sets(sets: DataFrame, percent: int, task_shingles: int = TASK_SHINGLES) -> DataFrame:
+    """Edges (a, b) between keys that connect the linked ones of sets (key, set, n_shingles, alone,
+    rarest), level after level until every region fits a task."""
+    edges, items, n, level, last = None, sets.select("key"), sets.count(), 0, False
+    while True:
+        found, rest = _level(items, sets, edges, level, percent, task_shingles, last)
+        if rest is None:
+            return found
+        edges, items = stored(found), stored(rest)
+        left = items.count()
+        if not left:
+            return edges
+        last, n, level = left > LEAST_PROGRESS * n, left, level + 1
+
+
+def near_components(docs: DataFrame, n: int = 4, percent: int = 85, task_shingles: int = TASK_SHINGLES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs: the size of its set of n-word
     shingles and the smallest id that links lead to, its own included. Two documents link when 100
-    times the shingles they share is at least percent times those of either.
+    times the shingles they share is at least percent times those of either. percent is over 66, as
+    pivots three radii apart must have something in common.
 
     Words are cut at white space, lower-cased (A-Z). A shorter text is one shingle; null, empty and
-    blank texts have none and link with nothing. Ids are whole numbers; rows that share an id are one
-    node, rows of null id link with nothing and have a null component. Equal sets are joined once.
-    An empty table gives an empty result; other columns are not read.
+    blank texts have none and link with nothing. Ids are whole numbers; rows that share an id are
+    documents of their own, rows of null id link with nothing and have a null component. Equal sets are
+    joined once. Very long texts are taken whole. An empty table gives an empty result; other columns
+    are not read.
     """
+    if percent <= 66:
+        raise ValueError("percent must be over 66")
     rows, size = text_bytes(docs.select("text"))
     blocks = max(1, math.ceil((size + 8 * rows) / block_bytes))
     bits = min(blocks, _MOST_BUCKETS).bit_length()
-    spread = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), F.lit(blocks)).cast("int")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("t"), spread.alias("block")).repartition(blocks, "block")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("t"), dealt_block(blocks).alias("block")).repartitionById(blocks, "block")
     counted = dealt.mapInPandas(_census(n, bits), "block int, bucket long, keys binary, counts binary")
-    sums = counted.groupBy("bucket").applyInPandas(_sum_bucket, "block int, bucket long, totals binary")
-    profile = dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInPandas(_profile(n, bits, percent), "n_shingles long, set_hash string, set binary, rarest array<long>, doc_id long")
-    profile = stored(profile)
+    sums = counted.groupBy("bucket").applyInPandas(_sum_bucket, "block int, bucket long, totals binary").repartitionById(blocks, "block")
+    columns = "n_shingles long, set_hash string, set array<long>, alone int, rarest array<long>, doc_id long"
+    profile = stored(dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInPandas(_profile(n, bits, percent), columns))
 
     known = profile.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
-    sets = stored(known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("set").alias("set"), F.first("rarest").alias("rarest")))
-    rare = sets.select("rep", F.explode("rarest").alias("shingle"))
-    pivots = rare.groupBy("shingle").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle", "pivot")
-    regions = stored(rare.join(pivots, "shingle").select("pivot", "rep").distinct())
-    sizes = regions.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
-    small = regions.join(sizes.where(F.col("n") <= 2 * slice_size).select("pivot"), "pivot").select("pivot", F.lit(0).alias("i"), F.lit(0).alias("j"), "rep")
-    large = regions.join(sizes.where(F.col("n") > 2 * slice_size).select("pivot"), "pivot")
-
-    set_of = sets.select("rep", "set")
-    pivot_set = sets.select(F.col("rep").alias("pivot"), F.col("set").alias("pivot_set"))
-    measured = stored(large.join(set_of, "rep").join(pivot_set, "pivot").mapInPandas(_pivot_distance, "pivot long, rep long, distance double"))
-    radius = 1 - percent / 100 + 1e-9
-    by_distance = Window.partitionBy("pivot").orderBy("distance", "rep")
-    sliced = measured.withColumn("i", F.floor((F.row_number().over(by_distance) - 1) / slice_size).cast("int"))
-    ranges = sliced.groupBy("pivot", "i").agg(F.min("distance").alias("lo"), F.max("distance").alias("hi"))
-    other = ranges.select("pivot", F.col("i").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
-    # Slices all within the radius of the pivot are linked through it.
-    near = ranges.join(other, "pivot").where((F.col("i") <= F.col("j")) & (F.col("lo_j") - F.col("hi") <= radius) & (F.col("hi_j") > radius - 2e-9)).select("pivot", "i", "j")
-    left = sliced.join(near, ["pivot", "i"]).select("pivot", "i", "j", "rep")
-    right = sliced.select("pivot", F.col("i").alias("j"), "rep").join(near.where("i <> j"), ["pivot", "j"]).select("pivot", "i", "j", "rep")
-    tasks = small.unionByName(left).unionByName(right)
-    to_pivot = measured.where((F.col("distance") <= radius - 2e-9) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    links = tasks.join(set_of, "rep").groupBy("pivot", "i", "j").applyInPandas(_link_group(percent), "a long, b long")
-    roots = components(links.unionByName(to_pivot))
-    return _finish(profile, sets, roots)
-
-
-def _finish(profile: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    of_set = sets.select("set_hash", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("set_hash", F.coalesce("root", "rep").alias("root"))
+    one = [F.first(c).alias(c) for c in ("set", "n_shingles", "alone", "rarest")]
+    sets = stored(known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), *one).withColumn("key", F.monotonically_increasing_id()))
+    roots = components(link_sets(sets, percent, task_shingles))
+    of_key = roots.join(sets.select(F.col("key").alias("node"), "set_hash", "rep"), "node")
+    least = of_key.groupBy("root").agg(F.min("rep").alias("least"))
+    of_set = sets.select("set_hash", "rep").join(of_key.join(least, "root").select("set_hash", "least"), "set_hash", "left")
+    of_set = of_set.select("set_hash", F.coalesce("least", "rep").alias("component_id"))
     narrow = profile.select("doc_id", "n_shingles", "set_hash")
     alone = narrow.where("set_hash IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    joined = narrow.where("set_hash IS NOT NULL AND doc_id IS NOT NULL").join(of_set, "set_hash").select("doc_id", "n_shingles", F.col("root").alias("component_id"))
+    joined = narrow.where("set_hash IS NOT NULL AND doc_id IS NOT NULL").join(of_set, "set_hash").select("doc_id", "n_shingles", "component_id")
     return alone.unionByName(joined)
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, **options) -> DataFrame:
-    """The rows of docs, with all their columns, less those that are not the smallest id of their
-    component. Rows of null id stay; rows that share an id stay or go together."""
+    """The rows of docs, with all their columns, whatever their names, less those that are not the
+    smallest id of their component. Rows of null id and texts without words stay; rows that share an
+    id stay or go together. An empty table stays empty."""
     found = near_components(docs, n, percent, **options)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
