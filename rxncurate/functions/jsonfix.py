@@ -104,3 +104,8 @@ def parse_bool(value: Column, strict: bool = False) -> Column:
 def render_prompt(template: str, title: Column, paragraph: Column) -> Column:
     """The template with {title}, then {paragraph} (in the title too) filled in."""
     return F.replace(F.replace(F.lit(template), F.lit("{title}"), title), F.lit("{paragraph}"), paragraph)
+
+
+def answer_text(prediction: Column) -> Column:
+    """A prediction (struct, map or array) as JSON text; null stays null."""
+    return F.to_json(prediction)

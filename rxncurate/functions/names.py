@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from rxncurate.functions.structure import looks_valid
+
 #: Qualifiers that are cut out of a name, in this order of trial.
 QUALIFIERS = [
     r"\d+\s+normal", r"\d+(\.\d+)?\s*N-", r"\d+(\.\d+)?\s*N", r"\d+(\.\d+)?\s*M", r"\d+%", r"\s*\(\s*\)", r"\([^()]*\)$", r"·", r"\([IVXLCDM]+\)",
@@ -75,13 +77,17 @@ def resolve_alias(name: Column) -> Column:
     return F.coalesce(F.element_at(table, F.lower(v)), v)
 
 
+#: Greek letters of names, spelt.
+GREEK = str.maketrans({"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta"})
+_TAG, _ODD = re.compile(r"<[^>]*>"), re.compile(r"[^a-z0-9]+")
+
+
 def name_key_of(name: str) -> str:
-    """Key of a name: no tags and entities, Greek letters spelt, accents and all but letters and digits dropped."""
-    v = html.unescape(re.sub(r"<[^>]*>", "", name))
-    for letter, word in (("α", "alpha"), ("β", "beta"), ("γ", "gamma"), ("δ", "delta")):
-        v = v.replace(letter, word)
-    v = unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode().casefold()
-    return re.sub(r"[^a-z0-9]", "", v)
+    """Key of a name: small letters and digits alone, once tags and entities are gone, Greek letters
+    spelt and accents taken off."""
+    plain = html.unescape(_TAG.sub("", name)).translate(GREEK)
+    letters = unicodedata.normalize("NFKD", plain).encode("ascii", "ignore")
+    return _ODD.sub("", letters.decode().casefold())
 
 
 @F.pandas_udf(StringType())
@@ -106,6 +112,7 @@ def unresolved_codes(smiles: Column, skeleton_codes: Column) -> Column:
     return F.array_intersect(F.map_keys(F.map_filter(smiles, lambda k, v: F.contains(F.lower(v), F.lit("nosmi")))), skeleton_codes)
 
 
-def first_property(record: Column, names: Sequence[str]) -> Column:
-    """The first property of a JSON record that is present and not blank."""
-    return F.coalesce(*[F.nullif(F.trim(F.get_json_object(record, f"$.{n}")), F.lit("")) for n in names])
+def first_property(record: Column, names: Sequence[str], valid=looks_valid) -> Column:
+    """The first property of a JSON record that is present and a valid structure."""
+    values = [F.trim(F.get_json_object(record, f"$.{n}")) for n in names]
+    return F.coalesce(*[F.when(valid(v), v) for v in values])

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rxncurate.functions.jsonfix import bound
+from rxncurate.functions.structure import looks_valid
+
 
 def _none() -> Column:
     return F.array().cast("array<string>")
@@ -41,16 +44,25 @@ def substitute_codes(skeleton: Column, smiles: Column) -> Column:
     return F.array_join(F.transform(F.split(skeleton, ">", -1), one), ">")
 
 
+#: Why a reaction has no mapper input.
+EMPTY_REACTION = "Reaction SMILES is empty."
+UNRESOLVED_REACTION = "Reaction contains an unresolved (NoSmi) compound."
+ONE_SECTION = "Reaction must contain at least one '>' separator between reactants and products."
+EMPTY_SIDE = "Reaction must contain both reactants and products."
+#: Fixed value: why a reaction cannot be split into roles.
+BAD_SECTIONS = "Reaction SMILES must contain two or three sections."
+
+
 def mapper_input(reaction: Column) -> tuple[Column, Column]:
     """(value, error): the form left>>products that a mapper takes, all sections but the last on the
-    left; or why there is none."""
+    left; or why there is none. A reaction that is itself an error text gives that text."""
     r = F.trim(reaction)
-    s = F.filter(F.split(r, ">", -1), lambda x: F.lit(True))
-    left = F.array_join(F.filter(F.flatten(F.transform(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), components)), lambda x: x != ""), ".")
-    right = F.array_join(components(F.element_at(s, -1)), ".")
+    s = F.split(r, ">", -1)
+    left = F.array_join(F.filter(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), lambda x: x != ""), ".")
+    right = F.element_at(s, -1)
     error = (
-        F.when(r.isNull() | (r == ""), "empty reaction").when(F.contains(r, F.lit("(NoSmi)")), "unresolved NoSmi component").when(F.startswith(r, F.lit("Error:")), r)
-        .when(F.size(s) < 2, "reaction has fewer than two sections").when((left == "") | (right == ""), "reaction has an empty side")
+        F.when(r.isNull() | (r == ""), EMPTY_REACTION).when(F.contains(r, F.lit("(NoSmi)")), UNRESOLVED_REACTION).when(F.contains(r, F.lit("Error:")), r)
+        .when(F.size(s) < 2, ONE_SECTION).when((left == "") | (right == ""), EMPTY_SIDE)
     )
     return F.when(error.isNull(), F.concat(left, F.lit(">>"), right)), error
 
@@ -70,44 +82,105 @@ def remove_maps(component: Column) -> Column:
     return F.regexp_replace(component, r":\d+\]", "]")
 
 
-def _product_maps(products: Column) -> Column:
-    return F.flatten(F.transform(products, atom_maps))
+def all_maps(components_: Column) -> Column:
+    """Distinct atom-map numbers of several components."""
+    return F.array_distinct(F.flatten(F.transform(components_, atom_maps)))
+
+
+def _shares(c: Column, maps: Column) -> Column:
+    return F.coalesce(F.arrays_overlap(atom_maps(c), maps), F.lit(False))
 
 
 def roles_of_source(reaction: Column) -> Column:
-    """Roles by maps shared with the products, of left and middle components alike; products stay as
-    they are; null unless there are three sections."""
-    s = sections(strip_metadata(reaction))
-    products = components(F.get(s, F.lit(2)))
-    candidates = F.concat(components(F.get(s, F.lit(0))), components(F.get(s, F.lit(1))))
-    maps = _product_maps(products)
-    shares = lambda c: F.coalesce(F.arrays_overlap(atom_maps(c), maps), F.lit(False))
-    roles = F.struct(F.filter(candidates, shares).alias("reactants"), F.filter(candidates, lambda c: ~shares(c)).alias("reagents"), products.alias("products"))
-    return F.when(F.size(s) == 3, roles)
+    """Roles by maps shared with the products, of left and middle components alike, also unreadable ones;
+    products stay as they are; null unless there are three sections."""
+
+    def roles(s: Column) -> Column:
+        products = components(F.get(s, F.lit(2)))
+        candidates = F.concat(components(F.get(s, F.lit(0))), components(F.get(s, F.lit(1))))
+        return bound(F.struct(products.alias("p"), candidates.alias("c"), all_maps(products).alias("m")), lambda x: F.struct(
+            F.filter(x["c"], lambda c: _shares(c, x["m"])).alias("reactants"), F.filter(x["c"], lambda c: ~_shares(c, x["m"])).alias("reagents"), x["p"].alias("products")))
+
+    return bound(sections(strip_metadata(reaction)), lambda s: F.when(F.size(s) == 3, roles(s)))
+
+
+def mapped_components(mapped: Column, valid=looks_valid) -> Column:
+    """struct(reactants, reagents, products, mapped_reactants, mapped_reagents, mapped_products, complete)
+    of an array of mapped reactions: left components by shared maps, the middle left out, unreadable ones
+    dropped, all reactions' together, without and with maps. complete: there are reactions, each with
+    both sides, readable throughout, with maps in its products."""
+
+    def one(r: Column) -> Column:
+        def roles(x: Column) -> Column:
+            both = (F.size(x["left"]) > 0) & (F.size(x["right"]) > 0)
+            kept = F.filter(x["right"], valid)
+            return bound(F.struct(F.filter(x["left"], valid).alias("left"), kept.alias("right"), all_maps(kept).alias("m")), lambda y: F.struct(
+                F.when(both, F.filter(y["left"], lambda c: _shares(c, y["m"]))).otherwise(_none()).alias("reactants"),
+                F.when(both, F.filter(y["left"], lambda c: ~_shares(c, y["m"]))).otherwise(_none()).alias("reagents"),
+                F.when(both, y["right"]).otherwise(_none()).alias("products"),
+                (both & (F.size(y["left"]) == F.size(x["left"])) & (F.size(y["right"]) == F.size(x["right"])) & (F.size(y["m"]) > 0)).alias("complete")))
+
+        parts = lambda s: F.when(F.size(s).isin(2, 3), F.struct(components(F.get(s, F.lit(0))).alias("left"), components(F.element_at(s, -1)).alias("right"))).otherwise(F.struct(_none().alias("left"), _none().alias("right")))
+        return bound(bound(F.split(r, ">", -1), parts), roles)
+
+    def together(x: Column) -> Column:
+        every = lambda role: F.flatten(F.transform(x, lambda y: y[role]))
+        plain = lambda role: F.transform(every(role), remove_maps).alias(role)
+        kinds = ("reactants", "reagents", "products")
+        return F.struct(*[plain(k) for k in kinds], *[every(k).alias(f"mapped_{k}") for k in kinds], ((F.size(x) > 0) & F.forall(x, lambda y: y["complete"])).alias("complete"))
+
+    return bound(F.transform(F.coalesce(mapped, _none()), one), together)
 
 
 def roles_of_mapped(reaction: Column) -> Column:
-    """Roles by shared maps of left components alone; the middle section is not looked at."""
-    s = sections(reaction)
-    left, products = components(F.get(s, F.lit(0))), components(F.element_at(s, -1))
-    maps = _product_maps(products)
-    shares = lambda c: F.coalesce(F.arrays_overlap(atom_maps(c), maps), F.lit(False))
-    return F.struct(F.filter(left, shares).alias("reactants"), F.filter(left, lambda c: ~shares(c)).alias("reagents"), products.alias("products"))
+    """Roles, with their maps, of one mapped reaction, as mapped_components gives them."""
+    kinds = ("reactants", "reagents", "products")
+    return bound(mapped_components(F.array(reaction)), lambda x: F.struct(*[x[f"mapped_{k}"].alias(k) for k in kinds], x["complete"].alias("complete")))
+
+
+def unmapped_atoms(component: Column) -> Column:
+    """Whether a component has an atom, other than hydrogen, without a map number."""
+    rest = F.regexp_replace(component, r"\[[^\]]*:[1-9]\d*\]|\[\d*H\d*(?:[+-]\d*)?(?::\d+)?\]", "")
+    return F.rlike(rest, F.lit("[A-Za-z*]"))
+
+
+def step_roles(reaction: Column, valid=looks_valid) -> Column:
+    """Roles of a mapped step: struct(ok, reactants, reagents, products, maps_missing, readable). Left
+    components by shared maps, unreadable ones dropped; the middle section is reagents throughout;
+    products stay as they are. ok: two or three sections. maps_missing: a product atom has no map, or
+    products have none, or one that no readable left component has. readable: all left components and
+    products are."""
+
+    def parts(s: Column) -> Column:
+        trimmed = lambda section: F.filter(F.transform(F.split(section, r"\."), lambda c: F.trim(c)), lambda c: c != "")
+        ok, n = F.size(s).isin(2, 3), F.size(s)
+        middle = F.when(n == 3, trimmed(F.get(s, F.lit(1)))).otherwise(_none())
+        side = lambda i: F.when(ok, trimmed(F.get(s, i))).otherwise(_none())
+        return F.struct(ok.alias("ok"), side(F.lit(0)).alias("left"), F.when(ok, middle).otherwise(_none()).alias("middle"), side(n - 1).alias("right"))
+
+    def maps(x: Column) -> Column:
+        left, right = F.filter(x["left"], valid), F.filter(x["right"], valid)
+        unmapped = F.exists(right, unmapped_atoms) | (F.size(right) < F.size(x["right"]))
+        return F.struct(x["ok"].alias("ok"), left.alias("left"), x["middle"].alias("middle"), x["right"].alias("right"), all_maps(right).alias("m"), all_maps(left).alias("lm"),
+                        unmapped.alias("unmapped"), ((F.size(left) == F.size(x["left"])) & (F.size(right) == F.size(x["right"]))).alias("readable"), F.size(x["left"]).alias("n_left"))
+
+    def roles(y: Column) -> Column:
+        missing = (F.size(y["right"]) > 0) & (y["unmapped"] | (F.size(y["m"]) == 0) | (F.size(F.array_except(y["m"], y["lm"])) > 0))
+        return F.struct(
+            y["ok"].alias("ok"), F.filter(y["left"], lambda c: _shares(c, y["m"])).alias("reactants"), F.concat(y["middle"], F.filter(y["left"], lambda c: ~_shares(c, y["m"]))).alias("reagents"),
+            y["right"].alias("products"), missing.alias("maps_missing"), y["readable"].alias("readable"), y["n_left"].alias("n_left"))
+
+    return bound(bound(bound(sections(reaction), parts), maps), roles)
 
 
 def roles_of_step(reaction: Column) -> Column:
     """Roles by shared maps on the left, the middle section being reagents throughout."""
-    s = sections(reaction)
-    r = roles_of_mapped(reaction)
-    middle = F.when(F.size(s) > 2, components(F.get(s, F.lit(1)))).otherwise(_none())
-    return F.struct(r["reactants"].alias("reactants"), F.concat(r["reagents"], middle).alias("reagents"), r["products"].alias("products"))
+    return bound(step_roles(reaction), lambda x: F.struct(*[x[k].alias(k) for k in ("reactants", "reagents", "products")]))
 
 
 def maps_complete(reaction: Column) -> Column:
-    """Whether the products' maps exist and all occur on the left (the middle does not count)."""
-    s = sections(reaction)
-    right, left = _product_maps(components(F.element_at(s, -1))), _product_maps(components(F.get(s, F.lit(0))))
-    return F.coalesce((F.size(right) > 0) & (F.size(F.array_except(right, left)) == 0), F.lit(False))
+    """Whether a step has products and all their atoms' maps occur on the left."""
+    return bound(step_roles(reaction), lambda x: x["ok"] & (F.size(x["products"]) > 0) & ~x["maps_missing"])
 
 
 def first_by_key(values: Column, keys: Column) -> Column:
@@ -115,17 +188,26 @@ def first_by_key(values: Column, keys: Column) -> Column:
     return F.filter(F.transform(values, lambda v, i: F.when(F.array_position(keys, F.get(keys, i)) == i + 1, v)), lambda v: v.isNotNull())
 
 
+#: Words (small letters) that mark a reaction as unresolved.
+UNRESOLVED_MARKS = ("nosmi", "not found", "not_found")
+
+
 def valid_skeleton(text: Column) -> Column:
-    """Non-empty first and last section and nothing unresolved."""
-    s = sections(text)
-    clean = ~F.rlike(F.lower(text), F.lit("nosmi|not found"))
-    return F.coalesce((F.size(s) >= 2) & (F.get(s, F.lit(0)) != "") & (F.element_at(s, -1) != "") & clean, F.lit(False))
+    """Two or more sections with a first and a last one that are not blank; codes are not looked at."""
+    s = F.split(F.trim(text), ">", -1)
+    return F.coalesce((F.size(s) >= 2) & (F.trim(F.get(s, F.lit(0))) != "") & (F.trim(F.element_at(s, -1)) != ""), F.lit(False))
 
 
-def valid_mapped(text: Column) -> Column:
-    """Atom maps on both sides of the last >>."""
-    left, right = F.substring_index(text, ">>", -1), F.regexp_extract(text, r"^(.*)>>", 1)
-    return F.coalesce(valid_skeleton(text) & F.rlike(left, F.lit(r":\d+\]")) & F.rlike(right, F.lit(r":\d+\]")), F.lit(False))
+def valid_reaction(text: Column, mapped: bool = False) -> Column:
+    """Text on both sides of the last > and no mark of something unresolved. A mapped reaction is parted
+    at the last >>, and has atom maps on both sides."""
+    v, mark = F.trim(text), ">>" if mapped else ">"
+    right = F.substring_index(v, mark, -1)
+    left = F.substring(v, F.lit(1), F.length(v) - F.length(right) - len(mark))
+    ok = F.contains(v, F.lit(mark)) & (F.trim(left) != "") & (F.trim(right) != "") & ~F.rlike(F.lower(v), F.lit("|".join(UNRESOLVED_MARKS)))
+    if mapped:
+        ok = ok & F.rlike(left, F.lit(r":\d+\]")) & F.rlike(right, F.lit(r":\d+\]"))
+    return F.coalesce(ok, F.lit(False))
 
 
 def remove_codes(skeleton: Column, codes: Column) -> Column:
@@ -142,11 +224,25 @@ def restore_codes(skeleton: Column, approved: Column) -> Column:
     return F.array_join(F.concat(F.array(first), F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0)))), ">")
 
 
-def label_unresolved(skeleton: Column, smiles: Column) -> Column:
-    """A skeleton whose unresolved codes are shown as X(NoSmi)."""
-    shown = lambda c: F.when(F.contains(F.lower(F.element_at(smiles, c)), F.lit("nosmi")), F.concat(c, F.lit("(NoSmi)"))).otherwise(c)
-    one = lambda s: F.array_join(F.transform(F.split(s, r"\."), shown), ".")
-    return F.array_join(F.transform(F.split(skeleton, ">", -1), one), ">")
+def label_unresolved(skeleton: Column, smiles: Column, products: Column | None = None) -> Column:
+    """A skeleton whose unresolved codes are shown as X(NoSmi). An empty last section shows the
+    unresolved ones among the products' codes, in order."""
+    unresolved = lambda c: F.coalesce(F.contains(F.lower(F.element_at(smiles, c)), F.lit("nosmi")), F.lit(False))
+    mark = lambda c: F.concat(c, F.lit("(NoSmi)"))
+    shown = lambda c: F.when(unresolved(c), mark(c)).otherwise(c)
+    one = lambda s: F.array_join(F.transform(components(s), shown), ".")
+    parts = F.split(skeleton, ">", -1)
+    if products is None:
+        return F.array_join(F.transform(parts, one), ">")
+    lost = F.array_join(F.transform(F.array_sort(F.filter(F.coalesce(products, _none()), unresolved)), mark), ".")
+    last = lambda s, i: F.when((s == "") & (i == F.size(parts) - 1), lost).otherwise(one(s))
+    return F.array_join(F.transform(parts, last), ">")
+
+
+def skeleton_codes(skeletons: Column) -> Column:
+    """Distinct codes of an array of skeletons, as far as a bracket."""
+    codes = F.flatten(F.transform(skeletons, lambda s: F.split(s, r"[>.]", -1)))
+    return F.array_distinct(F.filter(F.transform(codes, lambda c: F.trim(F.substring_index(c, "(", 1))), lambda c: c != ""))
 
 
 def reaction_signature(steps: Column) -> Column:

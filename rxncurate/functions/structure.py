@@ -1,26 +1,161 @@
 """Keys of structures without a chemistry library.
 
-The default key is the component's text without atom maps, stereo marks, charges, hydrogen counts and
-isotopes, organic atoms out of their brackets. It tells apart equal molecules that are written in
-another order; a caller who has a chemistry library gives its own function.
+Two keys are offered. `text_key` is an expression: the component's text without atom maps, stereo
+marks, charges, hydrogen counts and isotopes, organic atoms out of their brackets; it tells apart equal
+molecules that are written in another order. `read_structure` parses the text into atoms and bonds and
+gives a key by refinement of the graph, so that the order of writing does not matter. Neither knows
+aromaticity from alternating bonds, nor checks valences; refinement may join regular graphs that differ.
+A caller who has a chemistry library gives its own function.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The symbols of the elements.
+ELEMENTS = frozenset(
+    "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe "
+    "Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr".split()
+)
+#: Atoms that may be aromatic, as they are written in small letters.
+AROMATIC = ("b", "c", "n", "o", "p", "s", "se", "as", "te")
+_TOKEN = re.compile(r"\[[^\[\]]+\]|Br|Cl|[BCNOPSFI]|[bcnops]|\*|[().]|[-=#$:/\\~]|%\d\d|\d")
+_BRACKET = re.compile(r"\[(\d*)([A-Z][a-z]?|se|as|te|[bcnops]|\*)(@{1,2}(?:(?:TH|AL|SP|TB|OH)\d+)?)?(H\d*)?([+-]\d+|[+]+|-+)?(?::(\d+))?\]")
+_ORDER = {"-": 1.0, "/": 1.0, "\\": 1.0, "=": 2.0, "#": 3.0, "$": 4.0, ":": 1.5, "~": 1.0}
+STRUCTURE = "struct<valid boolean, key string, heavy_atoms int, atoms array<struct<place int, element string, map int, charge int>>, bonds array<struct<a int, b int, map_a int, map_b int, bond_order double>>>"
+
+
+def parse_structure(text: str) -> tuple[list[tuple[str, int, int, bool]], list[tuple[int, int, float]]] | None:
+    """(atoms, bonds) of a structure text: element, map, charge and aromaticity of each atom, ends and
+    order of each bond. None if the text cannot be read: odd characters, unknown elements, brackets or
+    rings that are not closed."""
+    atoms: list[tuple[str, int, int, bool]] = []
+    bonds: list[tuple[int, int, float]] = []
+    rings: dict[str, tuple[int, float | None]] = {}
+    stack: list[int | None] = []
+    last: int | None = None
+    order: float | None = None
+    at = 0
+
+    def bond(a: int, b: int, o: float | None) -> None:
+        both = atoms[a][3] and atoms[b][3]
+        bonds.append((a, b, (1.5 if both else 1.0) if o is None else o))
+
+    for m in _TOKEN.finditer(text):
+        if m.start() != at:
+            return None
+        at, t = m.end(), m.group()
+        if t[0] == "[" or t == "*" or t[0].isalpha():
+            if t[0] == "[":
+                b = _BRACKET.fullmatch(t)
+                if not b:
+                    return None
+                symbol, sign = b.group(2), b.group(5) or ""
+                digits = sign.lstrip("+-")
+                charge = (1 if sign[:1] == "+" else -1) * (int(digits) if digits else len(sign)) if sign else 0
+                atom = (symbol.capitalize(), int(b.group(6) or 0), charge, symbol in AROMATIC)
+            else:
+                atom = (t.capitalize(), 0, 0, t in AROMATIC)
+            if atom[0] != "*" and atom[0] not in ELEMENTS:
+                return None
+            atoms.append(atom)
+            if last is not None:
+                bond(last, len(atoms) - 1, order)
+            last, order = len(atoms) - 1, None
+        elif t == "(":
+            if last is None:
+                return None
+            stack.append(last)
+        elif t == ")":
+            if not stack or order is not None:
+                return None
+            last = stack.pop()
+        elif t == ".":
+            if order is not None:
+                return None
+            last = None
+        elif t[0] == "%" or t.isdigit():
+            if last is None:
+                return None
+            name = t.lstrip("%").lstrip("0") or "0"
+            if name in rings:
+                other, o = rings.pop(name)
+                if other == last:
+                    return None
+                bond(other, last, order if order is not None else o)
+            else:
+                rings[name] = (last, order)
+            order = None
+        else:
+            if last is None or order is not None:
+                return None
+            order = _ORDER[t]
+    if at != len(text) or stack or rings or order is not None or not atoms:
+        return None
+    return atoms, bonds
+
+
+def graph_key(atoms: list[tuple[str, int, int, bool]], bonds: list[tuple[int, int, float]]) -> str:
+    """Key of a graph by refinement: each atom's label takes in its neighbours' until the number of
+    different labels grows no more. Maps, charges and hydrogens do not count."""
+    heavy = [k for k, a in enumerate(atoms) if a[0] != "H"] or list(range(len(atoms)))
+    place = {k: i for i, k in enumerate(heavy)}
+    near: list[list[tuple[float, int]]] = [[] for _ in heavy]
+    for a, b, o in bonds:
+        if a in place and b in place:
+            near[place[a]].append((o, place[b]))
+            near[place[b]].append((o, place[a]))
+    name = lambda x: hashlib.blake2b(repr(x).encode(), digest_size=8).hexdigest()
+    labels = [name((atoms[k][0], atoms[k][3], len(near[place[k]]))) for k in heavy]
+    kinds = len(set(labels))
+    for _ in heavy:
+        labels = [name((own, sorted((o, labels[j]) for o, j in near[i]))) for i, own in enumerate(labels)]
+        if len(set(labels)) <= kinds:
+            break
+        kinds = len(set(labels))
+    return name(sorted(labels)) + name((len(heavy), sum(map(len, near))))
+
+
+def read_structure(text: str | None) -> dict:
+    """What read_structures gives for one text."""
+    found = parse_structure(text) if text else None
+    if found is None:
+        return {"valid": False, "key": None, "heavy_atoms": 0, "atoms": [], "bonds": []}
+    atoms, bonds = found
+    rows = [{"place": k, "element": e, "map": m, "charge": c} for k, (e, m, c, _) in enumerate(atoms)]
+    ends = [{"a": a, "b": b, "map_a": atoms[a][1], "map_b": atoms[b][1], "bond_order": o} for a, b, o in bonds]
+    return {"valid": True, "key": graph_key(atoms, bonds), "heavy_atoms": sum(a[0] != "H" for a in atoms), "atoms": rows, "bonds": ends}
+
+
+def read_structures(df: DataFrame, component: str) -> DataFrame:
+    """(component, valid, key, heavy_atoms, atoms, bonds) for each distinct component of df, null and
+    unreadable ones invalid: parsed once, however often it occurs. Join back by the component."""
+
+    def run(parts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_structure(t) for t in parts], columns=["valid", "key", "heavy_atoms", "atoms", "bonds"])
+
+    return df.select(component).distinct().withColumn("_s", F.pandas_udf(run, STRUCTURE)(F.col(component))).select(component, "_s.*")
+
+
+def looks_valid(component: Column) -> Column:
+    """Whether a text has only the characters of structures, some atom, and its brackets closed."""
+    n = lambda c: F.regexp_count(component, F.lit("\\" + c))
+    some = F.rlike(component, F.lit(r"^[A-Za-z0-9@+\-\[\]()=#$:/\\.%*]*[A-Za-z*][A-Za-z0-9@+\-\[\]()=#$:/\\.%*]*$"))
+    return F.coalesce(some & (n("(") == n(")")) & (n("[") == n("]")), F.lit(False))
+
 
 def text_key(component: Column) -> Column:
     """Textual key; null for texts that cannot be a structure."""
     v = F.regexp_replace(component, r"[@/\\]", "")
     v = F.regexp_replace(v, r"\[\d*([A-Za-z][a-z]?)(?:H\d*)?(?:[+-]+\d*)?(?::\d+)?\]", "[$1]")
     v = F.regexp_replace(v, r"\[(Cl|Br|[BCNOPSFIbcnops])\]", "$1")
-    ok = F.rlike(component, F.lit(r"^[A-Za-z0-9@+\-\[\]()=#$:/\\.%*]+$")) & (F.regexp_count(component, F.lit(r"\(")) == F.regexp_count(component, F.lit(r"\)"))) & (F.regexp_count(component, F.lit(r"\[")) == F.regexp_count(component, F.lit(r"\]")))
-    return F.when(ok, v)
+    return F.when(looks_valid(component), v)
 
 
 def with_structure_key(df: DataFrame, component: str, key: str = "structure_key", keyer: Callable[[str], str | None] | None = None) -> DataFrame:

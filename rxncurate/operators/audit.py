@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rxncurate.functions.structure import looks_valid, read_structures
+
 #: Fixed value: more changed bonds than this are a large centre.
 LARGE_CENTRE = 8
 #: Reasons of the label audit with their conditions, critical ones first.
@@ -24,7 +26,7 @@ REVIEW_REASONS = (
     ("mapped and labeled components do not align", "role_assignment_unmatched_components > 0"),
     ("no mapped covalent/charge change", "no_detectable_transformation"),
     ("unusually large reaction center", "large_reaction_center"),
-    ("mapper marked mapping unconfident", "NOT mapping_confident"),
+    ("LocalMapper marked mapping unconfident", "NOT mapping_confident"),
     ("no mapping template", "coalesce(mapping_template, '') = ''"),
     ("same structure labeled as reactant and reagent", "role_overlap_count > 0"),
     ("a product is also present on the input side", "product_reactant_overlap_count > 0 OR product_reagent_overlap_count > 0"),
@@ -36,8 +38,18 @@ REVIEW_REASONS = (
 
 def element_counts(components: DataFrame) -> DataFrame:
     """(rxn_id, side, element, n): heavy atoms of (rxn_id, side, smiles)."""
-    atoms = F.transform(F.regexp_extract_all("smiles", F.lit(r"(\[[^\]]*\]|Cl|Br|[BCNOPSFIbcnops])"), F.lit(1)), lambda a: F.initcap(F.regexp_extract(a, r"^\[?\d*([A-Z][a-z]?|[a-z])", 1)))
-    return components.select("rxn_id", "side", F.explode(atoms).alias("element")).where("element <> 'H' AND element <> ''").groupBy("rxn_id", "side", "element").agg(F.count(F.lit(1)).alias("n"))
+    symbol = F.regexp_extract("a", r"^\[?\d*([A-Z][a-z]?|se|as|te|[bcnops])", 1)
+    atoms = F.explode(F.regexp_extract_all("smiles", F.lit(r"(\[[^\]]*\]|Cl|Br|[BCNOPSFIbcnops])"), F.lit(1))).alias("a")
+    found = components.select("rxn_id", "side", atoms).select("rxn_id", "side", F.initcap(symbol).alias("element"))
+    return found.where("element <> 'H' AND element <> ''").groupBy("rxn_id", "side", "element").agg(F.count(F.lit(1)).alias("n"))
+
+
+def invalid_components(components: DataFrame, valid=looks_valid) -> DataFrame:
+    """(rxn_id, invalid_smiles_count, invalid_smiles) of (rxn_id, pos, smiles): the unreadable ones in
+    order of position, for every reaction."""
+    bad = F.when(~valid(F.col("smiles")), F.struct("pos", "smiles"))
+    listed = components.groupBy("rxn_id").agg(F.array_sort(F.collect_list(bad)).alias("b"))
+    return listed.select("rxn_id", F.size("b").alias("invalid_smiles_count"), F.array_join(F.transform("b", lambda x: x["smiles"]), " | ").alias("invalid_smiles"))
 
 
 def element_deficit(counts: DataFrame) -> DataFrame:
@@ -93,6 +105,39 @@ def bond_changes(bonds: DataFrame) -> DataFrame:
     return out.withColumn("centre", size).withColumn("centre_class", F.when(size == 0, "none").when(size > LARGE_CENTRE, "large").otherwise("normal"))
 
 
+def reaction_centre(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """For each rxn_id of atoms (rxn_id, side, map, charge) and bonds (rxn_id, side, map_a, map_b,
+    bond_order), side being input or product and map 0 none: formed, broken and order-changed bonds
+    between atoms of the product, bonds of the input that a leaving group had (counted as broken too),
+    charge changes, their sum, and whether there is none or more than LARGE_CENTRE."""
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    per_atom = atoms.where("map > 0").groupBy("rxn_id", "map").agg(of("input", "charge").alias("i"), of("product", "charge").alias("p"))
+    in_product = per_atom.where("p IS NOT NULL").select("rxn_id", "map")
+    ends = [in_product.withColumnRenamed("map", f"map_{e}").withColumn(f"_{e}", F.lit(True)) for e in "ab"]
+    seen = bonds.join(ends[0], ["rxn_id", "map_a"], "left").join(ends[1], ["rxn_id", "map_b"], "left")
+    a, b = F.coalesce("_a", F.lit(False)), F.coalesce("_b", F.lit(False))
+    leaving = seen.where((F.col("side") == "input") & (a != b)).groupBy("rxn_id").agg(F.count(F.lit(1)).alias("leaving_group_bonds"))
+    kept = seen.where((F.col("map_a") > 0) & (F.col("map_b") > 0) & ((F.col("side") == "product") | a & b))
+    both = kept.groupBy("rxn_id", F.least("map_a", "map_b").alias("x"), F.greatest("map_a", "map_b").alias("y")).agg(of("input", "bond_order").alias("i"), of("product", "bond_order").alias("p"))
+    changes = both.groupBy("rxn_id").agg(
+        F.count_if(F.col("i").isNull()).alias("formed_bonds"), F.count_if(F.col("p").isNull()).alias("_broken"), F.count_if(F.col("i") != F.col("p")).alias("bond_order_changes"))
+    charges = per_atom.groupBy("rxn_id").agg(F.count_if(F.col("i") != F.col("p")).alias("atom_charge_changes"))
+    every = atoms.select("rxn_id").distinct()
+    out = every.join(changes, "rxn_id", "left").join(charges, "rxn_id", "left").join(leaving, "rxn_id", "left").fillna(0)
+    out = out.withColumn("broken_bonds", F.col("_broken") + F.col("leaving_group_bonds")).drop("_broken")
+    size = F.col("formed_bonds") + F.col("broken_bonds") + F.col("bond_order_changes") + F.col("atom_charge_changes")
+    return out.withColumn("centre_size", size).withColumn("no_detectable_transformation", size == 0).withColumn("large_reaction_center", size > LARGE_CENTRE)
+
+
+def structure_parts(components: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(atoms, bonds) as reaction_centre and map_audit take them, of components (rxn_id, side, smiles),
+    each distinct one read once."""
+    read = components.join(read_structures(components, "smiles"), "smiles")
+    atoms = read.select("rxn_id", "side", F.explode("atoms").alias("a")).select("rxn_id", "side", "a.map", "a.charge", "a.element")
+    bonds = read.select("rxn_id", "side", F.explode("bonds").alias("b")).select("rxn_id", "side", "b.map_a", "b.map_b", "b.bond_order")
+    return atoms, bonds
+
+
 def role_contradictions(assigned: DataFrame) -> DataFrame:
     """Reagents that share product maps and reactants that share none, of (rxn_id, role, shares)."""
     return assigned.groupBy("rxn_id").agg(F.count_if((F.col("role") == "reagents") & F.col("shares")).alias("reagents_contributing"), F.count_if((F.col("role") == "reactants") & ~F.col("shares")).alias("reactants_idle"))
@@ -106,6 +151,16 @@ def risk_levels(df: DataFrame, critical: Sequence[tuple[str, str]] = CRITICAL_RE
     return out.withColumn("risk_level", level).withColumn("risk_reasons", F.array_join(F.concat("_c", "_r"), "; ")).drop("_c", "_r")
 
 
+#: Order of risk levels.
+RISK_ORDER = ("critical", "manual_review", "pass")
+
+
+def risk_order(risks: DataFrame) -> DataFrame:
+    """Critical ones first, then less support, idx, slot; a global sort, for the sink alone."""
+    level = F.array_position(F.array(*[F.lit(x) for x in RISK_ORDER]), F.col("risk_level"))
+    return risks.orderBy(level, "relaxed_model_support_count", "idx", "slot")
+
+
 def audit_summary(risks: DataFrame) -> DataFrame:
     """Rows, and rows with any reason, by level; and over all (level null)."""
     return risks.rollup("risk_level").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("risk_reasons") != "").alias("with_reasons"))

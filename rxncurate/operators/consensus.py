@@ -2,49 +2,157 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rxncurate.functions.names import unresolved_codes
+from rxncurate.functions.reactions import first_by_key, mapped_components, skeleton_codes
+from rxncurate.functions.structure import text_key
+
 #: Fixed value: fewer agreeing models than this call for review.
 LEAST_AGREEMENT = 4
+#: Fixed value: the name of the source's own reaction among the models.
+SOURCE = "Lowe_smiles"
+#: Columns of a review that a person fills in, and those that stay once they have decided.
+REVIEW_COLUMNS = (
+    "ground_truth_valid", "ground_truth_reactants_smiles", "ground_truth_reagents_smiles", "ground_truth_products_smiles", "ground_truth_reaction_smiles",
+    "ground_truth_2_reactants_smiles", "ground_truth_2_reagents_smiles", "ground_truth_2_products_smiles", "ground_truth_2_reaction_smiles", "review_note",
+)
+FINALIZED_COLUMNS = (
+    "candidate_reactants_smiles", "candidate_reagents_smiles", "candidate_products_smiles", "candidate_reaction_smiles", "product_mapping_complete", "rare_template_input",
+)
+#: Texts (small letters) of a decided label.
+DECIDED = {"true": "True", "1": "True", "false": "False", "0": "False"}
 
 
 def signature_groups(sigs: DataFrame) -> DataFrame:
     """(idx, signature, members, size, first_pos): models of (idx, model, model_pos, signature) by equal
-    signature, members in order of their names. Shuffled by the signature's hash, not its text."""
-    return (
-        sigs.groupBy("idx", F.xxhash64("signature").alias("h")).agg(
-            F.first("signature").alias("signature"), F.array_sort(F.collect_list("model")).alias("members"), F.count(F.lit(1)).alias("size"), F.min("model_pos").alias("first_pos"))
-        .drop("h")
-    )
+    signature, members in order of position. Models without signature are in no group."""
+    ordered = F.array_sort(F.collect_list(F.struct("model_pos", "model")))
+    groups = sigs.where("signature IS NOT NULL").groupBy("idx", "signature").agg(ordered.alias("m"))
+    return groups.select("idx", "signature", F.transform("m", lambda x: x["model"]).alias("members"), F.size("m").alias("size"), F.element_at("m", 1)["model_pos"].alias("first_pos"))
+
+
+def _by_size(groups: Column) -> Column:
+    """Groups in order: larger ones first, then by their members."""
+    return F.array_sort(groups, lambda a, b: F.when(a["size"] != b["size"], b["size"] - a["size"]).when(a["members"] < b["members"], -1).when(a["members"] == b["members"], 0).otherwise(1))
 
 
 def consensus(sigs: DataFrame) -> DataFrame:
-    """The largest group of each idx (of equal ones that of the earliest model): signature, agreement,
-    members, and the other models of idx in order of their names."""
-    g = signature_groups(sigs)
-    best = g.groupBy("idx").agg(F.max_by(F.struct("signature", "members", "size"), F.struct(F.col("size"), -F.col("first_pos"))).alias("b"), F.flatten(F.collect_list("members")).alias("all"), F.count(F.lit(1)).alias("groups"))
-    return best.select("idx", F.col("b.signature").alias("signature"), F.col("b.size").alias("agreement"), F.col("b.members").alias("members"), F.array_sort(F.array_except("all", "b.members")).alias("disagreeing"), "groups")
+    """For every idx of (idx, model, model_pos, signature) the largest group (of equal ones that of the
+    earliest model): signature, agreement, members, the other models in order of position, and all groups'
+    members, larger ones first. Where no model has a signature nobody agrees: agreement 0, all disagree."""
+    models = sigs.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("model_pos", "model"))).alias("m"))
+    models = models.select("idx", F.transform("m", lambda x: x["model"]).alias("models"))
+    best = F.max_by(F.struct("signature", "members"), F.struct(F.col("size"), -F.col("first_pos")))
+    groups = signature_groups(sigs).groupBy("idx").agg(best.alias("b"), _by_size(F.collect_list(F.struct("size", "members"))).alias("g"))
+    none = F.array().cast("array<string>")
+    members = F.coalesce("b.members", none)
+    every = F.coalesce(F.transform("g", lambda x: x["members"]), F.array().cast("array<array<string>>"))
+    return models.join(groups, "idx", "left").select(
+        "idx", F.col("b.signature").alias("signature"), F.size(members).alias("agreement"), members.alias("members"), F.array_except("models", members).alias("disagreeing"), every.alias("groups"))
+
+
+def with_source(agreed: DataFrame, sigs: DataFrame, source: DataFrame) -> DataFrame:
+    """agreed with the source's own reaction (idx, signature) added: to the group of equal signature, else
+    as a group of its own; groups in order of size, then members, and the others' members."""
+    own = source.where("signature IS NOT NULL").select("idx", F.col("signature").alias("_source"))
+    met = signature_groups(sigs).join(own, "idx").where("signature = _source").select("idx", F.col("members").alias("_met"))
+    joined = agreed.join(own, "idx", "left").join(met, "idx", "left")
+    name = F.array(F.lit(SOURCE))
+    added = F.transform("groups", lambda g: F.when(g == F.col("_met"), F.concat(g, name)).otherwise(g))
+    groups = F.when(F.col("_source").isNull(), F.col("groups")).when(F.col("_met").isNotNull(), added).otherwise(F.concat("groups", F.array(name)))
+    sized = _by_size(F.transform(groups, lambda g: F.struct(F.size(g).alias("size"), g.alias("members"))))
+    out = joined.withColumn("comparison_groups", F.transform(sized, lambda x: x["members"]))
+    rest = F.flatten(F.slice("comparison_groups", F.lit(2), F.greatest(F.size("comparison_groups") - 1, F.lit(0))))
+    return out.withColumn("comparison_disagreeing", rest).drop("_source", "_met")
 
 
 def manual_review(agreed: DataFrame, mapped: DataFrame, rare: DataFrame, least: int = LEAST_AGREEMENT) -> DataFrame:
-    """agreed with manual_review: too few agree, an agreeing model is not fully mapped ((idx, model,
-    complete) of mapped), or the input is of a rare template (idx of rare)."""
+    """agreed with mapping_complete, rare_input and manual_review: too few agree (none among them), an
+    agreeing model is not fully mapped ((idx, model, complete) of mapped), or the input is of a rare
+    template (idx of rare)."""
     members = agreed.select("idx", F.explode("members").alias("model")).join(mapped, ["idx", "model"], "left")
     complete = members.groupBy("idx").agg(F.min(F.coalesce("complete", F.lit(0))).alias("mapping_complete"))
     r = rare.select("idx").distinct().withColumn("rare_input", F.lit(1))
-    out = agreed.join(complete, "idx").join(r, "idx", "left").fillna(0, ["rare_input"])
+    out = agreed.join(complete, "idx", "left").join(r, "idx", "left").fillna(0, ["mapping_complete", "rare_input"])
     return out.withColumn("manual_review", ((F.col("agreement") < least) | (F.col("mapping_complete") == 0) | (F.col("rare_input") == 1)).cast("int"))
 
 
-def model_support(truth: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(idx, slot, support, supporting): models whose signature equals a ground truth's."""
-    joined = truth.join(sigs.select("idx", "model", "signature"), ["idx", "signature"], "left")
-    return joined.groupBy("idx", "slot").agg(F.count("model").alias("support"), F.array_join(F.array_sort(F.collect_list("model")), "; ").alias("supporting"))
+def review_order(queue: DataFrame) -> DataFrame:
+    """Manual ones first, then incomplete mapping, less agreement, idx; a global sort, for the sink alone."""
+    return queue.orderBy(F.col("manual_review").desc(), "mapping_complete", "agreement", "idx")
+
+
+def model_rows(outputs: DataFrame) -> DataFrame:
+    """What a model made of a row: outputs (idx, model, smiles: a map, and the arrays skeletons, reactions,
+    mapped, mapping_errors) with unresolved (codes of the skeletons), the roles of its mapped reactions,
+    products once for each structure, complete, and signature (null with an unresolved code or without
+    products). Mapping is complete if all reactions are, with products, without unresolved codes and errors."""
+    roles = mapped_components(F.col("mapped"))
+    unresolved = F.array_sort(unresolved_codes(F.col("smiles"), skeleton_codes(F.col("skeletons"))))
+    out = outputs.withColumn("unresolved", F.coalesce(unresolved, F.array().cast("array<string>"))).withColumn("_r", roles)
+    identity = lambda c: F.coalesce(text_key(c), c)
+    products = first_by_key(F.col("_r.products"), F.transform("_r.products", identity))
+    out = out.withColumns({"reactants": F.col("_r.reactants"), "reagents": F.col("_r.reagents"), "products": products})
+    told = F.coalesce(F.exists("mapping_errors", lambda e: F.coalesce(F.trim(e), F.lit("")) != ""), F.lit(False))
+    whole = F.col("_r.complete") & (F.size("mapped") == F.size("reactions")) & (F.size("products") > 0) & (F.size("unresolved") == 0) & ~told
+    part = lambda role, distinct: F.array_join(F.array_sort(F.array_distinct(F.transform(role, identity)) if distinct else F.transform(role, identity)), ".")
+    text = F.concat_ws(">", part("reactants", False), part("reagents", True), part("products", True))
+    usable = (F.size("unresolved") == 0) & (F.size("products") > 0)
+    return out.withColumns({"complete": F.coalesce(whole, F.lit(False)).cast("int"), "signature": F.when(usable, text)}).drop("_r")
+
+
+def carry_review(queue: DataFrame, previous: DataFrame, finalized: Sequence[str] = FINALIZED_COLUMNS, review: Sequence[str] = REVIEW_COLUMNS) -> DataFrame:
+    """queue (idx, finalized columns) with the columns of a previous review (idx, any of both): what a
+    person fills in is always taken over, empty where there is none; the finalized ones only where the
+    previous label is decided."""
+    there = [c for c in (*finalized, *review) if c in previous.columns]
+    p = previous.select("idx", *[F.col(c).alias(f"_{c}") for c in there], F.lit(True).alias("_there"))
+    joined = queue.drop(*review).join(p, "idx", "left")
+    label = F.lower(F.trim(F.col("_ground_truth_valid").cast("string"))) if "ground_truth_valid" in there else F.lit(None)
+    decided = F.coalesce(label.isin(*DECIDED), F.lit(False))
+    kept = {c: F.when(decided, F.col(f"_{c}")).otherwise(F.col(c)) for c in finalized if c in there and c in queue.columns}
+    filled = {c: F.coalesce(F.col(f"_{c}").cast("string"), F.lit("")) if c in there else F.lit("") for c in review}
+    return joined.withColumns(kept | filled).drop("_there", *[f"_{c}" for c in there])
+
+
+def model_support(truth: DataFrame, sigs: DataFrame, reactions: DataFrame | None = None) -> DataFrame:
+    """(idx, slot, support, supporting, relaxed_support, relaxed_supporting) of truth (idx, slot, signature,
+    relaxed): models of sigs (idx, model, signature, relaxed) whose signature, and whose relaxed one, equals
+    it. With reactions (idx, model, steps) also multistep, the models of idx with several mapped steps."""
+    models = sigs.select("idx", "model", F.col("signature").alias("_s"), F.col("relaxed").alias("_r"))
+    joined = truth.join(models, "idx", "left").groupBy("idx", "slot").agg(
+        *[F.array_sort(F.collect_list(F.when(F.col(a) == F.col(b), F.col("model")))).alias(n) for a, b, n in (("signature", "_s", "strict"), ("relaxed", "_r", "loose"))])
+    out = joined.select(
+        "idx", "slot", F.size("strict").alias("support"), F.array_join("strict", "; ").alias("supporting"), F.size("loose").alias("relaxed_support"), F.array_join("loose", "; ").alias("relaxed_supporting"))
+    if reactions is None:
+        return out
+    several = reactions.where("steps > 1").groupBy("idx").agg(F.count_distinct("model").alias("multistep"))
+    return out.join(several, "idx", "left").fillna(0, ["multistep"])
+
+
+def label_status(label: Column) -> Column:
+    """True, False or unreviewed, of a label's text."""
+    v, out = F.lower(F.trim(label.cast("string"))), F
+    for text, status in DECIDED.items():
+        out = out.when(v == text, F.lit(status))
+    return out.otherwise(F.lit("unreviewed"))
 
 
 def worklist(rows: DataFrame, statuses: list[str], manual_only: bool = False) -> DataFrame:
-    """Rows of given status, in order: manual first, then incomplete mapping, less agreement, idx."""
-    out = rows.where(F.col("status").isin(*statuses))
-    out = out.where("manual_review = 1") if manual_only else out
-    return out.orderBy(F.col("manual_review").desc(), "mapping_complete", "agreement", "idx")
+    """Rows whose label (ground_truth_valid) has a status among those given, as status, in order of review."""
+    out = rows.withColumn("status", label_status(F.col("ground_truth_valid"))).where(F.col("status").isin(*statuses))
+    return review_order(out.where("manual_review = 1") if manual_only else out)
+
+
+def attach_findings(audited: DataFrame, findings: DataFrame) -> DataFrame:
+    """findings (idx, slot, ...) with the audit's columns of equal (idx, slot); one without a match fails
+    the job."""
+    columns = [c for c in audited.columns if c not in ("idx", "slot")]
+    a = audited.select("idx", "slot", F.lit(True).alias("_there"), *columns)
+    joined = findings.join(a, ["idx", "slot"], "left")
+    fault = F.raise_error(F.concat(F.lit("no audited row for "), F.concat_ws("/", F.col("idx").cast("string"), F.col("slot").cast("string")))).cast("boolean")
+    return joined.where(F.when(F.col("_there"), F.lit(True)).otherwise(fault)).drop("_there")

@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rxncurate.functions.jsonfix import bound, structured_output
+from rxncurate.functions.reactions import BAD_SECTIONS, components, step_roles, valid_reaction, valid_skeleton
 from rxncurate.functions.stats import rate, wilson
+from rxncurate.functions.structure import text_key
 
 #: Label, exact frequency or None, frequency that must be above the template's or None.
 THRESHOLDS = (("N=1", 1, None), ("N<5", None, 5), ("N<10", None, 10))
@@ -55,40 +58,161 @@ def confusion_by_heuristic(flags: DataFrame, heuristics: Sequence[str], keys: Se
     return with_rates(confusion(long, [*keys, "heuristic"]))
 
 
-def step_heuristics(df: DataFrame) -> DataFrame:
-    """Heuristics of mapped steps with columns reactants, reagents, products (arrays of structure
-    keys), template_missing, maps_complete (booleans) and mapping_error: flags of 0 or 1 and the
-    distinct error texts. Identical structures: equal multisets of reactants and products."""
-    n = {c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) for c in ("reactants", "reagents", "products")}
-    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    identical = (n["products"] > 0) & (F.array_sort(F.col("reactants")) == F.array_sort(F.col("products")))
-    failure = F.col("template_missing") | ~F.col("maps_complete")
-    errors = F.filter(F.array(F.nullif(F.trim("mapping_error"), F.lit("")), F.when(~F.col("maps_complete"), F.lit("incomplete atom maps")), F.when(F.col("template_missing"), F.lit("template missing"))), lambda x: x.isNotNull())
-    return (
-        df.withColumn("many_reactants", flag(n["reactants"] > MOST_REACTANTS)).withColumn("many_products", flag(n["products"] > MOST_PRODUCTS))
-        .withColumn("many_reagents", flag(n["reagents"] > MOST_REAGENTS)).withColumn("no_reagent", flag((n["reactants"] > 0) & (n["products"] > 0) & (n["reagents"] == 0)))
-        .withColumn("identical", flag(identical)).withColumn("failure", flag(failure)).withColumn("errors", F.array_join(F.array_distinct(errors), "; "))
-    )
-
-
-def unmapped_heuristics(df: DataFrame) -> DataFrame:
-    """Heuristics where a step has no mapping: only its products count, and it is a failure."""
-    zero = F.lit(0)
-    many = (F.size("products") > MOST_PRODUCTS).cast("int")
-    return df.select("*", zero.alias("many_reactants"), many.alias("many_products"), zero.alias("many_reagents"), zero.alias("no_reagent"), zero.alias("identical"), F.lit(1).alias("failure"))
+#: The flags of a step and of a row.
+STEP_FLAGS = ("many_reactants", "many_products", "many_reagents", "no_reagent", "template_failure", "missing_product_atom_maps", "identical_structures")
+#: The heuristics of the denoising table.
+HEURISTICS = ("many_products", "many_reactants", "many_reagents", "no_reagent", "rare_template")
+#: What is wrong with a mapped step, and with one without mapping.
+NO_LEFT, NO_PRODUCTS, NO_MAPS = "missing left-side components", "missing products", "product atom mapping is incomplete"
+NO_TEMPLATE, UNREADABLE, NO_REACTANTS = "template extraction failed", "invalid SMILES", "mapped reactants unavailable"
+NO_MAPPING = "mapped reaction is unavailable"
+#: Fixed value: what stands between error texts.
+ERROR_MARK = " | "
 
 
-def row_rollup(steps: DataFrame, keys: list[str], rare: str = "issue_rare", unresolved: str = "unresolved") -> DataFrame:
-    """Row flags from step flags: any step; an unresolved name is a failure, and a rare template, a
-    failure or identical structures make the row a template anomaly."""
-    any_ = lambda c: F.max(c).alias(c)
-    out = steps.groupBy(*keys).agg(*[any_(c) for c in ("many_reactants", "many_products", "many_reagents", "no_reagent", "identical")], F.greatest(F.max("failure"), F.max(unresolved)).alias("failure"), F.max(rare).alias("issue_rare"), F.count(F.lit(1)).alias("steps"))
-    return out.withColumn("template_anomaly", F.greatest("issue_rare", "failure", "identical"))
+def _int(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False)).cast("int")
+
+
+def _step(n: dict[str, Column], flags: dict[str, Column], error: Column) -> Column:
+    counts = [n[k].cast("int").alias(f"{k}_count") for k in ("reactant", "reagent", "product")]
+    return F.struct(*counts, *[_int(flags[k]).alias(k) for k in STEP_FLAGS], error.alias("error"))
+
+
+def mapped_step(reaction: Column, template_missing: Column, mapping_error: Column, key=text_key) -> Column:
+    """Counts, flags and error text of a mapped step. Whatever is wrong with it makes it a template
+    failure. Identical structures: reactants and products are equal as multisets of their keys."""
+
+    def judge(r: Column) -> Column:
+        n = {"reactant": F.size(r["reactants"]), "reagent": F.size(r["reagents"]), "product": F.size(r["products"])}
+        keys = lambda c: F.array_sort(F.filter(F.transform(c, key), lambda k: k.isNotNull()))
+        told = F.nullif(F.trim(mapping_error), F.lit(""))
+        errors = F.array(
+            F.when(r["n_left"] == 0, F.lit(NO_LEFT)), F.when(n["product"] == 0, F.lit(NO_PRODUCTS)), F.when(r["maps_missing"], F.lit(NO_MAPS)), F.when(template_missing, F.lit(NO_TEMPLATE)),
+            told, F.when(~r["readable"], F.lit(UNREADABLE)), F.when(n["reactant"] == 0, F.lit(NO_REACTANTS)))
+        errors = F.array_distinct(F.filter(errors, lambda e: e.isNotNull()))
+        flags = {
+            "many_reactants": n["reactant"] > MOST_REACTANTS, "many_products": n["product"] > MOST_PRODUCTS, "many_reagents": n["reagent"] > MOST_REAGENTS,
+            "no_reagent": (n["reactant"] > 0) & (n["product"] > 0) & (n["reagent"] == 0), "template_failure": F.size(errors) > 0, "missing_product_atom_maps": r["maps_missing"],
+            "identical_structures": (n["reactant"] > 0) & (keys(r["reactants"]) == keys(r["products"]))}
+        zero = {k: F.lit(0) for k in n}
+        none = {k: F.lit(k in ("template_failure", "missing_product_atom_maps")) for k in STEP_FLAGS}
+        return F.when(r["ok"], _step(n, flags, F.array_join(errors, ERROR_MARK))).otherwise(_step(zero, none, F.lit(BAD_SECTIONS)))
 
+    return bound(step_roles(reaction), judge)
 
-def model_output_issue(not_applicable: Column, unresolved: Column, mapping_failed: Column, invalid: Column, mismatch: Column) -> Column:
-    """The first issue that holds, in order of weight; the empty text where none does."""
-    return F.when(not_applicable, "not_applicable").when(unresolved, "unresolved_name").when(mapping_failed, "mapping_failure").when(invalid, "invalid_structure").when(mismatch, "component_mismatch").otherwise("")
+
+def unmapped_step(reaction: Column, error: Column) -> Column:
+    """The same of a step without mapping: only its products count, and it is a failure."""
+    s = F.split(F.trim(reaction), ">", -1)
+    products = F.coalesce(F.when(F.size(s).isin(2, 3), F.size(components(F.element_at(s, -1)))), F.lit(0))
+    flags = {k: F.lit(k in ("template_failure", "missing_product_atom_maps")) for k in STEP_FLAGS} | {"many_products": products > MOST_PRODUCTS}
+    return _step({"reactant": F.lit(0), "reagent": F.lit(0), "product": products}, flags, F.coalesce(F.nullif(error, F.lit("")), F.lit(NO_MAPPING)))
+
+
+def step_heuristics(df: DataFrame) -> DataFrame:
+    """df (reaction, template_missing, mapping_error) with the counts, flags and error of mapped_step."""
+    step = mapped_step(F.col("reaction"), F.col("template_missing"), F.coalesce("mapping_error", F.lit("")))
+    return df.withColumn("_s", step).select(*df.columns, "_s.*")
+
+
+def row_heuristics(df: DataFrame, issue_rare: str = "issue_rare", unresolved: str = "unresolved") -> DataFrame:
+    """df with the flags of its row, over steps aligned by place in the arrays reactions, mapped, templates
+    and mapping_errors, as many as the longest has, one at least: any step's flag, the largest counts
+    and the distinct errors. An unresolved name is a failure; a rare input, a failure or identical
+    structures make it a rare template. All of it is work on one row."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    lists = [F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("reactions", "mapped", "templates", "mapping_errors")]
+    least = F.array(F.lit(None).cast("string"))
+    padded = F.arrays_zip(F.concat(lists[0], F.when(F.greatest(*[F.size(x) for x in lists]) == 0, least).otherwise(F.array().cast("array<string>"))).alias("r"), *[x.alias(n) for x, n in zip(lists[1:], "mte")])
+
+    def step(x: Column) -> Column:
+        error = F.when(blank(x["e"]), F.lit("")).otherwise(x["e"])
+        return F.when(~blank(x["m"]), mapped_step(x["m"], blank(x["t"]), error)).otherwise(unmapped_step(x["r"], error))
+
+    out = df.withColumn("_steps", F.transform(padded, step))
+    most = lambda c: F.array_max(F.transform("_steps", lambda s: s[c]))
+    errors = F.array_distinct(F.filter(F.transform("_steps", lambda s: s["error"]), lambda e: e != ""))
+    counts = [most(f"{k}_count").alias(f"max_{k}_count") for k in ("reactant", "reagent", "product")]
+    flags = {k: most(k) for k in STEP_FLAGS}
+    flags["template_failure"] = F.greatest(flags["template_failure"], F.col(unresolved).cast("int"))
+    rare = F.greatest(F.col(issue_rare).cast("int"), flags["template_failure"], flags["identical_structures"])
+    return out.select(*df.columns, F.size("_steps").alias("reaction_count"), *counts, *[v.alias(k) for k, v in flags.items()], rare.alias("rare_template"), F.array_join(errors, ERROR_MARK).alias("evaluation_error"))
+
+
+def row_rollup(steps: DataFrame, keys: list[str], rare: str = "issue_rare", unresolved: str = "unresolved") -> DataFrame:
+    """The same flags where steps are rows: one aggregation by keys."""
+    flags = {k: F.max(k) for k in STEP_FLAGS} | {"template_failure": F.greatest(F.max("template_failure"), F.max(unresolved))}
+    out = steps.groupBy(*keys).agg(F.count(F.lit(1)).alias("reaction_count"), *[v.alias(k) for k, v in flags.items()], F.max(rare).alias("issue_rare"))
+    return out.withColumn("rare_template", F.greatest("issue_rare", "template_failure", "identical_structures"))
+
+
+#: The issues of a model's output, in order of weight.
+ISSUES = ("not_applicable_no_valid_ground_truth", "NoSmi_in_skeleton", "mapping_or_template_failure", "invalid_model_components", "ground_truth_mismatch")
+
+
+def model_output_issue(ground_truth_valid: Column, unresolved: Column, failure: Column, signature: Column, matched: Column) -> Column:
+    """The first issue that holds; the empty text where none does."""
+    held = (~ground_truth_valid, unresolved, failure, signature.isNull(), ~matched)
+    out = F
+    for condition, issue in zip(held, ISSUES):
+        out = out.when(F.coalesce(condition, F.lit(False)), F.lit(issue))
+    return out.otherwise(F.lit(""))
+
+
+def flag_table(rows: DataFrame, manifest: DataFrame) -> DataFrame:
+    """One row for each (idx, model) of rows (idx, model, signature, unresolved and what row_heuristics
+    adds), with the label of manifest (idx, ground_truth_valid, alternatives) of equal idx: the matched
+    slot (0: none), the label, the issue of the output, and for each heuristic passed and filtered."""
+    joined = rows.join(manifest.select("idx", "ground_truth_valid", "alternatives"), "idx")
+    valid, unresolved, failure = F.col("ground_truth_valid"), F.col("unresolved").cast("boolean"), F.col("template_failure") == 1
+    fits = valid & F.col("signature").isNotNull() & ~unresolved & ~failure
+    slot = F.when(fits, F.coalesce(F.array_position("alternatives", F.col("signature")), F.lit(0))).otherwise(F.lit(0)).cast("int")
+    out = joined.withColumn("matched_ground_truth", slot).withColumn("noise_free", valid.cast("int")).withColumn("noise_label", F.when(valid, "noise-free").otherwise("noisy"))
+    out = out.withColumn("model_output_issue", model_output_issue(valid, unresolved, failure, F.col("signature"), F.col("matched_ground_truth") > 0))
+    return out.withColumns({f"{h}_filtered": F.col(h) for h in HEURISTICS} | {f"{h}_passed": 1 - F.col(h) for h in HEURISTICS})
+
+
+#: Texts (small letters) that stand for no value.
+NO_VALUE = ("", "none", "null", "nan", "nosmi", "not found", "not_found")
+#: The stages of a row, in order.
+STAGES = ("generation_success", "structured_output_success", "reaction_processing_success", "name_to_smiles_success", "atom_mapping_success", "template_processing_success")
+
+
+def has_value(c: Column) -> Column:
+    """Whether a text stands for a value."""
+    return ~F.lower(F.coalesce(F.trim(c), F.lit(""))).isin(*NO_VALUE)
+
+
+def pipeline_flags(rows: DataFrame) -> DataFrame:
+    """rows with the success (0 or 1) of each stage, from what the pipeline left of a row: prediction,
+    error, the arrays skeletons, reactions, mapper_reactions, mapped, templates, mapping_errors and the
+    map smiles; and, with table-wide labels ground_truth_valid, extraction_exact and
+    rare_template (0 or 1), whether denoising was right and the row succeeded from end to end. From
+    processing on a stage needs the one before."""
+    full = lambda c: (F.size(c) > 0) & F.forall(c, has_value)
+    as_many = lambda c: F.size(c) == F.size("reactions")
+    made = structured_output(F.col("prediction"))
+    generation = has_value(F.col("prediction")) & ~has_value(F.col("error"))
+    out = rows.withColumn("_made", made).withColumns({"_generation": generation, "_processing": generation & F.col("_made.ok") & full("skeletons") & F.forall("skeletons", valid_skeleton)})
+    conversion = F.col("_processing") & (F.size("smiles") > 0) & F.forall(F.map_values("smiles"), has_value) & full("reactions") & as_many("skeletons") & F.forall("reactions", valid_reaction)
+    out = out.withColumn("_conversion", F.coalesce(conversion, F.lit(False)))
+    told = F.exists("mapping_errors", lambda e: F.coalesce(F.trim(e), F.lit("")) != "")
+    mapping = F.col("_conversion") & as_many("mapper_reactions") & as_many("mapped") & full("mapper_reactions") & F.forall("mapped", lambda m: valid_reaction(m, mapped=True)) & ~told
+    out = out.withColumn("_mapping", F.coalesce(mapping, F.lit(False)))
+    out = out.withColumn("_template", F.coalesce(F.col("_mapping") & as_many("templates") & full("templates"), F.lit(False)))
+    free, exact, filtered = F.col("ground_truth_valid"), F.col("extraction_exact") == 1, F.col("rare_template") == 1
+    stages = dict(zip(STAGES, ("_generation", "_made.ok", "_processing", "_conversion", "_mapping", "_template")))
+    return out.withColumns({name: _int(F.col(c)) for name, c in stages.items()} | {
+        "json_reaction_step_count": F.col("_made.steps"), "reaction_step_count": F.size("reactions"), "noise_free": _int(free),
+        "denoising_correct": _int(F.when(free, ~filtered).otherwise(filtered)),
+        "strict_end_to_end_success": _int(F.when(free, exact & F.col("_mapping") & F.col("_template") & ~filtered).otherwise(filtered)),
+    }).drop("_made", "_generation", "_processing", "_conversion", "_mapping", "_template")
+
+
+def extraction_exact(ground_truth_valid: Column, alternatives: Column, signature: Column, unresolved: Column) -> Column:
+    """Whether a signature is one of those accepted, and nothing in it is unresolved."""
+    return _int(ground_truth_valid & F.array_contains(alternatives, signature) & ~unresolved)
 
 
 def issue_is_rare(issue: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rxncurate.functions import names as fn
@@ -44,6 +44,58 @@ def resolve_once(occurrences: DataFrame, dictionary: DataFrame) -> DataFrame:
     return occurrences.join(r, F.col("name").eqNullSafe(F.col("_name")), "left").drop("_name")
 
 
+#: Where an answer came from in a second pass, and the sources of a dictionary in order of
+#: priority.
+CURATED, KNOWN_ALIAS, CACHED = "Curated", "KnownAlias", "Cache"
+SOURCE_ORDER = ("PubChem", "OPSIN", "CIR", "ChEBI", "ChemSpider")
+
+
+def source_priority(source: Column) -> Column:
+    """Place of a source among SOURCE_ORDER; unknown ones come last."""
+    place = F.array_position(F.array(*[F.lit(x) for x in SOURCE_ORDER]), source)
+    return F.when(place > 0, place).otherwise(len(SOURCE_ORDER) + 1).cast("int")
+
+
+def resolve_missing(names: DataFrame, dictionary: DataFrame, overrides: DataFrame | None = None, cache: DataFrame | None = None) -> DataFrame:
+    """(name, smiles, source) for the distinct unresolved names of a table with a column name, in a
+    second pass: an override's structure; a known name; nothing for an ambiguous name without override;
+    else the cache, by the name and then by the lookup name (the override's, else the alias); else the
+    dictionary (lower_name, smiles, source, priority) by the lookup name. What an override helped to
+    find says so in its source. smiles and source are null where nothing is found.
+
+    overrides: (name, lookup_name, smiles, kind), one for each name key; cache: (name, smiles).
+    """
+    distinct = names.select("name").distinct().withColumn("clean", fn.clean_name(F.col("name")))
+    if overrides is None:
+        d = distinct.withColumns({c: F.lit(None).cast("string") for c in ("o_lookup", "o_smiles", "o_kind")}).withColumn("o", F.lit(False))
+    else:
+        blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+        o = fn.with_name_key(overrides, "name").select("name_key", blank("lookup_name").alias("o_lookup"), blank("smiles").alias("o_smiles"), blank("kind").alias("o_kind"), F.lit(True).alias("o"))
+        d = fn.with_name_key(distinct, "clean").join(o.where("name_key <> ''"), "name_key", "left").drop("name_key").fillna(False, ["o"])
+    known = F.broadcast(known_names(names))
+    d = d.withColumn("lower", F.lower("clean")).join(known.withColumnRenamed("lower_name", "lower"), "lower", "left")
+    lookup = F.coalesce(F.when(F.col("o_lookup").isNotNull(), fn.clean_name(F.col("o_lookup"))), fn.resolve_alias(F.col("clean")))
+    d = d.withColumn("lookup", lookup).withColumn("key", F.lower("lookup")).withColumn("skip", ~F.col("o") & fn.is_ambiguous(F.col("clean")))
+    if cache is None:
+        d = d.withColumn("cached", F.lit(None).cast("string"))
+    else:
+        c = cache.groupBy(F.col("name").alias("_n")).agg(F.min("smiles").alias("_s"))
+        by = lambda k: c.select(F.col("_n").alias(k), F.col("_s").alias(f"c_{k}"))
+        d = d.join(by("clean"), "clean", "left").join(by("lookup"), "lookup", "left").withColumn("cached", F.coalesce("c_clean", "c_lookup"))
+    entry = best_entry(dictionary).select(F.col("entry_name").alias("key"), "entry_smiles", "entry_source")
+    d = d.join(entry, "key", "left")
+    curated = lambda default: F.concat(F.lit(f"{CURATED}:"), F.coalesce("o_kind", F.lit(default)))
+    via = lambda source: F.when(F.col("o"), F.concat(curated("alias"), F.lit("+"), source)).otherwise(source)
+    steps = (
+        (F.col("o_smiles").isNotNull(), F.col("o_smiles"), curated("override")), (F.col("known_smiles").isNotNull(), F.col("known_smiles"), F.lit(KNOWN_ALIAS)),
+        (F.col("skip"), F.lit(None).cast("string"), F.lit(None).cast("string")), (F.col("cached").isNotNull(), F.col("cached"), via(F.lit(CACHED))),
+        (F.col("entry_smiles").isNotNull(), F.col("entry_smiles"), via(F.col("entry_source"))))
+    smiles = source = F
+    for held, s, label in steps:
+        smiles, source = smiles.when(held, s), source.when(held, label)
+    return d.select("name", smiles.alias("smiles"), source.alias("source"))
+
+
 def override_errors(overrides: DataFrame) -> DataFrame:
     """(name, problem) of override entries (name, lookup_name, smiles) that cannot be used."""
     keyed = fn.with_name_key(overrides, "name")
@@ -61,14 +113,62 @@ def structure_conflicts(entries: DataFrame) -> DataFrame:
     return entries.join(several, "name_key", "left_semi").groupBy("name_key", "smiles").agg(F.array_join(F.array_sort(F.collect_set("name")), "; ").alias("names"))
 
 
+def skeleton_uses(rows: DataFrame) -> DataFrame:
+    """One row (idx, model, reaction, pos, n_sections, code, value, side) for each code of the skeletons of
+    rows (idx, model, skeletons, smiles: a map of code to structure) whose entry is unresolved. Entries are
+    looked at before anything is exploded, so rows without unresolved ones cost nothing."""
+    left = F.map_filter("smiles", lambda k, v: F.contains(v, F.lit("(NoSmi)")))
+    some = rows.select("idx", "model", "skeletons", left.alias("_left")).where(F.size("_left") > 0)
+    reaction = some.select("idx", "model", "_left", F.posexplode("skeletons").alias("reaction", "s")).withColumn("s", F.split("s", ">", -1))
+    section = reaction.select("idx", "model", "_left", "reaction", F.size("s").alias("n_sections"), F.posexplode("s").alias("pos", "t"))
+    code = section.select("idx", "model", "_left", "reaction", "pos", "n_sections", F.explode(F.split("t", r"\.")).alias("code"))
+    used = code.withColumn("value", F.element_at("_left", F.col("code"))).where("value IS NOT NULL").drop("_left")
+    return used.withColumn("side", section_side(F.col("pos"), F.col("n_sections")))
+
+
+def section_side(pos: Column, n_sections: Column) -> Column:
+    """left for the first section (also where it is the only one), product for the last, else middle."""
+    return F.when(pos == 0, "left").when(pos == n_sections - 1, "product").otherwise("middle")
+
+
 def unresolved_usage(codes: DataFrame) -> DataFrame:
-    """Usage of unresolved names out of (idx, pos, n_sections, value): occurrences by side and rows.
-    The first section is left (also where it is the only one), the last the product side."""
-    name = fn.unresolved_name(F.col("value"))
-    side = F.when(F.col("pos") == 0, "left").when(F.col("pos") == F.col("n_sections") - 1, "product").otherwise("middle")
-    used = codes.select("idx", name.alias("name"), side.alias("side")).where("name IS NOT NULL")
-    count = lambda s: F.count_if(F.col("side") == s).alias(s)
-    return used.groupBy("name").agg(F.count(F.lit(1)).alias("occurrences"), count("left"), count("middle"), count("product"), F.count_distinct("idx").alias("n_rows"))
+    """Usage of unresolved names out of (idx, model, pos, n_sections, value): occurrences by side, rows,
+    and model:n texts."""
+    name, side = fn.unresolved_name(F.col("value")), section_side(F.col("pos"), F.col("n_sections"))
+    used = codes.select("idx", F.col("model").cast("string").alias("model"), name.alias("name"), side.alias("side")).where("name IS NOT NULL")
+    count = lambda s: F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(s)
+    per = used.groupBy("name", "model", "side").agg(F.count(F.lit(1)).alias("n"))
+    models = per.groupBy("name", "model").agg(F.sum("n").alias("n"), *[count(s) for s in ("left", "middle", "product")])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("model", "n"))), lambda x: F.concat_ws(":", x["model"], x["n"].cast("string"))), "; ")
+    sums = models.groupBy("name").agg(F.sum("n").alias("occurrences"), *[F.sum(s).alias(s) for s in ("left", "middle", "product")], text.alias("models"))
+    return sums.join(used.groupBy("name").agg(F.count_distinct("idx").alias("n_rows")), "name")
+
+
+def structures_by_name(entries: DataFrame) -> DataFrame:
+    """(name_key, smiles, n) of the resolved entries (name_key, value): how often a name has a structure."""
+    resolved = entries.where(~F.contains("value", F.lit("(NoSmi)")) & F.col("name_key").isNotNull())
+    return resolved.groupBy("name_key", F.col("value").alias("smiles")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Texts of a mapped step that is none.
+NO_STEP = ("None", "", "nan")
+
+
+def mapping_counts(rows: DataFrame) -> DataFrame:
+    """(model, mapped_steps, total_steps) of rows (model, reactions, mapped), both arrays."""
+    mapped = F.size(F.filter("mapped", lambda m: ~F.coalesce(m, F.lit("")).isin(*NO_STEP)))
+    none = F.lit(0)
+    return rows.groupBy("model").agg(F.sum(F.when(F.col("mapped").isNotNull(), mapped).otherwise(none)).alias("mapped_steps"), F.sum(F.when(F.col("reactions").isNotNull(), F.size("reactions")).otherwise(none)).alias("total_steps"))
+
+
+def recovery_by_model(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Names and occurrences of unresolved uses (model, name_key) before and after a recovery, for each
+    model and over all (model null)."""
+    both = before.select("model", "name_key", F.lit(1).alias("b")).unionByName(after.select("model", "name_key", F.lit(0).alias("b")))
+    n = lambda b: F.count_if(F.col("b") == b)
+    names = lambda b: F.count_distinct(F.when(F.col("b") == b, F.col("name_key")))
+    out = both.rollup("model").agg(names(1).alias("names_before"), n(1).alias("before"), names(0).alias("names_after"), n(0).alias("after"))
+    return out.withColumn("recovered", F.col("before") - F.col("after"))
 
 
 def unresolved_percentage(entries: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,13 +176,26 @@ def unresolved_percentage(entries: DataFrame, keys: list[str]) -> DataFrame:
     return entries.groupBy(*keys).agg(F.coalesce(F.avg(F.contains(F.lower("value"), F.lit("nosmi")).cast("double")) * 100, F.lit(0.0)).alias("unresolved_pct"))
 
 
-def recovery_audit(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Names (name_key, occurrences) before and after a recovery with their status, ambiguous names
-    (before.ambiguous) apart."""
+#: What became of a name; the last two part the names by whether they are ambiguous.
+RESOLVED, PARTLY, RETAINED, NOT_FOUND = "resolved", "partially_resolved", "retained_ambiguous_or_nonmolecular", "not_found"
+
+
+def recovery_audit(before: DataFrame, after: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """Names (name_key, occurrences and other columns of before) before and after a recovery with their
+    status. An unresolved name is retained where it is ambiguous (before.ambiguous) and has no override
+    (name_key of overrides)."""
     a = after.select("name_key", F.col("occurrences").alias("after"))
+    o = (overrides.select("name_key").distinct().withColumn("_o", F.lit(True)) if overrides is not None else before.sparkSession.range(0).select(F.lit("").alias("name_key"), F.lit(True).alias("_o")))
+    joined = before.withColumnRenamed("occurrences", "before").join(a, "name_key", "left").join(o, "name_key", "left")
     left = F.coalesce("after", F.lit(0))
-    status = F.when(left == 0, "resolved").when(left < F.col("before"), "partially_resolved").when(F.col("ambiguous"), "retained_ambiguous_or_nonmolecular").otherwise("not_found")
-    return before.select("name_key", F.col("occurrences").alias("before"), "ambiguous").join(a, "name_key", "left").select("name_key", "before", left.alias("after"), (F.col("before") - left).alias("recovered"), status.alias("status"))
+    kept = F.col("ambiguous") & F.col("_o").isNull()
+    status = F.when(left == 0, RESOLVED).when(left < F.col("before"), PARTLY).when(kept, RETAINED).otherwise(NOT_FOUND)
+    return joined.withColumn("after", left.cast("long")).withColumn("recovered", (F.col("before") - F.col("after")).cast("long")).withColumn("status", status).drop("ambiguous", "_o")
+
+
+def recovery_order(audit: DataFrame) -> DataFrame:
+    """More occurrences first, then the name's key; a global sort, for the sink alone."""
+    return audit.orderBy(F.col("before").desc(), "name_key")
 
 
 def recovery_summary(audit: DataFrame) -> DataFrame:

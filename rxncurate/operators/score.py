@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rxncurate.functions.stats import interval_text, percent_text, rate, wilson
+from rxncurate.functions.jsonfix import bound
+from rxncurate.functions.stats import interval_text, one_decimal, percent_text, rate, wilson
 
 #: Roles; reactants are multisets, the others sets.
 ROLES = ("reactants", "reagents", "products")
@@ -27,57 +30,80 @@ FAMILIES = {
 EFFORTS = {"off": 0, "none": 0, "nonreasoning": 0, "low": 1, "high": 2}
 
 
-def component_counts(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Number of each component in each role by keys; 1 at most in the roles that are sets."""
-    n = F.count(F.lit(1))
-    return df.groupBy(*keys, "role", "comp").agg(F.when(F.col("role") == MULTISET, n).otherwise(F.least(n, F.lit(1))).alias("n"))
+COUNTS = tuple(f"{r}_{c}" for r in ROLES for c in ("tp", "fp", "fn"))
 
 
-def section_counts(pairs: DataFrame, pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """tp, fp, fn, exact and covered for (rxn_id, method, slot, role) of pairs (rxn_id, method, slot).
+def _numbered(parts: Column) -> Column:
+    """A multiset as a set: each element with its number among equal ones."""
+    return F.transform(F.array_sort(parts), lambda x, i: F.struct(x.alias("x"), (i - F.array_position(F.array_sort(parts), x)).alias("i")))
 
-    pred: (rxn_id, method, role, comp); truth: (rxn_id, slot, role, comp). Both sides' counts are
-    brought to one key by a union, so there is one shuffle by pair and no outer join.
-    """
-    p = pairs.join(component_counts(pred, ["rxn_id", "method"]), ["rxn_id", "method"]).select("rxn_id", "method", "slot", "role", "comp", F.col("n").alias("p"), F.lit(0).cast("long").alias("g"))
-    g = pairs.join(component_counts(truth, ["rxn_id", "slot"]), ["rxn_id", "slot"]).select("rxn_id", "method", "slot", "role", "comp", F.lit(0).cast("long").alias("p"), F.col("n").alias("g"))
-    both = p.unionByName(g).groupBy("rxn_id", "method", "slot", "role", "comp").agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
-    cells = both.groupBy("rxn_id", "method", "slot", "role").agg(
-        F.sum(F.least("p", "g")).alias("tp"), F.sum(F.greatest(F.col("p") - F.col("g"), F.lit(0))).alias("fp"), F.sum(F.greatest(F.col("g") - F.col("p"), F.lit(0))).alias("fn"))
-    every = pairs.select("*", F.explode(F.array(*[F.lit(r) for r in ROLES])).alias("role"))
-    filled = every.join(cells, ["rxn_id", "method", "slot", "role"], "left").fillna(0, ["tp", "fp", "fn"])
-    return filled.withColumn("exact", ((F.col("fp") == 0) & (F.col("fn") == 0)).cast("int")).withColumn("covered", (F.col("fn") == 0).cast("int"))
 
+def role_sets(parts: Column) -> Column:
+    """struct of the roles of parts, an array of struct(role, comp): sets that compare as the roles do."""
+    of = lambda r: F.transform(F.filter(parts, lambda x: x["role"] == r), lambda x: x["comp"])
+    return F.struct(*[(bound(of(r), _numbered) if r == MULTISET else F.array_distinct(of(r))).alias(r) for r in ROLES])
 
-COUNTS = tuple(f"{r}_{c}" for r in ROLES for c in ("tp", "fp", "fn"))
 
+def compare_sets(pred: Column, truth: Column) -> Column:
+    """struct(exact, covered, tp, errors and each role's tp, fp, fn) of two role_sets, on one row."""
+    cells = {r: F.size(F.array_intersect(pred[r], truth[r])) for r in ROLES}
+    own = F.struct(*[c.alias(r) for r, c in cells.items()], *[F.size(pred[r]).alias(f"p_{r}") for r in ROLES], *[F.size(truth[r]).alias(f"g_{r}") for r in ROLES])
 
-def compare_alternatives(sections: DataFrame) -> DataFrame:
-    """Roles combined by (rxn_id, method, slot): exact and covered if all are, tp, the errors fp + fn, and
-    each role's counts as columns, so that nothing has to go back to the sections."""
-    of = lambda r, c: F.sum(F.when(F.col("role") == r, F.col(c)).otherwise(0)).alias(f"{r}_{c}")
-    return sections.groupBy("rxn_id", "method", "slot").agg(
-        F.min("exact").alias("exact"), F.min("covered").alias("covered"), F.sum("tp").alias("tp"), F.sum(F.col("fp") + F.col("fn")).alias("errors"),
-        *[of(r, c) for r in ROLES for c in ("tp", "fp", "fn")])
+    def judge(x: Column) -> Column:
+        fp, fn = {r: x[f"p_{r}"] - x[r] for r in ROLES}, {r: x[f"g_{r}"] - x[r] for r in ROLES}
+        lost, errors = sum(fn.values(), F.lit(0)), sum([*fp.values(), *fn.values()], F.lit(0))
+        long = lambda c: c.cast("long")
+        counts = [long(v).alias(f"{r}_{n}") for r in ROLES for n, v in (("tp", x[r]), ("fp", fp[r]), ("fn", fn[r]))]
+        return F.struct((errors == 0).cast("int").alias("exact"), (lost == 0).cast("int").alias("covered"), long(sum((x[r] for r in ROLES), F.lit(0))).alias("tp"), long(errors).alias("errors"), *counts)
 
+    return bound(own, judge)
 
-def best_ground_truth(compared: DataFrame, prefer_coverage: bool = False) -> DataFrame:
-    """The best alternative of each (rxn_id, method): [covered,] exact, more tp, fewer errors, lower slot."""
-    order = ([F.col("covered")] if prefer_coverage else []) + [F.col("exact"), F.col("tp"), -F.col("errors"), -F.col("slot")]
-    best = F.max_by(F.struct("slot", "exact", "covered", "tp", "errors", *COUNTS), F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)]))
-    return compared.groupBy("rxn_id", "method").agg(best.alias("b")).select("rxn_id", "method", "b.*")
 
+def compare_alternatives(pred: DataFrame, truth: DataFrame, methods: Sequence) -> DataFrame:
+    """One row for each (rxn_id, method) of the reactions of truth: alternatives, an array of struct(slot,
+    and compare_sets against it), and has_unresolved.
 
-def extraction_flags(best: DataFrame, unresolved: DataFrame) -> DataFrame:
-    """best with has_unresolved (from (rxn_id, method) rows that hold an unresolved name) and
-    reaction_correct, exact without one."""
-    u = unresolved.select("rxn_id", "method").distinct().withColumn("has_unresolved", F.lit(1))
-    return best.join(u, ["rxn_id", "method"], "left").fillna(0, ["has_unresolved"]).withColumn("reaction_correct", ((F.col("exact") == 1) & (F.col("has_unresolved") == 0)).cast("int"))
+    pred: (rxn_id, method, role, comp, unresolved: boolean); truth: (rxn_id, slot, role, comp). Both are
+    folded by reaction, which is one shuffle each, and meet by the same key; all else is work on a row.
+    A reaction holds a few components for each method, so arrays stay small.
+    """
+    t = truth.groupBy("rxn_id").agg(F.collect_list(F.struct("slot", "role", "comp")).alias("_t"))
+    p = pred.groupBy("rxn_id").agg(F.collect_list(F.struct("method", "role", "comp", "unresolved")).alias("_p"))
+    slots = F.array_sort(F.array_distinct(F.transform("_t", lambda x: x["slot"])))
+    accepted = F.transform(slots, lambda s: F.struct(s.alias("slot"), role_sets(F.filter("_t", lambda x: x["slot"] == s)).alias("sets")))
+    joined = t.select("rxn_id", accepted.alias("_a"), "_t").drop("_t").join(p, "rxn_id", "left")
+    kind = pred.schema["method"].dataType
+    each = joined.select("rxn_id", "_a", "_p", F.explode(F.array(*[F.lit(m).cast(kind) for m in methods])).alias("method"))
+    none = F.array().cast(p.schema["_p"].dataType)
+    own = each.withColumn("_own", F.filter(F.coalesce("_p", none), lambda x: x["method"] == F.col("method"))).drop("_p")
+    unresolved = F.exists("_own", lambda x: F.coalesce(x["unresolved"], F.lit(False))).cast("int")
+    sets = own.select("rxn_id", "method", "_a", role_sets(F.col("_own")).alias("_sets"), unresolved.alias("has_unresolved"))
+    compared = F.transform("_a", lambda a: F.struct(a["slot"].alias("slot"), compare_sets(F.col("_sets"), a["sets"]).alias("c")))
+    return sets.select("rxn_id", "method", "has_unresolved", compared.alias("alternatives"))
+
+
+def section_counts(compared: DataFrame) -> DataFrame:
+    """(rxn_id, method, slot, role, tp, fp, fn, exact, covered) of compare_alternatives' rows."""
+    rows = compared.select("rxn_id", "method", F.explode("alternatives").alias("a")).select("rxn_id", "method", "a.slot", "a.c")
+    roles = F.array(*[F.struct(F.lit(r).alias("role"), *[F.col(f"c.{r}_{n}").alias(n) for n in ("tp", "fp", "fn")]) for r in ROLES])
+    out = rows.select("rxn_id", "method", "slot", F.inline(roles))
+    return out.withColumn("exact", ((F.col("fp") == 0) & (F.col("fn") == 0)).cast("int")).withColumn("covered", (F.col("fn") == 0).cast("int"))
+
+
+def best_ground_truth(compared: DataFrame, prefer_coverage: bool = False) -> DataFrame:
+    """The best alternative of each row of compare_alternatives, with its counts: [covered,] exact, more tp,
+    fewer errors, lower slot; and reaction_correct, exact (covered, if that is preferred) without an
+    unresolved name."""
+    order = lambda a: F.struct(*([a["c"]["covered"].alias("o")] if prefer_coverage else []), a["c"]["exact"].alias("e"), a["c"]["tp"].alias("t"), (-a["c"]["errors"]).alias("r"), (-a["slot"]).alias("s"))
+    best = F.array_max(F.transform("alternatives", lambda a: F.struct(order(a).alias("o"), a.alias("a"))))["a"]
+    out = compared.select("rxn_id", "method", "has_unresolved", best.alias("b")).select("rxn_id", "method", "b.slot", "b.c.*", "has_unresolved")
+    right = F.col("covered" if prefer_coverage else "exact") == 1
+    return out.withColumn("reaction_correct", (right & (F.col("has_unresolved") == 0)).cast("int"))
 
 
 def extraction_metrics(flags: DataFrame) -> DataFrame:
     """For each method and role: sums, precision and recall (null on an empty denominator); and the
-    method's correct reactions, accuracy and Wilson interval. One aggregation of extraction_flags."""
+    method's correct reactions, accuracy and Wilson interval. One aggregation of best_ground_truth's rows."""
     sums = flags.groupBy("method").agg(F.count(F.lit(1)).alias("evaluated"), F.sum("reaction_correct").alias("correct"), *[F.sum(c).alias(c) for c in COUNTS])
     roles = F.array(*[F.struct(F.lit(r).alias("role"), *[F.col(f"{r}_{c}").alias(c) for c in ("tp", "fp", "fn")]) for r in ROLES])
     low, high = wilson(F.col("correct"), F.col("evaluated"))
@@ -155,3 +181,9 @@ def ground_truth_manifest(review: DataFrame) -> DataFrame:
 def matched_slot(alternatives: Column, sig: Column) -> Column:
     """1-based slot of the first alternative equal to a signature; 0 if none is."""
     return F.coalesce(F.array_position(alternatives, sig), F.lit(0)).cast("int")
+
+
+def metrics_of(metrics: DataFrame, model: str) -> DataFrame:
+    """A model's rows, most accurate first, with the rates as percent to one decimal: a chart's input."""
+    percent = {c: one_decimal(F.col(c) * 100) for c in ("noise_free_saved", "noisy_filtered", "accuracy")}
+    return metrics.where(F.col("model") == model).orderBy(F.col("accuracy").desc(), "heuristic").withColumns({f"{c}_percent": v for c, v in percent.items()})

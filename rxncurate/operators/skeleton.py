@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rxncurate.functions.reactions import substitute_codes
+from rxncurate.sources.shared import stored
 
 
 def parsed_steps(steps: Column) -> Column:
@@ -65,34 +66,59 @@ def with_skeletons(df: DataFrame, products: str = "products", steps: str = "step
     return g.withColumn(out, F.when(F.col(products).isNotNull(), formulas)).drop("_parsed", "_groups", "_ends", "_reaction", "_involve", "_pieces", "_closed")
 
 
+#: Fixed value: what stands for the reactions of an answer without skeletons.
+NO_SKELETON = "Error: empty rxn_codes"
+
+
 def with_reactions(df: DataFrame, skeletons: str = "skeletons", smiles: str = "smiles", out: str = "reactions") -> DataFrame:
     """df with structures in place of codes; an error text where there is no skeleton."""
     s = F.col(skeletons)
     made = F.transform(s, lambda x: substitute_codes(x, F.col(smiles)))
-    return df.withColumn(out, F.when(s.isNull() | (F.size(s) == 0), F.array(F.lit("Error: empty rxn_codes"))).otherwise(made))
+    return df.withColumn(out, F.when(s.isNull() | (F.size(s) == 0), F.array(F.lit(NO_SKELETON))).otherwise(made))
+
 
+def assemble_reactions(answers: DataFrame, dictionaries: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, skeletons, reactions, error) of answers (keys, products, steps), with the dictionary
+    (keys, smiles: a map) of equal keys; keys begin with idx. Where the answer did not decode (null
+    steps) or there is no dictionary, error names the row, and there are no reactions."""
+    joined = with_skeletons(answers.join(dictionaries.select(*keys, "smiles"), keys, "left"))
+    out = with_reactions(joined)
+    bad = F.col("steps").isNull() | F.col("smiles").isNull()
+    error = F.when(bad, F.concat(F.col(keys[0]).cast("string"), F.lit(" " + NO_SKELETON)))
+    return out.select(*keys, "skeletons", F.when(~bad, F.col("reactions")).alias("reactions"), error.alias("error"))
 
-def expand_inputs(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+
+def expand_inputs(edges: DataFrame) -> DataFrame:
     """(idx, node, base): the inputs of each intermediate that are made from nothing, over edges
-    (idx, node, input), however long the chain: each round doubles the levels that are reached and the
-    last adds nothing, so that cycles end too. A node that leads only into cycles has no base. With
-    max_depth, a ValueError tells of chains of more levels, instead of a part of the result."""
-    e = edges.select("idx", "node", F.col("input").alias("base")).distinct().localCheckpoint()
-    inner = e.select("idx", F.col("node").alias("base")).distinct()
-    if max_depth is not None:
-        now = e
-        for _ in range(max_depth):
-            now = now.join(e.select("idx", F.col("node").alias("base"), F.col("base").alias("below")), ["idx", "base"]).select("idx", "node", F.col("below").alias("base")).distinct().localCheckpoint()
-            if now.isEmpty():
-                break
-        else:
-            raise ValueError(f"chains of more than {max_depth} levels")
-    reached, n = e, e.count()
+    (idx, node, input), however long the chain is. Each round doubles the levels that are reached, is
+    written to the shared folder, and the last one adds nothing, so that cycles end too. A node that
+    leads only into cycles has no base (see cyclic_nodes)."""
+    reached = _reached(edges)
+    made = edges.select("idx", F.col("node").alias("base")).distinct()
+    return reached.join(made, ["idx", "base"], "left_anti").select("idx", "node", "base")
+
+
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """(idx, node) of the intermediates that are, through others, their own inputs."""
+    return _reached(edges).where("node = base").select("idx", "node")
+
+
+def _reached(edges: DataFrame) -> DataFrame:
+    """(idx, node, base) of every input that a node needs, directly or through others."""
+    reached = stored(edges.select("idx", "node", F.col("input").alias("base")).distinct())
+    n = reached.count()
     while True:
         further = reached.select("idx", F.col("node").alias("base"), F.col("base").alias("below"))
         longer = reached.join(further, ["idx", "base"]).select("idx", "node", F.col("below").alias("base"))
-        reached = reached.unionByName(longer).distinct().localCheckpoint()
+        reached = stored(reached.unionByName(longer).distinct())
         more = reached.count()
         if more == n:
-            return reached.join(inner, ["idx", "base"], "left_anti").select("idx", "node", "base")
+            return reached
         n = more
+
+
+def work_up_only(steps: Column, products: Column) -> Column:
+    """Chemicals of work-up steps, of parsed steps, that are neither made nor used in a reaction step."""
+    of = lambda kind: F.array_distinct(F.flatten(F.transform(F.filter(steps, lambda s: s["kind"] == kind), lambda s: s["left"])))
+    made = F.flatten(F.transform(steps, lambda s: s["right"]))
+    return F.array_except(F.array_except(F.array_except(of("work-up"), made), products), of("reaction"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rxncurate.functions import jsonfix, names, reactions
 from rxncurate.operators import audit, consensus, denoise, finetune, review, skeleton
 from rxncurate.operators import names as resolving
-from rxncurate.plans.standins import standin
+from rxncurate.plans.standins import reactions_of, standin
 from rxncurate.sources.tables import table
 
 TITLE = 40
@@ -53,9 +53,7 @@ def substitute_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reactions(spark, sf_dir):
-    m = standin(spark, sf_dir, "mapped_component")
-    part = lambda k: F.array_join(F.array_sort(F.collect_list(F.when(F.col("section") == k, F.col("smiles")))), ".")
-    return m.groupBy("rxn_id").agg(F.concat_ws(">", part(0), part(1), part(2)).alias("reaction"))
+    return reactions_of(standin(spark, sf_dir, "mapped_component"))
 
 
 def split_reaction_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,20 +74,18 @@ def mapper_input_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _step_flags(spark, sf_dir):
-    r = _reactions(spark, sf_dir).withColumn("s", reactions.roles_of_step(F.col("reaction")))
-    steps = r.select("rxn_id", "s.*", (F.col("rxn_id") % 13 == 0).alias("template_missing"), reactions.maps_complete(F.col("reaction")).alias("maps_complete"), F.when(F.col("rxn_id") % 17 == 0, " mapper failed ").alias("mapping_error"))
-    return denoise.step_heuristics(steps)
-
-
-_FLAGS = ("many_reactants", "many_products", "many_reagents", "no_reagent", "identical", "failure")
+    r = reactions_of(standin(spark, sf_dir, "mapped_steps"))
+    error = F.when(F.col("rxn_id") % 17 == 0, " mapper failed ").when(F.col("rxn_id") % 34 == 1, "invalid SMILES")
+    return denoise.step_heuristics(r.select("rxn_id", "reaction", (F.col("rxn_id") % 13 == 0).alias("template_missing"), error.alias("mapping_error")))
 
 
 def step_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _step_flags(spark, sf_dir).select("rxn_id", *_FLAGS, "errors")
+    return _step_flags(spark, sf_dir).drop("reaction", "template_missing", "mapping_error")
 
 
 def row_heuristics_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _step_flags(spark, sf_dir).select((F.col("rxn_id") / 4).cast("bigint").alias("idx"), *_FLAGS, (F.col("rxn_id") % 19 == 0).cast("int").alias("issue_rare"), (F.col("rxn_id") % 23 == 0).cast("int").alias("unresolved"))
+    rare, unresolved = (F.col("rxn_id") % 19 == 0).cast("int").alias("issue_rare"), (F.col("rxn_id") % 23 == 0).cast("int").alias("unresolved")
+    s = _step_flags(spark, sf_dir).select((F.col("rxn_id") / 4).cast("bigint").alias("idx"), *denoise.STEP_FLAGS, rare, unresolved)
     return denoise.row_rollup(s, ["idx"])
 
 
@@ -132,7 +128,7 @@ def _recovery(spark, sf_dir):
     number = F.regexp_extract("name_key", r"(\d+)", 1).cast("int")
     before = used.withColumn("ambiguous", number % 15 == 0)
     after = used.where(number % 10 != 0).withColumn("occurrences", F.when(number % 3 == 0, F.col("occurrences")).otherwise(F.floor(F.col("occurrences") / 2)))
-    return resolving.recovery_audit(before, after)
+    return resolving.recovery_audit(before, after).select("name_key", "before", "after", "recovered", "status")
 
 
 def recovery_status_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,8 +150,8 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_queue_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queue = _uses(spark, sf_dir).groupBy(F.concat_ws(":", F.col("idx").cast("string"), "name_key").alias("review_id")).agg(F.count(F.lit(1)).alias("occurrences"))
-    return review.merge_queue(queue, standin(spark, sf_dir, "decisions"))
+    queue = review.build_queue(_uses(spark, sf_dir)).select("review_id", "idx", "display_name", "occurrences", "sides")
+    return review.merge_queue(queue, standin(spark, sf_dir, "decisions").withColumn("display_name", F.upper("name_key")))
 
 
 def review_decision_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,21 +190,42 @@ def eval_disjointness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finetune_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finetune.convert(finetune.assemble(table(spark, sf_dir, "conversations"))).select("conv_id", "error", F.col("target").isNotNull().alias("has_target"))
+    return finetune.convert(finetune.assemble(table(spark, sf_dir, "conversations")))
 
 
 def finetune_role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finetune.role_counts(finetune.assemble(table(spark, sf_dir, "conversations")))
 
 
+def _signature_of(parts, keys):
+    """A reaction's signature over all roles, as consensus takes it; null without products."""
+    of = lambda r, distinct: F.array_sort((F.collect_set if distinct else F.collect_list)(F.when(F.col("role") == r, F.col("comp"))))
+    joined = parts.groupBy(*keys).agg(of("reactants", False).alias("a"), of("reagents", True).alias("b"), of("products", True).alias("c"))
+    text = F.concat_ws(">", *[F.array_join(F.col(x).cast("array<string>"), ".") for x in "abc"])
+    loose = F.array_join(F.col("c").cast("array<string>"), ".")
+    some = F.size("c") > 0
+    return joined.select(*keys, F.when(some, text).alias("signature"), F.when(some, loose).alias("relaxed"))
+
+
 def _signatures(spark, sf_dir):
-    sig = standin(spark, sf_dir, "pred_components").where("role = 'products'").groupBy(F.col("rxn_id").alias("idx"), F.col("method").alias("model_pos")).agg(F.array_join(F.array_sort(F.collect_set("comp")).cast("array<string>"), ".").alias("signature"))
-    return sig.withColumn("model", F.concat(F.lit("m"), F.col("model_pos").cast("string")))
+    sig = _signature_of(standin(spark, sf_dir, "pred_components"), ["rxn_id", "method"])
+    return sig.select(F.col("rxn_id").alias("idx"), F.col("method").alias("model_pos"), F.concat(F.lit("m"), F.col("method").cast("string")).alias("model"), "signature", "relaxed")
+
+
+def _text(groups):
+    return F.array_join(F.transform(groups, lambda g: F.array_join(g, ";")), "|")
 
 
 def consensus_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = consensus.consensus(_signatures(spark, sf_dir))
-    return c.select("idx", "signature", "agreement", F.array_join("members", ";").alias("members"), F.array_join("disagreeing", ";").alias("disagreeing"), "groups")
+    return c.select("idx", "signature", "agreement", F.array_join("members", ";").alias("members"), F.array_join("disagreeing", ";").alias("disagreeing"), _text("groups").alias("groups"))
+
+
+def consensus_with_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sigs = _signatures(spark, sf_dir)
+    source = _signature_of(standin(spark, sf_dir, "gt_components"), ["rxn_id"]).select(F.col("rxn_id").alias("idx"), F.when(F.col("rxn_id") % 6 != 0, F.col("signature")).alias("signature"))
+    c = consensus.with_source(consensus.consensus(sigs), sigs, source)
+    return c.select("idx", "agreement", _text("comparison_groups").alias("comparison_groups"), F.array_join("comparison_disagreeing", ";").alias("comparison_disagreeing"))
 
 
 def manual_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,8 +236,9 @@ def manual_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth = standin(spark, sf_dir, "gt_components").where("role = 'products'").groupBy(F.col("rxn_id").alias("idx")).agg(F.array_join(F.array_sort(F.collect_set("comp")).cast("array<string>"), ".").alias("signature")).withColumn("slot", F.lit(1))
-    return consensus.model_support(truth, _signatures(spark, sf_dir))
+    truth = _signature_of(standin(spark, sf_dir, "alternatives"), ["rxn_id", "slot"]).withColumnRenamed("rxn_id", "idx")
+    sigs = _signatures(spark, sf_dir)
+    return consensus.model_support(truth, sigs, sigs.select("idx", "model", ((F.col("idx") + F.col("model_pos")) % 3).alias("steps")))
 
 
 def element_deficit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,12 +274,23 @@ def bond_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.bond_changes(standin(spark, sf_dir, "bonds"))
 
 
-_CRITICAL = (("unmapped product atoms", "unmapped > 1"), ("element mismatch", "element_mismatch > 0"))
-_REVIEW = (("duplicate maps", "duplicate_maps > 0"), ("maps missing on the left", "missing_left > 1"))
+def _audited(spark, sf_dir):
+    """Columns that the fixed reasons look at, from the maps, the roles and the support of a reaction."""
+    m = audit.map_audit(standin(spark, sf_dir, "atoms"))
+    o = audit.role_overlap(standin(spark, sf_dir, "gt_components").withColumn("comp", F.col("comp") % 29))
+    n, k = F.col("rxn_id"), lambda d, r=0: F.col("rxn_id") % d == r
+    joined = m.join(o, "rxn_id")
+    return joined.select(
+        n.alias("rxn_id"), F.when(k(97), 1).otherwise(0).alias("invalid_smiles_count"), k(89).alias("element_deficit_flag"), F.when(k(83), "failed").alias("mapping_error"), F.lit("A>>B").alias("mapped_reaction"),
+        (F.col("unmapped") + F.col("missing_left") < 3).alias("product_mapping_complete"), F.col("duplicate_maps").alias("duplicate_atom_maps"), F.when(F.col("element_mismatch") > 2, 1).otherwise(0).alias("atom_element_mismatch"),
+        k(7).alias("reagent_contributes_to_product"), k(11).alias("noncontributing_reactant"), F.when(k(13), 2).otherwise(0).alias("role_assignment_unmatched_components"), k(17).alias("no_detectable_transformation"),
+        k(19).alias("large_reaction_center"), (~k(23)).alias("mapping_confident"), F.when(k(5), "").otherwise("T").alias("mapping_template"), F.col("reactant_reagent").alias("role_overlap_count"),
+        F.col("reactant_product").alias("product_reactant_overlap_count"), F.col("reagent_product").alias("product_reagent_overlap_count"), (n % 4).alias("multistep_model_count"), (n % 3).alias("product_count"),
+        (n % 6).alias("relaxed_model_support_count"), (F.col("same_sides") == 1).alias("identical_reactant_product"))
 
 
 def risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.risk_levels(audit.map_audit(standin(spark, sf_dir, "atoms")), _CRITICAL, _REVIEW).select("rxn_id", "risk_level", "risk_reasons")
+    return audit.risk_levels(_audited(spark, sf_dir)).select("rxn_id", "risk_level", "risk_reasons")
 
 
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +301,7 @@ QUERIES = {f.__name__: f for f in (
     json_decode_repair, structured_output_check, step_explode_classify, skeleton_assemble, substitute_codes, split_reaction_roles, role_by_map_overlap, mapper_input_form, step_heuristics,
     row_heuristics_rollup, name_clean_fix, name_key, ambiguous_name_filter, resolve_cascade, resolve_once_fanout, name_structure_conflicts, unresolved_usage, unresolved_percentage,
     recovery_status_audit, recovery_summary, review_queue, review_queue_merge, review_decision_validation, review_apply_summary, unmatched_decisions, resume_pending, checkpoint_upsert,
-    eval_disjointness, finetune_validate, finetune_role_counts, consensus_groups, manual_review_queue, model_support, element_deficit, role_multiset_overlap, assign_left_roles,
+    eval_disjointness, finetune_validate, finetune_role_counts, consensus_groups, consensus_with_source, manual_review_queue, model_support, element_deficit, role_multiset_overlap, assign_left_roles,
     unmatched_labels, map_audit, bond_changes, risk_levels, audit_summary)}
 
 from rxncurate.plans.curation_sql import ORACLE  # noqa: E402, F401

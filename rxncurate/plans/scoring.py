@@ -45,29 +45,25 @@ def weighted_extrapolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("category", "population_n", "sample_n", *[F.round(c, 6).alias(c) for c in ("weight", "weighted_tp", "weighted_fn", "weighted_fp", "weighted_tn")])
 
 
-def _scored(spark, sf_dir):
-    pred, truth = standin(spark, sf_dir, "pred_components"), standin(spark, sf_dir, "alternatives")
-    slots = truth.select("rxn_id", "slot").distinct()
-    pairs = slots.select("rxn_id", F.explode(F.array(*[F.lit(m) for m in range(4)])).alias("method"), "slot")
-    return score.section_counts(pairs, pred, truth)
+METHODS = (0, 1, 2, 3)
 
 
-def _flags(spark, sf_dir, sections):
-    best = score.best_ground_truth(score.compare_alternatives(sections))
-    unresolved = standin(spark, sf_dir, "pred_components").where("comp = 0").select("rxn_id", "method")
-    return score.extraction_flags(best, unresolved)
+def _compared(spark, sf_dir):
+    pred = standin(spark, sf_dir, "pred_components").withColumn("unresolved", F.col("comp") == 0)
+    return score.compare_alternatives(pred, standin(spark, sf_dir, "alternatives"), METHODS)
 
 
 def section_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).where("slot = 1").groupBy("method", "role").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "exact", "covered")])
+    counts = score.section_counts(_compared(spark, sf_dir))
+    return counts.groupBy("method", "slot", "role").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "exact", "covered")])
 
 
 def best_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flags(spark, sf_dir, _scored(spark, sf_dir)).drop(*score.COUNTS)
+    return score.best_ground_truth(_compared(spark, sf_dir)).drop(*score.COUNTS)
 
 
 def _metrics(spark, sf_dir):
-    return score.extraction_metrics(_flags(spark, sf_dir, _scored(spark, sf_dir)))
+    return score.extraction_metrics(score.best_ground_truth(_compared(spark, sf_dir)))
 
 
 def extraction_metrics_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +150,7 @@ ORACLE = {
       w AS (SELECT category, population_n, sample_n, population_n / sample_n AS weight, passed_tp * population_n / sample_n AS weighted_tp, filtered_fn * population_n / sample_n AS weighted_fn, passed_fp * population_n / sample_n AS weighted_fp, filtered_tn * population_n / sample_n AS weighted_tn FROM y JOIN p USING (category))
       SELECT category, population_n, sample_n, round(weight, 6) AS weight, round(weighted_tp, 6) AS weighted_tp, round(weighted_fn, 6) AS weighted_fn, round(weighted_fp, 6) AS weighted_fp, round(weighted_tn, 6) AS weighted_tn FROM w
       UNION ALL SELECT 'TOTAL', CAST(sum(population_n) AS BIGINT), CAST(sum(sample_n) AS BIGINT), NULL, round(sum(weighted_tp), 6), round(sum(weighted_fn), 6), round(sum(weighted_fp), 6), round(sum(weighted_tn), 6) FROM w""",
-    "section_counts": with_sql(_SCORING, _SECTIONS + " SELECT method, role, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(exact) AS BIGINT) AS exact, CAST(sum(covered) AS BIGINT) AS covered FROM sections WHERE slot = 1 GROUP BY method, role"),
+    "section_counts": with_sql(_SCORING, _SECTIONS + " SELECT method, slot, role, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(exact) AS BIGINT) AS exact, CAST(sum(covered) AS BIGINT) AS covered FROM sections GROUP BY method, slot, role"),
     "best_ground_truth": with_sql(_SCORING, _SECTIONS + _BEST + " SELECT rxn_id, method, slot, exact, covered, tp, errors, has_unresolved, reaction_correct FROM flags"),
     "extraction_metrics_wilson": with_sql(_SCORING, _SECTIONS + _BEST + _METRICS + " SELECT * REPLACE (round(precision, 6) AS precision, round(recall, 6) AS recall, round(accuracy, 6) AS accuracy, round(ci_lower, 6) AS ci_lower, round(ci_upper, 6) AS ci_upper) FROM m"),
     "best_configuration_per_family": with_sql(_SCORING, _SECTIONS + _BEST + _METRICS + """ SELECT CAST(method // 2 AS INT) AS family, method, method % 2 AS effort, correct, evaluated, round(accuracy, 6) AS accuracy FROM m WHERE role = 'products'

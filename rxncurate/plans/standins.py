@@ -30,6 +30,10 @@ SQL = {
         MIN(CASE WHEN l_discount < 0.10 THEN 1 ELSE 0 END) AS processed, MIN(CASE WHEN l_tax < 0.08 THEN 1 ELSE 0 END) AS converted,
         MIN(CASE WHEN l_partkey % 17 <> 0 THEN 1 ELSE 0 END) AS mapped, MIN(CASE WHEN l_suppkey % 9 <> 0 THEN 1 ELSE 0 END) AS exact,
         MIN(CASE WHEN l_orderkey % 5 <> 0 THEN 1 ELSE 0 END) AS noise_free FROM lineitem GROUP BY l_orderkey""",
+    "mapped_steps": f"""SELECT l_orderkey AS rxn_id, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS section, CAST(l_partkey % 23 + 1 AS INT) AS map,
+        CASE WHEN l_suppkey % 31 = 0 THEN concat('[C:', CAST(l_partkey % 23 + 1 AS STRING), '](') WHEN l_suppkey % 13 = 0 THEN concat('[CH3:', CAST(l_partkey % 23 + 1 AS STRING), ']C')
+          ELSE concat('[C:', CAST(l_partkey % 23 + 1 AS STRING), ']') END AS smiles,
+        CASE WHEN l_suppkey % 31 = 0 THEN 0 ELSE 1 END AS readable, CASE WHEN l_suppkey % 31 = 0 THEN 0 WHEN l_suppkey % 13 = 0 THEN 0 ELSE 1 END AS all_mapped FROM lineitem""",
     "mapped_component": f"""SELECT l_orderkey AS rxn_id, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS section,
         concat('[C:', CAST(l_partkey % 23 + 1 AS STRING), ']') AS smiles FROM lineitem""",
     "answers": """SELECT k, CASE WHEN k % 5 = 0 THEN concat('"', replace(replace(c, chr(92), concat(chr(92), chr(92))), '"', concat(chr(92), '"')), '"') ELSE c END AS answer
@@ -41,8 +45,8 @@ SQL = {
     "dictionary": "SELECT lower(p_name) AS lower_name, concat('C', CAST(p_size AS STRING)) AS smiles, p_brand AS source, CAST(p_partkey % 5 AS INT) AS priority FROM part WHERE p_partkey % 3 <> 1",
     "codes": """SELECT l_orderkey AS idx, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS pos, 3 AS n_sections, CAST(l_suppkey % 4 AS BIGINT) AS model, concat('c', CAST(l_linenumber AS STRING)) AS code,
         CASE WHEN l_partkey % 5 = 0 THEN concat('[part ', CAST(l_partkey % 50 AS STRING), ' (NoSmi)]') ELSE 'CC' END AS value FROM lineitem""",
-    "decisions": """SELECT p_partkey AS idx, concat('part ', CAST(p_partkey % 50 AS STRING)) AS name_key, concat(CAST(p_partkey AS STRING), ':part ', CAST(p_partkey % 50 AS STRING)) AS review_id,
-        CASE p_partkey % 6 WHEN 0 THEN 'approve' WHEN 1 THEN 'exclude' WHEN 2 THEN 'keep_unresolved' WHEN 3 THEN 'maybe' ELSE '' END AS review_decision,
+    "decisions": """SELECT p_partkey AS idx, concat('part ', CAST(p_partkey % 50 AS STRING)) AS name_key, concat('row-', CAST(p_partkey AS STRING), '__part ', CAST(p_partkey % 50 AS STRING)) AS review_id,
+        CASE p_partkey % 6 WHEN 0 THEN 'Use_SMILES ' WHEN 1 THEN 'exclude_from_mapping' WHEN 2 THEN 'keep_unresolved' WHEN 3 THEN 'maybe' ELSE '' END AS review_decision,
         CASE WHEN p_partkey % 12 = 0 THEN concat('C', CAST(p_size AS STRING)) ELSE '' END AS reviewed_smiles, '' AS evidence, p_brand AS review_note FROM part""",
     "atoms": """SELECT l_orderkey AS rxn_id, CASE WHEN l_returnflag = 'N' THEN 'product' ELSE 'input' END AS side, CAST(l_partkey % 11 AS INT) AS map, CASE l_suppkey % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'N' ELSE 'O' END AS element FROM lineitem""",
     "bonds": """SELECT l_orderkey AS rxn_id, CASE WHEN l_returnflag = 'N' THEN 'product' ELSE 'input' END AS side, CAST(l_partkey % 7 AS INT) AS a, CAST(7 + l_suppkey % 5 AS INT) AS b, CAST(1 + l_linenumber % 2 AS INT) AS bond_order FROM lineitem""",
@@ -61,6 +65,12 @@ def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{base: table(spark, sf_dir, base)})
 
 
+def reactions_of(parts: DataFrame) -> DataFrame:
+    """(rxn_id, reaction): components (rxn_id, section, smiles) as reaction strings, each section in order."""
+    section = lambda k: F.array_join(F.array_sort(F.collect_list(F.when(F.col("section") == k, F.col("smiles")))), ".")
+    return parts.groupBy("rxn_id").agg(F.concat_ws(">", section(0), section(1), section(2)).alias("reaction"))
+
+
 def noise_flags(rows: DataFrame) -> DataFrame:
     """template_rows with the anomaly flag of singleton thresholds."""
     return rows.withColumn("template_anomaly", F.greatest("singleton", "template_failure", "identical_structures"))

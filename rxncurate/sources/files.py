@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from rxncurate.functions.checks import assert_unique
+
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """A table with header and quoted, multi-line cells; a byte-order mark before the first name is dropped."""
@@ -60,7 +62,30 @@ def to_long(df: DataFrame, ids: list[str], models: list[str], fields: list[str])
 
 
 def attach_dictionaries(df: DataFrame, dictionaries: DataFrame, key: str = "idx") -> DataFrame:
-    """df with the dictionary column of equal key; raises if the numbers of rows differ."""
-    if df.count() != dictionaries.count():
-        raise ValueError("rows and dictionaries differ in number")
-    return df.join(dictionaries, key)
+    """df with the dictionary columns of equal key. Both sides have the same keys, each once; else the job
+    fails, when it runs."""
+    b = assert_unique(dictionaries, [key]).withColumn("_there", F.lit(True))
+    joined = assert_unique(df, [key]).withColumn("_here", F.lit(True)).join(b, key, "full")
+    both = F.col("_here").isNotNull() & F.col("_there").isNotNull()
+    checked = F.when(both, F.lit(True)).otherwise(F.raise_error(F.lit("rows and dictionaries differ")).cast("boolean"))
+    return joined.where(checked).drop("_here", "_there")
+
+
+def write_dictionaries(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines, maps and arrays as they are; null fields are written."""
+    df.write.option("ignoreNullFields", False).json(path)
+
+
+def read_dictionaries(spark: SparkSession, path: str, schema: StructType | str = "idx long, smiles map<string,string>") -> DataFrame:
+    """Rows that write_dictionaries wrote."""
+    return spark.read.schema(schema).json(path)
+
+
+def write_chat_records(df: DataFrame, path: str, messages: str = "messages") -> None:
+    """Lines {"messages": [...]} of an array of struct(role, content)."""
+    df.select(F.to_json(F.struct(F.col(messages).alias("messages"))).alias("value")).write.text(path)
+
+
+def models_without_dictionary(outputs: DataFrame, dictionaries: DataFrame) -> DataFrame:
+    """(model) of outputs that have no dictionary of equal model."""
+    return outputs.select("model").distinct().join(dictionaries.select("model").distinct(), "model", "left_anti")
