@@ -73,7 +73,7 @@ def unique_last(m: Column) -> Column:
 def structured_output(value: Column) -> Column:
     """struct(ok, steps): whether an answer has its three sections as objects and reaction steps, all with
     an arrow; and how many reaction steps it has. Keys are compared trimmed and lower-cased."""
-    section = lambda top, *names: F.element_at(F.filter(F.map_entries(top), lambda e: F.lower(F.trim(e["key"])).isin(*names)), 1)["value"]
+    section = lambda top, *names: F.get(F.filter(F.map_entries(top), lambda e: F.lower(F.trim(e["key"])).isin(*names)), F.lit(0))["value"]
     as_map = lambda text: F.from_json(F.when(F.startswith(F.trim(text), F.lit("{")), text), "map<string,string>")
     kinds = lambda steps: F.filter(F.map_entries(steps), lambda e: F.contains(F.lower(e["key"]), F.lit("reaction")) & ~F.contains(F.lower(e["key"]), F.lit("work-up")))
     count = lambda k: F.coalesce(F.when(k.isNotNull(), F.size(k)), F.lit(0))

@@ -195,7 +195,7 @@ def pipeline_flags(rows: DataFrame) -> DataFrame:
     made = structured_output(F.col("prediction"))
     generation = has_value(F.col("prediction")) & ~has_value(F.col("error"))
     out = rows.withColumn("_made", made).withColumns({"_generation": generation, "_processing": generation & F.col("_made.ok") & full("skeletons") & F.forall("skeletons", valid_skeleton)})
-    conversion = F.col("_processing") & (F.size("smiles") > 0) & F.forall(F.map_values("smiles"), has_value) & full("reactions") & as_many("skeletons") & F.forall("reactions", valid_reaction)
+    conversion = F.col("_processing") & (F.size("smiles") > 0) & F.forall(F.map_values("smiles"), has_value) & full("reactions") & as_many("skeletons") & F.forall("reactions", lambda r: valid_reaction(r))
     out = out.withColumn("_conversion", F.coalesce(conversion, F.lit(False)))
     told = F.exists("mapping_errors", lambda e: F.coalesce(F.trim(e), F.lit("")) != "")
     mapping = F.col("_conversion") & as_many("mapper_reactions") & as_many("mapped") & full("mapper_reactions") & F.forall("mapped", lambda m: valid_reaction(m, mapped=True)) & ~told

@@ -53,7 +53,7 @@ NO_OBJECT = "Assistant target is not a JSON object after decoding."
 def convert(records: DataFrame) -> DataFrame:
     """(conv_id, error, target): a record's error, and the target of a good one. A record whose target is
     no JSON object has that for its error."""
-    checked = records.select("conv_id", record_error(F.col("messages")).alias("e"), F.element_at("messages", -1)["content"].alias("c"))
+    checked = records.select("conv_id", record_error(F.col("messages")).alias("e"), F.try_element_at("messages", F.lit(-1))["content"].alias("c"))
     made = checked.withColumn("target", target_json(F.when(F.col("e").isNull(), F.col("c"))))
     error = F.coalesce("e", F.when(F.col("target").isNull(), F.lit(NO_OBJECT)))
     return made.select("conv_id", error.alias("error"), "target")

@@ -9,7 +9,6 @@ from rxncurate.operators import denoise, score
 from rxncurate.plans.standins import noise_flags, standin, with_sql
 from rxncurate.sources.tables import table
 
-STAGES = ("structured", "processed", "converted", "mapped")
 HEURISTICS = ("many_products", "many_reactants", "many_reagents", "no_reagent", "template_anomaly")
 
 
@@ -81,18 +80,9 @@ def publication_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.publication_table(_metrics(spark, sf_dir))
 
 
-def stage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = denoise.stage_summary(standin(spark, sf_dir, "stage_rows"), STAGES)
-    return s.select("stage", "stage_order", "total", "reached", "passed", "failed", *[F.round(c, 6).alias(c) for c in ("conditional_rate", "overall_rate", "ci_lower", "ci_upper")])
-
-
-def noise_free_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return denoise.noise_free_funnel(standin(spark, sf_dir, "stage_rows"), STAGES, "exact").withColumn("conditional_rate", F.round("conditional_rate", 6))
-
-
 QUERIES = {f.__name__: f for f in (
     template_frequency, threshold_sensitivity, confusion_by_heuristic, stratified_sample, weighted_extrapolation, section_counts, best_ground_truth,
-    extraction_metrics_wilson, best_configuration_per_family, publication_table, stage_summary, noise_free_funnel)}
+    extraction_metrics_wilson, best_configuration_per_family, publication_table)}
 
 _FREQ = """, f AS (SELECT t.*, c.n AS template_frequency, CASE WHEN c.n = 1 THEN 1 ELSE 0 END AS singleton
   FROM template_rows t JOIN (SELECT template, count(*) AS n FROM template_rows GROUP BY template) c USING (template))"""
@@ -132,9 +122,6 @@ _METRICS = f""", m AS (
   JOIN (SELECT method, count(*) AS evaluated, CAST(sum(reaction_correct) AS BIGINT) AS correct FROM flags GROUP BY method) r ON r.method = s.method)"""
 _METRICS = _METRICS.replace("sections JOIN flags USING (rxn_id, method, slot)", "(SELECT sections.* FROM sections JOIN flags USING (rxn_id, method, slot))")
 _SCORING = ["pred_components", "alternatives"]
-_PASS = ["structured", "structured * processed", "structured * processed * converted", "structured * processed * converted * mapped"]
-_STAGE_ROWS = " UNION ALL ".join(f"SELECT {k} AS stage_order, '{s}' AS stage, count(*) AS total, CAST(sum({'1' if not k else _PASS[k - 1]}) AS BIGINT) AS reached, CAST(sum({_PASS[k]}) AS BIGINT) AS passed FROM x" for k, s in enumerate(STAGES))
-_SLOW, _SHIGH = _WILSON("passed::DOUBLE", "reached::DOUBLE")
 
 ORACLE = {
     "template_frequency": with_sql(["template_rows"], _FREQ + " SELECT source_row, template, template_frequency, singleton FROM f"),
@@ -157,7 +144,4 @@ ORACLE = {
       QUALIFY row_number() OVER (PARTITION BY method // 2 ORDER BY accuracy DESC, method % 2, method) = 1"""),
     "publication_table": with_sql(_SCORING, _SECTIONS + _BEST + _METRICS + " SELECT method, " + ", ".join(f"max(CASE WHEN role = '{r}' THEN printf('%.4f', {k} * 100) END) AS {r}_{k}_pct" for r in ("reactants", "reagents", "products") for k in ("precision", "recall"))
       + ", printf('%.4f', any_value(accuracy) * 100) || ' (' || printf('%.4f', any_value(ci_lower) * 100) || '–' || printf('%.4f', any_value(ci_upper) * 100) || ')' AS accuracy_ci FROM m GROUP BY method"),
-    "stage_summary": with_sql(["stage_rows"], f", x AS (SELECT * FROM stage_rows), y AS ({_STAGE_ROWS}) SELECT stage, stage_order, total, reached, passed, reached - passed AS failed, round(passed / reached, 6) AS conditional_rate, round(passed / total, 6) AS overall_rate, round({_SLOW}, 6) AS ci_lower, round({_SHIGH}, 6) AS ci_upper FROM y"),
-    "noise_free_funnel": with_sql(["stage_rows"], f""", x AS (SELECT * FROM stage_rows WHERE noise_free = 1), y AS ({_STAGE_ROWS}) SELECT stage_order, stage, reached, passed, total, round(passed / reached, 6) AS conditional_rate, passed || '/' || total AS share FROM y
-      UNION ALL SELECT 4, 'exact', NULL, CAST(sum(exact) AS BIGINT), count(*), NULL, CAST(sum(exact) AS BIGINT) || '/' || count(*) FROM x"""),
 }

@@ -26,14 +26,19 @@ SQL = {
         CASE WHEN value > 50 THEN 1 ELSE 0 END AS many_products, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS many_reactants,
         CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS many_reagents, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS no_reagent
       FROM events""",
-    "stage_rows": """SELECT l_orderkey AS idx, MIN(CASE WHEN l_quantity < 49 THEN 1 ELSE 0 END) AS structured,
-        MIN(CASE WHEN l_discount < 0.10 THEN 1 ELSE 0 END) AS processed, MIN(CASE WHEN l_tax < 0.08 THEN 1 ELSE 0 END) AS converted,
-        MIN(CASE WHEN l_partkey % 17 <> 0 THEN 1 ELSE 0 END) AS mapped, MIN(CASE WHEN l_suppkey % 9 <> 0 THEN 1 ELSE 0 END) AS exact,
-        MIN(CASE WHEN l_orderkey % 5 <> 0 THEN 1 ELSE 0 END) AS noise_free FROM lineitem GROUP BY l_orderkey""",
     "mapped_steps": f"""SELECT l_orderkey AS rxn_id, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS section, CAST(l_partkey % 23 + 1 AS INT) AS map,
         CASE WHEN l_suppkey % 31 = 0 THEN concat('[C:', CAST(l_partkey % 23 + 1 AS STRING), '](') WHEN l_suppkey % 13 = 0 THEN concat('[CH3:', CAST(l_partkey % 23 + 1 AS STRING), ']C')
           ELSE concat('[C:', CAST(l_partkey % 23 + 1 AS STRING), ']') END AS smiles,
         CASE WHEN l_suppkey % 31 = 0 THEN 0 ELSE 1 END AS readable, CASE WHEN l_suppkey % 31 = 0 THEN 0 WHEN l_suppkey % 13 = 0 THEN 0 ELSE 1 END AS all_mapped FROM lineitem""",
+    "model_steps": """SELECT idx, pos, form, CASE WHEN l_suppkey % 67 = 0 THEN '>B' ELSE 'A>B' END AS skeletons, CASE WHEN l_partkey % 71 = 0 THEN 'C>(NoSmi)' ELSE 'C>O>CO' END AS reactions,
+        CASE WHEN l_partkey % 73 = 0 THEN 'nan' ELSE 'C.O>>CO' END AS mapper_reactions, CASE form WHEN 1 THEN '[CH3:1][OH:2].CC>>[CH3:1][OH:2]' WHEN 2 THEN '[CH3:1][Br:3].[OH:2].O>>[CH3:1][OH:2]'
+          WHEN 3 THEN '[CH3:1].[OH:2].[NH3:3]>>[CH3:1][OH:2][NH2:3].[CH3:1]C' ELSE ' ' END AS mapped, CASE WHEN l_partkey % 59 = 0 THEN '' ELSE 'T' END AS templates, CASE WHEN l_suppkey % 61 = 0 THEN 'boom' ELSE '' END AS mapping_errors
+      FROM (SELECT l_orderkey AS idx, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS INT) AS pos,
+        CASE WHEN l_partkey % 53 = 0 THEN 0 WHEN l_partkey % 31 = 0 THEN 3 WHEN l_suppkey % 43 = 0 THEN 1 ELSE 2 END AS form, l_partkey, l_suppkey FROM lineitem) s""",
+    "model_answers": """SELECT idx, CASE WHEN idx % 22 = 0 THEN 'null' WHEN idx % 11 = 0 THEN '{"Reactants": {}}' ELSE concat('{"Reactants": {"A": "x"}, "Products": {"B": "y"}, "Reaction Steps": {"1 (Reaction, mix)": "', CASE WHEN idx % 17 = 0 THEN 'A B' ELSE 'A->B' END, '"}}') END AS prediction,
+        CASE WHEN idx % 29 = 0 THEN 'timeout' END AS error, CASE WHEN idx % 19 = 0 THEN 1 ELSE 0 END AS issue_rare, CASE WHEN idx % 31 = 0 THEN 1 ELSE 0 END AS unresolved, idx % 5 <> 0 AS ground_truth_valid,
+        CASE WHEN idx % 13 <> 0 THEN concat('S', CAST(idx % 7 AS STRING)) END AS signature, concat('S', CAST(CASE WHEN idx % 3 = 0 THEN idx % 6 ELSE idx % 7 END AS STRING)) AS first_signature, CASE WHEN idx % 4 = 0 THEN concat('S', CAST(idx % 7 AS STRING)) END AS second_signature
+      FROM (SELECT DISTINCT l_orderkey AS idx FROM lineitem) k""",
     "mapped_component": f"""SELECT l_orderkey AS rxn_id, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS section,
         concat('[C:', CAST(l_partkey % 23 + 1 AS STRING), ']') AS smiles FROM lineitem""",
     "answers": """SELECT k, CASE WHEN k % 5 = 0 THEN concat('"', replace(replace(c, chr(92), concat(chr(92), chr(92))), '"', concat(chr(92), '"')), '"') ELSE c END AS answer
