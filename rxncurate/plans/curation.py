@@ -40,7 +40,7 @@ def step_explode_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skeleton_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skeleton.with_skeletons(_steps(spark, sf_dir)).select("idx", "skeletons")
+    return skeleton.with_skeletons(_steps(spark, sf_dir)).select("idx", F.array_join("skeletons", "|").alias("skeletons"))
 
 
 def _smiles():
@@ -49,7 +49,7 @@ def _smiles():
 
 def substitute_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = skeleton.with_skeletons(_steps(spark, sf_dir)).withColumn("smiles", _smiles())
-    return skeleton.with_reactions(s).select("idx", "reactions")
+    return skeleton.with_reactions(s).select("idx", F.array_join("reactions", "|").alias("reactions"))
 
 
 def _reactions(spark, sf_dir):

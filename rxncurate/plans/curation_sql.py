@@ -89,7 +89,14 @@ _MAPS = """, pp AS (SELECT * FROM atoms WHERE side = 'product'), pm AS (SELECT r
       CASE WHEN same = 1 THEN 'reactant and product structure sets are identical' END] IF e IS NOT NULL] AS rev FROM ma JOIN ov USING (rxn_id)),
   ri AS (SELECT rxn_id, CASE WHEN len(crit) > 0 THEN 'critical' WHEN len(rev) > 0 THEN 'manual_review' ELSE 'pass' END AS risk_level, array_to_string(list_concat(crit, rev), '; ') AS risk_reasons FROM rs)"""
 
+# Every step of the stand-in makes one product from one code and the product before, so each is a group of
+# its own and the last makes P: pieces in order, then the rules on leading and doubled signs.
+_SKELETON = lambda code: f"""WITH {_STEPS}, g AS (SELECT l_orderkey, n, {code} AS c, l_returnflag FROM r),
+  t AS (SELECT l_orderkey AS idx, replace(ltrim(string_agg(CASE l_returnflag WHEN 'R' THEN c || '>' WHEN 'A' THEN '>' || c || '>' ELSE '' END, '' ORDER BY n), '>') || '>P', '>>', '>') AS f FROM g GROUP BY l_orderkey)"""
+
 ORACLE = {
+    "skeleton_assemble": _SKELETON("'C' || (l_partkey % 9)") + " SELECT idx, CASE WHEN f[1] = '>' THEN '' ELSE f END AS skeletons FROM t",
+    "substitute_codes": _SKELETON("CASE WHEN (l_partkey % 9) % 2 = 0 THEN repeat('C', CAST(l_partkey % 9 + 1 AS INT)) ELSE 'C' || (l_partkey % 9) END") + " SELECT idx, CASE WHEN f[1] = '>' THEN 'Error: empty rxn_codes' ELSE f END AS reactions FROM t",
     "json_decode_repair": with_sql(["answers"], _LEVELS + """ SELECT k, decoded IS NOT NULL AS valid, json_extract_string(obj, '$.Products.C') AS product, json_extract_string(obj, '$."Reactants, Solvents, Catalysts".B') AS b FROM o"""),
     "structured_output_check": with_sql(["answers"], _LEVELS + """ SELECT k, coalesce(json_type(obj, '$.Products') = 'OBJECT' AND json_type(obj, '$."Reactants, Solvents, Catalysts"') = 'OBJECT' AND s LIKE '%(Reaction,%' AND s LIKE '%->%', FALSE) AS ok,
       CASE WHEN s LIKE '%(Reaction,%' THEN 1 ELSE 0 END AS steps FROM (SELECT k, obj, json_extract_string(obj, '$."Reaction Steps"') AS s FROM o)"""),

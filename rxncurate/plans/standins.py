@@ -48,6 +48,8 @@ SQL = {
     "names": """SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN concat('Compound ', CAST(p_partkey AS STRING)) WHEN 1 THEN 'silica gel' WHEN 2 THEN concat(p_name, '  anhydrous') WHEN 3 THEN concat('5% ', p_name)
         WHEN 4 THEN concat(p_name, ' (dry)') WHEN 5 THEN 'DMSO' WHEN 6 THEN concat('α-é<b>', p_name, '</b>') ELSE p_name END AS name FROM part""",
     "dictionary": "SELECT lower(p_name) AS lower_name, concat('C', CAST(p_size AS STRING)) AS smiles, p_brand AS source, CAST(p_partkey % 5 AS INT) AS priority FROM part WHERE p_partkey % 3 <> 1",
+    "overrides": """SELECT name, CASE WHEN k % 3 = 1 THEN 'dimethyl sulfoxide' ELSE '' END AS lookup_name, CASE WHEN k % 3 = 0 THEN concat('OV', CAST(k % 10 AS STRING)) END AS smiles, CASE WHEN k % 2 = 0 THEN 'synonym' END AS kind
+      FROM (SELECT p_name AS name, CAST(min(p_partkey) AS BIGINT) AS k FROM part WHERE p_partkey % 7 = 2 GROUP BY p_name) o""",
     "codes": """SELECT l_orderkey AS idx, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS pos, 3 AS n_sections, CAST(l_suppkey % 4 AS BIGINT) AS model, concat('c', CAST(l_linenumber AS STRING)) AS code,
         CASE WHEN l_partkey % 5 = 0 THEN concat('[part ', CAST(l_partkey % 50 AS STRING), ' (NoSmi)]') ELSE 'CC' END AS value FROM lineitem""",
     "decisions": """SELECT p_partkey AS idx, concat('part ', CAST(p_partkey % 50 AS STRING)) AS name_key, concat('row-', CAST(p_partkey AS STRING), '__part ', CAST(p_partkey % 50 AS STRING)) AS review_id,
@@ -65,7 +67,7 @@ def with_sql(names: list[str], body: str) -> str:
 
 def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stand-in as a DataFrame, on the tables of a folder."""
-    base = {"template_rows": "events", "answers": "orders", "names": "part", "dictionary": "part", "decisions": "part"}.get(name, "lineitem")
+    base = {"template_rows": "events", "answers": "orders", "names": "part", "dictionary": "part", "decisions": "part", "overrides": "part"}.get(name, "lineitem")
     text = SQL[name].replace("{", "{{").replace("}", "}}").replace(f"FROM {base}", f"FROM {{{base}}}")
     return spark.sql(text, **{base: table(spark, sf_dir, base)})
 
