@@ -6,7 +6,7 @@ Jaccard distance is a metric; documents link within a radius. The join goes in t
   in it alone is farther than the radius from every other, and is left out. (Without it nearly all
   documents would be at distance 1 from every pivot, and no pivot could part them.)
 * Pivots are picked among the rest by anchors: each set names two of its shingles by a keyed hash, and
-  the first set with an anchor is the pivot of all that name it. A set within the radius of a pivot
+  of all that name one the set with the least share of shingles of its own is the pivot. A set within the radius of a pivot
   is linked to it and belongs to the region of the nearest; a set that no pivot is near is a pivot.
 * Pivots are joined with pivots. Two regions can hold a link only if their pivots are at most both
   regions' extents and the radius apart; a prefix of the rarest shingles finds all such pivots.
@@ -23,10 +23,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,33 +44,61 @@ ANCHORS, LEAST_PROGRESS = 2, 0.7
 #: Beyond this number of buckets a block's row for a bucket would hold but a few shingles.
 _MOST_BUCKETS = 1 << 20
 _KNOWN = 200_000
+#: Characters of the texts that are shingled at once.
+_RUN_CHARS = 1 << 20
 _EPSILON = 1e-9
 _TABLE = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Shingler:
-    """Sorted distinct 64-bit shingles of a text: of n words, or of all words where there are fewer."""
+    """Sorted distinct 64-bit shingles of texts: of n words, or of all words where there are fewer. Texts
+    are worked on a run at a time, so that arrays are long and bounded."""
 
     def __init__(self, n: int):
         self.n, self.known = n, {}
 
-    def __call__(self, text: str) -> np.ndarray:
-        words, known, n = text.encode("utf-8", "replace").translate(_TABLE).split(), self.known, self.n
-        if not words:
-            return np.zeros(0, np.uint64)
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts, one after the other, and how many each has."""
+        cut = [t.encode("utf-8", "replace").translate(_TABLE).split() for t in texts]
+        every, known = list(chain.from_iterable(cut)), self.known
         if len(known) > _KNOWN:
             known.clear()
-        for w in set(words).difference(known):
-            known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "big")
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        size = min(n, len(h))
+        for w in set(every).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, every), np.uint64, len(every)), np.fromiter(map(len, cut), np.int64, len(cut))
+
+    @staticmethod
+    def _mixed(h: np.ndarray, size: int) -> np.ndarray:
+        """Hash of the window of that many words at every place."""
         out = np.full(len(h) - size + 1, size, np.uint64)
         for k in range(size):
             out = (out * _MULTIPLIER) ^ h[k:len(h) - size + 1 + k]
             out ^= out >> np.uint64(29)
         out *= np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique(out ^ (out >> np.uint64(32)))
+        return out ^ (out >> np.uint64(32))
+
+    def _run(self, texts: list[str]) -> list[np.ndarray]:
+        h, lengths = self._words(texts)
+        ends = np.cumsum(lengths)
+        n = self.n
+        whole = self._mixed(h, n) if len(h) >= n else np.zeros(0, np.uint64)
+        out = []
+        for end, size in zip(ends.tolist(), lengths.tolist()):
+            own = whole[end - size:end - n + 1].copy() if size >= n else self._mixed(h[end - size:end], size) if size else h[:0]
+            own.sort()
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) > 1 else own)
+        return out
+
+    def __call__(self, texts: Iterable[str]) -> list[np.ndarray]:
+        out, run, size = [], [], 0
+        for t in texts:
+            run.append(t)
+            size += len(t)
+            if size >= _RUN_CHARS:
+                out += self._run(run)
+                run, size = [], 0
+        return out + self._run(run)
 
 
 def _census(n: int, bits: int):
@@ -78,8 +108,8 @@ def _census(n: int, bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, found = Shingler(n), {}
         for b in batches:
-            for block, t in zip(b["block"], b["t"]):
-                found.setdefault(block, []).append(shingles(t) >> np.uint64(32 - bits))
+            for block, own in zip(b["block"], shingles(b["t"])):
+                found.setdefault(block, []).append(own >> np.uint64(32 - bits))
         for block in list(found):
             keys, count = np.unique(np.concatenate(found.pop(block)), return_counts=True)
             bucket = (keys >> np.uint64(32)).astype(np.int64)
@@ -116,20 +146,21 @@ def _profile(n: int, bits: int, percent: int):
     it alone, and the shared ones of its longest prefix, rarest first."""
 
     def run(docs: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
-        shingles = Shingler(n)
-        sets = [shingles(t) for t in docs["t"]]
-        keys = np.unique(np.concatenate(sets) >> np.uint64(32 - bits)) if sets else np.zeros(0, np.uint64)
+        sets = Shingler(n)(docs["t"])
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        _, at = np.unique(flat >> np.uint64(32 - bits), return_inverse=True)
         totals = np.concatenate([np.frombuffer(x, np.uint8) for x in sums.sort_values("bucket")["totals"]]) if len(sums) else np.zeros(0, np.uint8)
-        rows = []
-        for s in sets:
-            df = totals[np.searchsorted(keys, s >> np.uint64(32 - bits))]
-            alone = len(s) - np.count_nonzero(df > 1)
-            if not len(s) or 100 * (len(s) - alone) < percent * len(s):
-                rows.append((len(s), None, None, None, None))
-                continue
-            prefix = np.lexsort((s, df))[alone:_prefix_size(len(s), _wide(percent))]
-            rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), s.astype(np.int64), alone, s[prefix].astype(np.int64)))
-        return pd.DataFrame(rows, columns=["n_shingles", "set_hash", "set", "alone", "rarest"]).assign(doc_id=docs["doc_id"].to_numpy())
+        df = totals[at]
+        shared = np.bincount(np.repeat(np.arange(len(sets)), size), df > 1, len(sets)).astype(np.int64)
+        alone, starts = size - shared, np.cumsum(size) - size
+        rows: list[tuple] = [(None, None, None)] * len(sets)
+        for k in np.flatnonzero((size > 0) & (100 * shared >= percent * size)):
+            s, own = sets[k], df[starts[k]:starts[k] + size[k]]
+            prefix = np.lexsort((s, own))[alone[k]:_prefix_size(int(size[k]), _wide(percent))]
+            rows[k] = (hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), s.astype(np.int64), s[prefix].astype(np.int64))
+        found = pd.DataFrame(rows, columns=["set_hash", "set", "rarest"])
+        return found.assign(n_shingles=size, alone=alone, doc_id=docs["doc_id"].to_numpy())
 
     return run
 
@@ -150,21 +181,33 @@ def _measure(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
     return met.withColumn("either", F.size("_a") + F.size("_b") - F.col("both")).drop("_a", "_b")
 
 
+def _may_reach(most: Column, sizes: Column, distance: Column) -> Column:
+    """Whether sets whose sizes add up to sizes and that share most shingles at most may be that near."""
+    return 1 - most / (sizes - most) <= distance
+
+
 def _pivot_pairs(pivots: DataFrame, percent: int) -> DataFrame:
     """(a, b, extent_a, extent_b): pairs of pivots (key, n, alone, rarest, extent) whose regions may
-    hold a link. A pivot alone in its region has no extent (null), and needs less similar ones less."""
+    hold a link. A pivot alone in its region has no extent (null), and needs less similar ones less.
+
+    Pairs meet at a shingle of both prefixes. At the first that they share, no more can be shared than
+    either has from there on, which rules most of the unlike ones out before they become rows."""
+    radius = 1 - percent / 100 + _EPSILON
 
     def prefixes(side: str, some: Column, least: int) -> DataFrame:
         shared = F.greatest((F.floor(F.col("n") * (100 - least) / 100) + 1 - F.col("alone")).cast("int"), F.lit(0))
-        rows = pivots.where(some).select("key", "n", "extent", F.explode(F.slice("rarest", F.lit(1), shared)).alias("shingle"))
-        return rows.select("shingle", F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("extent").alias(f"extent_{side}"))
+        rows = pivots.where(some).select("key", "n", "alone", "extent", F.posexplode(F.slice("rarest", F.lit(1), shared)).alias("pos", "shingle"))
+        left = F.col("n") - F.col("alone") - F.col("pos")
+        return rows.select("shingle", F.col("key").alias(side), F.col("n").alias(f"n_{side}"), left.alias(f"left_{side}"), F.col("extent").alias(f"extent_{side}"))
 
     alone, large = F.col("extent").isNull(), F.col("extent").isNotNull()
+    reach = F.coalesce("extent_a", F.lit(0.0)) + F.coalesce("extent_b", F.lit(0.0)) + radius
+    bound = _may_reach(F.least("left_a", "left_b"), F.col("n_a") + F.col("n_b"), reach)
     found = []
     for left, right, least in ((alone, alone, percent), (large, alone, 2 * percent - 100), (large, large, _wide(percent))):
-        met = prefixes("a", left, least).join(prefixes("b", right, least), "shingle")
-        met = met.where(F.col("a") < F.col("b")) if left is right else met.where(F.col("a") != F.col("b"))
-        met = met.where(100 * F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
+        order = F.col("a") < F.col("b") if left is right else F.col("a") != F.col("b")
+        a, b = prefixes("a", left, least), prefixes("b", right, least).withColumnRenamed("shingle", "_shingle")
+        met = a.join(b, (F.col("shingle") == F.col("_shingle")) & order & bound)
         found.append(met.select("a", "b", "extent_a", "extent_b").distinct())
     return found[0].unionByName(found[1]).unionByName(found[2])
 
@@ -208,8 +251,9 @@ def _level(items: DataFrame, sets: DataFrame, before: DataFrame | None, level: i
     radius = 1 - percent / 100 + _EPSILON
     own = sets if before is None else sets.join(items, "key", "left_semi")
     anchor = lambda k: F.array_min(F.transform("rarest", lambda x: F.xxhash64(x, F.lit(ANCHORS * level + k))))
-    anchors = own.select("key", F.posexplode(F.array(*[anchor(k) for k in range(ANCHORS)])).alias("k", "anchor"))
-    first = anchors.groupBy("k", "anchor").agg(F.min("key").alias("pivot"))
+    lone = (F.col("alone") / F.col("n_shingles")).alias("lone")
+    anchors = own.select("key", lone, F.posexplode(F.array(*[anchor(k) for k in range(ANCHORS)])).alias("k", "anchor"))
+    first = anchors.groupBy("k", "anchor").agg(F.min(F.struct("lone", "key")).alias("m")).select("k", "anchor", F.col("m.key").alias("pivot"))
     named = stored(anchors.join(first, ["k", "anchor"]).select("key", "pivot").distinct())
     measured = stored(_measure(named.where("key <> pivot"), sets, "key", "pivot"))
     near = measured.where(_linked(percent)).select("key", "pivot", _distance().alias("d"))
@@ -231,15 +275,19 @@ def _level(items: DataFrame, sets: DataFrame, before: DataFrame | None, level: i
     open_pairs = stored(open_pairs.select("a", "b", "d", "extent_a", "extent_b"))
     one = open_pairs.select("a", "b", "d", F.lit("a").alias("side"), F.col("a").alias("pivot"), F.col("b").alias("goal"), F.col("extent_b").alias("extent"))
     two = open_pairs.select("a", "b", "d", F.lit("b").alias("side"), F.col("b").alias("pivot"), F.col("a").alias("goal"), F.col("extent_a").alias("extent"))
-    may = one.unionByName(two).join(regions.select("key", "pivot", F.col("d").alias("own")), "pivot")
-    may = may.where(F.col("own") >= F.col("d") - F.coalesce("extent", F.lit(0.0)) - radius).select("a", "b", "side", "goal", "extent", "key", "own")
+    size = lambda c, k: sets.select(F.col("key").alias(c), F.col("n_shingles").alias(f"n_{k}"), (F.col("n_shingles") - F.col("alone")).alias(f"shared_{k}"))
+    members = regions.select("key", "pivot", F.col("d").alias("own")).join(size("key", "own"), "key")
+    toward = one.unionByName(two).join(size("goal", "goal"), "goal").withColumnRenamed("pivot", "_pivot")
+    extent = F.coalesce("extent", F.lit(0.0)) + radius
+    near_enough = (F.col("own") >= F.col("d") - extent) & _may_reach(F.least("shared_own", "shared_goal"), F.col("n_own") + F.col("n_goal"), extent)
+    may = members.join(toward, (F.col("pivot") == F.col("_pivot")) & near_enough).select("a", "b", "side", "goal", "extent", "key", "own")
     reached = stored(_measure(may, sets, "key", "goal"))
     edges = edges.unionByName(reached.where(_linked(percent)).select(F.col("key").alias("a"), F.col("goal").alias("b")))
     inside = reached.where(~_linked(percent) & (_distance() <= F.col("extent") + radius))
     inside = inside.select("a", "b", "side", "key", "own", _distance().alias("other"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-    size = sets.select("key", F.col("n_shingles").alias("n"))
+    n_of = sets.select("key", F.col("n_shingles").alias("n"))
     of_side = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("n"))), F.lit(0)).alias(f"n_{side}")
-    sums = inside.join(size, "key").groupBy("a", "b").agg(of_side("a"), of_side("b")).where("n_a > 0 AND n_b > 0")
+    sums = inside.join(n_of, "key").groupBy("a", "b").agg(of_side("a"), of_side("b")).where("n_a > 0 AND n_b > 0")
     sums = stored(sums.withColumn("fits", F.col("n_a") + F.col("n_b") <= task_shingles))
     if sums.isEmpty():
         return edges, None
@@ -294,7 +342,7 @@ def near_components(docs: DataFrame, n: int = 4, percent: int = 85, task_shingle
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("t"), dealt_block(blocks).alias("block")).repartitionById(blocks, "block")
     counted = dealt.mapInPandas(_census(n, bits), "block int, bucket long, keys binary, counts binary")
     sums = counted.groupBy("bucket").applyInPandas(_sum_bucket, "block int, bucket long, totals binary").repartitionById(blocks, "block")
-    columns = "n_shingles long, set_hash string, set array<long>, alone int, rarest array<long>, doc_id long"
+    columns = "set_hash string, set array<long>, rarest array<long>, n_shingles long, alone int, doc_id long"
     profile = stored(dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInPandas(_profile(n, bits, percent), columns))
 
     known = profile.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
