@@ -1,20 +1,22 @@
 """Personal data replaced by surrogates of the same type and format.
 
-Numbers and addresses (e-mail, IPv4, phone, card and account numbers, US social security numbers,
-IBAN) go through a keyed permutation of all strings of their format, one without fixed points: so
+Numbers, addresses and secrets (e-mail, IPv4 and IPv6, phone, card and account numbers, US social
+security numbers, IBAN, keys and passwords that are assigned or have a known prefix) go through a keyed permutation of all strings of their format, one without fixed points: so
 equal entities get equal surrogates in every document, different ones different surrogates, and no
 lookup is needed. Case, script, digits and separators stay; check digits are made right again.
 
 Names come from a rule-made pool by gender and script. Distinct name parts of the whole corpus meet
 in one table, where those that draw the same surrogate, or one that is a real name of the corpus,
-are told apart. A part keeps its surrogate wherever it occurs, in capitals too, so "Mr Smith" and
-"JOHN SMITH" follow "John Smith". Only names behind a listed title or given name are looked for.
+are told apart. A part has one surrogate, of the gender that most texts give it, wherever it occurs,
+in capitals too, so "Mr Smith" and "JOHN SMITH" follow "John Smith". Names are found behind a listed
+title, given name or label; their parts are then found again wherever the same text repeats them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -60,6 +62,8 @@ def _cased(names) -> list[str]:
     return sorted({x for n in names for x in (n, n.upper())}, key=lambda n: (-len(n), n))
 
 
+#: Labels that a full name follows.
+LABELS = ("Name", "Contact", "Patient", "Customer", "Author", "Signed by")
 _ANY_TITLE = _cased(t for v in TITLES.values() for t in v)
 _ANY_GIVEN = _cased(n for v in GIVEN.values() for n in v)
 #: The letters of small case in the scripts of the pools.
@@ -70,8 +74,13 @@ _WORD = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}(?!{_TITLE})(?:(?:[^\W\d_{_SMALL
 #: A title or a listed given name, and all name words and initials that follow.
 TITLED = re.compile(rf"\b((?:{_TITLE}\.? )+)({_WORD}(?: {_WORD})*)")
 FULL = re.compile(rf"\b((?:{'|'.join(_ANY_GIVEN)})(?: {_WORD})+)")
+_LABEL = rf"(?:{'|'.join(LABELS)}): ?"
+LABELLED = re.compile(rf"\b{_LABEL}({_WORD}(?: {_WORD})+)")
 #: What a text must hold to hold a name; also for Spark's own rlike.
-MAY_NAME = rf"\b(?=[{''.join(sorted({n[0] for n in _ANY_TITLE + _ANY_GIVEN}))}])({'|'.join(_ANY_TITLE + _ANY_GIVEN)})\b"
+_STARTS = "".join(sorted({n[0] for n in (*_ANY_TITLE, *_ANY_GIVEN, *LABELS)}))
+MAY_NAME = rf"\b(?=[{_STARTS}])(?:(?:{'|'.join(_ANY_TITLE + _ANY_GIVEN)})\b|{_LABEL})"
+#: Letters that a part of a name must have to be looked for elsewhere in its text.
+_LEAST_PART = 3
 
 EMAIL = re.compile(r"[\w.+-]*[\w+-]@(?:[\w-]+\.)+[^\W\d_]{2,}")
 DIGIT = re.compile(r"\d[ .()-]{0,2}\d")
@@ -91,6 +100,15 @@ ACCOUNT = re.compile(rf"(?<!\w)\d{{4}}(?:[ -]\d{{4}}){{2,3}}(?:[ -]\d{{1,3}})?{_
 COUNTRY_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: Most digits behind a country code, where numbers are not as long as the 15 in all allow.
 NATIONAL = {"1": 10, "7": 10, "30": 10, "31": 9, "32": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "49": 11, "61": 9, "86": 11, "90": 10, "91": 10, "351": 9, "420": 9, "421": 9}
+#: Numbers that look like an address but count versions.
+VERSION = re.compile(r"(?:\b(?:version|build|release|rev|revision|firmware)\.?|\bv\.?) ?$", re.IGNORECASE)
+IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")
+#: What a secret is assigned to, and how keys of well-known services begin.
+SECRET_WORDS = ("token", "secret", "api_key", "api-key", "apikey", "access_key", "private_key", "password", "passwd", "pwd")
+SECRET_HEADS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-", "sk-", "AIza")
+ASSIGNED = re.compile(rf"(?i)\b\w*(?:{'|'.join(SECRET_WORDS)})\b[\"']? ?[:=] ?[\"']?([A-Za-z0-9+/_.=-]{{8,}})")
+HEADED = re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(SECRET_HEADS)})([A-Za-z0-9_-]{{16,}})")
+_SECRET_HINTS = ("oken", "ecret", "key", "assw", "pwd", "TOKEN", "SECRET", "KEY", "PASSW", "Key")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 _GENDER = {n.casefold(): g for g, v in GIVEN.items() for n in v}
 _TITLE_GENDER = {t.casefold(): g for g, v in TITLES.items() for t in v}
@@ -196,7 +214,23 @@ class Surrogates:
         return next(body + d for d in "0123456789" if luhn(body + d))
 
     def _avoid_luhn(self, norm: str) -> str:
-        return norm[0] + self._digits(norm[1:], f"number{norm[0]}")
+        """First digit kept, and the next number on the cycle whose check digit is wrong too: so numbers
+        with and without a right one never meet."""
+        while True:
+            norm = norm[0] + self._digits(norm[1:], f"number{norm[0]}")
+            if not luhn(norm):
+                return norm
+
+    def _ipv6(self, norm: str) -> str:
+        return str(ipaddress.IPv6Address(self.permute(int(ipaddress.IPv6Address(norm)), 1 << 128, "ipv6")))
+
+    def _secret(self, norm: str) -> str:
+        """Digits for digits and letters for letters; a run of hexadecimal digits stays one."""
+        if re.fullmatch(r"[0-9a-f]{16,}", norm) or re.fullmatch(r"[0-9A-F]{16,}", norm):
+            new = f"{self.permute(int(norm, 16), 16 ** len(norm), 'hex')!s}"
+            text = f"{int(new):0{len(norm)}x}"
+            return text.upper() if norm.isupper() else text
+        return self._string(norm, "secret")
 
     def _phone(self, norm: str) -> str:
         return self._digits(norm, "phone")
@@ -234,7 +268,7 @@ class Surrogates:
             if at:
                 text = "".join(rest) + text[at:]
 
-        take(LONG, lambda t, m: (m.start(), m.end(), digit_kind(m.group()), 0))
+        take(LONG, lambda t, m: (m.start(), m.end(), digit_kind(m.group(), t[max(0, m.start() - 12):m.start()]), 0))
         if "+" in text:
             take(PLUS, _plus_phone)
         take(SSN, lambda t, m: (m.start(), m.end(), "ssn", 0))
@@ -253,18 +287,19 @@ class Surrogates:
                 s = m.group()
                 new = self.surrogate("email", s.lower())
                 out.append((m.start(), m.end(), "email", new.upper() if s.isupper() else new))
+        if any(h in text for h in _SECRET_HINTS):
+            out += [(m.start(1), m.end(1), "secret", self.surrogate("secret", m.group(1))) for m in ASSIGNED.finditer(text) if any(c.isdigit() for c in m.group(1))]
+        if any(h in text for h in SECRET_HEADS):
+            out += [(m.start(1), m.end(1), "secret", self.surrogate("secret", m.group(1))) for m in HEADED.finditer(text) if any(c.isdigit() for c in m.group(1))]
+        if text.count(":") > 1:
+            out += [(m.start(), m.end(), "ipv6", self.surrogate("ipv6", m.group())) for m in IPV6.finditer(text) if is_ipv6(m.group())]
         for m in IBAN.finditer(text):
             norm = m.group().replace(" ", "")
             if 15 <= len(norm) <= 34 and int("".join(str(int(c, 36)) for c in norm[4:] + norm[:4])) % 97 == 1:
                 out.append((m.start(), m.end(), "iban", _shaped(m.group(), self.surrogate("iban", norm))))
         if DIGIT.search(text):
             out += self._numbers(text)
-        out.sort()
-        apart: list[tuple[int, int, str, str]] = []
-        for x in out:
-            if not apart or x[0] >= apart[-1][1]:
-                apart.append(x)
-        return apart
+        return _apart(sorted(out))
 
 
 def luhn(digits: str) -> bool:
@@ -275,10 +310,19 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def digit_kind(s: str) -> str | None:
-    """The type of what LONG finds; None for four numbers that are no address."""
+def is_ipv6(s: str) -> bool:
+    """Whether a text is an IPv6 address with at least two groups written out."""
+    try:
+        ipaddress.IPv6Address(s)
+    except ValueError:
+        return False
+    return sum(1 for g in s.split(":") if g) > 1
+
+
+def digit_kind(s: str, before: str = "") -> str | None:
+    """The type of what LONG finds; None for four numbers that are no address, or count versions."""
     if "." in s:
-        return "ip" if all(int(p) < 256 for p in s.split(".")) else None
+        return "ip" if all(int(p) < 256 for p in s.split(".")) and not VERSION.search(before) else None
     return "card"
 
 
@@ -352,10 +396,27 @@ def find_names(text: str) -> list[tuple[int, int, str, str]]:
         genders = [_TITLE_GENDER[t.rstrip(".").casefold()] for t in m.group(1).split(" ")[:-1]]
         inside.update(range(m.start(2), m.end(2)))
         out += _name_parts(m.group(2), m.start(2), next((g for g in genders if g != "u"), "u"))
-    for m in FULL.finditer(text):
-        if m.start() not in inside:
-            out += _name_parts(m.group(), m.start(), "u")
-    return sorted(out)
+    for pattern, group in ((FULL, 0), (LABELLED, 1)):
+        for m in pattern.finditer(text):
+            if m.start(group) not in inside:
+                inside.update(range(m.start(group), m.end(group)))
+                out += _name_parts(m.group(group), m.start(group), "u")
+    again = {w: k for _, _, k, w in out if k != "i" and len(w) >= _LEAST_PART}
+    if again:
+        forms = {x: k for w, k in again.items() for x in (w, w.upper(), w.capitalize())}
+        busy = {i for i, _, _, _ in out}
+        repeated = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, forms), key=len, reverse=True))})(?!\w)")
+        out += [(m.start(), m.end(), forms[m.group()], m.group()) for m in repeated.finditer(text) if m.start() not in busy]
+    return _apart(sorted(out))
+
+
+def _apart(spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Spans in order without those that begin inside the one before."""
+    out: list[tuple[int, int, str, str]] = []
+    for x in spans:
+        if not out or x[0] >= out[-1][1]:
+            out.append(x)
+    return out
 
 
 def _name_parts(name: str, start: int, gender: str) -> list[tuple[int, int, str, str]]:
@@ -394,18 +455,23 @@ def _cased_like(part: str, name: str) -> str:
 
 
 def name_table(mentions: DataFrame, key: bytes) -> DataFrame:
-    """(kind, part, surrogate) for the distinct name parts of (kind, part): one-to-one, and never a
-    part that the corpus holds, in any case. Parts that draw one pool name meet in a small group and are
-    ranked; a real name equal to the pool name takes the first rank. Mentions hold case-folded parts."""
+    """(part, surrogate) for the distinct name parts of mentions (kind, part), each of the kind that most
+    mentions give it: one-to-one, and never a part that the corpus holds, in any case. Parts that draw
+    one pool name meet in a small group and are ranked; a real name equal to the pool name takes the
+    first rank. Mentions hold case-folded parts."""
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             script = [script_of(p) for p in b["part"]]
-            number = [int.from_bytes(hmac.new(key, f"{k}:{p}".encode(), hashlib.sha256).digest()[:6], "big") % len(SYLLABLES[s]) ** 3 for k, p, s in zip(b["kind"], b["part"], script)]
-            yield b.assign(script=script, number=number, drawn=[pool_name(k, s, n, 0).casefold() for k, s, n in zip(b["kind"], script, number)], folded=[p.casefold() for p in b["part"]])
-
-    drawn = stored(mentions.select("kind", "part").distinct().mapInPandas(draw, "kind string, part string, script string, number long, drawn string, folded string"))
-    real = drawn.select(F.lit("").alias("kind"), F.col("folded").alias("part"), F.col("folded").alias("drawn"), F.lit(None).cast("string").alias("script"), F.lit(None).cast("long").alias("number")).distinct()
+            number = [int.from_bytes(hmac.new(key, p.encode(), hashlib.sha256).digest()[:6], "big") % len(SYLLABLES[s]) ** 3 for p, s in zip(b["part"], script)]
+            yield b.assign(script=script, number=number, drawn=[pool_name(k, s, n, 0).casefold() for k, s, n in zip(b["kind"], script, number)])
+
+    counted = mentions.groupBy("part", "kind").agg(F.count(F.lit(1)).alias("n"))
+    # A gender that some text tells weighs more than none told.
+    told = F.when(F.col("kind") != "u", 1).otherwise(0)
+    chosen = counted.groupBy("part").agg(F.max_by("kind", F.struct(told, "n", "kind")).alias("kind")).select("kind", "part")
+    drawn = stored(chosen.mapInPandas(draw, "kind string, part string, script string, number long, drawn string"))
+    real = drawn.select(F.lit("").alias("kind"), "part", F.col("part").alias("drawn"), F.lit(None).cast("string").alias("script"), F.lit(None).cast("long").alias("number"))
     group = Window.partitionBy("drawn").orderBy("kind", "part")
     ranked = drawn.select("kind", "part", "drawn", "script", "number").unionByName(real).withColumn("rank", F.row_number().over(group) - 1).where("kind <> ''")
 
@@ -413,7 +479,7 @@ def name_table(mentions: DataFrame, key: bytes) -> DataFrame:
     def spell(kind: pd.Series, script: pd.Series, number: pd.Series, rank: pd.Series) -> pd.Series:
         return pd.Series([pool_name(*x) for x in zip(kind, script, number.astype(int), rank.astype(int))], dtype="object")
 
-    return ranked.select("kind", "part", spell("kind", "script", "number", "rank").alias("surrogate"))
+    return ranked.select("part", spell("kind", "script", "number", "rank").alias("surrogate"))
 
 
 def _replace(key: bytes, named: bool):
@@ -424,9 +490,9 @@ def _replace(key: bytes, named: bool):
             for t, names in zip(b["text"], b["names"] if named else [None] * len(b)):
                 spans = s.find(t) if t else []
                 if t and named:
-                    table = {(x["kind"], x["part"]): x["surrogate"] for x in (names if names is not None else ())}
+                    table = {x["part"]: x["surrogate"] for x in (names if names is not None else ())}
                     busy = [(x[0], x[1]) for x in spans]
-                    spans += [(i, j, "name", s.surrogate("initial", p) if k == "i" else _cased_like(p, table[k, p.casefold()])) for i, j, k, p in find_names(t) if all(j <= a or i >= z for a, z in busy)]
+                    spans += [(i, j, "name", s.surrogate("initial", p) if k == "i" else _cased_like(p, table[p.casefold()])) for i, j, k, p in find_names(t) if all(j <= a or i >= z for a, z in busy)]
                     spans.sort()
                 out, at, w0, w1 = [], 0, [], []
                 for i, j, _, new in spans:
@@ -450,7 +516,8 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
 
     Texts without entities, null and empty ones stay as they are. Only rows that may hold a name are
     joined with the name table; the others are read and written where they lie. Names are collected
-    for each distinct text, whatever ids its rows have. An empty table gives an empty result; other columns are not read.
+    for each distinct text, whatever ids its rows have. Very long texts are worked on whole. An empty
+    table gives an empty result; other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text string, n_entities int, kinds array<string>, starts array<int>, ends array<int>"
@@ -462,9 +529,30 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
             found = [(i, k, p) for i, t in zip(b["h"], b["text"]) for k, p in sorted({(k, p.casefold()) for _, _, k, p in find_names(t) if k != "i"})]
             yield pd.DataFrame(found, columns=["h", "kind", "part"])
 
-    hashed = rows.where(may).withColumn("h", F.md5(F.col("text").cast("binary")))
+    hashed = stored(rows.where(may).withColumn("h", F.md5(F.col("text").cast("binary"))))
     named = stored(hashed.select("h", "text").mapInPandas(mentions, "h string, kind string, part string").distinct())
     table = name_table(named, key)
-    by_text = named.join(table, ["kind", "part"]).groupBy("h").agg(F.collect_list(F.struct("kind", "part", "surrogate")).alias("names"))
+    by_text = named.select("h", "part").distinct().join(table, "part").groupBy("h").agg(F.collect_list(F.struct("part", "surrogate")).alias("names"))
     with_names = hashed.join(by_text, "h", "left").select("doc_id", "text", "names")
     return rows.where(~may).mapInPandas(_replace(key, False), schema).unionByName(with_names.mapInPandas(_replace(key, True), schema))
+
+
+def entity_table(docs: DataFrame, key: bytes) -> DataFrame:
+    """(kind, entity, surrogate) of the distinct entities of docs but names, as they are written."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Surrogates(key)
+        for b in batches:
+            found = {(k, t[i:j], new) for t in b["text"] if t for i, j, k, new in own.find(t)}
+            yield pd.DataFrame(sorted(found), columns=["kind", "entity", "surrogate"])
+
+    return docs.select("text").mapInPandas(run, "kind string, entity string, surrogate string").distinct()
+
+
+def collisions(entities: DataFrame) -> DataFrame:
+    """Check over a whole corpus: (kind, surrogate, n_entities) of the surrogates that several entities of
+    one kind and shape share, over entities (kind, entity, surrogate). None, as permutations have no
+    two numbers go to one; entities that differ but in separators or case are one."""
+    bare = lambda c: F.lower(F.regexp_replace(c, r"[\s().-]", ""))
+    found = entities.select("kind", bare(F.col("entity")).alias("entity"), bare(F.col("surrogate")).alias("surrogate")).distinct()
+    return found.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n_entities")).where("n_entities > 1")
