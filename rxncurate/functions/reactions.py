@@ -145,7 +145,8 @@ def unmapped_atoms(component: Column) -> Column:
 
 
 def step_roles(reaction: Column, valid=looks_valid) -> Column:
-    """Roles of a mapped step: struct(ok, reactants, reagents, products, maps_missing, readable). Left
+    """Roles of a mapped step: struct(ok, reactants, reagents, products, maps_missing, readable, n_left,
+    known_products: the readable ones). Left
     components by shared maps, unreadable ones dropped; the middle section is reagents throughout;
     products stay as they are. ok: two or three sections. maps_missing: a product atom has no map, or
     products have none, or one that no readable left component has. readable: all left components and
@@ -159,18 +160,24 @@ def step_roles(reaction: Column, valid=looks_valid) -> Column:
         return F.struct(ok.alias("ok"), side(F.lit(0)).alias("left"), F.when(ok, middle).otherwise(_none()).alias("middle"), side(n - 1).alias("right"))
 
     def maps(x: Column) -> Column:
-        left, right = F.filter(x["left"], valid), F.filter(x["right"], valid)
-        unmapped = F.exists(right, unmapped_atoms) | (F.size(right) < F.size(x["right"]))
-        return F.struct(x["ok"].alias("ok"), left.alias("left"), x["middle"].alias("middle"), x["right"].alias("right"), all_maps(right).alias("m"), all_maps(left).alias("lm"),
-                        unmapped.alias("unmapped"), ((F.size(left) == F.size(x["left"])) & (F.size(right) == F.size(x["right"]))).alias("readable"), F.size(x["left"]).alias("n_left"))
+        left = F.transform(F.filter(x["left"], valid), lambda c: F.struct(c.alias("c"), atom_maps(c).alias("m")))
+        return F.struct(x["ok"].alias("ok"), left.alias("left"), x["middle"].alias("middle"), x["right"].alias("right"), F.filter(x["right"], valid).alias("known"), F.size(x["left"]).alias("n_left"))
+
+    def shared(x: Column) -> Column:
+        lost = F.size(x["known"]) < F.size(x["right"])
+        return F.struct(
+            x["ok"].alias("ok"), x["left"].alias("left"), x["middle"].alias("middle"), x["right"].alias("right"), x["known"].alias("known"), x["n_left"].alias("n_left"), all_maps(x["known"]).alias("m"),
+            F.flatten(F.transform(x["left"], lambda c: c["m"])).alias("lm"), (lost | F.exists(x["known"], unmapped_atoms)).alias("unmapped"), (~lost & (F.size(x["left"]) == x["n_left"])).alias("readable"))
 
     def roles(y: Column) -> Column:
         missing = (F.size(y["right"]) > 0) & (y["unmapped"] | (F.size(y["m"]) == 0) | (F.size(F.array_except(y["m"], y["lm"])) > 0))
+        meets = lambda c: F.coalesce(F.arrays_overlap(c["m"], y["m"]), F.lit(False))
+        texts = lambda cs: F.transform(cs, lambda c: c["c"])
         return F.struct(
-            y["ok"].alias("ok"), F.filter(y["left"], lambda c: _shares(c, y["m"])).alias("reactants"), F.concat(y["middle"], F.filter(y["left"], lambda c: ~_shares(c, y["m"]))).alias("reagents"),
-            y["right"].alias("products"), missing.alias("maps_missing"), y["readable"].alias("readable"), y["n_left"].alias("n_left"))
+            y["ok"].alias("ok"), texts(F.filter(y["left"], meets)).alias("reactants"), F.concat(y["middle"], texts(F.filter(y["left"], lambda c: ~meets(c)))).alias("reagents"),
+            y["right"].alias("products"), missing.alias("maps_missing"), y["readable"].alias("readable"), y["n_left"].alias("n_left"), y["known"].alias("known_products"))
 
-    return bound(bound(bound(sections(reaction), parts), maps), roles)
+    return bound(bound(bound(bound(sections(reaction), parts), maps), shared), roles)
 
 
 def roles_of_step(reaction: Column) -> Column:

@@ -145,17 +145,21 @@ def read_structures(df: DataFrame, component: str) -> DataFrame:
 
 def looks_valid(component: Column) -> Column:
     """Whether a text has only the characters of structures, some atom, and its brackets closed."""
-    n = lambda c: F.regexp_count(component, F.lit("\\" + c))
-    some = F.rlike(component, F.lit(r"^[A-Za-z0-9@+\-\[\]()=#$:/\\.%*]*[A-Za-z*][A-Za-z0-9@+\-\[\]()=#$:/\\.%*]*$"))
-    return F.coalesce(some & (n("(") == n(")")) & (n("[") == n("]")), F.lit(False))
+    without = lambda c: F.length(F.replace(component, F.lit(c), F.lit("")))
+    some = F.rlike(component, F.lit(r"^[0-9@+\-\[\]()=#$:/\\.%]*[A-Za-z*][A-Za-z0-9@+\-\[\]()=#$:/\\.%*]*$"))
+    return F.coalesce(some & (without("(") == without(")")) & (without("[") == without("]")), F.lit(False))
+
+
+def plain_text(component: Column) -> Column:
+    """The text that stands for a structure in text_key, of a component known to be valid."""
+    v = F.translate(component, "@/\\", "")
+    v = F.regexp_replace(v, r"\[\d*([A-Za-z][a-z]?)(?:H\d*)?(?:[+-]+\d*)?(?::\d+)?\]", "[$1]")
+    return F.regexp_replace(v, r"\[(Cl|Br|[BCNOPSFIbcnops])\]", "$1")
 
 
 def text_key(component: Column) -> Column:
     """Textual key; null for texts that cannot be a structure."""
-    v = F.regexp_replace(component, r"[@/\\]", "")
-    v = F.regexp_replace(v, r"\[\d*([A-Za-z][a-z]?)(?:H\d*)?(?:[+-]+\d*)?(?::\d+)?\]", "[$1]")
-    v = F.regexp_replace(v, r"\[(Cl|Br|[BCNOPSFIbcnops])\]", "$1")
-    return F.when(looks_valid(component), v)
+    return F.when(looks_valid(component), plain_text(component))
 
 
 def with_structure_key(df: DataFrame, component: str, key: str = "structure_key", keyer: Callable[[str], str | None] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rxncurate.functions.jsonfix import bound, structured_output
 from rxncurate.functions.reactions import BAD_SECTIONS, components, step_roles, valid_reaction, valid_skeleton
 from rxncurate.functions.stats import rate, wilson
-from rxncurate.functions.structure import text_key
+from rxncurate.functions.structure import plain_text
 
 #: Label, exact frequency or None, frequency that must be above the template's or None.
 THRESHOLDS = (("N=1", 1, None), ("N<5", None, 5), ("N<10", None, 10))
@@ -79,25 +79,27 @@ def _step(n: dict[str, Column], flags: dict[str, Column], error: Column) -> Colu
     return F.struct(*counts, *[_int(flags[k]).alias(k) for k in STEP_FLAGS], error.alias("error"))
 
 
-def mapped_step(reaction: Column, template_missing: Column, mapping_error: Column, key=text_key) -> Column:
+def mapped_step(reaction: Column, template_missing: Column, mapping_error: Column, key=plain_text) -> Column:
     """Counts, flags and error text of a mapped step. Whatever is wrong with it makes it a template
-    failure. Identical structures: reactants and products are equal as multisets of their keys."""
+    failure. Identical structures: reactants and products are equal as multisets of their keys; key is
+    an expression of a readable component, looked at only where the numbers are equal."""
 
     def judge(r: Column) -> Column:
         n = {"reactant": F.size(r["reactants"]), "reagent": F.size(r["reagents"]), "product": F.size(r["products"])}
-        keys = lambda c: F.array_sort(F.filter(F.transform(c, key), lambda k: k.isNotNull()))
+        keys = lambda c: F.array_sort(F.transform(c, key))
+        same = F.when(n["reactant"] == F.size(r["known_products"]), keys(r["reactants"]) == keys(r["known_products"])).otherwise(False)
         told = F.nullif(F.trim(mapping_error), F.lit(""))
         errors = F.array(
             F.when(r["n_left"] == 0, F.lit(NO_LEFT)), F.when(n["product"] == 0, F.lit(NO_PRODUCTS)), F.when(r["maps_missing"], F.lit(NO_MAPS)), F.when(template_missing, F.lit(NO_TEMPLATE)),
             told, F.when(~r["readable"], F.lit(UNREADABLE)), F.when(n["reactant"] == 0, F.lit(NO_REACTANTS)))
-        errors = F.array_distinct(F.filter(errors, lambda e: e.isNotNull()))
-        flags = {
+        text = F.array_join(F.array_distinct(F.filter(errors, lambda e: e.isNotNull())), ERROR_MARK)
+        flags = lambda error: {
             "many_reactants": n["reactant"] > MOST_REACTANTS, "many_products": n["product"] > MOST_PRODUCTS, "many_reagents": n["reagent"] > MOST_REAGENTS,
-            "no_reagent": (n["reactant"] > 0) & (n["product"] > 0) & (n["reagent"] == 0), "template_failure": F.size(errors) > 0, "missing_product_atom_maps": r["maps_missing"],
-            "identical_structures": (n["reactant"] > 0) & (keys(r["reactants"]) == keys(r["products"]))}
+            "no_reagent": (n["reactant"] > 0) & (n["product"] > 0) & (n["reagent"] == 0), "template_failure": error != "", "missing_product_atom_maps": r["maps_missing"],
+            "identical_structures": (n["reactant"] > 0) & same}
         zero = {k: F.lit(0) for k in n}
         none = {k: F.lit(k in ("template_failure", "missing_product_atom_maps")) for k in STEP_FLAGS}
-        return F.when(r["ok"], _step(n, flags, F.array_join(errors, ERROR_MARK))).otherwise(_step(zero, none, F.lit(BAD_SECTIONS)))
+        return F.when(r["ok"], bound(text, lambda error: _step(n, flags(error), error))).otherwise(_step(zero, none, F.lit(BAD_SECTIONS)))
 
     return bound(step_roles(reaction), judge)
 
@@ -242,24 +244,28 @@ def weighted_extrapolation(cells: DataFrame, category: str = "category") -> Data
     return rows.unionByName(total.select(F.lit("TOTAL").alias(category), "*", F.lit(None).cast("double").alias("weight")))
 
 
-def stage_summary(flags: DataFrame, stages: Sequence[str]) -> DataFrame:
+def stage_summary(flags: DataFrame, stages: Sequence[str], alone: str | None = None) -> DataFrame:
     """For each stage (a 0/1 column, in order): rows that passed all before (reached), successes among
-    them, failures, successes over all rows, rates and Wilson interval of the conditional rate."""
+    them, failures, successes over all rows, rates and Wilson interval of the conditional rate. alone: a
+    further 0/1 column that is counted over all rows, with no conditional figures. One aggregation."""
     passed = F.lit(1)
-    aggs = [F.count(F.lit(1)).alias("total")]
+    aggs = [F.count(F.lit(1)).alias("total"), *([F.sum(F.col(alone)).alias("alone")] if alone else [])]
     for k, s in enumerate(stages):
         reached, passed = passed, passed * F.col(s)
         aggs += [F.sum(reached).alias(f"r{k}"), F.sum(passed).alias(f"p{k}")]
-    rows = F.array(*[F.struct(F.lit(k).alias("stage_order"), F.lit(s).alias("stage"), F.col(f"r{k}").alias("reached"), F.col(f"p{k}").alias("passed")) for k, s in enumerate(stages)])
-    out = flags.agg(*aggs).select("total", F.inline(rows))
+    row = lambda k, s, r, p: F.struct(F.lit(k).alias("stage_order"), F.lit(s).alias("stage"), r.alias("reached"), p.alias("passed"))
+    rows = [row(k, s, F.col(f"r{k}"), F.col(f"p{k}")) for k, s in enumerate(stages)]
+    if alone:
+        rows.append(row(len(stages), alone, F.lit(None).cast("long"), F.col("alone")))
+    out = flags.agg(*aggs).select("total", F.inline(F.array(*rows)))
     low, high = wilson(F.col("passed"), F.col("reached"))
-    return out.withColumn("failed", F.col("reached") - F.col("passed")).withColumn("conditional_rate", rate(F.col("passed"), F.col("reached"))).withColumn("overall_rate", rate(F.col("passed"), F.col("total"))).withColumn("ci_lower", low).withColumn("ci_upper", high)
+    out = out.withColumn("failed", F.col("reached") - F.col("passed")).withColumn("conditional_rate", rate(F.col("passed"), F.col("reached")))
+    return out.withColumn("overall_rate", rate(F.col("passed"), F.col("total"))).withColumn("ci_lower", low).withColumn("ci_upper", high)
 
 
 def noise_free_funnel(flags: DataFrame, stages: Sequence[str], exact: str) -> DataFrame:
     """Running conjunction of stages over the noise-free rows, as n/total, and the rows that are exact
     whatever the stages say, whose conditional figures are null."""
-    free = flags.where("noise_free = 1")
-    steps = stage_summary(free, stages).select("stage_order", "stage", "reached", "passed", "total", "conditional_rate")
-    alone = free.agg(F.count(F.lit(1)).alias("total"), F.sum(F.col(exact)).alias("passed")).select(F.lit(len(stages)).alias("stage_order"), F.lit(exact).alias("stage"), F.lit(None).cast("long").alias("reached"), "passed", "total", F.lit(None).cast("double").alias("conditional_rate"))
-    return steps.unionByName(alone).withColumn("share", F.concat(F.col("passed").cast("string"), F.lit("/"), F.col("total").cast("string")))
+    steps = stage_summary(flags.where("noise_free = 1"), stages, exact)
+    share = F.concat(F.col("passed").cast("string"), F.lit("/"), F.col("total").cast("string")).alias("share")
+    return steps.select("stage_order", "stage", "reached", "passed", "total", "conditional_rate", share)
