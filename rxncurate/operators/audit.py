@@ -162,5 +162,8 @@ def risk_order(risks: DataFrame) -> DataFrame:
 
 
 def audit_summary(risks: DataFrame) -> DataFrame:
-    """Rows, and rows with any reason, by level; and over all (level null)."""
-    return risks.rollup("risk_level").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("risk_reasons") != "").alias("with_reasons"))
+    """By level, and over all (level null): rows, rows with any reason, with incomplete mapping, with
+    components that do not align with their labels, and without any model's support."""
+    return risks.rollup("risk_level").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("risk_reasons") != "").alias("with_reasons"), F.count_if(~F.col("product_mapping_complete")).alias("incomplete_mapping"),
+        F.count_if(F.col("role_assignment_unmatched_components") > 0).alias("role_mismatch"), F.count_if(F.col("relaxed_model_support_count") == 0).alias("without_support"))

@@ -193,6 +193,10 @@ def finetune_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finetune.convert(finetune.assemble(table(spark, sf_dir, "conversations")))
 
 
+def finetune_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finetune.summary(finetune.convert(finetune.assemble(table(spark, sf_dir, "conversations"))))
+
+
 def finetune_role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finetune.role_counts(finetune.assemble(table(spark, sf_dir, "conversations")))
 
@@ -294,14 +298,14 @@ def risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit_summary(risk_levels(spark, sf_dir))
+    return audit.audit_summary(audit.risk_levels(_audited(spark, sf_dir)))
 
 
 QUERIES = {f.__name__: f for f in (
     json_decode_repair, structured_output_check, step_explode_classify, skeleton_assemble, substitute_codes, split_reaction_roles, role_by_map_overlap, mapper_input_form, step_heuristics,
     row_heuristics_rollup, name_clean_fix, name_key, ambiguous_name_filter, resolve_cascade, resolve_once_fanout, name_structure_conflicts, unresolved_usage, unresolved_percentage,
     recovery_status_audit, recovery_summary, review_queue, review_queue_merge, review_decision_validation, review_apply_summary, unmatched_decisions, resume_pending, checkpoint_upsert,
-    eval_disjointness, finetune_validate, finetune_role_counts, consensus_groups, consensus_with_source, manual_review_queue, model_support, element_deficit, role_multiset_overlap, assign_left_roles,
+    eval_disjointness, finetune_validate, finetune_summary, finetune_role_counts, consensus_groups, consensus_with_source, manual_review_queue, model_support, element_deficit, role_multiset_overlap, assign_left_roles,
     unmatched_labels, map_audit, bond_changes, risk_levels, audit_summary)}
 
 from rxncurate.plans.curation_sql import ORACLE  # noqa: E402, F401

@@ -134,7 +134,7 @@ ORACLE = {
       WHERE q.review_id IS NOT NULL OR coalesce(dec, 'pending') <> 'pending'"""),
     "review_decision_validation": with_sql(["decisions"], """ SELECT review_id, problem FROM (SELECT review_id, CASE WHEN coalesce(nullif(lower(trim(review_decision)), ''), 'pending') NOT IN ('pending', 'use_smiles', 'keep_unresolved', 'exclude_from_mapping') THEN 'unknown decision'
       WHEN lower(trim(review_decision)) = 'use_smiles' AND trim(reviewed_smiles) = '' THEN 'reviewed_smiles is not valid SMILES' END AS problem FROM decisions) WHERE problem IS NOT NULL"""),
-    "review_apply_summary": with_sql(["codes", "decisions"], """, e AS (SELECT idx, model, code, CASE WHEN value LIKE '[%(NoSmi)]' THEN regexp_extract(value, '^\[(.*) \(NoSmi\)\]$', 1) END AS name_key FROM codes),
+    "review_apply_summary": with_sql(["codes", "decisions"], """, e AS (SELECT idx, model, code, CASE WHEN value LIKE '[%(NoSmi)]' THEN regexp_extract(value, '^\\[(.*) \\(NoSmi\\)\\]$', 1) END AS name_key FROM codes),
       j AS (SELECT e.*, lower(trim(d.review_decision)) AS dec FROM e LEFT JOIN decisions d ON d.idx = e.idx AND d.name_key = e.name_key AND lower(trim(d.review_decision)) IN ('use_smiles', 'exclude_from_mapping'))
       SELECT model, count(*) FILTER (dec = 'use_smiles') AS replacements, count(*) FILTER (dec = 'exclude_from_mapping') AS excluded, count(DISTINCT CASE WHEN dec IS NOT NULL THEN idx END) AS changed_rows FROM j GROUP BY model"""),
     "unmatched_decisions": with_sql(["codes", "decisions"], _USAGE + " SELECT review_id, review_decision FROM decisions d WHERE lower(trim(review_decision)) IN ('use_smiles', 'exclude_from_mapping') AND NOT EXISTS (SELECT 1 FROM u WHERE u.idx = d.idx AND u.name = d.name_key)"),
@@ -143,6 +143,8 @@ ORACLE = {
     "eval_disjointness": """WITH t AS (SELECT trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS h, count(*) AS n FROM documents GROUP BY 1) SELECT item_id, coalesce(n, 0) AS overlaps FROM benchmark LEFT JOIN t ON t.h = trim(regexp_replace(lower(benchmark.text), '\\s+', ' ', 'g'))""",
     "finetune_validate": "WITH z AS (SELECT 1)" + _CONV + """, w AS (SELECT conv_id, error, CASE WHEN error IS NULL AND json_valid(texts[3]) AND trim(texts[3])[1] = '{' THEN CAST(json(texts[3]) AS VARCHAR) END AS target FROM v)
       SELECT conv_id, coalesce(error, CASE WHEN target IS NULL THEN 'Assistant target is not a JSON object after decoding.' END) AS error, target FROM w""",
+    "finetune_summary": "WITH z AS (SELECT 1)" + _CONV + """ SELECT count(*) AS records_in, count(*) FILTER (error IS NULL AND json_valid(texts[3]) AND trim(texts[3])[1] = '{') AS records_out,
+      count(*) FILTER (error IS NULL AND json_valid(texts[3]) AND trim(texts[3])[1] = '{') AS valid_targets FROM v""",
     "finetune_role_counts": "SELECT role, count(*) AS messages, count(DISTINCT conv_id) AS records FROM conversations GROUP BY role",
     "consensus_groups": with_sql(["pred_components"], _SIG + f" SELECT idx, signature, CAST(agreement AS INT) AS agreement, array_to_string(members, ';') AS members, array_to_string(disagreeing, ';') AS disagreeing, {_GROUPS('groups')} AS groups FROM con"),
     "consensus_with_source": with_sql(["pred_components", "gt_components"], _SIG + f""", src AS (SELECT rxn_id AS idx, signature FROM ({_SIGNED('gt_components', 'rxn_id')}) WHERE rxn_id % 6 <> 0 AND signature IS NOT NULL),
@@ -169,5 +171,6 @@ ORACLE = {
       h AS (SELECT rxn_id, count(*) FILTER (i IS NULL) AS formed, count(*) FILTER (p IS NULL) AS broken, count(*) FILTER (i <> p) AS changed FROM g GROUP BY rxn_id)
       SELECT *, formed + broken + changed AS centre, CASE WHEN formed + broken + changed = 0 THEN 'none' WHEN formed + broken + changed > 8 THEN 'large' ELSE 'normal' END AS centre_class FROM h"""),
     "risk_levels": with_sql(["atoms", "gt_components"], _MAPS + " SELECT * FROM ri"),
-    "audit_summary": with_sql(["atoms", "gt_components"], _MAPS + " SELECT risk_level, count(*) AS rows, count(*) FILTER (risk_reasons <> '') AS with_reasons FROM ri GROUP BY ROLLUP (risk_level)"),
+    "audit_summary": with_sql(["atoms", "gt_components"], _MAPS + """ SELECT risk_level, count(*) AS rows, count(*) FILTER (risk_reasons <> '') AS with_reasons, count(*) FILTER (list_contains(crit, 'product atom mapping incomplete')) AS incomplete_mapping, count(*) FILTER (rxn_id % 13 = 0) AS role_mismatch,
+      count(*) FILTER (rxn_id % 6 = 0) AS without_support FROM ri JOIN rs USING (rxn_id) GROUP BY ROLLUP (risk_level)"""),
 }

@@ -61,6 +61,10 @@ def best_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.best_ground_truth(_compared(spark, sf_dir)).drop(*score.COUNTS)
 
 
+def best_ground_truth_by_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.best_ground_truth(_compared(spark, sf_dir), prefer_coverage=True).drop(*score.COUNTS)
+
+
 def _metrics(spark, sf_dir):
     return score.extraction_metrics(score.best_ground_truth(_compared(spark, sf_dir)))
 
@@ -81,7 +85,7 @@ def publication_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    template_frequency, threshold_sensitivity, confusion_by_heuristic, stratified_sample, weighted_extrapolation, section_counts, best_ground_truth,
+    template_frequency, threshold_sensitivity, confusion_by_heuristic, stratified_sample, weighted_extrapolation, section_counts, best_ground_truth, best_ground_truth_by_coverage,
     extraction_metrics_wilson, best_configuration_per_family, publication_table)}
 
 _FREQ = """, f AS (SELECT t.*, c.n AS template_frequency, CASE WHEN c.n = 1 THEN 1 ELSE 0 END AS singleton
@@ -139,6 +143,7 @@ ORACLE = {
       UNION ALL SELECT 'TOTAL', CAST(sum(population_n) AS BIGINT), CAST(sum(sample_n) AS BIGINT), NULL, round(sum(weighted_tp), 6), round(sum(weighted_fn), 6), round(sum(weighted_fp), 6), round(sum(weighted_tn), 6) FROM w""",
     "section_counts": with_sql(_SCORING, _SECTIONS + " SELECT method, slot, role, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(exact) AS BIGINT) AS exact, CAST(sum(covered) AS BIGINT) AS covered FROM sections GROUP BY method, slot, role"),
     "best_ground_truth": with_sql(_SCORING, _SECTIONS + _BEST + " SELECT rxn_id, method, slot, exact, covered, tp, errors, has_unresolved, reaction_correct FROM flags"),
+    "best_ground_truth_by_coverage": with_sql(_SCORING, _SECTIONS + _BEST.replace("ORDER BY exact DESC", "ORDER BY covered DESC, exact DESC").replace("WHEN exact = 1 AND u.rxn_id", "WHEN covered = 1 AND u.rxn_id") + " SELECT rxn_id, method, slot, exact, covered, tp, errors, has_unresolved, reaction_correct FROM flags"),
     "extraction_metrics_wilson": with_sql(_SCORING, _SECTIONS + _BEST + _METRICS + " SELECT * REPLACE (round(precision, 6) AS precision, round(recall, 6) AS recall, round(accuracy, 6) AS accuracy, round(ci_lower, 6) AS ci_lower, round(ci_upper, 6) AS ci_upper) FROM m"),
     "best_configuration_per_family": with_sql(_SCORING, _SECTIONS + _BEST + _METRICS + """ SELECT CAST(method // 2 AS INT) AS family, method, method % 2 AS effort, correct, evaluated, round(accuracy, 6) AS accuracy FROM m WHERE role = 'products'
       QUALIFY row_number() OVER (PARTITION BY method // 2 ORDER BY accuracy DESC, method % 2, method) = 1"""),
