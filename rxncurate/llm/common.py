@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +51,27 @@ def dealt_block(blocks: int) -> Column:
     """The block, from 0 to blocks - 1, of a row (doc_id, text): by the hash of both and, so that the
     copies of one row are spread too, of the input partition."""
     return F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.spark_partition_id()), F.lit(blocks)).cast("int")
+
+
+#: Most partitions that blocks are dealt to; beyond, a task works on several, one after the other.
+MOST_TASKS = 32_768
+
+
+def to_blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    """rows (block, ...) with one block a task, or the blocks of a task one after the other."""
+    parts = min(blocks, MOST_TASKS)
+    dealt = rows.repartitionById(parts, "block")
+    return dealt if parts == blocks else dealt.sortWithinPartitions("block")
+
+
+def block_runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame | None]]:
+    """(block, rows) for each run of rows of a block, in order, and (block, None) when it has ended."""
+    now = None
+    for b in batches:
+        for block, rows in b.groupby("block", sort=False):
+            if now is not None and block != now:
+                yield now, None
+            now = block
+            yield block, rows
+    if now is not None:
+        yield now, None

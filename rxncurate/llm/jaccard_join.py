@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rxncurate.llm.common import LOWER, UPPER, dealt_block, stored, text_bytes
+from rxncurate.llm.common import LOWER, UPPER, block_runs, dealt_block, stored, text_bytes, to_blocks
 from rxncurate.llm.graph import components
 
 #: Bytes of text in a block of the census, about.
@@ -106,12 +106,13 @@ def _census(n: int, bits: int):
     well enough to count it) with the number of its documents that have them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, found = Shingler(n), {}
-        for b in batches:
-            for block, own in zip(b["block"], shingles(b["t"])):
-                found.setdefault(block, []).append(own >> np.uint64(32 - bits))
-        for block in list(found):
-            keys, count = np.unique(np.concatenate(found.pop(block)), return_counts=True)
+        shingles, own = Shingler(n), []
+        for block, rows in block_runs(batches):
+            if rows is not None:
+                own += [x >> np.uint64(32 - bits) for x in shingles(rows["t"])]
+                continue
+            keys, count = np.unique(np.concatenate(own), return_counts=True)
+            own = []
             bucket = (keys >> np.uint64(32)).astype(np.int64)
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
             ends = np.append(cut[1:], len(keys))
@@ -339,9 +340,10 @@ def near_components(docs: DataFrame, n: int = 4, percent: int = 85, task_shingle
     rows, size = text_bytes(docs.select("text"))
     blocks = max(1, math.ceil((size + 8 * rows) / block_bytes))
     bits = min(blocks, _MOST_BUCKETS).bit_length()
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("t"), dealt_block(blocks).alias("block")).repartitionById(blocks, "block")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("t"), dealt_block(blocks).alias("block"))
+    dealt = to_blocks(dealt, blocks)
     counted = dealt.mapInPandas(_census(n, bits), "block int, bucket long, keys binary, counts binary")
-    sums = counted.groupBy("bucket").applyInPandas(_sum_bucket, "block int, bucket long, totals binary").repartitionById(blocks, "block")
+    sums = to_blocks(counted.groupBy("bucket").applyInPandas(_sum_bucket, "block int, bucket long, totals binary"), blocks)
     columns = "set_hash string, set array<long>, rarest array<long>, n_shingles long, alone int, doc_id long"
     profile = stored(dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInPandas(_profile(n, bits, percent), columns))
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rxncurate.llm.common import LOWER, UPPER, dealt_block, id_crc, stored, text_bytes
+from rxncurate.llm.common import LOWER, UPPER, block_runs, dealt_block, id_crc, stored, text_bytes, to_blocks
 
 #: Bytes of the longest context. A context and its byte fit 48 bits.
 ORDER = 5
@@ -103,11 +103,16 @@ def _merge(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 def census(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(block, key, n): the distinct byte n-grams and words of each block, with their counts in
     training documents (0 where only others have them)."""
-    grams: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    counts: dict[int, Counter] = {}
-    for b in batches:
-        for (block, held), g in b.groupby(["block", "held"]):
-            seen = counts.setdefault(block, Counter())
+    runs: list[tuple[np.ndarray, np.ndarray]] = []
+    seen: Counter = Counter()
+    for block, rows in block_runs(batches):
+        if rows is None:
+            keys, n = _merge(runs)
+            yield pd.DataFrame({"block": block, "key": keys, "n": n})
+            yield pd.DataFrame({"block": block, "key": np.fromiter(map(word_key, seen), np.int64, len(seen)), "n": np.fromiter(seen.values(), np.int64, len(seen))})
+            runs, seen = [], Counter()
+            continue
+        for held, g in rows.groupby("held"):
             seen[_END] += 0 if held else len(g)
             for _, words, run in parts(g["t"], _COUNT_BYTES):
                 for own in words:
@@ -118,15 +123,9 @@ def census(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     else:
                         seen.update(own)
                 keys, n = _counted(numbered_grams(run) >> np.uint64(16))
-                runs = grams.setdefault(block, [])
                 runs.append((keys.astype(np.int64), n * (not held)))
                 if len(runs) == _RUNS:
-                    runs[:] = [_merge(runs)]
-    for block in list(grams):
-        keys, n = _merge(grams.pop(block))
-        yield pd.DataFrame({"block": block, "key": keys, "n": n})
-        seen = counts.pop(block)
-        yield pd.DataFrame({"block": block, "key": np.fromiter(map(word_key, seen), np.int64, len(seen)), "n": np.fromiter(seen.values(), np.int64, len(seen))})
+                    runs = [_merge(runs)]
 
 
 def _low(c: Column, order: int) -> Column:
@@ -211,7 +210,8 @@ def score_documents(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, block
     n, size = text_bytes(docs.select("text"))
     blocks = max(1, math.ceil((size + 8 * n) / block_bytes))
     held = id_crc(F.col("doc_id")) % held_out[0] == held_out[1]
-    dealt = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"), held.alias("held"), dealt_block(blocks).alias("block")).repartitionById(blocks, "block")
+    dealt = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"), held.alias("held"), dealt_block(blocks).alias("block"))
+    dealt = to_blocks(dealt, blocks)
     asked = stored(dealt.select("block", "held", "t").mapInPandas(census, "block int, key long, n long"))
     counts = stored(asked.groupBy("key").agg(F.sum("n").alias("n")))
     row = counts.where("key < 0").agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("kinds")).first()
@@ -224,7 +224,7 @@ def score_documents(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, block
     plain = grams.where("n > 0").join(top, F.shiftright("key", 8) == F.col("context")).select("key", F.log10((2 * F.col("n") - 1) / (2 * F.col("total"))).alias("value"))
     values = plain.unionByName(gram_values(grams.where("n = 0"), nodes, ctx)).select("key", "value", F.lit(True).alias("known"))
     words = counts.where("key < 0").select("key", F.log10((F.col("n") + 1) / F.lit(float(train_tokens + kinds + 1))).alias("value"), (F.col("n") > 0).alias("known"))
-    table = asked.select("block", "key").join(values.unionByName(words), "key").repartitionById(blocks, "block")
+    table = to_blocks(asked.select("block", "key").join(values.unionByName(words), "key"), blocks)
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = dealt.groupBy("block").cogroup(table.groupBy("block")).applyInPandas(_score_block, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

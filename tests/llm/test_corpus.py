@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from rxncurate.llm import exact_dedup, jaccard_join, mixing, quality, surrogates, toxicity
+from rxncurate.llm import common, exact_dedup, jaccard_join, mixing, ppm, quality, surrogates, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -237,3 +237,14 @@ def test_pipeline_stages_keep_columns(spark, corpus):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), corpus).count() == 0
     assert exact_dedup.drop_exact_duplicates(docs).count() < docs.count()
     assert docs.where(F.col("text").isNull()).count() == 1
+
+
+def test_several_blocks_in_a_task(spark, odd, monkeypatch):
+    def results():
+        near = sorted(map(str, jaccard_join.near_components(odd, block_bytes=3000).collect()))
+        scored = [(r["doc_id"], r["n_tokens"], r["n_known"], round(r["score"], 6), round(r["base_score"], 6)) for r in ppm.score_documents(odd, block_bytes=3000).collect()]
+        return near, sorted(scored, key=str)
+
+    alone = results()
+    monkeypatch.setattr(common, "MOST_TASKS", 3)
+    assert results() == alone
