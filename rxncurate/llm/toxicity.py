@@ -32,7 +32,7 @@ HELD_OUT = (4, 2)
 THRESHOLD = 0.3
 
 WORD = re.compile(r"[^\W_]+")
-_KNOWN_WORDS = 200_000
+_KNOWN_WORDS = 150_000
 
 
 class Hasher:
@@ -40,14 +40,16 @@ class Hasher:
     and of pairs one word apart."""
 
     def __init__(self, dimensions: int = DIMENSIONS):
-        self.dimensions, self.known = dimensions, {}
+        self.dimensions, self.known, self.older = dimensions, {}, {}
 
     def __call__(self, text: str) -> np.ndarray:
         known, found = self.known, WORD.findall(text)
-        if len(known) > _KNOWN_WORDS:
-            known.clear()
+        if len(known) > _KNOWN_WORDS:  # words that are met again are taken over from the older generation
+            self.older, self.known = known, {}
+            known = self.known
+        older = self.older
         for w in set(found).difference(known):
-            known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) << 32 | zlib.crc32(w[:STEM].encode("utf-8", "surrogatepass"))
+            known[w] = older[w] if w in older else zlib.crc32(w.encode("utf-8", "surrogatepass")) << 32 | zlib.crc32(w[:STEM].encode("utf-8", "surrogatepass"))
         both = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
         h, stem = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
         mix = lambda a, k: ((a * np.uint64(0x9E3779B97F4A7C15 + 2 * k)) >> np.uint64(40)) % np.uint64(self.dimensions)
@@ -63,7 +65,7 @@ def train(batches: Iterator[pd.DataFrame], epochs: int = EPOCHS, dimensions: int
         own = [np.append(np.unique(hasher(t)), dimensions).astype(np.int32) for t in b["t"]]
         if own:
             rows.append((np.concatenate(own), np.cumsum([len(i) for i in own]), b["y"].to_numpy()))
-    hasher.known.clear()
+    hasher.known, hasher.older = {}, {}
     z, n = np.zeros(dimensions + 1), np.zeros(dimensions + 1)
     penalty = np.full(dimensions + 1, L1)
     penalty[dimensions] = 0.0
