@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: cuts lineage, and later
-    stages survive lost executors."""
+    stages survive lost executors. Tables are read once or twice and take space: zstd keeps them small."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
