@@ -75,7 +75,7 @@ def train(batches: Iterator[pd.DataFrame], epochs: int = EPOCHS, dimensions: int
         return np.where(np.abs(zi) <= penalty[i], 0.0, (np.sign(zi) * penalty[i] - zi) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
     for _ in range(epochs):
-        for i, y in ((part, y) for flat, ends, ys in rows for part, y in zip(np.split(flat, ends[:-1]), ys)):
+        for i, y in ((part.astype(np.intp), y) for flat, ends, ys in rows for part, y in zip(np.split(flat, ends[:-1]), ys)):
             w = weights(i)
             g = 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, w.sum())))) - y
             grown = n[i] + g * g
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, held_out
     )
     labelled = docs.select("doc_id", ascii_lower(F.col("text")).alias("t")).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
     sample = labelled.select("k", F.xxhash64("t").alias("h"), "t", "y").orderBy("k", "h").limit(max_train)
-    sample = sample.select("k", "h", "t", "y").repartition(1).sortWithinPartitions("k", "h")
+    sample = sample.coalesce(1).sortWithinPartitions("k", "h")
     return sample.mapInPandas(lambda batches: iter([train(batches)]), "feature int, weight double")
 
 
