@@ -21,17 +21,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rxncurate.llm.common import LOWER, UPPER, block_runs, dealt_block, id_crc, stored, text_bytes, to_blocks
+from rxncurate.llm.common import LOWER, UPPER, block_runs, dealt_block, id_crc, release, stored, text_bytes, to_blocks
 
 #: Bytes of the longest context. A context and its byte fit 48 bits.
 ORDER = 5
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 20 << 20
 #: Fixed values of the contract.
 HELD_OUT = (7, 2)
 #: Bytes worked on at once inside a block, when counting and when scoring (about 40 bytes of arrays
 #: each), and the documents that 16 bits can number.
-_COUNT_BYTES, _SCORE_BYTES, _PART_DOCS = 2 << 20, 1 << 20, 65_536
+_COUNT_BYTES, _SCORE_BYTES, _PART_DOCS = 1 << 20, 1 << 19, 65_536
 #: Counted runs of a block that are held before they are merged.
 _RUNS = 6
 _TABLE = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -111,6 +111,8 @@ def census(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"block": block, "key": keys, "n": n})
             yield pd.DataFrame({"block": block, "key": np.fromiter(map(word_key, seen), np.int64, len(seen)), "n": np.fromiter(seen.values(), np.int64, len(seen))})
             runs, seen = [], Counter()
+            del keys, n
+            release()
             continue
         for held, g in rows.groupby("held"):
             seen[_END] += 0 if held else len(g)
@@ -173,6 +175,7 @@ def gram_values(asked: DataFrame, nodes: DataFrame, ctx: DataFrame) -> DataFrame
 
 
 def _score_block(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    release()  # of the block before
     order = np.argsort(table["key"].to_numpy(), kind="stable")
     key, value, known = (table.pop(c).to_numpy()[order] for c in ("key", "value", "known"))
     del order
