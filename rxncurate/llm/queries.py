@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxncurate.llm import bpe, exact_dedup, jaccard_join, mixing, ppm, quality, sharding, surrogates, token_files, toxicity
+from rxncurate.llm import bpe, exact_dedup, jaccard_join, mixing, ppm, quality, sharding, simhash, surrogates, token_files, toxicity
 from rxncurate.llm.common import documents
 from rxncurate.llm.oracles import ORACLE  # noqa: F401
 
@@ -66,6 +66,10 @@ def surrogate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_entities(documents(spark, sf_dir), SURROGATE_KEY)
 
 
+def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_surrogates": surrogate_texts,
     "op2_token_blocks": token_blocks,
@@ -77,4 +81,5 @@ QUERIES = {
     "op8_source_mixing": source_mixing,
     "op9_toxicity": toxicity_model,
     "op10_lookup_sharding": lookup_sharding,
+    "op13_simhash_trie": simhash_components,
 }
