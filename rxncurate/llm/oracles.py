@@ -65,8 +65,51 @@ SELECT doc_id, slot, labels[owners[slot + 1] + 1] AS shard FROM k CROSS JOIN o
 """
 
 
+OP11 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+s AS (SELECT count(*) AS docs, coalesce(CAST(sum(len(t)) AS BIGINT), 0) AS length FROM d WHERE len(t) > 0),
+o AS (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM o GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf CROSS JOIN s GROUP BY term, docs),
+b AS (SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item, item_id, term, count(*) AS repeats FROM b GROUP BY ALL),
+m AS (
+  SELECT item, item_id, r, doc_id,
+         CAST(sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // length)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) CROSS JOIN s GROUP BY ALL),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INT) AS rank FROM m WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+OP12 = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({ASCII_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+e AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+x AS (SELECT lang, w, i, k FROM e, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, w[i:i + k - 1] AS g, count(*) AS f FROM x GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1),
+h AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM c WHERE len(g) > 2),
+b AS (SELECT lang, g, a, k, unnest(range(1, len(g) - k + 1)) AS i FROM (SELECT * FROM h WHERE k > 1)),
+y AS (SELECT lang, g[i:i + k - 1] AS g, max(a) AS longer FROM b GROUP BY ALL),
+v AS (SELECT c.* FROM c LEFT JOIN y USING (lang, g) WHERE longer IS NULL OR 100 * longer < 100 * a),
+u AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM v),
+z AS (
+  SELECT u.lang, u.g, u.a, u.k, l.f AS l, r.f AS r, t.n, CAST((1000::HUGEINT * u.a * t.n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM u JOIN t USING (lang) JOIN f l ON l.lang = u.lang AND l.g = u.g[1:u.k] JOIN f r ON r.lang = u.lang AND r.g = u.g[u.k + 1:len(u.g)]),
+o AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+q AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM o),
+s AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM q)
+SELECT lang, rank, phrase, a, l, r, n, score FROM s WHERE rank <= 2000
+"""
+
+
 ORACLE = {
     "op3_exact_dedup": OP3,
     "op8_source_mixing": OP8,
+    "op11_dual_tree_search": OP11,
+    "op12_phrase_automata": OP12,
     "op10_lookup_sharding": sharding_sql([f"shard-{k:03d}" for k in range(64)], 65_537),
 }

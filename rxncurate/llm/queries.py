@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxncurate.llm import bpe, exact_dedup, jaccard_join, mixing, ppm, quality, sharding, simhash, surrogates, token_files, toxicity
+from rxncurate.llm import bpe, exact_dedup, jaccard_join, mixing, phrases, ppm, quality, search, sharding, simhash, surrogates, token_files, toxicity
 from rxncurate.llm.common import documents
 from rxncurate.llm.oracles import ORACLE  # noqa: F401
 
@@ -66,6 +66,14 @@ def surrogate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_entities(documents(spark, sf_dir), SURROGATE_KEY)
 
 
+def dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(documents(spark, sf_dir))
+
+
 def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(documents(spark, sf_dir))
 
@@ -81,5 +89,7 @@ QUERIES = {
     "op8_source_mixing": source_mixing,
     "op9_toxicity": toxicity_model,
     "op10_lookup_sharding": lookup_sharding,
+    "op11_dual_tree_search": dual_tree_search,
+    "op12_phrase_automata": phrase_automata,
     "op13_simhash_trie": simhash_components,
 }
