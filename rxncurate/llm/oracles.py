@@ -92,7 +92,7 @@ x AS (SELECT lang, w, i, k FROM e, (SELECT unnest(range(1, 6)) AS k) WHERE i + k
 f AS (SELECT lang, w[i:i + k - 1] AS g, count(*) AS f FROM x GROUP BY ALL HAVING count(*) >= 100),
 c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1),
 h AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM c WHERE len(g) > 2),
-b AS (SELECT lang, g, a, k, unnest(range(1, len(g) - k + 1)) AS i FROM (SELECT * FROM h WHERE k > 1)),
+b AS (SELECT lang, g, a, k, unnest(range(1, len(g) - k + 2)) AS i FROM (SELECT * FROM h WHERE k > 1)),
 y AS (SELECT lang, g[i:i + k - 1] AS g, max(a) AS longer FROM b GROUP BY ALL),
 v AS (SELECT c.* FROM c LEFT JOIN y USING (lang, g) WHERE longer IS NULL OR 100 * longer < 100 * a),
 u AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM v),
