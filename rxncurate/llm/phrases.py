@@ -22,17 +22,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rxncurate.llm.common import LOWER, UPPER, block_runs, stored, to_blocks
+from rxncurate.llm.common import LOWER, UPPER, block_runs, release, stored, to_blocks
 
 #: Fixed values of the contract: longest phrase, least count, percentage at which a longer phrase replaces
 #: a shorter one, phrases reported of a language, and the language of null.
 MAX_WORDS, MIN_COUNT, ABSORBED, TOP, NO_LANG = 5, 100, 100, 2000, "und"
 #: Words that a shard holds, about, and windows of a prefix range.
-SHARD_WORDS, RANGE_WINDOWS = 1 << 21, 1 << 20
+SHARD_WORDS, RANGE_WINDOWS = 1 << 20, 1 << 19
 #: Most prefix ranges (their bounds travel with the tasks), and windows looked at for the bounds.
 MOST_RANGES, SAMPLE = 1 << 17, 200_000
 #: Words that a union holds before it merges them.
-_MERGE = 1 << 22
+_MERGE = 1 << 20
 #: A byte that UTF-8 text never holds marks the end of a piece.
 _BREAK = b"\xff"
 _STOPS = b".,;:!?\n\x0b\x0c\r"
@@ -60,6 +60,7 @@ def _shards(size: int):
                 vocabulary = [w.decode() for w in list(number)[1:]]
                 yield pd.DataFrame({"lang": [lang], "vocabulary": [vocabulary], "counts": [count], "total": [int(count.sum())], "ids": [ids.tobytes()]})
             held.clear()
+            release()
 
         for b in batches:
             for lang, text in zip(b["lang"], b["t"]):
@@ -187,6 +188,8 @@ def _pieces(size: int, bounds: np.ndarray):
                 cut = list(Transducer(windows(np.frombuffer(ids, "<u4"), size)).cut(bounds))
                 if cut:
                     yield pd.DataFrame(cut, columns=["block", "piece"])
+                del cut
+                release()
 
     return run
 
@@ -214,6 +217,8 @@ def _unite(size: int, least: int, bounds: np.ndarray):
             for prefix, total in merged().states(least, border):
                 yield pd.DataFrame({"gram": list(prefix.astype(np.int64)), "n": total})
             parts, waiting = [], 0
+            del rows
+            release()
 
     return run
 
