@@ -83,10 +83,14 @@ def _shards(size: int):
 
 
 def _renumber(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """A shard's ids in the numbers of all shards; 0 for words without one."""
+    """A shard's ids in the numbers of all shards; 0 for words without one. Every word of the shard must have
+    its answer."""
     if not len(left):
-        return pd.DataFrame({"shard": [], "ids": []})
-    number = np.zeros(int(left["words"].iloc[0]) + 1, "<u4")
+        raise ValueError("words of a shard that is not there")
+    words = int(left["words"].iloc[0])
+    if len(right) != words:
+        raise ValueError(f"a shard asked for {words} words and got {len(right)}")
+    number = np.zeros(words + 1, "<u4")
     number[right["local"].to_numpy()] = right["word_id"].to_numpy()
     return pd.DataFrame({"shard": left["shard"], "ids": [number[np.frombuffer(x, "<u4")].tobytes() for x in left["ids"]]})
 
@@ -278,7 +282,8 @@ def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int =
     counted = listed.groupBy("lang", F.col("w.vocabulary").alias("word")).agg(F.sum("w.counts").alias("n"))
     words = stored(_numbered(counted.where(F.col("n") >= min_count)))
     local = listed.select("shard", "lang", (F.col("at") + 1).alias("local"), F.col("w.vocabulary").alias("word"))
-    local = local.join(words.select("lang", "word", "word_id"), ["lang", "word"]).select(F.col("shard").alias("of"), "local", "word_id")
+    answers = F.coalesce("word_id", F.lit(0).cast("long")).alias("word_id")
+    local = local.join(words.select("lang", "word", "word_id"), ["lang", "word"], "left").select(F.col("shard").alias("of"), "local", answers)
     own = shards.select("shard", F.size("vocabulary").alias("words"), "ids")
     numbered = stored(own.groupBy("shard").cogroup(local.groupBy("of")).applyInPandas(_renumber, "shard long, ids binary"))
 
