@@ -219,7 +219,7 @@ def _unite(size: int, least: int, bounds: np.ndarray):
                 continue
             border = bounds[max(block - 1, 0):block + 1]
             for prefix, total in merged().states(least, border):
-                yield pd.DataFrame({"gram": list(prefix.astype(np.int64)), "n": total})
+                yield pd.DataFrame({"gram": pd.Series(list(prefix.astype(np.int64)), dtype=object), "n": total})
             parts, waiting = [], 0
             del rows
             release()
@@ -236,7 +236,7 @@ def _some_windows(size: int, each: int):
                 own = np.frombuffer(ids, "<u4")
                 at = np.unique(np.linspace(0, max(len(own) - size, 0), each).astype(np.int64))
                 got = np.concatenate([windows(own[k:k + size], size)[:1] for k in at.tolist()]) if len(own) else np.zeros((0, size))
-                yield pd.DataFrame({"w": list(got.astype(np.int64))})
+                yield pd.DataFrame({"w": pd.Series(list(got.astype(np.int64)), dtype=object)})
 
     return run
 

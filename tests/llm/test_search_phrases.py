@@ -115,8 +115,8 @@ def chatter():
 
 
 @pytest.mark.parametrize("settings", [
-    {"max_words": 5, "min_count": 6, "absorbed": 100, "top": 2000}, {"max_words": 3, "min_count": 4, "absorbed": 80, "top": 15, "shard_words": 200, "range_windows": 60},
-    {"max_words": 5, "min_count": 5, "absorbed": 100, "top": 40, "shard_words": 50, "range_windows": 7}])
+    {"max_words": 5, "min_count": 6, "absorbed": 100, "top": 2000}, {"max_words": 3, "min_count": 4, "absorbed": 80, "top": 15, "shard_words": 600, "range_windows": 300},
+    {"max_words": 5, "min_count": 5, "absorbed": 100, "top": 40, "shard_words": 300, "range_windows": 200}])
 def test_phrases(spark, chatter, empty, settings):
     docs = spark.createDataFrame([(*r, "x") for r in chatter], "doc_id long, text string, lang string, gram string").repartition(3)
     got = sorted(tuple(r) for r in phrases.mine_phrases(docs, **settings).collect())
