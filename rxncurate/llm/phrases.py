@@ -99,7 +99,7 @@ def windows(ids: np.ndarray, size: int) -> np.ndarray:
     """The windows (rows) of two to size numbers at every place, cut before a 0 and filled up with 0."""
     out = np.zeros((len(ids), size), np.uint32)
     out[:, 0] = ids
-    for k in range(1, size):
+    for k in range(1, min(size, len(ids))):
         out[:len(ids) - k, k] = np.where(out[:len(ids) - k, k - 1] > 0, ids[k:], 0)
     return out[out[:, 1] > 0] if size > 1 else out[:0]
 

@@ -144,3 +144,4 @@ def test_transducers():
     states = {tuple(p): s for prefix, total in united.states(1, bounds[:0]) for p, s in zip(prefix.tolist(), total.tolist())}
     plain = Counter(tuple(x[i:i + k]) for x in (ids[:1000].tolist(), ids[1000:].tolist()) for k in range(2, 6) for i in range(len(x) - k + 1) if all(x[i:i + k]))
     assert states == plain
+    assert [len(phrases.windows(ids[:k], 5)) for k in (0, 1)] == [0, 0] and phrases.windows(np.array([4, 7], np.uint32), 5).tolist() == [[4, 7, 0, 0, 0]]
