@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,16 +44,21 @@ def id_crc(c: Column) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
-def text_bytes(df: DataFrame, text_col: str = "text") -> tuple[int, int]:
-    """Rows and bytes of the texts: two numbers that size blocks and partitions."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("b")).first()
-    return int(row["n"]), int(row["b"])
-
-
-def dealt_block(blocks: int) -> Column:
-    """The block, from 0 to blocks - 1, of a row (doc_id, text): by the hash of both and, so that the
-    copies of one row are spread too, of the input partition."""
-    return F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.spark_partition_id()), F.lit(blocks)).cast("int")
+def deal(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """docs' (doc_id, t: the text, null as empty) with block, from 0 on, and the number of blocks of about block_bytes
+    of text. The block comes from the row's id and text, so a second reading, however its input is split, deals
+    each row alike. Only rows of one id and text that fill half a block are spread further, by their
+    input partition; how many such rows there are is counted first (fewer than two for each block)."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t")).withColumn("_h", F.xxhash64(F.col("doc_id").cast("string"), "t"))
+    size = F.octet_length("t") + 8
+    sums = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b"))
+    found = sums.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.collect_list(F.when((F.col("n") > 1) & (2 * F.col("b") > block_bytes), F.struct("_h", F.ceil(2 * F.col("b") / block_bytes).alias("parts")))).alias("hot")).first()
+    blocks = max(1, math.ceil(int(found["b"]) / block_bytes))
+    key = F.col("_h")
+    if found["hot"]:
+        parts = F.create_map(*[F.lit(x) for r in found["hot"] for x in (r["_h"], r["parts"])])
+        key = F.xxhash64("_h", F.pmod(F.spark_partition_id(), F.coalesce(F.try_element_at(parts, F.col("_h")), F.lit(1))))
+    return rows.select("doc_id", "t", F.pmod(key, F.lit(blocks)).cast("int").alias("block")), blocks
 
 
 #: Most partitions that blocks are dealt to; beyond, a task works on several, one after the other.

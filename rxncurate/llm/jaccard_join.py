@@ -22,7 +22,6 @@ All comparisons are of whole sets, in integers. Shingles are 64-bit hashes of th
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -32,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rxncurate.llm.common import LOWER, UPPER, block_runs, dealt_block, stored, text_bytes, to_blocks
+from rxncurate.llm.common import LOWER, UPPER, block_runs, deal, stored, to_blocks
 from rxncurate.llm.graph import components
 
 #: Bytes of text in a block of the census, about.
@@ -150,8 +149,10 @@ def _profile(n: int, bits: int, percent: int):
         sets = Shingler(n)(docs["t"])
         size = np.fromiter(map(len, sets), np.int64, len(sets))
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        _, at = np.unique(flat >> np.uint64(32 - bits), return_inverse=True)
+        names, at = np.unique(flat >> np.uint64(32 - bits), return_inverse=True)
         totals = np.concatenate([np.frombuffer(x, np.uint8) for x in sums.sort_values("bucket")["totals"]]) if len(sums) else np.zeros(0, np.uint8)
+        if len(totals) != len(names):
+            raise ValueError("a block was dealt other rows when it was counted: store input that can't be read twice alike")
         df = totals[at]
         shared = np.bincount(np.repeat(np.arange(len(sets)), size), df > 1, len(sets)).astype(np.int64)
         alone, starts = size - shared, np.cumsum(size) - size
@@ -337,10 +338,8 @@ def near_components(docs: DataFrame, n: int = 4, percent: int = 85, task_shingle
     """
     if percent <= 66:
         raise ValueError("percent must be over 66")
-    rows, size = text_bytes(docs.select("text"))
-    blocks = max(1, math.ceil((size + 8 * rows) / block_bytes))
+    dealt, blocks = deal(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), block_bytes)
     bits = min(blocks, _MOST_BUCKETS).bit_length()
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("t"), dealt_block(blocks).alias("block"))
     dealt = to_blocks(dealt, blocks)
     counted = dealt.mapInPandas(_census(n, bits), "block int, bucket long, keys binary, counts binary")
     sums = to_blocks(counted.groupBy("bucket").applyInPandas(_sum_bucket, "block int, bucket long, totals binary"), blocks)

@@ -12,7 +12,6 @@ by a join, and sums them for its documents; so nothing of corpus size is broadca
 from __future__ import annotations
 
 import hashlib
-import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -21,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rxncurate.llm.common import LOWER, UPPER, block_runs, dealt_block, id_crc, release, stored, text_bytes, to_blocks
+from rxncurate.llm.common import LOWER, UPPER, block_runs, deal, id_crc, release, stored, to_blocks
 
 #: Bytes of the longest context. A context and its byte fit 48 bits.
 ORDER = 5
@@ -174,6 +173,14 @@ def gram_values(asked: DataFrame, nodes: DataFrame, ctx: DataFrame) -> DataFrame
     return state.select("key", (F.col("value") + F.when(F.col("done"), F.lit(0.0)).otherwise(rest)).alias("value"))
 
 
+def _places(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Places of asked in sorted keys; an error if one is not there."""
+    at = np.searchsorted(keys, asked)
+    if len(asked) and (at.max() >= len(keys) or (keys[at] != asked).any()):
+        raise ValueError("a block was dealt other rows when it was counted: store input that can't be read twice alike")
+    return at
+
+
 def _score_block(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
     release()  # of the block before
     order = np.argsort(table["key"].to_numpy(), kind="stable")
@@ -182,18 +189,19 @@ def _score_block(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
     first = np.searchsorted(key, 0)
     gram, gram_value = key[first:].astype(np.uint64) << np.uint64(16), value[first:]
     n = len(docs)
+    gram_keys = key[first:]
     score, base_score, n_known, n_tokens = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    place = lambda w: int(np.searchsorted(key[:first], word_key(w)))
-    end, at = place(_END), {}
+    end, at = int(_places(key[:first], np.array([word_key(_END)]))[0]), {}
     for begin, words, run in parts(docs["t"], _SCORE_BYTES):
         new = list(set().union(*words).difference(at))
-        at.update(zip(new, np.searchsorted(key[:first], np.fromiter(map(word_key, new), np.int64, len(new))).tolist()))
+        at.update(zip(new, _places(key[:first], np.fromiter(map(word_key, new), np.int64, len(new))).tolist()))
         for k, doc in enumerate(words, begin):
             own = np.fromiter(map(at.__getitem__, doc), np.int64, len(doc))
             base_score[k] = value[own].sum() + value[end]
             n_known[k] = np.count_nonzero(known[own]) + int(known[end])
             n_tokens[k] = len(doc) + 1
         numbered = numbered_grams(run)
+        _places(gram_keys, _counted(numbered >> np.uint64(16))[0].astype(np.int64))
         bounds = np.append(np.searchsorted(numbered, gram), len(numbered))
         score[begin:begin + len(run)] = np.bincount((numbered & np.uint64(0xFFFF)).astype(np.int64), np.repeat(gram_value, np.diff(bounds)), len(run))
     return pd.DataFrame({"doc_id": docs["doc_id"].to_numpy(), "held_out": docs["held"].to_numpy(), "n_tokens": n_tokens, "n_known": n_known, "base_score": base_score, "score": score})
@@ -207,14 +215,13 @@ def score_documents(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, block
     add-one unigram model's. Null and empty texts are an end mark alone; a null id counts as the empty
     text for the split; repeated rows count and score like any. Without training rows bytes are
     uniform. An empty table gives an empty result. Very long texts are worked on whole, one at a time.
-    Rows are dealt to blocks by id, text and input partition, so that an id or a text of a third of
-    all rows is spread; a block is one task. Other columns are not read.
+    Rows are dealt to blocks by id and text, so that an id or a text of a third of all rows is spread, and both
+    readings of docs agree however they are split; a block is one task, and fails if something that it looks
+    up was never asked for. Other columns are not read.
     """
-    n, size = text_bytes(docs.select("text"))
-    blocks = max(1, math.ceil((size + 8 * n) / block_bytes))
+    dealt, blocks = deal(docs, block_bytes)
     held = id_crc(F.col("doc_id")) % held_out[0] == held_out[1]
-    dealt = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"), held.alias("held"), dealt_block(blocks).alias("block"))
-    dealt = to_blocks(dealt, blocks)
+    dealt = to_blocks(dealt.withColumn("held", held), blocks)
     asked = stored(dealt.select("block", "held", "t").mapInPandas(census, "block int, key long, n long"))
     counts = stored(asked.groupBy("key").agg(F.sum("n").alias("n")))
     row = counts.where("key < 0").agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("kinds")).first()

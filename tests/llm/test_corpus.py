@@ -8,6 +8,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
@@ -248,3 +249,21 @@ def test_several_blocks_in_a_task(spark, odd, monkeypatch):
     alone = results()
     monkeypatch.setattr(common, "MOST_TASKS", 3)
     assert results() == alone
+
+
+def test_blocks_do_not_depend_on_the_split(spark, odd):
+    from rxncurate.llm.common import deal
+
+    def blocks(parts):
+        dealt, n = deal(odd.repartition(parts), 4000)
+        return n, sorted(map(str, dealt.collect()))
+
+    assert blocks(1) == blocks(7) and blocks(1)[0] > 5
+    again = spark.createDataFrame([(1, "same text")] * 800 + [(k, f"text {k}") for k in range(50)], "doc_id long, text string").repartition(8)
+    dealt, n = deal(again, 600)
+    assert dealt.where("doc_id = 1 AND t = 'same text'").select("block").distinct().count() > 3 and n > 8
+    with pytest.raises(ValueError, match="dealt other rows"):
+        ppm._places(np.array([1, 4]), np.array([4, 5]))
+    kind = {"docs": pd.DataFrame({"doc_id": [1], "t": ["hello world"], "held": [True]}), "table": pd.DataFrame({"key": np.array([ppm.word_key(b"\n")]), "value": [0.0], "known": [True]})}
+    with pytest.raises(ValueError, match="dealt other rows"):
+        ppm._score_block(kind["docs"], kind["table"])
