@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 STRAY_ESCAPE = r'\\(?!["\\/bfnrt]|u[0-9a-fA-F]{4})'
 
 
-def _whole(v: Column) -> Column:
+def whole_json(v: Column) -> Column:
     """v if it is exactly one JSON value with nothing behind it, else null."""
     one = F.concat(F.lit("["), v, F.lit("]"))
     return F.when(F.json_array_length(one) == 1, v)
@@ -22,7 +22,7 @@ def bound(value: Column, f) -> Column:
 
 def _level(v: Column) -> Column:
     """struct(found, inner): v as an object, and what v holds if it is a JSON string."""
-    strict = lambda x: F.coalesce(_whole(x), _whole(repair_escapes(x)))
+    strict = lambda x: F.coalesce(whole_json(x), whole_json(repair_escapes(x)))
     parts = lambda s: F.struct(F.when(F.startswith(s, F.lit("{")), s).alias("found"), F.when(F.startswith(s, F.lit('"')), F.get_json_object(s, "$")).alias("inner"))
     return bound(F.trim(v), lambda x: bound(strict(x), parts))
 
@@ -70,30 +70,6 @@ def unique_last(m: Column) -> Column:
     return F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value")))
 
 
-def structured_output(value: Column) -> Column:
-    """struct(ok, steps): whether an answer has its three sections as objects and reaction steps, all with
-    an arrow; and how many reaction steps it has. Keys are compared trimmed and lower-cased."""
-    section = lambda top, *names: F.get(F.filter(F.map_entries(top), lambda e: F.lower(F.trim(e["key"])).isin(*names)), F.lit(0))["value"]
-    as_map = lambda text: F.from_json(F.when(F.startswith(F.trim(text), F.lit("{")), text), "map<string,string>")
-    kinds = lambda steps: F.filter(F.map_entries(steps), lambda e: F.contains(F.lower(e["key"]), F.lit("reaction")) & ~F.contains(F.lower(e["key"]), F.lit("work-up")))
-    count = lambda k: F.coalesce(F.when(k.isNotNull(), F.size(k)), F.lit(0))
-    arrows = lambda k: F.coalesce(F.forall(k, lambda e: F.contains(e["value"], F.lit("->"))), F.lit(False))
-
-    def check(top: Column) -> Column:
-        both = as_map(section(top, "reactants, solvents, catalysts", "reactants")).isNotNull() & as_map(section(top, "product", "products")).isNotNull()
-        return bound(kinds(as_map(section(top, "reaction steps"))), lambda k: F.struct((both & (count(k) > 0) & arrows(k)).alias("ok"), count(k).alias("steps")))
-
-    return bound(F.from_json(parse_answer(value), "map<string,string>"), check)
-
-
-def component_list(cell: Column) -> Column:
-    """Trimmed non-empty strings of a JSON or quoted list, or of a single value."""
-    v = F.trim(cell)
-    listed = F.coalesce(F.from_json(v, "array<string>"), F.from_json(F.replace(v, F.lit("'"), F.lit('"')), "array<string>"))
-    items = F.when(F.startswith(v, F.lit("[")), listed).otherwise(F.array(v))
-    return F.coalesce(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
-
-
 def parse_bool(value: Column, strict: bool = False) -> Column:
     """true, 1, yes and false, 0, no in any case. Other text is false, or fails the job if strict."""
     v = F.lower(F.trim(value.cast("string")))

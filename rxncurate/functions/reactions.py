@@ -91,15 +91,18 @@ def _shares(c: Column, maps: Column) -> Column:
     return F.coalesce(F.arrays_overlap(atom_maps(c), maps), F.lit(False))
 
 
-def roles_of_source(reaction: Column) -> Column:
-    """Roles by maps shared with the products, of left and middle components alike, also unreadable ones;
-    products stay as they are; null unless there are three sections."""
+def roles_of_source(reaction: Column, valid=looks_valid) -> Column:
+    """Roles by maps shared with the products, of left and middle components alike; products stay as they are;
+    null unless there are three sections. Maps of what cannot be read do not count: such a component is a
+    reagent, and such a product shares nothing."""
+
+    gives = lambda c, maps: F.when(_shares(c, maps), valid(c)).otherwise(False)
 
     def roles(s: Column) -> Column:
         products = components(F.get(s, F.lit(2)))
         candidates = F.concat(components(F.get(s, F.lit(0))), components(F.get(s, F.lit(1))))
-        return bound(F.struct(products.alias("p"), candidates.alias("c"), all_maps(products).alias("m")), lambda x: F.struct(
-            F.filter(x["c"], lambda c: _shares(c, x["m"])).alias("reactants"), F.filter(x["c"], lambda c: ~_shares(c, x["m"])).alias("reagents"), x["p"].alias("products")))
+        return bound(F.struct(products.alias("p"), candidates.alias("c"), all_maps(F.filter(products, valid)).alias("m")), lambda x: F.struct(
+            F.filter(x["c"], lambda c: gives(c, x["m"])).alias("reactants"), F.filter(x["c"], lambda c: ~gives(c, x["m"])).alias("reagents"), x["p"].alias("products")))
 
     return bound(sections(strip_metadata(reaction)), lambda s: F.when(F.size(s) == 3, roles(s)))
 
@@ -252,6 +255,36 @@ def skeleton_codes(skeletons: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(codes, lambda c: F.trim(F.substring_index(c, "(", 1))), lambda c: c != ""))
 
 
-def reaction_signature(steps: Column) -> Column:
-    """Normalised steps in canonical order, as one text."""
-    return F.array_join(F.array_sort(steps), " || ")
+def reaction_signature(reactions: Column, key) -> Column:
+    """Reactions of two or three sections with their components as sorted keys, in order, as one text; null if there
+    are none, one lacks a side or has other sections, or a component has no key. key: an expression of a
+    component, such as its structure's key, that leaves maps out."""
+
+    def normal(r: Column) -> Column:
+        parts = lambda s: F.transform(s, lambda x: F.array_sort(F.transform(components(x), lambda c: key(c))))
+        fit = lambda p: F.when((F.size(p) > 1) & (F.size(F.get(p, F.lit(0))) > 0) & (F.size(F.element_at(p, -1)) > 0) & F.forall(p, lambda x: F.forall(x, lambda k: k.isNotNull())), F.transform(p, lambda x: F.array_join(x, ".")))
+        three = lambda p: F.concat_ws(">", F.get(p, F.lit(0)), F.when(F.size(p) == 3, F.get(p, F.lit(1))).otherwise(""), F.element_at(p, -1))
+        return bound(sections(r), lambda s: F.when(F.size(s).isin(2, 3), bound(bound(parts(s), fit), lambda p: F.when(p.isNotNull(), three(p)))))
+
+    whole = lambda x: F.when((F.size(x) > 0) & F.forall(x, lambda r: r.isNotNull()), F.array_join(F.array_sort(x), " || "))
+    return bound(F.transform(reactions, normal), whole)
+
+
+def source_parts(reaction: Column, valid=looks_valid) -> Column:
+    """struct(reactants, reagents, products) of the source's own mapped reaction without its maps: null unless there
+    are three sections, all components can be read and products have maps."""
+
+    def roles(s: Column) -> Column:
+        parts = F.transform(s, components)
+
+        def of(x: Column) -> Column:
+            products = F.get(x, F.lit(2))
+            left = F.concat(F.get(x, F.lit(0)), F.get(x, F.lit(1)))
+            ok = lambda m: (F.size(products) > 0) & (F.size(m) > 0) & F.forall(F.flatten(x), valid)
+            plain = lambda cs: F.transform(cs, remove_maps)
+            return bound(all_maps(products), lambda m: F.when(ok(m), F.struct(
+                plain(F.filter(left, lambda c: _shares(c, m))).alias("reactants"), plain(F.filter(left, lambda c: ~_shares(c, m))).alias("reagents"), plain(products).alias("products"))))
+
+        return bound(parts, of)
+
+    return bound(sections(strip_metadata(reaction)), lambda s: F.when(F.size(s) == 3, roles(s)))

@@ -21,8 +21,8 @@ CRITICAL_REASONS = (
     ("atom-map element mismatch", "atom_element_mismatch > 0"),
 )
 REVIEW_REASONS = (
-    ("reagent contributes product atoms", "reagent_contributes_to_product"),
-    ("reactant contributes no product atoms", "noncontributing_reactant"),
+    ("reagent contributes product atoms", "CAST(reagent_contributes_to_product AS INT) > 0"),
+    ("reactant contributes no product atoms", "CAST(noncontributing_reactant AS INT) > 0"),
     ("mapped and labeled components do not align", "role_assignment_unmatched_components > 0"),
     ("no mapped covalent/charge change", "no_detectable_transformation"),
     ("unusually large reaction center", "large_reaction_center"),
@@ -79,20 +79,26 @@ def assign_left_roles(left: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def unmatched_labels(assigned: DataFrame, labels: DataFrame) -> DataFrame:
-    """(rxn_id, unmatched): labelled reactants and reagents that no left component used up."""
-    want = labels.where(F.col("role") != "products").groupBy("rxn_id").agg(F.count(F.lit(1)).alias("want"))
-    used = assigned.where("role <> 'unknown'").groupBy("rxn_id").agg(F.count(F.lit(1)).alias("used"))
-    return want.join(used, "rxn_id", "left").select("rxn_id", (F.col("want") - F.coalesce("used", F.lit(0))).alias("unmatched"))
+    """(rxn_id, unmatched): labelled reactants and reagents that no left component used up, and left components
+    of unknown role. One aggregation of both."""
+    want = labels.where(F.col("role") != "products").select("rxn_id", F.lit(1).alias("n"))
+    used = assigned.select("rxn_id", F.when(F.col("role") == "unknown", 1).otherwise(-1).alias("n"))
+    return want.unionByName(used).groupBy("rxn_id").agg(F.sum("n").alias("unmatched"))
 
 
 def map_audit(atoms: DataFrame) -> DataFrame:
-    """For each rxn_id of (rxn_id, side, map, element), map 0 meaning none: unmapped product atoms,
-    repeated product maps, product maps that the left lacks, and maps whose element differs."""
-    p = atoms.where("side = 'product'")
-    per_map = p.where("map > 0").groupBy("rxn_id", "map").agg(F.count(F.lit(1)).alias("n"), F.min("element").alias("e"))
-    left = atoms.where("side = 'input' AND map > 0").groupBy("rxn_id", "map").agg(F.min("element").alias("le"))
-    maps = per_map.join(left, ["rxn_id", "map"], "left").groupBy("rxn_id").agg(F.count_if(F.col("n") > 1).alias("duplicate_maps"), F.count_if(F.col("le").isNull()).alias("missing_left"), F.count_if(F.col("le") != F.col("e")).alias("element_mismatch"))
-    return p.groupBy("rxn_id").agg(F.count_if(F.col("map") == 0).alias("unmapped")).join(maps, "rxn_id", "left").fillna(0)
+    """For each rxn_id of (rxn_id, side, map, element), map 0 meaning none: unmapped product atoms, maps that
+    repeat on either side, product maps that the left lacks (all of heavy atoms), and maps whose element
+    differs. Atoms are dealt by reaction once; maps are folded on that dealing, then reactions."""
+    heavy = F.col("element") != "H"
+    n = lambda side: F.count_if((F.col("side") == side) & heavy)
+    element = lambda side: F.min(F.when(F.col("side") == side, F.col("element")))
+    per_map = atoms.repartition("rxn_id").groupBy("rxn_id", "map").agg(n("product").alias("p"), n("input").alias("i"), element("product").alias("pe"), element("input").alias("ie"))
+    mapped = F.col("map") > 0
+    out = per_map.groupBy("rxn_id").agg(
+        F.sum("p").alias("_atoms"), F.sum(F.when(~mapped, F.col("p")).otherwise(0)).alias("unmapped"), F.count_if(mapped & ((F.col("p") > 1) | (F.col("i") > 1))).alias("duplicate_maps"),
+        F.count_if(mapped & (F.col("p") > 0) & (F.col("i") == 0)).alias("missing_left"), F.count_if(mapped & (F.col("pe") != F.col("ie"))).alias("element_mismatch"))
+    return out.where("_atoms > 0").drop("_atoms")
 
 
 def bond_changes(bonds: DataFrame) -> DataFrame:
@@ -162,8 +168,10 @@ def risk_order(risks: DataFrame) -> DataFrame:
 
 
 def audit_summary(risks: DataFrame) -> DataFrame:
-    """By level, and over all (level null): rows, rows with any reason, with incomplete mapping, with
-    components that do not align with their labels, and without any model's support."""
+    """By level, and over all (level null): rows, rows with any reason, with complete mapping, with a confident
+    one, without a detectable change, with a role that maps contradict (a reagent that gives product atoms or a
+    reactant that gives none), and without any model's support."""
+    contradicted = F.expr("CAST(reagent_contributes_to_product AS INT) > 0 OR CAST(noncontributing_reactant AS INT) > 0")
     return risks.rollup("risk_level").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("risk_reasons") != "").alias("with_reasons"), F.count_if(~F.col("product_mapping_complete")).alias("incomplete_mapping"),
-        F.count_if(F.col("role_assignment_unmatched_components") > 0).alias("role_mismatch"), F.count_if(F.col("relaxed_model_support_count") == 0).alias("without_support"))
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("risk_reasons") != "").alias("with_reasons"), F.count_if("product_mapping_complete").alias("mapping_complete"),
+        F.count_if("mapping_confident").alias("mapping_confident"), F.count_if("no_detectable_transformation").alias("no_detectable_transformation"), F.count_if(contradicted).alias("role_mismatch"), F.count_if(F.col("relaxed_model_support_count") == 0).alias("without_support"))

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rxncurate.functions.jsonfix import bound
 from rxncurate.functions.names import unresolved_codes
-from rxncurate.functions.reactions import first_by_key, mapped_components, skeleton_codes
-from rxncurate.functions.structure import text_key
+from rxncurate.functions.reactions import first_by_key, mapped_components, skeleton_codes, source_parts
+from rxncurate.operators.score import ROLES
+from rxncurate.operators.structures import mapped_key, with_key_map
 
 #: Fixed value: fewer agreeing models than this call for review.
 LEAST_AGREEMENT = 4
@@ -43,16 +45,22 @@ def _by_size(groups: Column) -> Column:
 def consensus(sigs: DataFrame) -> DataFrame:
     """For every idx of (idx, model, model_pos, signature) the largest group (of equal ones that of the
     earliest model): signature, agreement, members, the other models in order of position, and all groups'
-    members, larger ones first. Where no model has a signature nobody agrees: agreement 0, all disagree."""
-    models = sigs.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("model_pos", "model"))).alias("m"))
-    models = models.select("idx", F.transform("m", lambda x: x["model"]).alias("models"))
-    best = F.max_by(F.struct("signature", "members"), F.struct(F.col("size"), -F.col("first_pos")))
-    groups = signature_groups(sigs).groupBy("idx").agg(best.alias("b"), _by_size(F.collect_list(F.struct("size", "members"))).alias("g"))
+    members, larger ones first. Where no model has a signature nobody agrees: agreement 0, all disagree.
+
+    Rows are dealt by idx once; models are folded by signature and groups by idx on that dealing, and what is
+    left is work on a row."""
+    one = F.array_sort(F.collect_list(F.struct("model_pos", "model")))
+    groups = sigs.repartition("idx").groupBy("idx", "signature").agg(one.alias("m"))
+    folded = groups.groupBy("idx").agg(F.collect_list(F.struct("signature", "m")).alias("g"))
+    names = lambda m: F.transform(m, lambda x: x["model"])
+    models = names(F.array_sort(F.flatten(F.transform("g", lambda x: x["m"]))))
+    signed = F.transform(F.filter("g", lambda x: x["signature"].isNotNull()), lambda x: F.struct(
+        F.size(x["m"]).alias("size"), (-F.element_at(x["m"], 1)["model_pos"]).alias("first"), x["signature"].alias("signature"), names(x["m"]).alias("members")))
     none = F.array().cast("array<string>")
+    best = folded.select("idx", models.alias("models"), signed.alias("g")).withColumn("b", F.array_max("g"))
     members = F.coalesce("b.members", none)
-    every = F.coalesce(F.transform("g", lambda x: x["members"]), F.array().cast("array<array<string>>"))
-    return models.join(groups, "idx", "left").select(
-        "idx", F.col("b.signature").alias("signature"), F.size(members).alias("agreement"), members.alias("members"), F.array_except("models", members).alias("disagreeing"), every.alias("groups"))
+    every = F.transform(_by_size(F.transform("g", lambda x: F.struct(x["size"].alias("size"), x["members"].alias("members")))), lambda x: x["members"])
+    return best.select("idx", F.col("b.signature").alias("signature"), F.size(members).alias("agreement"), members.alias("members"), F.array_except("models", members).alias("disagreeing"), every.alias("groups"))
 
 
 def with_source(agreed: DataFrame, sigs: DataFrame, source: DataFrame) -> DataFrame:
@@ -86,23 +94,41 @@ def review_order(queue: DataFrame) -> DataFrame:
     return queue.orderBy(F.col("manual_review").desc(), "mapping_complete", "agreement", "idx")
 
 
-def model_rows(outputs: DataFrame) -> DataFrame:
-    """What a model made of a row: outputs (idx, model, smiles: a map, and the arrays skeletons, reactions,
-    mapped, mapping_errors) with unresolved (codes of the skeletons), the roles of its mapped reactions,
-    products once for each structure, complete, and signature (null with an unresolved code or without
-    products). Mapping is complete if all reactions are, with products, without unresolved codes and errors."""
-    roles = mapped_components(F.col("mapped"))
+def signature_of(reactants: Column, reagents: Column, products: Column, identity) -> Column:
+    """Signature of a reaction as text, by the identity (an expression) of its components: reactants as a multiset,
+    the others as sets; null without products."""
+    part = lambda role, distinct: bound(F.transform(role, identity), lambda k: F.array_join(F.array_sort(F.array_distinct(k) if distinct else k), "."))
+    return F.when(F.size(products) > 0, F.concat_ws(">", part(reactants, False), part(reagents, True), part(products, True)))
+
+
+def _identity(c: Column) -> Column:
+    """A structure's key; the text of what is none."""
+    return F.coalesce(mapped_key(c), c)
+
+
+def model_rows(outputs: DataFrame, ids: Sequence[str] = ("idx", "model"), dimension: DataFrame | None = None) -> DataFrame:
+    """What a model made of a row: outputs (ids, smiles: a map, and the arrays skeletons, reactions, mapped,
+    mapping_errors) with unresolved (codes of the skeletons), the roles of its mapped reactions, products once
+    for each structure, complete, and signature (null with an unresolved code or without products). Mapping is
+    complete if all reactions are, with products, without unresolved codes and errors. Structures are told by
+    their keys, so that models that write a molecule differently agree; dimension: see with_key_map."""
     unresolved = F.array_sort(unresolved_codes(F.col("smiles"), skeleton_codes(F.col("skeletons"))))
-    out = outputs.withColumn("unresolved", F.coalesce(unresolved, F.array().cast("array<string>"))).withColumn("_r", roles)
-    identity = lambda c: F.coalesce(text_key(c), c)
-    products = first_by_key(F.col("_r.products"), F.transform("_r.products", identity))
-    out = out.withColumns({"reactants": F.col("_r.reactants"), "reagents": F.col("_r.reagents"), "products": products})
+    out = outputs.withColumn("unresolved", F.coalesce(unresolved, F.array().cast("array<string>"))).withColumn("_r", mapped_components(F.col("mapped")))
+    out = out.withColumns({r: F.col(f"_r.{r}") for r in ROLES} | {"_complete": F.col("_r.complete")}).drop("_r")
+    out = with_key_map(out, ids, ROLES, dimension)
+    out = out.withColumn("products", first_by_key(F.col("products"), F.transform("products", _identity)))
     told = F.coalesce(F.exists("mapping_errors", lambda e: F.coalesce(F.trim(e), F.lit("")) != ""), F.lit(False))
-    whole = F.col("_r.complete") & (F.size("mapped") == F.size("reactions")) & (F.size("products") > 0) & (F.size("unresolved") == 0) & ~told
-    part = lambda role, distinct: F.array_join(F.array_sort(F.array_distinct(F.transform(role, identity)) if distinct else F.transform(role, identity)), ".")
-    text = F.concat_ws(">", part("reactants", False), part("reagents", True), part("products", True))
-    usable = (F.size("unresolved") == 0) & (F.size("products") > 0)
-    return out.withColumns({"complete": F.coalesce(whole, F.lit(False)).cast("int"), "signature": F.when(usable, text)}).drop("_r")
+    whole = F.col("_complete") & (F.size("mapped") == F.size("reactions")) & (F.size("products") > 0) & (F.size("unresolved") == 0) & ~told
+    signature = F.when(F.size("unresolved") == 0, signature_of(*[F.col(r) for r in ROLES], _identity))
+    return out.withColumns({"complete": F.coalesce(whole, F.lit(False)).cast("int"), "signature": signature}).drop("_complete", "structure_keys")
+
+
+def source_signatures(rows: DataFrame, reaction: str, dimension: DataFrame | None = None) -> DataFrame:
+    """(idx, signature) of the source's own mapped reaction of rows (idx, reaction), as model_rows makes it of a
+    model's; null unless source_parts can read it."""
+    parts = rows.select("idx", source_parts(F.col(reaction)).alias("_p")).select("idx", *[F.col(f"_p.{r}").alias(r) for r in ROLES])
+    keyed = with_key_map(parts, ["idx"], ROLES, dimension)
+    return keyed.select("idx", signature_of(*[F.col(r) for r in ROLES], _identity).alias("signature"))
 
 
 def carry_review(queue: DataFrame, previous: DataFrame, finalized: Sequence[str] = FINALIZED_COLUMNS, review: Sequence[str] = REVIEW_COLUMNS) -> DataFrame:

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rxncurate.functions.jsonfix import bound, structured_output
+from rxncurate.functions.answers import structured_output
+from rxncurate.functions.jsonfix import bound
 from rxncurate.functions.reactions import BAD_SECTIONS, components, step_roles, valid_reaction, valid_skeleton
 from rxncurate.functions.stats import rate, wilson
-from rxncurate.functions.structure import plain_text
+from rxncurate.functions.structure import looks_valid, same_structures, structure_key
 
 #: Label, exact frequency or None, frequency that must be above the template's or None.
 THRESHOLDS = (("N=1", 1, None), ("N<5", None, 5), ("N<10", None, 10))
@@ -79,15 +80,15 @@ def _step(n: dict[str, Column], flags: dict[str, Column], error: Column) -> Colu
     return F.struct(*counts, *[_int(flags[k]).alias(k) for k in STEP_FLAGS], error.alias("error"))
 
 
-def mapped_step(reaction: Column, template_missing: Column, mapping_error: Column, key=plain_text) -> Column:
+def mapped_step(reaction: Column, template_missing: Column, mapping_error: Column, key=structure_key, valid=looks_valid) -> Column:
     """Counts, flags and error text of a mapped step. Whatever is wrong with it makes it a template
-    failure. Identical structures: reactants and products are equal as multisets of their keys; key is
-    an expression of a readable component, looked at only where the numbers are equal."""
+    failure. Identical structures: reactants and products are equal as multisets of their keys, however they
+    are written; key is an expression of a readable component, looked at only where both sides have as many
+    components and the same atoms."""
 
     def judge(r: Column) -> Column:
         n = {"reactant": F.size(r["reactants"]), "reagent": F.size(r["reagents"]), "product": F.size(r["products"])}
-        keys = lambda c: F.array_sort(F.transform(c, key))
-        same = F.when(n["reactant"] == F.size(r["known_products"]), keys(r["reactants"]) == keys(r["known_products"])).otherwise(False)
+        same = same_structures(r["reactants"], r["known_products"], key)
         told = F.nullif(F.trim(mapping_error), F.lit(""))
         errors = F.array(
             F.when(r["n_left"] == 0, F.lit(NO_LEFT)), F.when(n["product"] == 0, F.lit(NO_PRODUCTS)), F.when(r["maps_missing"], F.lit(NO_MAPS)), F.when(template_missing, F.lit(NO_TEMPLATE)),
@@ -101,7 +102,7 @@ def mapped_step(reaction: Column, template_missing: Column, mapping_error: Colum
         none = {k: F.lit(k in ("template_failure", "missing_product_atom_maps")) for k in STEP_FLAGS}
         return F.when(r["ok"], bound(text, lambda error: _step(n, flags(error), error))).otherwise(_step(zero, none, F.lit(BAD_SECTIONS)))
 
-    return bound(step_roles(reaction), judge)
+    return bound(step_roles(reaction, valid), judge)
 
 
 def unmapped_step(reaction: Column, error: Column) -> Column:

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rxncurate.functions import names as fn
+from rxncurate.functions.structure import looks_valid
 
 
 def known_names(df: DataFrame) -> DataFrame:
-    """(lower_name, known_smiles) of the fixed names: a few rows."""
+    """(lower_name, known_smiles) of the fixed names: a few rows. A value that is no structure is left out."""
     rows = F.array(*[F.struct(F.lit(k.casefold()).alias("lower_name"), F.lit(v).alias("known_smiles")) for k, v in fn.KNOWN_SMILES.items()])
-    return df.sparkSession.range(1).select(F.inline(rows))
+    return df.sparkSession.range(1).select(F.inline(rows)).where(F.forall(F.split("known_smiles", r"\."), looks_valid))
 
 
 def best_entry(dictionary: DataFrame) -> DataFrame:
@@ -21,21 +22,50 @@ def best_entry(dictionary: DataFrame) -> DataFrame:
     return dictionary.groupBy(F.col("lower_name").alias("entry_name")).agg(best.alias("b")).select("entry_name", F.col("b.smiles").alias("entry_smiles"), F.col("b.source").alias("entry_source"))
 
 
-def resolve_names(names: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(name, smiles, source) for the distinct names of a table with a column name: known, else by the
-    alias, else by the name without qualifiers; ambiguous names are left to known ones alone. An
-    unresolved name reads [name (NoSmi)]."""
-    distinct = names.select("name").distinct().withColumn("clean", fn.clean_name(F.col("name")))
-    d = distinct.withColumn("alias", F.lower(fn.resolve_alias(F.col("clean")))).withColumn("fixed", F.lower(fn.resolve_alias(fn.fix_name(F.col("clean"))))).withColumn("lower", F.lower("clean")).withColumn("skip", fn.is_ambiguous(F.col("clean")))
+#: Where an answer came from, and the sources of a dictionary in order of priority.
+CURATED, KNOWN_ALIAS, CACHED = "Curated", "KnownAlias", "Cache"
+SOURCE_ORDER = ("PubChem", "OPSIN", "CIR", "ChEBI", "ChemSpider")
+
+
+def _cached(cache: DataFrame | None, like: DataFrame) -> DataFrame:
+    """(cache_name, cache_smiles) of the structures of a cache (name, smiles); of a repeated name the least."""
+    if cache is None:
+        return like.sparkSession.range(0).select(F.lit("").alias("cache_name"), F.lit("").alias("cache_smiles"))
+    good = cache.where(F.forall(F.split("smiles", r"\."), looks_valid))
+    return good.groupBy(F.col("name").alias("cache_name")).agg(F.min("smiles").alias("cache_smiles"))
+
+
+def resolve_names(names: DataFrame, dictionary: DataFrame, cache: DataFrame | None = None, fix: bool = False) -> DataFrame:
+    """(name, smiles, source) for the distinct names of a table with a column name, in a first pass. Each name
+    is tried as it is given (without its qualifiers too, if fix), then without its qualifiers. A try asks, in
+    this order: the known names by the cleaned name; those by the alias, where qualifiers are taken off; the
+    cache (name, smiles) by the cleaned name and by the alias; the dictionary (lower_name, smiles, source,
+    priority) by the alias. Ambiguous names are not left out here: only the second pass does that. What is
+    found nowhere reads [name (NoSmi)], with the name as given, and has no source.
+
+    All forms of a name are looked up in one join with each table, and meet again by the name."""
+    lower = lambda c: F.lower(c)
+    distinct = names.select("name").distinct().where("name IS NOT NULL")
+    clean, bare = fn.clean_name(F.col("name")), fn.clean_name(fn.fix_name(F.col("name")))
+    alias = lambda c: fn.resolve_alias(c)
+    stripped = lambda c: alias(fn.fix_name(alias(c)))
+    tries = ((clean, stripped(clean) if fix else alias(clean), fix), (bare, stripped(bare), True))
+    asks = []
+    for k, (own, other, taken_off) in enumerate(tries):
+        asks += [(4 * k, "known", lower(own)), *([(4 * k + 1, "known", lower(other))] if taken_off else []), (4 * k + 2, "cache", own), (4 * k + 2.5, "cache", other), (4 * k + 3, "entry", lower(other))]
+    ask = F.inline(F.array(*[F.struct(F.lit(float(place)).alias("place"), F.lit(kind).alias("kind"), text.alias("text")) for place, kind, text in asks]))
+    asked = distinct.select("name", ask)
     known, entry = F.broadcast(known_names(names)), best_entry(dictionary)
-    for c in ("lower", "alias", "fixed"):
-        d = d.join(known.select(F.col("lower_name").alias(c), F.col("known_smiles").alias(f"known_{c}")), c, "left")
-    for c in ("alias", "fixed"):
-        d = d.join(entry.select(F.col("entry_name").alias(c), F.col("entry_smiles").alias(f"smiles_{c}"), F.col("entry_source").alias(f"source_{c}")), c, "left")
-    fixed = F.coalesce("known_lower", "known_alias", "known_fixed")
-    found = F.when(~F.col("skip"), F.coalesce("smiles_alias", "smiles_fixed"))
-    source = F.when(fixed.isNotNull(), "Known").when(F.col("skip"), "Skipped").when(F.col("smiles_alias").isNotNull(), F.col("source_alias")).when(F.col("smiles_fixed").isNotNull(), F.col("source_fixed")).otherwise("Unresolved")
-    return d.select("name", F.coalesce(fixed, found, F.concat(F.lit("["), F.col("clean"), F.lit(" (NoSmi)]"))).alias("smiles"), source.alias("source"))
+    of = lambda kind: asked.where(F.col("kind") == kind)
+    found = of("known").join(known, F.col("text") == F.col("lower_name")).select("name", "place", F.col("known_smiles").alias("smiles"), F.lit(KNOWN_ALIAS).alias("source"))
+    if cache is not None:
+        hits = of("cache").join(_cached(cache, names), F.col("text") == F.col("cache_name"))
+        found = found.unionByName(hits.select("name", "place", F.col("cache_smiles").alias("smiles"), F.lit(CACHED).alias("source")))
+    hits = of("entry").join(entry, F.col("text") == F.col("entry_name"))
+    found = found.unionByName(hits.select("name", "place", F.col("entry_smiles").alias("smiles"), F.col("entry_source").alias("source")))
+    best = found.groupBy("name").agg(F.min_by(F.struct("smiles", "source"), F.struct("place", "source", "smiles")).alias("b"))
+    mark = F.concat(F.lit("["), F.col("name"), F.lit(" (NoSmi)]"))
+    return distinct.join(best, "name", "left").select("name", F.coalesce("b.smiles", mark).alias("smiles"), F.col("b.source").alias("source"))
 
 
 def resolve_once(occurrences: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -44,12 +74,6 @@ def resolve_once(occurrences: DataFrame, dictionary: DataFrame) -> DataFrame:
     return occurrences.join(r, F.col("name").eqNullSafe(F.col("_name")), "left").drop("_name")
 
 
-#: Where an answer came from in a second pass, and the sources of a dictionary in order of
-#: priority.
-CURATED, KNOWN_ALIAS, CACHED = "Curated", "KnownAlias", "Cache"
-SOURCE_ORDER = ("PubChem", "OPSIN", "CIR", "ChEBI", "ChemSpider")
-
-
 def source_priority(source: Column) -> Column:
     """Place of a source among SOURCE_ORDER; unknown ones come last."""
     place = F.array_position(F.array(*[F.lit(x) for x in SOURCE_ORDER]), source)
@@ -79,8 +103,8 @@ def resolve_missing(names: DataFrame, dictionary: DataFrame, overrides: DataFram
     if cache is None:
         d = d.withColumn("cached", F.lit(None).cast("string"))
     else:
-        c = cache.groupBy(F.col("name").alias("_n")).agg(F.min("smiles").alias("_s"))
-        by = lambda k: c.select(F.col("_n").alias(k), F.col("_s").alias(f"c_{k}"))
+        c = _cached(cache, names)
+        by = lambda k: c.select(F.col("cache_name").alias(k), F.col("cache_smiles").alias(f"c_{k}"))
         d = d.join(by("clean"), "clean", "left").join(by("lookup"), "lookup", "left").withColumn("cached", F.coalesce("c_clean", "c_lookup"))
     entry = best_entry(dictionary).select(F.col("entry_name").alias("key"), "entry_smiles", "entry_source")
     d = d.join(entry, "key", "left")
@@ -131,17 +155,36 @@ def section_side(pos: Column, n_sections: Column) -> Column:
     return F.when(pos == 0, "left").when(pos == n_sections - 1, "product").otherwise("middle")
 
 
+#: Sides of a skeleton, in the order of their texts.
+SIDES = ("left", "middle", "product")
+
+
 def unresolved_usage(codes: DataFrame) -> DataFrame:
-    """Usage of unresolved names out of (idx, model, pos, n_sections, value): occurrences by side, rows,
-    and model:n texts."""
+    """Usage of unresolved names out of (idx, model, pos, n_sections, value), by name key: name (the most
+    frequent spelling; of equal ones the first by idx and pos), occurrences, those by side, n_rows, and the
+    texts models and sides (each of k:n, in order of k).
+
+    Names are keyed once for each distinct spelling. Uses are counted by all they have, with partial sums before
+    the shuffle; grouping sets over those few rows then give spellings, models and sides at once. The rows
+    themselves are in usage_rows, as a common name has more of them than a cell should hold."""
     name, side = fn.unresolved_name(F.col("value")), section_side(F.col("pos"), F.col("n_sections"))
-    used = codes.select("idx", F.col("model").cast("string").alias("model"), name.alias("name"), side.alias("side")).where("name IS NOT NULL")
-    count = lambda s: F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(s)
-    per = used.groupBy("name", "model", "side").agg(F.count(F.lit(1)).alias("n"))
-    models = per.groupBy("name", "model").agg(F.sum("n").alias("n"), *[count(s) for s in ("left", "middle", "product")])
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("model", "n"))), lambda x: F.concat_ws(":", x["model"], x["n"].cast("string"))), "; ")
-    sums = models.groupBy("name").agg(F.sum("n").alias("occurrences"), *[F.sum(s).alias(s) for s in ("left", "middle", "product")], text.alias("models"))
-    return sums.join(used.groupBy("name").agg(F.count_distinct("idx").alias("n_rows")), "name")
+    used = codes.select("idx", F.col("model").cast("string").alias("model"), name.alias("name"), side.alias("side"), "pos").where("name IS NOT NULL")
+    counted = used.groupBy("name", "model", "side").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("idx", "pos")).alias("first"))
+    keyed = fn.with_name_key(counted, "name")
+    key, parts = F.col("name_key"), [F.col(c) for c in ("name", "model", "side")]
+    sets = keyed.groupingSets([[key, p] for p in parts], key, *parts).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    some = lambda c: F.col(c).isNotNull()
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(some(c), F.struct(F.col(c).alias("k"), "n")))), lambda x: F.concat_ws(":", x["k"], x["n"].cast("string"))), "; ")
+    per_side = [F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0).cast("long")).alias(s) for s in SIDES]
+    spelt = F.max(F.when(some("name"), F.struct("n", (-F.col("first.idx").cast("long")).alias("i"), (-F.col("first.pos")).alias("p"), F.col("name").alias("name"))))
+    sums = sets.groupBy("name_key").agg(spelt.alias("s"), F.sum(F.when(some("model"), F.col("n"))).alias("occurrences"), *per_side, text("model").alias("models"), text("side").alias("sides"))
+    rows = usage_rows(used.select("idx", "name")).groupBy("name_key").agg(F.count(F.lit(1)).alias("n_rows"))
+    return sums.join(rows, "name_key").select("name_key", F.col("s.name").alias("name"), "occurrences", *SIDES, "n_rows", "models", "sides")
+
+
+def usage_rows(names: DataFrame) -> DataFrame:
+    """(name_key, idx), each once, of unresolved names (idx, name)."""
+    return fn.with_name_key(names.select("idx", "name").distinct(), "name").select("name_key", "idx").distinct()
 
 
 def structures_by_name(entries: DataFrame) -> DataFrame:
@@ -173,24 +216,35 @@ def recovery_by_model(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def unresolved_percentage(entries: DataFrame, keys: list[str]) -> DataFrame:
     """Percent of entries (keys, value) that are unresolved; 0 where there are none."""
-    return entries.groupBy(*keys).agg(F.coalesce(F.avg(F.contains(F.lower("value"), F.lit("nosmi")).cast("double")) * 100, F.lit(0.0)).alias("unresolved_pct"))
+    return entries.groupBy(*keys).agg(F.coalesce(F.avg(F.contains("value", F.lit("(NoSmi)")).cast("double")) * 100, F.lit(0.0)).alias("unresolved_pct"))
 
 
 #: What became of a name; the last two part the names by whether they are ambiguous.
 RESOLVED, PARTLY, RETAINED, NOT_FOUND = "resolved", "partially_resolved", "retained_ambiguous_or_nonmolecular", "not_found"
 
 
-def recovery_audit(before: DataFrame, after: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """Names (name_key, occurrences and other columns of before) before and after a recovery with their
-    status. An unresolved name is retained where it is ambiguous (before.ambiguous) and has no override
-    (name_key of overrides)."""
+def recovery_audit(before: DataFrame, after: DataFrame, overrides: DataFrame | None = None, structures: DataFrame | None = None) -> DataFrame:
+    """Names of unresolved_usage's rows before and after a recovery (name_key, name, occurrences; other columns
+    of before stay) with their status, and the override's kind, lookup_name, evidence_url and note (columns of
+    overrides (name_key, ...) that are there) and resolved_smiles, the distinct structures (name_key, smiles, n)
+    that the name has now. An unresolved name is retained where its spelling is ambiguous and it has no
+    override."""
     a = after.select("name_key", F.col("occurrences").alias("after"))
-    o = (overrides.select("name_key").distinct().withColumn("_o", F.lit(True)) if overrides is not None else before.sparkSession.range(0).select(F.lit("").alias("name_key"), F.lit(True).alias("_o")))
-    joined = before.withColumnRenamed("occurrences", "before").join(a, "name_key", "left").join(o, "name_key", "left")
+    joined = before.withColumnRenamed("occurrences", "before").join(a, "name_key", "left")
+    fields = [c for c in ("kind", "lookup_name", "evidence_url", "note") if overrides is not None and c in overrides.columns]
+    if overrides is not None:
+        one = overrides.groupBy("name_key").agg(F.lit(True).alias("_o"), *[F.first(F.coalesce(F.col(c), F.lit(""))).alias(f"override_{c}") for c in fields])
+        joined = joined.join(one, "name_key", "left").fillna("", [f"override_{c}" for c in fields])
+    else:
+        joined = joined.withColumn("_o", F.lit(None).cast("boolean"))
+    if structures is not None:
+        ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "smiles")))
+        found = structures.groupBy("name_key").agg(F.array_join(F.transform(ranked, lambda x: x["smiles"]), " | ").alias("resolved_smiles"))
+        joined = joined.join(found, "name_key", "left").fillna("", ["resolved_smiles"])
     left = F.coalesce("after", F.lit(0))
-    kept = F.col("ambiguous") & F.col("_o").isNull()
+    kept = fn.is_ambiguous(F.col("name")) & F.col("_o").isNull()
     status = F.when(left == 0, RESOLVED).when(left < F.col("before"), PARTLY).when(kept, RETAINED).otherwise(NOT_FOUND)
-    return joined.withColumn("after", left.cast("long")).withColumn("recovered", (F.col("before") - F.col("after")).cast("long")).withColumn("status", status).drop("ambiguous", "_o")
+    return joined.withColumn("after", left.cast("long")).withColumn("recovered", (F.col("before") - F.col("after")).cast("long")).withColumn("status", status).drop("_o")
 
 
 def recovery_order(audit: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rxncurate.functions.reactions import remove_codes, restore_codes, substitute_codes
+from rxncurate.functions.structure import looks_valid, structure_key
 
 #: Decisions a reviewer may take; blank means pending.
 DECISIONS = ("pending", "use_smiles", "keep_unresolved", "exclude_from_mapping")
+PENDING = DECISIONS[0]
 EDITABLE = ("review_decision", "reviewed_smiles", "evidence", "review_note")
 #: Fixed value: the mapping error of a reaction that a review has changed.
 STALE = "Human-reviewed SMILES applied; rerun atom mapping."
@@ -55,9 +57,10 @@ def decision_of(c: Column) -> Column:
 
 
 def merge_queue(queue: DataFrame, previous: DataFrame) -> DataFrame:
-    """The queue (review_id and any columns) with the editable columns of a previous one. Rows that have
-    vanished are kept, with their previous columns, 0 occurrences and currently_unresolved false,
-    unless their decision is pending; columns that the previous one lacks are null in them."""
+    """The queue (review_id and any columns) with the editable columns of a previous one, as they were written;
+    a row that is new is pending. Rows that have vanished are kept, with their previous columns, 0 occurrences
+    and currently_unresolved false, unless their decision reads pending; columns that the previous one lacks
+    are null in them."""
     columns = [c for c in queue.columns if c not in (*EDITABLE, "currently_unresolved")]
     shared = [c for c in columns if c in previous.columns and c not in ("review_id", "occurrences")]
     there = [c for c in EDITABLE if c in previous.columns]
@@ -66,9 +69,9 @@ def merge_queue(queue: DataFrame, previous: DataFrame) -> DataFrame:
     now = F.coalesce("_now", F.lit(False))
     kept = {c: F.when(now, F.col(c)).otherwise(F.col(f"_{c}")) for c in shared}
     filled = {c: F.coalesce(F.col(f"_{c}"), F.lit("")) if c in there else F.lit("") for c in EDITABLE}
-    filled["review_decision"] = decision_of(filled["review_decision"])
+    filled["review_decision"] = F.when(F.col("_old"), filled["review_decision"]).otherwise(F.lit(PENDING))
     out = joined.withColumns(kept | filled | {"occurrences": F.coalesce("occurrences", F.lit(0).cast("long")), "currently_unresolved": now})
-    return out.where("currently_unresolved OR review_decision <> 'pending'").select(*columns, "currently_unresolved", *EDITABLE)
+    return out.where(F.col("currently_unresolved") | (F.lower(F.trim("review_decision")) != PENDING)).select(*columns, "currently_unresolved", *EDITABLE)
 
 
 def ordered_queue(queue: DataFrame) -> DataFrame:
@@ -76,14 +79,17 @@ def ordered_queue(queue: DataFrame) -> DataFrame:
     return queue.orderBy(F.col("currently_unresolved").desc(), F.col("occurrences").desc(), "idx", "display_name")
 
 
-def decision_problems(review: DataFrame, valid=None) -> DataFrame:
-    """(review_id, problem) of unknown decisions, approvals without a valid structure, and approvals of
-    one (idx, name_key) that disagree. valid: an expression of a structure's text; not blank unless given."""
+def decision_problems(review: DataFrame, valid=looks_valid, key=lambda text: structure_key(text, strict=True)) -> DataFrame:
+    """(review_id, problem) of unknown decisions, approvals without a valid structure, and approvals of one (idx,
+    name_key) that disagree: of different structures, however they are written. valid and key are expressions
+    of a structure's text."""
     d = decision_of(F.col("review_decision"))
     text = F.coalesce(F.trim("reviewed_smiles"), F.lit(""))
-    good = text != "" if valid is None else F.coalesce(valid(text), F.lit(False))
+    good = F.coalesce(valid(text), F.lit(False))
     approved = review.where((d == "use_smiles") & good)
-    conflict = approved.groupBy("idx", "name_key").agg(F.count_distinct(text).alias("n")).where("n > 1").select("idx", "name_key", F.lit(True).alias("_conflict"))
+    # Equal texts need no key: only rows whose texts differ are read.
+    texts = approved.groupBy("idx", "name_key").agg(F.collect_set(text).alias("texts")).where(F.size("texts") > 1)
+    conflict = texts.where(F.size(F.array_distinct(F.transform("texts", key))) > 1).select("idx", "name_key", F.lit(True).alias("_conflict"))
     joined = review.join(conflict, ["idx", "name_key"], "left")
     problem = (
         F.when(~d.isin(*DECISIONS), "unknown decision").when((d == "use_smiles") & ~good, "reviewed_smiles is not valid SMILES")

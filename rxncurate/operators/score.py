@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rxncurate.functions.jsonfix import bound
+from rxncurate.functions.checks import assert_unique
+from rxncurate.functions.jsonfix import bound, parse_bool
 from rxncurate.functions.stats import interval_text, one_decimal, percent_text, rate, wilson
 
 #: Roles; reactants are multisets, the others sets.
@@ -63,21 +64,21 @@ def compare_alternatives(pred: DataFrame, truth: DataFrame, methods: Sequence) -
     """One row for each (rxn_id, method) of the reactions of truth: alternatives, an array of struct(slot,
     and compare_sets against it), and has_unresolved.
 
-    pred: (rxn_id, method, role, comp, unresolved: boolean); truth: (rxn_id, slot, role, comp). Both are
-    folded by reaction, which is one shuffle each, and meet by the same key; all else is work on a row.
-    A reaction holds a few components for each method, so arrays stay small.
+    pred: (rxn_id, method, role, comp, unresolved: boolean); truth: (rxn_id, slot, role, comp). Predictions are
+    dealt by reaction once, folded by method and then into a map, so that each method's sets are made once;
+    truths are folded by the same key and meet them there. All else is work on a row.
     """
     t = truth.groupBy("rxn_id").agg(F.collect_list(F.struct("slot", "role", "comp")).alias("_t"))
-    p = pred.groupBy("rxn_id").agg(F.collect_list(F.struct("method", "role", "comp", "unresolved")).alias("_p"))
+    own = pred.repartition("rxn_id").groupBy("rxn_id", "method").agg(F.collect_list(F.struct("role", "comp")).alias("_c"), F.max(F.coalesce(F.col("unresolved"), F.lit(False)).cast("int")).alias("u"))
+    p = own.groupBy("rxn_id").agg(F.map_from_entries(F.collect_list(F.struct("method", F.struct(role_sets(F.col("_c")).alias("sets"), F.col("u").alias("u"))))).alias("_p"))
     slots = F.array_sort(F.array_distinct(F.transform("_t", lambda x: x["slot"])))
     accepted = F.transform(slots, lambda s: F.struct(s.alias("slot"), role_sets(F.filter("_t", lambda x: x["slot"] == s)).alias("sets")))
     joined = t.select("rxn_id", accepted.alias("_a"), "_t").drop("_t").join(p, "rxn_id", "left")
     kind = pred.schema["method"].dataType
     each = joined.select("rxn_id", "_a", "_p", F.explode(F.array(*[F.lit(m).cast(kind) for m in methods])).alias("method"))
-    none = F.array().cast(p.schema["_p"].dataType)
-    own = each.withColumn("_own", F.filter(F.coalesce("_p", none), lambda x: x["method"] == F.col("method"))).drop("_p")
-    unresolved = F.exists("_own", lambda x: F.coalesce(x["unresolved"], F.lit(False))).cast("int")
-    sets = own.select("rxn_id", "method", "_a", role_sets(F.col("_own")).alias("_sets"), unresolved.alias("has_unresolved"))
+    none = role_sets(F.array().cast(own.schema["_c"].dataType))
+    met = each.withColumn("_own", F.try_element_at("_p", F.col("method")))
+    sets = met.select("rxn_id", "method", "_a", F.coalesce("_own.sets", none).alias("_sets"), F.coalesce("_own.u", F.lit(0)).alias("has_unresolved"))
     compared = F.transform("_a", lambda a: F.struct(a["slot"].alias("slot"), compare_sets(F.col("_sets"), a["sets"]).alias("c")))
     return sets.select("rxn_id", "method", "has_unresolved", compared.alias("alternatives"))
 
@@ -92,22 +93,35 @@ def section_counts(compared: DataFrame) -> DataFrame:
 
 def best_ground_truth(compared: DataFrame, prefer_coverage: bool = False) -> DataFrame:
     """The best alternative of each row of compare_alternatives, with its counts: [covered,] exact, more tp,
-    fewer errors, lower slot; and reaction_correct, exact (covered, if that is preferred) without an
-    unresolved name."""
+    fewer errors, lower slot; and reaction_correct: exact without an unresolved name, or, if coverage is
+    preferred, covered whatever is unresolved."""
     order = lambda a: F.struct(*([a["c"]["covered"].alias("o")] if prefer_coverage else []), a["c"]["exact"].alias("e"), a["c"]["tp"].alias("t"), (-a["c"]["errors"]).alias("r"), (-a["slot"]).alias("s"))
     best = F.array_max(F.transform("alternatives", lambda a: F.struct(order(a).alias("o"), a.alias("a"))))["a"]
     out = compared.select("rxn_id", "method", "has_unresolved", best.alias("b")).select("rxn_id", "method", "b.slot", "b.c.*", "has_unresolved")
-    right = F.col("covered" if prefer_coverage else "exact") == 1
-    return out.withColumn("reaction_correct", (right & (F.col("has_unresolved") == 0)).cast("int"))
+    right = F.col("covered") == 1 if prefer_coverage else (F.col("exact") == 1) & (F.col("has_unresolved") == 0)
+    return out.withColumn("reaction_correct", right.cast("int"))
+
+
+def with_excluded(flags: DataFrame, manifest: DataFrame, methods: Sequence) -> DataFrame:
+    """flags of best_ground_truth's rows with evaluation_included 1, and a row for each method and each row of
+    manifest (idx, ground_truth_valid, review_note) without a valid ground truth: evaluation_included 0, its
+    note as exclusion_reason, counts and flags null."""
+    kind = flags.schema["method"].dataType
+    out = manifest.where(~F.col("ground_truth_valid")).select(
+        F.col("idx").cast(flags.schema["rxn_id"].dataType).alias("rxn_id"), F.explode(F.array(*[F.lit(m).cast(kind) for m in methods])).alias("method"),
+        F.lit(0).alias("evaluation_included"), F.coalesce("review_note", F.lit("")).alias("exclusion_reason"))
+    return flags.withColumns({"evaluation_included": F.lit(1), "exclusion_reason": F.lit("")}).unionByName(out, allowMissingColumns=True)
 
 
 def extraction_metrics(flags: DataFrame) -> DataFrame:
     """For each method and role: sums, precision and recall (null on an empty denominator); and the
-    method's correct reactions, accuracy and Wilson interval. One aggregation of best_ground_truth's rows."""
-    sums = flags.groupBy("method").agg(F.count(F.lit(1)).alias("evaluated"), F.sum("reaction_correct").alias("correct"), *[F.sum(c).alias(c) for c in COUNTS])
+    method's correct reactions, accuracy and Wilson interval. One aggregation of best_ground_truth's rows. Rows
+    that with_excluded added count as excluded and for nothing else."""
+    out = F.count_if(F.col("evaluation_included") == 0) if "evaluation_included" in flags.columns else F.lit(0).cast("long")
+    sums = flags.groupBy("method").agg(F.count("reaction_correct").alias("evaluated"), out.alias("excluded"), F.sum("reaction_correct").alias("correct"), *[F.sum(c).alias(c) for c in COUNTS])
     roles = F.array(*[F.struct(F.lit(r).alias("role"), *[F.col(f"{r}_{c}").alias(c) for c in ("tp", "fp", "fn")]) for r in ROLES])
     low, high = wilson(F.col("correct"), F.col("evaluated"))
-    rows = sums.select("method", "evaluated", "correct", F.inline(roles))
+    rows = sums.select("method", "evaluated", "excluded", "correct", F.inline(roles))
     rows = rows.withColumn("precision", rate(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", rate(F.col("tp"), F.col("tp") + F.col("fn")))
     return rows.withColumn("incorrect", F.col("evaluated") - F.col("correct")).withColumn("accuracy", rate(F.col("correct"), F.col("evaluated"))).withColumn("ci_lower", low).withColumn("ci_upper", high)
 
@@ -169,13 +183,24 @@ def prediction_keys(keys: Column, texts: Column) -> Column:
     return F.zip_with(keys, texts, lambda k, t: F.coalesce(k, F.concat(F.lit("__invalid__:"), F.trim(t))))
 
 
+#: Where a row's ground truth comes from.
+VALIDATED, NO_TRUTH = "human_validated", "no_valid_ground_truth"
+
+
 def ground_truth_manifest(review: DataFrame) -> DataFrame:
-    """(idx, alternatives, n_alternatives, source) from (idx, ground_truth_valid, signature_1,
-    signature_2). A valid row without signature fails the job."""
+    """(idx, ground_truth_valid, ground_truth_source, alternatives, ground_truth_count, review_note) from (idx,
+    ground_truth_valid: a boolean or its text, signature_1, signature_2, review_note if there is one). A row
+    that is not valid has no alternatives. A valid row without its first signature, a repeated idx, and a
+    label that is no boolean fail the job."""
+    kind = review.schema["ground_truth_valid"].dataType.simpleString()
+    valid = F.col("ground_truth_valid") if kind == "boolean" else parse_bool(F.col("ground_truth_valid"), strict=True)
+    rows = assert_unique(review, ["idx"]).withColumn("ground_truth_valid", F.coalesce(valid, F.raise_error(F.lit("a row has no label")).cast("boolean")))
     alts = F.filter(F.array("signature_1", "signature_2"), lambda s: s.isNotNull())
-    checked = F.when(F.col("ground_truth_valid") & (F.size(alts) == 0), F.raise_error(F.lit("a valid row has no signature")).cast("array<string>")).otherwise(alts)
-    source = F.when(~F.coalesce("ground_truth_valid", F.lit(False)), "none").when(F.size(alts) == 2, "two alternatives").otherwise("one alternative")
-    return review.select("idx", "ground_truth_valid", checked.alias("alternatives"), F.size(alts).alias("n_alternatives"), source.alias("source"))
+    lost = F.raise_error(F.concat(F.lit("a valid row has no signature: "), F.col("idx").cast("string"))).cast("array<string>")
+    held = F.when(~F.col("ground_truth_valid"), F.array().cast("array<string>")).when(F.col("signature_1").isNull(), lost).otherwise(alts)
+    note = F.coalesce(F.col("review_note").cast("string"), F.lit("")) if "review_note" in review.columns else F.lit("")
+    out = rows.select("idx", "ground_truth_valid", F.when(F.col("ground_truth_valid"), VALIDATED).otherwise(NO_TRUTH).alias("ground_truth_source"), held.alias("alternatives"), note.alias("review_note"))
+    return out.withColumn("ground_truth_count", F.size("alternatives"))
 
 
 def matched_slot(alternatives: Column, sig: Column) -> Column:

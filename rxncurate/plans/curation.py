@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rxncurate.functions import jsonfix, names, reactions
+from rxncurate.functions import answers, jsonfix, names, reactions
 from rxncurate.operators import audit, consensus, denoise, finetune, review, skeleton
 from rxncurate.operators import names as resolving
 from rxncurate.plans.standins import reactions_of, standin
@@ -20,7 +20,7 @@ def json_decode_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structured_output_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return standin(spark, sf_dir, "answers").select("k", jsonfix.structured_output(F.col("answer")).alias("s")).select("k", "s.ok", "s.steps")
+    return standin(spark, sf_dir, "answers").select("k", answers.structured_output(F.col("answer")).alias("s")).select("k", "s.ok", "s.steps")
 
 
 def _steps(spark, sf_dir):
@@ -115,8 +115,15 @@ def name_structure_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolving.structure_conflicts(p)
 
 
+def _spelt_codes(spark, sf_dir):
+    """Codes whose names are written in two ways, some of them ambiguous."""
+    number = F.regexp_extract("value", r"(\d+)", 1).try_cast("int")
+    other = F.when(F.col("code").isin("c2", "c5"), F.replace("value", F.lit("[part "), F.lit("[Part-"))).otherwise(F.col("value"))
+    return standin(spark, sf_dir, "codes").withColumn("value", F.when(number % 15 == 0, F.concat(F.lit("[compound "), number.cast("string"), F.lit(" (NoSmi)]"))).otherwise(other))
+
+
 def unresolved_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolving.unresolved_usage(standin(spark, sf_dir, "codes"))
+    return resolving.unresolved_usage(_spelt_codes(spark, sf_dir))
 
 
 def unresolved_percentage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,11 +131,12 @@ def unresolved_percentage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recovery(spark, sf_dir):
-    used = resolving.unresolved_usage(standin(spark, sf_dir, "codes")).select(F.col("name").alias("name_key"), "occurrences")
+    before = resolving.unresolved_usage(_spelt_codes(spark, sf_dir))
     number = F.regexp_extract("name_key", r"(\d+)", 1).cast("int")
-    before = used.withColumn("ambiguous", number % 15 == 0)
-    after = used.where(number % 10 != 0).withColumn("occurrences", F.when(number % 3 == 0, F.col("occurrences")).otherwise(F.floor(F.col("occurrences") / 2)))
-    return resolving.recovery_audit(before, after).select("name_key", "before", "after", "recovered", "status")
+    after = before.where(number % 10 != 0).withColumn("occurrences", F.when(number % 3 == 0, F.col("occurrences")).otherwise(F.floor(F.col("occurrences") / 2)))
+    overrides = before.where(number % 9 == 0).select("name_key", F.lit("alias").alias("kind"))
+    audited = resolving.recovery_audit(before, after, overrides)
+    return audited.select("name_key", "name", "before", "after", "recovered", "status", "models", "sides", "n_rows", "override_kind")
 
 
 def recovery_status_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,35 +286,12 @@ def bond_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.bond_changes(standin(spark, sf_dir, "bonds"))
 
 
-def _audited(spark, sf_dir):
-    """Columns that the fixed reasons look at, from the maps, the roles and the support of a reaction."""
-    m = audit.map_audit(standin(spark, sf_dir, "atoms"))
-    o = audit.role_overlap(standin(spark, sf_dir, "gt_components").withColumn("comp", F.col("comp") % 29))
-    n, k = F.col("rxn_id"), lambda d, r=0: F.col("rxn_id") % d == r
-    joined = m.join(o, "rxn_id")
-    return joined.select(
-        n.alias("rxn_id"), F.when(k(97), 1).otherwise(0).alias("invalid_smiles_count"), k(89).alias("element_deficit_flag"), F.when(k(83), "failed").alias("mapping_error"), F.lit("A>>B").alias("mapped_reaction"),
-        (F.col("unmapped") + F.col("missing_left") < 3).alias("product_mapping_complete"), F.col("duplicate_maps").alias("duplicate_atom_maps"), F.when(F.col("element_mismatch") > 2, 1).otherwise(0).alias("atom_element_mismatch"),
-        k(7).alias("reagent_contributes_to_product"), k(11).alias("noncontributing_reactant"), F.when(k(13), 2).otherwise(0).alias("role_assignment_unmatched_components"), k(17).alias("no_detectable_transformation"),
-        k(19).alias("large_reaction_center"), (~k(23)).alias("mapping_confident"), F.when(k(5), "").otherwise("T").alias("mapping_template"), F.col("reactant_reagent").alias("role_overlap_count"),
-        F.col("reactant_product").alias("product_reactant_overlap_count"), F.col("reagent_product").alias("product_reagent_overlap_count"), (n % 4).alias("multistep_model_count"), (n % 3).alias("product_count"),
-        (n % 6).alias("relaxed_model_support_count"), (F.col("same_sides") == 1).alias("identical_reactant_product"))
-
-
-def risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.risk_levels(_audited(spark, sf_dir)).select("rxn_id", "risk_level", "risk_reasons")
-
-
-def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit_summary(audit.risk_levels(_audited(spark, sf_dir)))
-
-
 QUERIES = {f.__name__: f for f in (
     json_decode_repair, structured_output_check, step_explode_classify, skeleton_assemble, substitute_codes, split_reaction_roles, role_by_map_overlap, mapper_input_form, step_heuristics,
     row_heuristics_rollup, name_clean_fix, name_key, ambiguous_name_filter, resolve_cascade, resolve_once_fanout, name_structure_conflicts, unresolved_usage, unresolved_percentage,
     recovery_status_audit, recovery_summary, review_queue, review_queue_merge, review_decision_validation, review_apply_summary, unmatched_decisions, resume_pending, checkpoint_upsert,
     eval_disjointness, finetune_validate, finetune_summary, finetune_role_counts, consensus_groups, consensus_with_source, manual_review_queue, model_support, element_deficit, role_multiset_overlap, assign_left_roles,
-    unmatched_labels, map_audit, bond_changes, risk_levels, audit_summary)}
+    unmatched_labels, map_audit, bond_changes)}
 
 from rxncurate.plans.curation_sql import ORACLE  # noqa: E402, F401
 

@@ -40,24 +40,33 @@ _HEUR = """, c AS (SELECT rxn_id, section, smiles, map, readable = 1 AS readable
     CAST(a > 0 AND n > 0 AND b = 0 AS INT) AS no_reagent, CAST(len(told) > 0 AS INT) AS template_failure, CAST(missing AS INT) AS missing_product_atom_maps, CAST(a > 0 AND rk = pk AS INT) AS identical_structures, array_to_string(told, ' | ') AS error FROM h0)"""
 _CLEAN = "trim(regexp_replace(replace(name, '′', ''''), '\\s+', ' ', 'g'))"
 _FIX = lambda v: f"trim(regexp_replace({v}, {_q('(' + '|'.join(names.QUALIFIERS) + ')')}, '', 'gi'))"
+_SPACED = lambda v: f"trim(regexp_replace(replace({v}, '′', ''''), '\\s+', ' ', 'g'))"
 _AMB = lambda v: "(lower({0}) IN ({1}) OR {2})".format(v, ", ".join(map(_q, names.AMBIGUOUS)), " OR ".join(f"regexp_matches({v}, {_q(p)})" for p in names.AMBIGUOUS_PATTERNS))
 _VALUES = lambda t: ", ".join(f"({_q(a)}, {_q(b)})" for a, b in t)
 _RESOLVE = f""", known AS (SELECT * FROM (VALUES {_VALUES((k.casefold(), v) for k, v in names.KNOWN_SMILES.items())}) t(k, v)), al AS (SELECT * FROM (VALUES {_VALUES(names.ALIASES.items())}) t(k, v)),
   e AS (SELECT lower_name, smiles, source FROM dictionary QUALIFY row_number() OVER (PARTITION BY lower_name ORDER BY priority, source, smiles) = 1),
-  n0 AS (SELECT DISTINCT name, {_CLEAN} AS clean FROM names),
-  n1 AS (SELECT *, lower(coalesce((SELECT v FROM al WHERE k = lower(clean)), clean)) AS alias, {_FIX('clean')} AS f0, {_AMB('clean')} AS skip FROM n0),
-  n2 AS (SELECT *, trim(regexp_replace(replace(f0, '′', ''''), '\\s+', ' ', 'g')) AS f1 FROM n1),
-  n3 AS (SELECT *, lower(coalesce((SELECT v FROM al WHERE k = lower(f1)), f1)) AS fixed FROM n2),
-  n4 AS (SELECT n3.*, coalesce(k1.v, k2.v, k3.v) AS ks, e1.smiles AS s1, e1.source AS c1, e2.smiles AS s2, e2.source AS c2 FROM n3 LEFT JOIN known k1 ON k1.k = lower(clean) LEFT JOIN known k2 ON k2.k = alias LEFT JOIN known k3 ON k3.k = fixed
+  n0 AS (SELECT DISTINCT name, {_CLEAN} AS clean, {_FIX('name')} AS b0 FROM names),
+  n1 AS (SELECT *, lower(coalesce((SELECT v FROM al WHERE k = lower(clean)), clean)) AS alias, {_SPACED('b0')} AS bare FROM n0),
+  n2 AS (SELECT *, {_FIX("coalesce((SELECT v FROM al WHERE k = lower(bare)), bare)")} AS f0 FROM n1), n3 AS (SELECT *, {_SPACED('f0')} AS f1 FROM n2),
+  n4 AS (SELECT *, lower(coalesce((SELECT v FROM al WHERE k = lower(f1)), f1)) AS fixed FROM n3),
+  n5 AS (SELECT n4.*, k1.v AS v1, coalesce(k2.v, k3.v) AS v2, e1.smiles AS s1, e1.source AS c1, e2.smiles AS s2, e2.source AS c2 FROM n4 LEFT JOIN known k1 ON k1.k = lower(clean) LEFT JOIN known k2 ON k2.k = lower(bare) LEFT JOIN known k3 ON k3.k = fixed
     LEFT JOIN e e1 ON e1.lower_name = alias LEFT JOIN e e2 ON e2.lower_name = fixed),
-  res AS (SELECT name, coalesce(ks, CASE WHEN NOT skip THEN coalesce(s1, s2) END, '[' || clean || ' (NoSmi)]') AS smiles,
-    CASE WHEN ks IS NOT NULL THEN 'Known' WHEN skip THEN 'Skipped' WHEN s1 IS NOT NULL THEN c1 WHEN s2 IS NOT NULL THEN c2 ELSE 'Unresolved' END AS source FROM n4)"""
+  res AS (SELECT name, coalesce(v1, s1, v2, s2, '[' || name || ' (NoSmi)]') AS smiles, CASE WHEN v1 IS NOT NULL THEN 'KnownAlias' WHEN s1 IS NOT NULL THEN c1 WHEN v2 IS NOT NULL THEN 'KnownAlias' ELSE c2 END AS source FROM n5)"""
 _USAGE = """, u AS (SELECT idx, regexp_extract(value, '^\\[(.*) \\(NoSmi\\)\\]$', 1) AS name, pos, model, code, CASE pos WHEN 0 THEN 'left' WHEN 2 THEN 'product' ELSE 'middle' END AS side FROM codes WHERE value LIKE '[%(NoSmi)]'),
   um AS (SELECT name, string_agg(model || ':' || n, '; ' ORDER BY model) AS models FROM (SELECT name, CAST(model AS VARCHAR) AS model, count(*) AS n FROM u GROUP BY ALL) GROUP BY name),
   us AS (SELECT name, count(*) AS occurrences, count(*) FILTER (side = 'left') AS "left", count(*) FILTER (side = 'middle') AS middle, count(*) FILTER (side = 'product') AS product, count(DISTINCT idx) AS n_rows FROM u GROUP BY name)"""
-_RECOVERY = _USAGE + """, nn AS (SELECT name AS name_key, occurrences AS before, CAST(regexp_extract(name, '(\\d+)', 1) AS INT) AS x FROM us),
+_SPELT = """, co AS (SELECT *, CAST(regexp_extract(value, '(\\d+)', 1) AS VARCHAR) AS x FROM codes),
+  un AS (SELECT idx, model, pos, side, n, regexp_replace(lower(n), '[^a-z0-9]', '', 'g') AS name_key FROM (SELECT idx, 'x' AS z, model, pos, CASE pos WHEN 0 THEN 'left' WHEN 2 THEN 'product' ELSE 'middle' END AS side,
+    CASE WHEN CAST(x AS INT) % 15 = 0 THEN 'compound ' || x WHEN code IN ('c2', 'c5') THEN 'Part-' || x ELSE 'part ' || x END AS n FROM co WHERE value LIKE '[%(NoSmi)]')),
+  nm AS (SELECT name_key, n AS name FROM un GROUP BY name_key, n QUALIFY row_number() OVER (PARTITION BY name_key ORDER BY count(*) DESC, min((idx, pos)), n DESC) = 1),
+  um AS (SELECT name_key, string_agg(model || ':' || n, '; ' ORDER BY model) AS models FROM (SELECT name_key, CAST(model AS VARCHAR) AS model, count(*) AS n FROM un GROUP BY ALL) GROUP BY name_key),
+  sm AS (SELECT name_key, string_agg(side || ':' || n, '; ' ORDER BY side) AS sides FROM (SELECT name_key, side, count(*) AS n FROM un GROUP BY ALL) GROUP BY name_key),
+  us AS (SELECT name_key, count(*) AS occurrences, count(*) FILTER (side = 'left') AS "left", count(*) FILTER (side = 'middle') AS middle, count(*) FILTER (side = 'product') AS product, count(DISTINCT idx) AS n_rows FROM un GROUP BY name_key),
+  usage AS (SELECT name_key, name, occurrences, "left", middle, product, n_rows, models, sides FROM us JOIN nm USING (name_key) JOIN um USING (name_key) JOIN sm USING (name_key))"""
+_RECOVERY = _SPELT + """, nn AS (SELECT *, occurrences AS before, CAST(regexp_extract(name_key, '(\\d+)', 1) AS INT) AS x FROM usage),
   aa AS (SELECT *, CASE WHEN x % 10 = 0 THEN 0 WHEN x % 3 = 0 THEN before ELSE before // 2 END AS after FROM nn),
-  ra AS (SELECT name_key, before, CAST(after AS BIGINT) AS after, CAST(before - after AS BIGINT) AS recovered, CASE WHEN after = 0 THEN 'resolved' WHEN after < before THEN 'partially_resolved' WHEN x % 15 = 0 THEN 'retained_ambiguous_or_nonmolecular' ELSE 'not_found' END AS status FROM aa)"""
+  ra AS (SELECT name_key, name, before, CAST(after AS BIGINT) AS after, CAST(before - after AS BIGINT) AS recovered, CASE WHEN after = 0 THEN 'resolved' WHEN after < before THEN 'partially_resolved'
+    WHEN name LIKE 'compound %' AND x % 9 <> 0 THEN 'retained_ambiguous_or_nonmolecular' ELSE 'not_found' END AS status, models, sides, n_rows, CASE WHEN x % 9 = 0 THEN 'alias' ELSE '' END AS override_kind FROM aa)"""
 _SIGNED = lambda t, keys: f"""SELECT {keys}, CASE WHEN c IS NOT NULL THEN coalesce(a, '') || '>' || coalesce(b, '') || '>' || c END AS signature, c AS relaxed FROM (
     SELECT {keys}, string_agg(CASE WHEN role = 'reactants' THEN CAST(comp AS VARCHAR) END, '.' ORDER BY comp) AS a, string_agg(CASE WHEN role = 'reagents' AND r = 1 THEN CAST(comp AS VARCHAR) END, '.' ORDER BY comp) AS b,
       string_agg(CASE WHEN role = 'products' AND r = 1 THEN CAST(comp AS VARCHAR) END, '.' ORDER BY comp) AS c FROM (SELECT *, row_number() OVER (PARTITION BY {keys}, role, comp) AS r FROM {t}) GROUP BY {keys})"""
@@ -75,19 +84,9 @@ _CONV = """, m AS (SELECT conv_id, list(role ORDER BY turn, role, text) AS roles
 _LEFT = """, lf AS (SELECT l_orderkey AS rxn_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS pos, CAST(l_partkey % 5 AS INT) AS comp FROM lineitem),
   lb AS (SELECT rxn_id, role, comp % 5 AS comp FROM gt_components), hv AS (SELECT rxn_id, comp, count(*) FILTER (role = 'reactants') AS a, count(*) FILTER (role = 'reagents') AS b FROM lb GROUP BY ALL),
   asg AS (SELECT rxn_id, pos, comp, CASE WHEN r <= a THEN 'reactants' WHEN r <= a + b THEN 'reagents' ELSE 'unknown' END AS role FROM (SELECT lf.*, coalesce(a, 0) AS a, coalesce(b, 0) AS b, row_number() OVER (PARTITION BY rxn_id, comp ORDER BY pos) AS r FROM lf LEFT JOIN hv USING (rxn_id, comp)))"""
-_MAPS = """, pp AS (SELECT * FROM atoms WHERE side = 'product'), pm AS (SELECT rxn_id, map, count(*) AS n, min(element) AS e FROM pp WHERE map > 0 GROUP BY ALL), lm AS (SELECT rxn_id, map, min(element) AS le FROM atoms WHERE side = 'input' AND map > 0 GROUP BY ALL),
-  ms AS (SELECT rxn_id, count(*) FILTER (n > 1) AS duplicate_maps, count(*) FILTER (le IS NULL) AS missing_left, count(*) FILTER (le <> e) AS element_mismatch FROM pm LEFT JOIN lm USING (rxn_id, map) GROUP BY rxn_id),
-  ma AS (SELECT rxn_id, unmapped, coalesce(duplicate_maps, 0) AS duplicate_maps, coalesce(missing_left, 0) AS missing_left, coalesce(element_mismatch, 0) AS element_mismatch FROM (SELECT rxn_id, count(*) FILTER (map = 0) AS unmapped FROM pp GROUP BY rxn_id) LEFT JOIN ms USING (rxn_id)),
-  ov AS (SELECT rxn_id, sum(least(a, b)) AS rr, sum(least(a, p)) AS rp, sum(least(b, p)) AS gp, min(CAST(a = p AS INT)) AS same FROM (SELECT rxn_id, comp % 29 AS comp, count(*) FILTER (role = 'reactants') AS a,
-    count(*) FILTER (role = 'reagents') AS b, count(*) FILTER (role = 'products') AS p FROM gt_components GROUP BY ALL) GROUP BY rxn_id),
-  rs AS (SELECT rxn_id, [e FOR e IN [CASE WHEN rxn_id % 97 = 0 THEN 'invalid SMILES' END, CASE WHEN rxn_id % 89 = 0 THEN 'product contains an element absent from all inputs' END, CASE WHEN rxn_id % 83 = 0 THEN 'atom mapping failed' END,
-      CASE WHEN unmapped + missing_left >= 3 THEN 'product atom mapping incomplete' END, CASE WHEN duplicate_maps > 0 THEN 'duplicate atom-map numbers' END, CASE WHEN element_mismatch > 2 THEN 'atom-map element mismatch' END] IF e IS NOT NULL] AS crit,
-    [e FOR e IN [CASE WHEN rxn_id % 7 = 0 THEN 'reagent contributes product atoms' END, CASE WHEN rxn_id % 11 = 0 THEN 'reactant contributes no product atoms' END, CASE WHEN rxn_id % 13 = 0 THEN 'mapped and labeled components do not align' END,
-      CASE WHEN rxn_id % 17 = 0 THEN 'no mapped covalent/charge change' END, CASE WHEN rxn_id % 19 = 0 THEN 'unusually large reaction center' END, CASE WHEN rxn_id % 23 = 0 THEN 'LocalMapper marked mapping unconfident' END,
-      CASE WHEN rxn_id % 5 = 0 THEN 'no mapping template' END, CASE WHEN rr > 0 THEN 'same structure labeled as reactant and reagent' END, CASE WHEN rp > 0 OR gp > 0 THEN 'a product is also present on the input side' END,
-      CASE WHEN rxn_id % 4 >= 2 AND rxn_id % 3 > 1 THEN 'possible flattened multistep sequence' END, CASE WHEN rxn_id % 6 = 0 THEN 'validated ground truth has no model support' END,
-      CASE WHEN same = 1 THEN 'reactant and product structure sets are identical' END] IF e IS NOT NULL] AS rev FROM ma JOIN ov USING (rxn_id)),
-  ri AS (SELECT rxn_id, CASE WHEN len(crit) > 0 THEN 'critical' WHEN len(rev) > 0 THEN 'manual_review' ELSE 'pass' END AS risk_level, array_to_string(list_concat(crit, rev), '; ') AS risk_reasons FROM rs)"""
+_MAPS = """, mm AS (SELECT rxn_id, map, count(*) FILTER (side = 'product' AND element <> 'H') AS p, count(*) FILTER (side = 'input' AND element <> 'H') AS i, min(element) FILTER (side = 'product') AS pe, min(element) FILTER (side = 'input') AS ie FROM atoms GROUP BY ALL),
+  ma AS (SELECT rxn_id, CAST(coalesce(sum(p) FILTER (map = 0), 0) AS BIGINT) AS unmapped, count(*) FILTER (map > 0 AND (p > 1 OR i > 1)) AS duplicate_maps, count(*) FILTER (map > 0 AND p > 0 AND i = 0) AS missing_left,
+    count(*) FILTER (map > 0 AND pe <> ie) AS element_mismatch FROM mm GROUP BY rxn_id HAVING sum(p) > 0)"""
 
 # Every step of the stand-in makes one product from one code and the product before, so each is a group of
 # its own and the last makes P: pieces in order, then the rules on leading and doubled signs.
@@ -98,8 +97,9 @@ ORACLE = {
     "skeleton_assemble": _SKELETON("'C' || (l_partkey % 9)") + " SELECT idx, CASE WHEN f[1] = '>' THEN '' ELSE f END AS skeletons FROM t",
     "substitute_codes": _SKELETON("CASE WHEN (l_partkey % 9) % 2 = 0 THEN repeat('C', CAST(l_partkey % 9 + 1 AS INT)) ELSE 'C' || (l_partkey % 9) END") + " SELECT idx, CASE WHEN f[1] = '>' THEN 'Error: empty rxn_codes' ELSE f END AS reactions FROM t",
     "json_decode_repair": with_sql(["answers"], _LEVELS + """ SELECT k, decoded IS NOT NULL AS valid, json_extract_string(obj, '$.Products.C') AS product, json_extract_string(obj, '$."Reactants, Solvents, Catalysts".B') AS b FROM o"""),
-    "structured_output_check": with_sql(["answers"], _LEVELS + """ SELECT k, coalesce(json_type(obj, '$.Products') = 'OBJECT' AND json_type(obj, '$."Reactants, Solvents, Catalysts"') = 'OBJECT' AND s LIKE '%(Reaction,%' AND s LIKE '%->%', FALSE) AS ok,
-      CASE WHEN s LIKE '%(Reaction,%' THEN 1 ELSE 0 END AS steps FROM (SELECT k, obj, json_extract_string(obj, '$."Reaction Steps"') AS s FROM o)"""),
+    "structured_output_check": with_sql(["answers"], """, s AS (SELECT k, replace(answer, chr(92) || '-', '-') AS a FROM answers), t AS (SELECT k, CASE WHEN json_valid(a) AND json_type(a) = 'OBJECT' THEN a END AS o FROM s)
+      SELECT k, coalesce(json_type(o, '$.Products') = 'OBJECT' AND json_type(o, '$."Reactants, Solvents, Catalysts"') = 'OBJECT' AND st LIKE '%(Reaction,%' AND st LIKE '%->%', FALSE) AS ok, CASE WHEN st LIKE '%(Reaction,%' THEN 1 ELSE 0 END AS steps
+      FROM (SELECT k, o, json_extract_string(o, '$."Reaction Steps"') AS st FROM t)"""),
     "step_explode_classify": f"WITH {_STEPS} SELECT l_orderkey AS idx, CAST(n - 1 AS INT) AS pos, CAST(n - 1 AS INT) AS number, CASE l_returnflag WHEN 'R' THEN 'reaction' WHEN 'A' THEN 'involve' ELSE 'work-up' END AS kind, 'C' || (l_partkey % 9) || CASE WHEN n > 1 THEN '+mixture' || (n - 1) ELSE '' END AS \"left\", CASE WHEN n = m THEN 'P' ELSE 'mixture' || n END AS \"right\" FROM r",
     "split_reaction_roles": with_sql(["mapped_component"], _RXN + " SELECT rxn_id, nl AS n_reactants, mid AS n_reagents, np AS n_products, a || '>' || b || '>' || c AS text FROM r0 JOIN k USING (rxn_id)"),
     "role_by_map_overlap": with_sql(["mapped_component"], _RXN + " SELECT rxn_id, ar AS a_reactants, ag AS a_reagents, CASE WHEN np > 0 THEN br ELSE 0 END AS b_reactants, CASE WHEN np > 0 THEN bg ELSE 0 END AS b_reagents, br AS c_reactants, bg + mid AS c_reagents FROM k"),
@@ -116,8 +116,8 @@ ORACLE = {
     "resolve_once_fanout": with_sql(["names", "dictionary"], _RESOLVE + " SELECT source, count(*) AS occurrences, count(DISTINCT smiles) AS structures FROM names JOIN res USING (name) GROUP BY source"),
     "name_structure_conflicts": """WITH e AS (SELECT lower(p_brand) AS name_key, p_type AS name, CAST(p_size % 3 AS VARCHAR) AS smiles FROM part) SELECT name_key, smiles, string_agg(DISTINCT name, '; ' ORDER BY name) AS names
       FROM e WHERE name_key IN (SELECT name_key FROM e GROUP BY 1 HAVING count(DISTINCT smiles) > 1) GROUP BY ALL""",
-    "unresolved_usage": with_sql(["codes"], _USAGE + " SELECT * FROM us JOIN um USING (name)"),
-    "unresolved_percentage": with_sql(["codes"], " SELECT model, round(avg(CASE WHEN lower(value) LIKE '%nosmi%' THEN 1.0 ELSE 0.0 END) * 100, 6) AS unresolved_pct FROM codes GROUP BY model"),
+    "unresolved_usage": with_sql(["codes"], _SPELT + " SELECT * FROM usage"),
+    "unresolved_percentage": with_sql(["codes"], " SELECT model, round(avg(CASE WHEN value LIKE '%(NoSmi)%' THEN 1.0 ELSE 0.0 END) * 100, 6) AS unresolved_pct FROM codes GROUP BY model"),
     "recovery_status_audit": with_sql(["codes"], _RECOVERY + " SELECT * FROM ra"),
     "recovery_summary": with_sql(["codes"], _RECOVERY + " SELECT status, count(*) AS names, CAST(sum(before) AS BIGINT) AS before, CAST(sum(after) AS BIGINT) AS after, CAST(sum(recovered) AS BIGINT) AS recovered FROM ra GROUP BY ROLLUP (status)"),
     "review_queue": with_sql(["codes"], _USAGE + """, t AS (SELECT idx, name, count(*) AS occurrences FROM u GROUP BY ALL),
@@ -128,12 +128,12 @@ ORACLE = {
     "review_queue_merge": with_sql(["codes", "decisions"], _USAGE + """, t AS (SELECT idx, name, count(*) AS occurrences FROM u GROUP BY ALL),
       b AS (SELECT idx, name, string_agg(side || ':' || n, '; ' ORDER BY side) AS sides FROM (SELECT idx, name, side, count(*) AS n FROM u GROUP BY ALL) GROUP BY ALL),
       q AS (SELECT 'row-' || idx || '__' || name AS review_id, idx, name AS display_name, occurrences, sides FROM t JOIN b USING (idx, name)),
-      d AS (SELECT *, coalesce(nullif(lower(trim(review_decision)), ''), 'pending') AS dec FROM decisions)
+      d AS (SELECT *, coalesce(review_decision, '') AS dec FROM decisions)
       SELECT coalesce(q.review_id, d.review_id) AS review_id, coalesce(q.idx, d.idx) AS idx, coalesce(q.display_name, upper(d.name_key)) AS display_name, coalesce(occurrences, 0) AS occurrences, sides, q.review_id IS NOT NULL AS currently_unresolved,
       coalesce(dec, 'pending') AS review_decision, coalesce(reviewed_smiles, '') AS reviewed_smiles, coalesce(evidence, '') AS evidence, coalesce(review_note, '') AS review_note FROM q FULL JOIN d ON q.review_id = d.review_id
-      WHERE q.review_id IS NOT NULL OR coalesce(dec, 'pending') <> 'pending'"""),
+      WHERE q.review_id IS NOT NULL OR lower(trim(dec)) <> 'pending'"""),
     "review_decision_validation": with_sql(["decisions"], """ SELECT review_id, problem FROM (SELECT review_id, CASE WHEN coalesce(nullif(lower(trim(review_decision)), ''), 'pending') NOT IN ('pending', 'use_smiles', 'keep_unresolved', 'exclude_from_mapping') THEN 'unknown decision'
-      WHEN lower(trim(review_decision)) = 'use_smiles' AND trim(reviewed_smiles) = '' THEN 'reviewed_smiles is not valid SMILES' END AS problem FROM decisions) WHERE problem IS NOT NULL"""),
+      WHEN lower(trim(review_decision)) = 'use_smiles' AND trim(reviewed_smiles) IN ('', 'C1CC') THEN 'reviewed_smiles is not valid SMILES' END AS problem FROM decisions) WHERE problem IS NOT NULL"""),
     "review_apply_summary": with_sql(["codes", "decisions"], """, e AS (SELECT idx, model, code, CASE WHEN value LIKE '[%(NoSmi)]' THEN regexp_extract(value, '^\\[(.*) \\(NoSmi\\)\\]$', 1) END AS name_key FROM codes),
       j AS (SELECT e.*, lower(trim(d.review_decision)) AS dec FROM e LEFT JOIN decisions d ON d.idx = e.idx AND d.name_key = e.name_key AND lower(trim(d.review_decision)) IN ('use_smiles', 'exclude_from_mapping'))
       SELECT model, count(*) FILTER (dec = 'use_smiles') AS replacements, count(*) FILTER (dec = 'exclude_from_mapping') AS excluded, count(DISTINCT CASE WHEN dec IS NOT NULL THEN idx END) AS changed_rows FROM j GROUP BY model"""),
@@ -165,12 +165,9 @@ ORACLE = {
     "role_multiset_overlap": with_sql(["gt_components"], """, c AS (SELECT rxn_id, comp % 5 AS comp, count(*) FILTER (role = 'reactants') AS a, count(*) FILTER (role = 'reagents') AS b, count(*) FILTER (role = 'products') AS p FROM gt_components GROUP BY ALL)
       SELECT rxn_id, CAST(sum(least(a, b)) AS BIGINT) AS reactant_reagent, CAST(sum(least(a, p)) AS BIGINT) AS reactant_product, CAST(sum(least(b, p)) AS BIGINT) AS reagent_product, min(CAST(a = p AS INT)) AS same_sides FROM c GROUP BY rxn_id"""),
     "assign_left_roles": with_sql(["gt_components"], _LEFT + " SELECT rxn_id, comp, role, count(*) AS n, min(pos) AS first_pos FROM asg GROUP BY ALL"),
-    "unmatched_labels": with_sql(["gt_components"], _LEFT + " SELECT rxn_id, want - coalesce(used, 0) AS unmatched FROM (SELECT rxn_id, count(*) AS want FROM lb WHERE role <> 'products' GROUP BY 1) LEFT JOIN (SELECT rxn_id, count(*) AS used FROM asg WHERE role <> 'unknown' GROUP BY 1) USING (rxn_id)"),
-    "map_audit": with_sql(["atoms", "gt_components"], _MAPS + " SELECT * FROM ma"),
+    "unmatched_labels": with_sql(["gt_components"], _LEFT + " SELECT rxn_id, CAST(sum(n) AS BIGINT) AS unmatched FROM (SELECT rxn_id, 1 AS n FROM lb WHERE role <> 'products' UNION ALL SELECT rxn_id, CASE WHEN role = 'unknown' THEN 1 ELSE -1 END FROM asg) GROUP BY rxn_id"),
+    "map_audit": with_sql(["atoms"], _MAPS + " SELECT * FROM ma"),
     "bond_changes": with_sql(["bonds"], """, g AS (SELECT rxn_id, least(a, b) AS x, greatest(a, b) AS y, max(CASE WHEN side = 'input' THEN bond_order END) AS i, max(CASE WHEN side = 'product' THEN bond_order END) AS p FROM bonds GROUP BY ALL),
       h AS (SELECT rxn_id, count(*) FILTER (i IS NULL) AS formed, count(*) FILTER (p IS NULL) AS broken, count(*) FILTER (i <> p) AS changed FROM g GROUP BY rxn_id)
       SELECT *, formed + broken + changed AS centre, CASE WHEN formed + broken + changed = 0 THEN 'none' WHEN formed + broken + changed > 8 THEN 'large' ELSE 'normal' END AS centre_class FROM h"""),
-    "risk_levels": with_sql(["atoms", "gt_components"], _MAPS + " SELECT * FROM ri"),
-    "audit_summary": with_sql(["atoms", "gt_components"], _MAPS + """ SELECT risk_level, count(*) AS rows, count(*) FILTER (risk_reasons <> '') AS with_reasons, count(*) FILTER (list_contains(crit, 'product atom mapping incomplete')) AS incomplete_mapping, count(*) FILTER (rxn_id % 13 = 0) AS role_mismatch,
-      count(*) FILTER (rxn_id % 6 = 0) AS without_support FROM ri JOIN rs USING (rxn_id) GROUP BY ROLLUP (risk_level)"""),
 }

@@ -78,9 +78,9 @@ def noise_free_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = consensus.model_rows(_rows(spark, sf_dir).drop("unresolved", "signature"))
+    rows = consensus.model_rows(_rows(spark, sf_dir).drop("unresolved", "signature"), ids=["idx"])
     parts = [F.array_join(c, ".").alias(c) for c in ("reactants", "reagents", "products")]
-    return rows.select("idx", "complete", F.array_join("unresolved", ".").alias("unresolved"), *parts, "signature")
+    return rows.select("idx", "complete", F.array_join("unresolved", ".").alias("unresolved"), *parts, F.col("signature").isNotNull().alias("signed"))
 
 
 QUERIES = {f.__name__: f for f in (row_heuristics, flag_table, denoising_confusion, chart_metrics, pipeline_flags, stage_summary, noise_free_funnel, model_rows)}
@@ -142,5 +142,5 @@ ORACLE = {
       ag AS (SELECT idx, string_agg(text, '.' ORDER BY k) FILTER (role = 'r') AS reactants, string_agg(text, '.' ORDER BY k) FILTER (role = 'g') AS reagents, string_agg(text, '.' ORDER BY k) FILTER (role = 'p' AND f = 1) AS products,
         string_agg(key, '.' ORDER BY key) FILTER (role = 'r') AS rk, string_agg(key, '.' ORDER BY key) FILTER (role = 'g' AND f = 1) AS gk, string_agg(key, '.' ORDER BY key) FILTER (role = 'p' AND f = 1) AS pk FROM firsts GROUP BY idx)
       SELECT r.idx, CAST(unmapped = 0 AND told = 0 AND ag.products IS NOT NULL AS INT) AS complete, '' AS unresolved, coalesce(reactants, '') AS reactants, coalesce(reagents, '') AS reagents, coalesce(products, '') AS products,
-        CASE WHEN products IS NOT NULL THEN coalesce(rk, '') || '>' || coalesce(gk, '') || '>' || pk END AS signature FROM r LEFT JOIN ag USING (idx)"""),
+        products IS NOT NULL AS signed FROM r LEFT JOIN ag USING (idx)"""),
 }

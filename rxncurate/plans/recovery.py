@@ -14,7 +14,7 @@ from rxncurate.sources.tables import table
 
 def resolve_second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     overrides, dictionary = standin(spark, sf_dir, "overrides"), standin(spark, sf_dir, "dictionary")
-    cache = table(spark, sf_dir, "part").where("p_partkey % 9 = 4").select(F.col("p_name").alias("name"), F.concat(F.lit("K"), (F.col("p_size") % 3).cast("string")).alias("smiles"))
+    cache = table(spark, sf_dir, "part").where("p_partkey % 9 = 4").select(F.col("p_name").alias("name"), F.when(F.col("p_size") % 3 == 0, "C1CC").otherwise(F.repeat(F.lit("C"), (F.col("p_size") % 3).cast("int"))).alias("smiles"))
     return resolving.resolve_missing(standin(spark, sf_dir, "names"), dictionary, overrides, cache)
 
 
@@ -146,7 +146,7 @@ _ROWS = """, ro AS (SELECT idx, 'm' || (idx % 3) AS model, pos, skeletons, react
 ORACLE = {
     "resolve_second_pass": with_sql(["names", "dictionary", "overrides"], f""", known AS (SELECT * FROM (VALUES {_VALUES((k.casefold(), v) for k, v in names.KNOWN_SMILES.items())}) t(k, v)), al AS (SELECT * FROM (VALUES {_VALUES(names.ALIASES.items())}) t(k, v)),
       e AS (SELECT lower_name, smiles, source FROM dictionary QUALIFY row_number() OVER (PARTITION BY lower_name ORDER BY priority, source, smiles) = 1),
-      ca AS (SELECT p_name AS name, min('K' || (p_size % 3)) AS smiles FROM part WHERE p_partkey % 9 = 4 GROUP BY p_name),
+      ca AS (SELECT p_name AS name, min(repeat('C', CAST(p_size % 3 AS INT))) AS smiles FROM part WHERE p_partkey % 9 = 4 AND p_size % 3 > 0 GROUP BY p_name),
       n0 AS (SELECT DISTINCT name, {_CLEAN.format('name')} AS clean FROM names),
       n1 AS (SELECT n0.*, o.name IS NOT NULL AS has, nullif(trim(o.smiles), '') AS os, nullif(trim(o.lookup_name), '') AS ol, nullif(trim(o.kind), '') AS ok FROM n0 LEFT JOIN overrides o ON {_KEY.format('o.name')} = {_KEY.format('clean')} AND {_KEY.format('clean')} <> ''),
       n2 AS (SELECT *, coalesce(ol, (SELECT v FROM al WHERE k = lower(clean)), clean) AS lookup FROM n1),
@@ -155,8 +155,8 @@ ORACLE = {
         CASE WHEN os IS NOT NULL THEN 'Curated:' || coalesce(ok, 'override') WHEN ks IS NOT NULL THEN 'KnownAlias' WHEN NOT has AND {_AMBIGUOUS('clean')} THEN NULL
           WHEN cs IS NOT NULL THEN CASE WHEN has THEN 'Curated:' || coalesce(ok, 'alias') || '+' ELSE '' END || 'Cache' WHEN es IS NOT NULL THEN CASE WHEN has THEN 'Curated:' || coalesce(ok, 'alias') || '+' ELSE '' END || ec END AS source FROM n3"""),
     "skeleton_usage": with_sql(["model_steps"], _ROWS + """, us AS (SELECT idx, model, 'compound ' || (idx % 40) AS name FROM ro WHERE bad)
-      SELECT name, count(*) AS occurrences, CAST(0 AS BIGINT) AS "left", CAST(0 AS BIGINT) AS middle, count(*) AS product, (SELECT string_agg(model || ':' || n, '; ' ORDER BY model) FROM (SELECT model, count(*) AS n FROM us u WHERE u.name = us.name GROUP BY model)) AS models,
-        count(DISTINCT idx) AS n_rows FROM us GROUP BY name"""),
+      SELECT replace(name, ' ', '') AS name_key, name, count(*) AS occurrences, CAST(0 AS BIGINT) AS "left", CAST(0 AS BIGINT) AS middle, count(*) AS product, count(DISTINCT idx) AS n_rows,
+        (SELECT string_agg(model || ':' || n, '; ' ORDER BY model) FROM (SELECT model, count(*) AS n FROM us u WHERE u.name = us.name GROUP BY model)) AS models, 'product:' || count(*) AS sides FROM us GROUP BY name"""),
     "mapping_counts": with_sql(["model_steps"], _ROWS + " SELECT model, count(*) FILTER (mapped <> ' ') AS mapped_steps, count(*) AS total_steps FROM ro GROUP BY model"),
     "structures_by_name": "SELECT 'part' || (l_partkey % 50) AS name_key, 'C' || (l_linenumber % 3) AS smiles, count(*) AS n FROM lineitem WHERE l_suppkey % 4 <> 0 GROUP BY 1, 2",
     "recovery_by_model": with_sql(["codes"], """, us AS (SELECT idx, 'm' || model AS model, regexp_extract(value, '^\\[(.*) \\(NoSmi\\)\\]$', 1) AS name FROM codes WHERE value LIKE '[%(NoSmi)]')

@@ -39,6 +39,16 @@ SQL = {
         CASE WHEN idx % 29 = 0 THEN 'timeout' END AS error, CASE WHEN idx % 19 = 0 THEN 1 ELSE 0 END AS issue_rare, CASE WHEN idx % 31 = 0 THEN 1 ELSE 0 END AS unresolved, idx % 5 <> 0 AS ground_truth_valid,
         CASE WHEN idx % 13 <> 0 THEN concat('S', CAST(idx % 7 AS STRING)) END AS signature, concat('S', CAST(CASE WHEN idx % 3 = 0 THEN idx % 6 ELSE idx % 7 END AS STRING)) AS first_signature, CASE WHEN idx % 4 = 0 THEN concat('S', CAST(idx % 7 AS STRING)) END AS second_signature
       FROM (SELECT DISTINCT l_orderkey AS idx FROM lineitem) k""",
+    "spelt_models": f"""SELECT l_orderkey AS rxn_id, m.method, {ROLE} AS role, CAST((l_partkey + CASE WHEN (l_suppkey + m.method) % 29 = 0 THEN 1 ELSE 0 END) % 6 AS INT) AS mol, CAST((l_suppkey + m.method) % 3 AS INT) AS variant, (l_suppkey + m.method) % 41 = 0 AS bad
+      FROM lineitem CROSS JOIN (SELECT 0 AS method UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) m WHERE (l_partkey + l_linenumber * 7 + m.method) % 31 <> 0""",
+    "spelt_truths": f"""SELECT l_orderkey AS rxn_id, 1 AS slot, {ROLE} AS role, CAST(l_partkey % 6 AS INT) AS mol, CAST(l_linenumber % 3 AS INT) AS variant, FALSE AS bad FROM lineitem
+      UNION ALL SELECT l_orderkey, 2, {ROLE}, CAST((l_partkey + CASE WHEN l_suppkey % 13 = 0 THEN 1 ELSE 0 END) % 6 AS INT), CAST(l_suppkey % 3 AS INT), l_suppkey % 47 = 0 FROM lineitem WHERE l_orderkey % 3 = 0""",
+    "audit_parts": f"""SELECT l_orderkey AS rxn_id, {ROLE} AS role, CAST(l_partkey % 3 AS INT) AS e, l_partkey % 4 = 0 AS two, CAST(l_suppkey % 9 AS INT) AS m, l_returnflag = 'N' AND l_suppkey % 5 = 0 AS plus,
+        l_partkey % 4 = 0 AND l_linenumber % 2 = 0 AS dbl, l_suppkey % 53 = 0 AS bad, l_suppkey % 17 <> 0 AS labelled FROM lineitem""",
+    "text_cells": """SELECT o_orderkey AS idx, CASE WHEN o_orderkey % 2 = 0 THEN '["C>C", "N>N"]' ELSE '(''C>C'', ''N>N'')' END AS reactions,
+        CASE WHEN o_orderkey % 11 = 0 THEN '[''broken'', ' WHEN o_orderkey % 2 = 0 THEN '[''[CH3:1]>>[CH3:1]'', ''[CH3:1][OH:2]>>[OH:2][CH3:1]'']' ELSE '["[CH3:1]>>[CH3:1]", "[CH3:1][OH:2]>>[OH:2][CH3:1]"]' END AS mapped,
+        CASE WHEN o_orderkey % 3 = 0 THEN '[''T'', None]' ELSE '[''T'', ''T'',]' END AS templates, CASE WHEN o_orderkey % 7 = 0 THEN '["it''s", None]' ELSE '[None, None]' END AS mapping_errors,
+        CASE WHEN o_orderkey % 2 = 0 THEN '{''A'': "4''-x", ''B'': None}' ELSE '{"A": "4''-x", "B": null}' END AS smiles FROM orders""",
     "mapped_component": f"""SELECT l_orderkey AS rxn_id, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS section,
         concat('[C:', CAST(l_partkey % 23 + 1 AS STRING), ']') AS smiles FROM lineitem""",
     "answers": """SELECT k, CASE WHEN k % 5 = 0 THEN concat('"', replace(replace(c, chr(92), concat(chr(92), chr(92))), '"', concat(chr(92), '"')), '"') ELSE c END AS answer
@@ -54,8 +64,8 @@ SQL = {
         CASE WHEN l_partkey % 5 = 0 THEN concat('[part ', CAST(l_partkey % 50 AS STRING), ' (NoSmi)]') ELSE 'CC' END AS value FROM lineitem""",
     "decisions": """SELECT p_partkey AS idx, concat('part ', CAST(p_partkey % 50 AS STRING)) AS name_key, concat('row-', CAST(p_partkey AS STRING), '__part ', CAST(p_partkey % 50 AS STRING)) AS review_id,
         CASE p_partkey % 6 WHEN 0 THEN 'Use_SMILES ' WHEN 1 THEN 'exclude_from_mapping' WHEN 2 THEN 'keep_unresolved' WHEN 3 THEN 'maybe' ELSE '' END AS review_decision,
-        CASE WHEN p_partkey % 12 = 0 THEN concat('C', CAST(p_size AS STRING)) ELSE '' END AS reviewed_smiles, '' AS evidence, p_brand AS review_note FROM part""",
-    "atoms": """SELECT l_orderkey AS rxn_id, CASE WHEN l_returnflag = 'N' THEN 'product' ELSE 'input' END AS side, CAST(l_partkey % 11 AS INT) AS map, CASE l_suppkey % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'N' ELSE 'O' END AS element FROM lineitem""",
+        CASE WHEN p_partkey % 24 = 0 THEN repeat('C', CAST(p_size % 4 + 1 AS INT)) WHEN p_partkey % 12 = 0 THEN 'C1CC' ELSE '' END AS reviewed_smiles, '' AS evidence, p_brand AS review_note FROM part""",
+    "atoms": """SELECT l_orderkey AS rxn_id, CASE WHEN l_returnflag = 'N' THEN 'product' ELSE 'input' END AS side, CAST(l_partkey % 11 AS INT) AS map, CASE l_suppkey % 4 WHEN 0 THEN 'C' WHEN 1 THEN 'N' WHEN 2 THEN 'O' ELSE 'H' END AS element FROM lineitem""",
     "bonds": """SELECT l_orderkey AS rxn_id, CASE WHEN l_returnflag = 'N' THEN 'product' ELSE 'input' END AS side, CAST(l_partkey % 7 AS INT) AS a, CAST(7 + l_suppkey % 5 AS INT) AS b, CAST(1 + l_linenumber % 2 AS INT) AS bond_order FROM lineitem""",
 }
 
@@ -67,7 +77,7 @@ def with_sql(names: list[str], body: str) -> str:
 
 def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stand-in as a DataFrame, on the tables of a folder."""
-    base = {"template_rows": "events", "answers": "orders", "names": "part", "dictionary": "part", "decisions": "part", "overrides": "part"}.get(name, "lineitem")
+    base = {"template_rows": "events", "answers": "orders", "names": "part", "dictionary": "part", "decisions": "part", "overrides": "part", "text_cells": "orders"}.get(name, "lineitem")
     text = SQL[name].replace("{", "{{").replace("}", "}}").replace(f"FROM {base}", f"FROM {{{base}}}")
     return spark.sql(text, **{base: table(spark, sf_dir, base)})
 

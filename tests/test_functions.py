@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from rxncurate.functions import checks, jsonfix, names, reactions, stats, structure
+from rxncurate.functions import answers, checks, jsonfix, literals, names, reactions, stats, structure
 
 
 def column(spark, values, f, kind="string"):
@@ -28,11 +28,15 @@ def test_brace_repair_and_first_value(spark):
 def test_structured_output(spark):
     good = '{"Reactants": {"A": "x"}, " products ": {"B": "y"}, "Reaction Steps": {"1 (Reaction, mix)": "A->B"}}'
     bad = '{"Reactants": {"A": "x"}, "Products": {"B": "y"}, "Reaction Steps": {"1 (Reaction, mix)": "A B"}}'
-    assert [tuple(r) for r in column(spark, [good, bad, "no"], jsonfix.structured_output)] == [(True, 1), (False, 1), (False, 0)]
+    inside = '{"Reactants": {"A": "x"}, "Products": "{\\"B\\": \\"y\\"}", "Reaction Steps": {"1 (Reaction)": "A->B"}}'
+    literal = "{' reactants ': {'A': 'x'}, 'PRODUCT': {'B': None}, 'Reaction Steps': {'1 (Reaction)': 'A->B', '2 (Work-up, reaction)': 'B'}}"
+    encoded = '"' + good.replace('"', '\\"') + '"'
+    assert [tuple(r) for r in column(spark, [good, bad, "no", None, encoded, good[:-1], inside, literal], answers.structured_output)] == [
+        (True, 1), (False, 1), (False, 0), (False, 0), (False, 0), (False, 0), (False, 0), (True, 1)]
 
 
 def test_lists_booleans_prompts(spark):
-    assert column(spark, ["['A>B', 'C']", '["x"]', "one", "", None], jsonfix.component_list) == [["A>B", "C"], ["x"], ["one"], [], []]
+    assert column(spark, ["['A>B', 'C']", '["x"]', "one", "", None], literals.component_list) == [["A>B", "C"], ["x"], ["one"], [], []]
     assert column(spark, ["Yes", "0", "?", None], jsonfix.parse_bool) == [True, False, False, False]
     assert column(spark, ["T{paragraph}"], lambda c: jsonfix.render_prompt("{title}|{paragraph}", c, F.lit("P"))) == ["TP|P"]
 
@@ -80,3 +84,22 @@ def test_checks(spark):
     with pytest.raises(ValueError):
         checks.require_columns(df, "x")
     assert [tuple(r) for r in checks.duplicate_keys(df, ["k"]).collect()] == [(1, 2)]
+
+
+#: A cell, its items and its map (None: it is none), and whether reading it as a list is an error.
+CELLS = (
+    ("['a', None]", ["a", None], None, False), ("('a', 'b')", ["a", "b"], None, False), ("('a')", ["a"], None, False), ("('a',)", ["a"], None, False), ("()", [], None, False), ("[]", [], None, False),
+    ("['it\\'s', \"q\\\"x\"]", ["it's", 'q"x'], None, False), ("{'A': \"4'-x\", 'B': None}", None, {"A": "4'-x", "B": None}, False), ("[1, 2.5, -3, .5, 1.]", ["1", "2.5", "-3", "0.5", "1.0"], None, False),
+    ("plain text", ["plain text"], None, False), ("'quoted'", ["quoted"], None, False), ("5", ["5"], None, False), ("['a',]", ["a"], None, False), ("{'a': {'b': 'c'}}", None, {"a": '{"b":"c"}'}, False),
+    ('["a", null]', ["a", None], None, False), ("[a]", ["[a]"], None, True), ("['a'", ["['a'"], None, True), ("['\\\\', '\\x41\\n', 'C/C=C\\\\C', 'C\\C']", ["\\", "A\n", "C/C=C\\C", "C\\C"], None, False),
+    ("{'k': 1, 'k': 2}", None, {"k": "2"}, False), ("[('x'), ('y',)]", ["x", '["y"]'], None, False), (" ", [], {}, False), (None, [], {}, False), ("['é', '漢', 'a\tb']", ["é", "漢", "a\tb"], None, False))
+
+
+def test_literals(spark):
+    cells = [c[0] for c in CELLS]
+    for f, k in ((literals.literal_list, 1), (literals.literal_map, 2)):
+        got = column(spark, cells, f)
+        assert [g for g, c in zip(got, CELLS) if c[k] is not None] == [c[k] for c in CELLS if c[k] is not None]
+    assert column(spark, cells, lambda c: literals.list_error(c).isNotNull()) == [c[3] for c in CELLS]
+    assert column(spark, ["{'a': 1}", "['a']", "", "{'a'"], literals.map_error) == [None, literals.NOT_LITERAL, None, literals.NOT_LITERAL]
+    assert column(spark, ["['a', None, ' ', 'b ']", "None", "('c', 'd')"], literals.component_list) == [["a", "None", "b"], ["None"], ["c", "d"]]

@@ -64,7 +64,31 @@ def test_names_resolve_once(spark):
     occ = spark.createDataFrame([(0, "DMSO"), (1, "toluene"), (2, "toluene"), (3, "compound 3"), (4, "toluene anhydrous"), (5, None)], "row int, name string")
     d = spark.createDataFrame([("toluene", "Cc1ccccc1", "A", 1), ("toluene", "X", "B", 2)], "lower_name string, smiles string, source string, priority int")
     got = {r["row"]: (r["smiles"], r["source"]) for r in names.resolve_once(occ, d).collect()}
-    assert got[0] == ("CS(=O)C", "Known") and got[1] == got[2] == got[4] == ("Cc1ccccc1", "A") and got[3] == ("[compound 3 (NoSmi)]", "Skipped") and len(got) == 6
+    assert got[0] == ("CS(=O)C", "KnownAlias") and got[1] == got[2] == got[4] == ("Cc1ccccc1", "A") and got[3] == ("[compound 3 (NoSmi)]", None) and got[5] == (None, None) and len(got) == 6
+
+
+def test_first_pass_order(spark):
+    """Ambiguous names are looked up too, the cache comes before the dictionary, and the mark holds the given name."""
+    n = spark.createDataFrame([("silica gel",), ("Toluene",), ("dry  toluene",), ("5% odd",), ("x  (dry)",)], "name string")
+    d = spark.createDataFrame([("silica gel", "O=[Si]=O", "OPSIN", 1), ("toluene", "D", "OPSIN", 1), ("odd", "CN", "OPSIN", 1)], "lower_name string, smiles string, source string, priority int")
+    cache = spark.createDataFrame([("Toluene", "Cc1ccccc1"), ("5% odd", "C1CC"), ("x", "CO"), ("x", "CC")], "name string, smiles string")
+    got = {r["name"]: (r["smiles"], r["source"]) for r in names.resolve_names(n, d, cache).collect()}
+    assert got["silica gel"] == ("O=[Si]=O", "OPSIN") and got["Toluene"] == ("Cc1ccccc1", "Cache") and got["x  (dry)"] == ("CC", "Cache")
+    assert got["5% odd"][1] in ("OPSIN", None)
+    assert {r["name"]: r["smiles"] for r in names.resolve_names(n, d.limit(0)).collect()}["x  (dry)"] == "[x  (dry) (NoSmi)]"
+
+
+def test_usage_by_key(spark):
+    rows = [(1, "m", 0, 2, "[Foo-bar (NoSmi)]"), (2, "m", 1, 2, "[foo bar (NoSmi)]"), (2, "n", 0, 1, "[foo  bar (NoSmi)]"), (3, "n", 1, 3, "C"), (3, "n", 1, 3, "[β-x (NoSmi)]"), (4, "m", 0, 2, "[Foo-bar (NoSmi)]")]
+    c = spark.createDataFrame(rows, "idx int, model string, pos int, n_sections int, value string")
+    got = {r["name_key"]: tuple(r)[1:] for r in names.unresolved_usage(c).collect()}
+    assert got == {"foobar": ("Foo-bar", 4, 3, 0, 1, 3, "m:3; n:1", "left:3; product:1"), "betax": ("β-x", 1, 0, 1, 0, 1, "n:1", "middle:1")}
+    before = names.unresolved_usage(c)
+    o = spark.createDataFrame([("betax", "alias", "y", "u", "n")], "name_key string, kind string, lookup_name string, evidence_url string, note string")
+    s = spark.createDataFrame([("foobar", "CC", 3), ("foobar", "C", 5)], "name_key string, smiles string, n long")
+    audit = {r["name_key"]: r for r in names.recovery_audit(before, names.unresolved_usage(c.where("idx > 1")), o, s).collect()}
+    assert (audit["foobar"]["status"], audit["foobar"]["resolved_smiles"], audit["foobar"]["recovered"]) == ("partially_resolved", "C | CC", 1)
+    assert (audit["betax"]["status"], audit["betax"]["override_lookup_name"], audit["betax"]["models"]) == ("not_found", "y", "n:1")
 
 
 def test_synonyms(spark):
@@ -80,9 +104,9 @@ def test_override_errors(spark):
 
 def test_queue_merge_and_validation(spark):
     q = spark.createDataFrame([("0:x", 2)], "review_id string, occurrences long")
-    p = spark.createDataFrame([("0:x", "keep_unresolved", "", "e", ""), ("1:y", "use_smiles", "C", "", ""), ("2:z", " ", "", "", "")], "review_id string, review_decision string, reviewed_smiles string, evidence string, review_note string")
+    p = spark.createDataFrame([("0:x", "keep_unresolved", "", "e", ""), ("1:y", "use_smiles", "C", "", ""), ("2:z", " ", "", "", ""), ("3:w", " Pending", "", "", "")], "review_id string, review_decision string, reviewed_smiles string, evidence string, review_note string")
     got = {r["review_id"]: (r["occurrences"], r["currently_unresolved"], r["review_decision"]) for r in review.merge_queue(q, p).collect()}
-    assert got == {"0:x": (2, True, "keep_unresolved"), "1:y": (0, False, "use_smiles")}
+    assert got == {"0:x": (2, True, "keep_unresolved"), "1:y": (0, False, "use_smiles"), "2:z": (0, False, " ")}
 
 
 def test_pending_rows(spark):

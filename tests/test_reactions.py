@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rxncurate.functions import checks, jsonfix, names, reactions, stats, structure
-from rxncurate.operators import audit, consensus, denoise, finetune, review, score, skeleton
+from rxncurate.operators import audit, consensus, denoise, finetune, mapping_audit, review, score, skeleton, structures
 from rxncurate.operators import names as resolving
 from rxncurate.sources import files
 
@@ -18,11 +18,11 @@ def one(spark, value, f, kind="string"):
 STEPS = [  # reaction, template missing, mapping error -> failure, maps missing, identical, error
     ("[CH3:1][Br:9].O>CCO>[CH3:1]C", False, "", 1, 1, 0, "product atom mapping is incomplete"),
     ("[CH3:1][OH:2].O>>[CH3:1][OH:2]", False, "", 0, 0, 1, ""),
-    ("[CH3:1][OH:2]>C>[OH:2][CH3:1]", True, " boom ", 1, 0, 0, "template extraction failed | boom"),
+    ("[CH3:1][OH:2]>C>[OH:2][CH3:1]", True, " boom ", 1, 0, 1, "template extraction failed | boom"),
     ("C(.[CH3:1]>>[CH3:1]", False, "", 1, 0, 1, "invalid SMILES"),
     (">>C", False, "", 1, 1, 0, "missing left-side components | product atom mapping is incomplete | mapped reactants unavailable"),
     ("a>b>c>d", False, "x", 1, 1, 0, "Reaction SMILES must contain two or three sections."),
-    ("[CH3:1][H:7]>>[CH3:1]", False, "boom", 1, 0, 0, "boom"),
+    ("[CH3:1][H:7]>>[CH3:1]", False, "boom", 1, 0, 1, "boom"),
 ]
 
 
@@ -60,25 +60,42 @@ def test_display_and_codes(spark):
     assert one(spark, "A.P>", lambda c: reactions.label_unresolved(c, smiles, F.array(F.lit("Q"), F.lit("P"), F.lit("A")))) == "A.P(NoSmi)>P(NoSmi).Q(NoSmi)"
     assert one(spark, ["A.P(NoSmi)>B", "B>>C"], reactions.skeleton_codes, "array<string>") == ["A", "P", "B", "C"]
     assert one(spark, ["A", "P", "Z"], lambda c: names.unresolved_codes(smiles, c), "array<string>") == ["P"]
-    assert one(spark, ["b>c", "a>b"], reactions.reaction_signature, "array<string>") == "a>b || b>c"
+    sign = lambda rs: one(spark, rs, lambda c: reactions.reaction_signature(c, structure.structure_key), "array<string>")
+    assert sign(["CO.N>>C", "C>O>N"]) == sign(["C>[OH2:4]>N", "N.OC>C"]) and sign(["CO.N>>C"]) != sign(["CO>>C"])
+    assert sign(["C>>"]) is sign(["C>>N", "x>>N"]) is sign([]) is sign(["C"]) is None
     assert one(spark, ["x", "y", "x2"], lambda c: reactions.first_by_key(c, F.array(F.lit(1), F.lit(2), F.lit(1))), "array<string>") == ["x", "y"]
 
 
-@pytest.mark.parametrize(("a", "b", "same"), [("OC", "CO", True), ("CCO", "OCC", True), ("CCO", "COC", False), ("[CH3:1][OH:2]", "OC", True), ("C1CC1C", "CC1CC1", True), ("c1ccccc1C", "Cc1ccccc1", True), ("[se]1cccc1", "s1cccc1", False), ("[Na+].[Cl-]", "[Cl-].[Na+]", True)])
-def test_structure_keys(a, b, same):
-    x, y = structure.read_structure(a), structure.read_structure(b)
-    assert x["valid"] and y["valid"] and (x["key"] == y["key"]) is same
+#: Texts of one structure each line, in the key that ignores charges.
+ALIKE = (
+    ("OC", "CO", "[CH3:1][OH:2]", "[13CH3][O-]"), ("CCO", "OCC", "C(O)C"), ("COC",), ("C1CC1C", "CC1CC1"), ("c1ccccc1C", "Cc1ccccc1", "c1c(C)cccc1"), ("[se]1cccc1",), ("s1cccc1",),
+    ("[Na+].[Cl-]", "[Cl-].[Na+]"), ("[Na+]", "[Na]"), ("N", "[NH4+]"), ("C", "[H]C"), ("CC",), ("C=C",), ("C1CCCCC1", "C%10CCCCC%10"), ("C1CC1.C", "C.C1CC1"),
+    # The same neighbours everywhere, yet different rings.
+    ("C1CCCCC1.C1CCCCC1",), ("C1CCCCCCCCCCC1",), ("C1CCC2CCCCC2C1", "C12CCCCC1CCCC2"), ("C1CCC(C1)C2CCCC2", "C1CCCC1C1CCCC1"), ("c1ccc2ccccc2c1",), ("C/C=C/C", "CC=CC"), ("C[C@H](O)N", "CC(N)O"))
+UNREADABLE = ("C(", "C)", "C1CC", "[Xx]", "C==C", "=C", "C%", "", None, "C C", "CC=", "hello", "CCQ", "C)C(", "[Zz]", "C()C", "C11", "C1C1", "(C)", "C..C", ".C", "C.", "1CC1", "[CH3:1")
 
 
-@pytest.mark.parametrize("text", ["C(", "C)", "C1CC", "[Xx]", "C==C", "=C", "C%", "", None, "C C", "CC="])
-def test_unreadable_structures(text):
-    assert not structure.read_structure(text)["valid"]
+def test_structure_keys(spark):
+    df = spark.createDataFrame([(k, t) for k, line in enumerate(ALIKE) for t in line], "k int, t string")
+    got = df.select("k", "t", structure.looks_valid(F.col("t")).alias("v"), structure.structure_key(F.col("t")).alias("key"), structure.structure_key(F.col("t"), True).alias("strict")).collect()
+    assert all(r["v"] and r["key"] for r in got)
+    assert len({(r["k"], r["key"]) for r in got}) == len({r["key"] for r in got}) == len(ALIKE)
+    strict = {r["t"]: r["strict"] for r in got}
+    assert strict["[Na+]"] != strict["[Na]"] and strict["OC"] == strict["[CH3:1][OH:2]"] != strict["[13CH3][O-]"]
+
+
+def test_unreadable_structures(spark):
+    df = spark.createDataFrame([(t,) for t in UNREADABLE], "t string")
+    got = df.select(structure.looks_valid(F.col("t")).alias("v"), structure.read(F.col("t")).alias("s"), structure.structure_key(F.col("t")).alias("key")).collect()
+    assert not any(r["v"] or r["s"]["valid"] or r["key"] or r["s"]["atoms"] for r in got)
+    long = spark.range(1).select(F.repeat(F.lit("C(=O)N"), 500).alias("t")).select(structure.looks_valid(F.col("t")), F.size(structure.read(F.col("t"))["atoms"])).first()
+    assert tuple(long) == (True, 1500)
 
 
 def test_structures_are_read_once_and_joined(spark):
     df = spark.createDataFrame([("OC",), ("CO",), ("OC",), (None,)], "smiles string")
     assert sorted((r["smiles"] or "", r["valid"], r["heavy_atoms"]) for r in structure.read_structures(df, "smiles").collect()) == [("", False, 0), ("CO", True, 2), ("OC", True, 2)]
-    keyed = structure.with_structure_key(df, "smiles", keyer=lambda c: structure.read_structure(c)["key"])
+    keyed = structure.with_structure_key(df, "smiles", keyer=lambda c: "".join(sorted(c)))
     assert keyed.count() == 4 and keyed.where("structure_key IS NOT NULL").select("structure_key").distinct().count() == 1
 
 
@@ -109,9 +126,9 @@ def test_consensus_without_signatures(spark):
 
 def test_model_rows(spark):
     schema = "idx int, model string, smiles map<string,string>, skeletons array<string>, reactions array<string>, mapped array<string>, mapping_errors array<string>"
-    rows = [(1, "m", {"A": "C"}, ["A>B"], ["C>O"], ["[CH3:1][OH:2].O>>[OH:2][CH3:1]"], [None]), (2, "m", {"A": "[x (NoSmi)]"}, ["A>B"], ["x"], ["[C:1]>>[C:1]"], []), (3, "m", {}, [], ["x", "y"], ["[C:1]>>[C:1]"], ["e"])]
+    rows = [(1, "m", {"A": "C"}, ["A>B"], ["C>O"], ["[CH3:1][OH:2].O>>[OH:2][CH3:1].[CH3:1][OH:2]"], [None]), (2, "m", {"A": "[x (NoSmi)]"}, ["A>B"], ["x"], ["[C:1]>>[C:1]"], []), (3, "m", {}, [], ["x", "y"], ["[C:1]>>[C:1]"], ["e"])]
     got = {r["idx"]: r for r in consensus.model_rows(spark.createDataFrame(rows, schema)).collect()}
-    assert got[1]["complete"] == 1 and got[1]["signature"] == "CO>O>OC" and got[2]["signature"] is None and got[2]["unresolved"] == ["A"] and got[3]["complete"] == 0
+    assert got[1]["complete"] == 1 and got[1]["products"] == ["[OH][CH3]"] and got[1]["signature"].count(">") == 2 and got[2]["signature"] is None and got[2]["unresolved"] == ["A"] and got[3]["complete"] == 0
 
 
 def test_review_decisions(spark):
@@ -119,6 +136,7 @@ def test_review_decisions(spark):
     rows = [("a", 1, "x", "USE_smiles", "CC", "left:2", "m1:A|B; m2:C"), ("b", 1, "y", "exclude_from_mapping", "", "left:1", "m1:D"), ("c", 2, "x", "use_smiles", " ", "product:1", "m1:A"), ("d", 2, "z", "approve", "", "", ""), ("e", 3, "x", None, "", "", ""),
             ("f", 4, "w", "use_smiles", "C", "left:1", "m1:A"), ("g", 4, "w", "use_smiles", "CC", "left:1", "m1:A")]
     r = spark.createDataFrame(rows, schema)
+    assert not {x["review_id"] for x in review.decision_problems(r.where("idx = 4").withColumn("reviewed_smiles", F.when(F.col("review_id") == "f", "CO").otherwise("OC"))).collect()}
     assert {x["review_id"]: x["problem"] for x in review.decision_problems(r).collect()} == {"c": "reviewed_smiles is not valid SMILES", "d": "unknown decision", "f": "conflicting approved SMILES", "g": "conflicting approved SMILES"}
     assert {(x["idx"], x["model"], x["code"]) for x in review.approved_codes(r.where("idx < 4")).collect()} == {(1, "m1", "A"), (1, "m1", "B"), (1, "m2", "C")}
     assert {x["decision"]: x["rows"] for x in review.decision_counts(r).collect()} == {"use_smiles": 4, "exclude_from_mapping": 1, "pending": 1}
@@ -126,6 +144,92 @@ def test_review_decisions(spark):
     assert [x["idx"] for x in review.ordered_queue(q).collect()] == [2, 10, 1]
 
 
+def test_two_spellings_agree(spark):
+    """Models that write a molecule differently have one signature; so does the source's own reaction."""
+    schema = "idx int, model string, model_pos int, smiles map<string,string>, skeletons array<string>, reactions array<string>, mapped array<string>, mapping_errors array<string>"
+    mapped = ("[CH3:1][CH2:2]Br.[OH2:3]>>[CH3:1][CH2:2][OH:3]", "O[Na].[OH2:3].Br[CH2:2][CH3:1]>>[OH:3][CH2:2][CH3:1]", "[CH3:1][CH2:2]Br.[OH2:3]>>[CH3:1][O:3][CH3:2]", "C1[CH2:1].[OH2:3]>>[CH3:1][OH:3]")
+    rows = [(1, f"m{k}", k, {}, ["A>B"], ["A>B"], [m], [None]) for k, m in enumerate((mapped[0], mapped[1].replace("O[Na].", ""), mapped[2]))] + [(2, "m0", 0, {}, ["A>B"], ["A>B"], [mapped[3]], [None])]
+    made = consensus.model_rows(spark.createDataFrame(rows, schema))
+    agreed = {r["idx"]: r for r in consensus.consensus(made.select("idx", "model", "model_pos", "signature")).collect()}
+    assert agreed[1]["members"] == ["m0", "m1"] and agreed[1]["disagreeing"] == ["m2"]
+    own = spark.createDataFrame([(1, "Br[CH2:1][CH3:2].[OH2:5]>>[CH3:2][CH2:1][OH:5] |f:1|"), (2, "[CH3:1]>>[CH3:1]"), (3, "C1>>[CH3:1]"), (4, "C>>C>C"), (5, "C>>C")], "idx int, rxn string")
+    signed = {r["idx"]: r["signature"] for r in consensus.source_signatures(own, "rxn").collect()}
+    assert signed[1] == agreed[1]["signature"] and signed[2] and signed[3] is signed[4] is signed[5] is None
+
+
+def test_component_signatures(spark):
+    rows = [(1, ["CO", "CO"], ["[Na+]"], ["CC"]), (2, ["OC", "[CH3][OH]"], ["[Na+]", "[Na]"], ["CC", "C-C"]), (3, ["CO"], [], ["CC"]), (4, ["CO"], [], []), (5, ["C1C"], None, ["CC"])]
+    df = spark.createDataFrame(rows, "idx int, reactants array<string>, reagents array<string>, products array<string>")
+    got = {r["idx"]: r for r in structures.component_signatures(df, ["idx"]).collect()}
+    assert got[1]["signature"] == got[2]["signature"] != got[3]["signature"] and got[4]["signature"] is got[5]["signature"] is None
+    assert got[5]["reactants_keys"] == ["__invalid__:C1C"] and got[1]["reactants_keys"] == got[2]["reactants_keys"]
+
+
+def test_dimension_takes_unseen_texts(spark, tmp_path):
+    path = f"{tmp_path}/d"
+    texts = lambda *t: spark.createDataFrame([(x,) for x in t], "text string")
+    first = structures.refresh_structures(spark, path, texts("CO", "CO", "OC", "C(", None))
+    assert {r["text"]: r["valid"] for r in first.collect()} == {"CO": True, "OC": True, "C(": False}
+    both = structures.refresh_structures(spark, path, texts("CO", "N"))
+    assert both.count() == 4 and both.select("key").distinct().count() == 3 and structures.structure_table(texts("CO"), both).count() == 0
+    rows = spark.createDataFrame([(1, ["CO", "N"]), (2, ["OC", "C("]), (3, [])], "id int, parts array<string>")
+    keyed = {r["id"]: r["structure_keys"] for r in structures.with_key_map(rows, ["id"], ["parts"], both).collect()}
+    assert keyed[1]["CO"] == keyed[2]["OC"] and keyed[2]["C("] is None and keyed[3] == {}
+
+
+def test_step_of_one_molecule_written_twice(spark):
+    step = lambda r: one(spark, r, lambda c: denoise.mapped_step(c, F.lit(False), F.lit("")))
+    assert step("[CH3:1][OH:2]>>[OH:2][CH3:1]")["identical_structures"] == 1 and step("[CH3:1][OH:2]>>[OH:2][CH2:1]C")["identical_structures"] == 0
+    assert step("[CH3:1][OH:2]C>>[OH:2][CH2:1]C")["identical_structures"] == 0 and step("[CH3:1](>>[CH3:1]")["error"].endswith("invalid SMILES | mapped reactants unavailable")
+
+
+def test_roles_of_unreadable_components(spark):
+    got = one(spark, "[CH3:1].[CH3:1](.[OH2:2]>[NH3:3]>[CH3:1].[OH2:2](", reactions.roles_of_source)
+    assert (got["reactants"], got["reagents"], got["products"]) == (["[CH3:1]"], ["[CH3:1](", "[OH2:2]", "[NH3:3]"], ["[CH3:1]", "[OH2:2]("])
+
+
+def test_audit_of_strings(spark):
+    rows = [
+        (1, "CBr.O>[Na+]>OC", "[CH3:1][Br:2].[OH2:3].[Na+]>>[CH3:1][OH:3]"), (2, "CO>>CO", "[CH3:1][OH:2]>>[CH3:1][OH:2]"), (3, "CBr.O>>CO", "bad"), (4, "C1CC>>CO", "[CH3:1]>>[CH3:1]C("),
+        (5, "C.N>O>CN", "[CH4:1].[NH3:2].[OH2:3]>>[CH3:1][NH2:2][CH3:1]"), (6, "C>>C>>C", None), (7, "CO.N>>CON", "[CH3:1][OH:2].C>>[CH3:1][NH:2]O"), (8, "C.[O-]>>CCl", "[CH4:1].[OH-:2].[H:9]>>[CH3:1][Cl:2][H:9]"),
+        (9, "O.CC>CN>CC.O", "[OH2:1].[CH3:2][CH3:3].[CH3:4][NH2:5]>>[CH2:2]=[CH2:3].[OH2:1].[CH3:4]")]
+    df = spark.createDataFrame([(*r, "kept") for r in rows], "idx int, reaction_smiles string, mapped_reaction string, title string")
+    got = {r["idx"]: r.asDict() for r in mapping_audit.audit_reactions(df, ["idx"]).collect()}
+    told = lambda k: {c: v for c, v in got[k].items() if c in (*mapping_audit.COUNTS, *mapping_audit.FLAGS, "element_deficit", "invalid_smiles") and v and v != "{}"}
+    assert told(1) == {"product_mapping_complete": True, "leaving_group_bonds": 1, "formed_bonds": 1, "broken_bonds": 1} and got[1]["mapping_detail"] == "" and got[1]["title"] == "kept"
+    assert told(2) == {"product_mapping_complete": True, "no_detectable_transformation": True} and got[2]["identical_reactant_product"] and got[2]["product_reactant_overlap_count"] == 1
+    assert told(3) == {} and got[3]["mapping_detail"] == "invalid mapped reaction format" and got[4]["mapping_detail"] == "invalid or empty mapped structure" and told(4) == {"invalid_smiles": "C1CC"}
+    assert told(5) == {"duplicate_atom_maps": 1, "formed_bonds": 1} and got[5]["mapping_detail"] == "incomplete product atom mapping; duplicate atom-map numbers"
+    assert got[6]["invalid_smiles_count"] == 1 and got[6]["label_error"] and not got[6]["identical_reactant_product"]
+    assert told(7) == {"atom_element_mismatch": 1, "role_assignment_unmatched_components": 2, "no_detectable_transformation": True}
+    assert got[8]["element_deficit"] == '{"Cl": 1}' and got[8]["element_deficit_flag"] and told(8)["atom_element_mismatch"] == 1 and told(8)["atom_charge_changes"] == 1 and told(8)["product_mapping_complete"]
+    assert told(9) == {"product_mapping_complete": True, "reagent_contributes_to_product": 1, "bond_order_changes": 1, "leaving_group_bonds": 1, "broken_bonds": 1} and got[9]["product_reactant_overlap_count"] == 2
+
+
+def test_manifest(spark):
+    schema = "idx int, ground_truth_valid string, signature_1 string, signature_2 string, review_note string"
+    rows = [(1, "True", "A", "B", None), (2, "yes", "A", None, "x"), (3, "0", "A", "B", "bad scan")]
+    got = {r["idx"]: (r["ground_truth_valid"], r["ground_truth_source"], r["alternatives"], r["ground_truth_count"]) for r in score.ground_truth_manifest(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: (True, "human_validated", ["A", "B"], 2), 2: (True, "human_validated", ["A"], 1), 3: (False, "no_valid_ground_truth", [], 0)}
+    for bad, text in ((("4", "True", None, "B", ""), "no signature: 4"), (("1", "False", None, None, ""), "repeated"), (("4", "maybe", "A", None, ""), "not a boolean"), (("4", None, "A", None, ""), "boolean|label")):
+        with pytest.raises(Exception, match=text):
+            score.ground_truth_manifest(spark.createDataFrame([*rows, (int(bad[0]), *bad[1:])], schema)).collect()
+
+
+def test_coverage_and_excluded_rows(spark):
+    truth = spark.createDataFrame([(1, 1, "products", "P"), (1, 1, "reactants", "A"), (2, 1, "products", "Q")], "rxn_id int, slot int, role string, comp string")
+    pred = spark.createDataFrame([(1, "ai", "products", "P", True), (1, "ai", "reactants", "A", False), (1, "ai", "reagents", "X", False), (2, "m", "products", "Q", False)], "rxn_id int, method string, role string, comp string, unresolved boolean")
+    compared = score.compare_alternatives(pred, truth, ["ai", "m"])
+    wide = {(r["rxn_id"], r["method"]): r["reaction_correct"] for r in score.best_ground_truth(compared, prefer_coverage=True).collect()}
+    assert wide == {(1, "ai"): 1, (1, "m"): 0, (2, "ai"): 0, (2, "m"): 1}
+    flags = score.best_ground_truth(compared)
+    assert {(r["rxn_id"], r["method"]): r["reaction_correct"] for r in flags.collect()} == {(1, "ai"): 0, (1, "m"): 0, (2, "ai"): 0, (2, "m"): 1}
+    manifest = spark.createDataFrame([(1, True, ""), (3, False, "no reaction")], "idx int, ground_truth_valid boolean, review_note string")
+    every = score.with_excluded(flags, manifest, ["ai", "m"])
+    assert {(r["method"], r["exclusion_reason"], r["reaction_correct"]) for r in every.where("evaluation_included = 0").collect()} == {("ai", "no reaction", None), ("m", "no reaction", None)}
+    assert {(r["method"], r["evaluated"], r["excluded"]) for r in score.extraction_metrics(every).collect()} == {("ai", 2, 1), ("m", 2, 1)}
+
+
 def test_stale_mappings(spark):
     rows = spark.createDataFrame([(1, "m", "x", "y", ""), (2, "m", "x", "y", "")], "idx int, model string, mapped string, template string, mapping_error string")
     got = {r["idx"]: (r["mapped"], r["template"], r["mapping_error"]) for r in review.clear_stale(rows, rows.where("idx = 1"), ["mapped", "template"]).collect()}
@@ -218,6 +322,6 @@ def test_small_expressions(spark):
     assert one(spark, {"a": "b"}, jsonfix.answer_text, "map<string,string>") == '{"a":"b"}'
     assert one(spark, " TRUE", consensus.label_status) == "True" and one(spark, "", consensus.label_status) == "unreviewed"
     manifest = score.ground_truth_manifest(spark.createDataFrame([(1, True, "a", "b"), (2, False, None, None)], "idx int, ground_truth_valid boolean, signature_1 string, signature_2 string"))
-    assert {r["idx"]: r["n_alternatives"] for r in manifest.collect()} == {1: 2, 2: 0}
+    assert {r["idx"]: r["ground_truth_count"] for r in manifest.collect()} == {1: 2, 2: 0}
     flags = spark.createDataFrame([(1, 0), (1, 1), (0, 0)], "a int, b int").withColumn("c", denoise.exclusive_category(["a", "b"]))
     assert [r["c"] for r in flags.collect()] == ["a", None, None]
