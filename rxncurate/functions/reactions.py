@@ -96,13 +96,17 @@ def roles_of_source(reaction: Column, valid=looks_valid) -> Column:
     null unless there are three sections. Maps of what cannot be read do not count: such a component is a
     reagent, and such a product shares nothing."""
 
-    gives = lambda c, maps: F.when(_shares(c, maps), valid(c)).otherwise(False)
-
     def roles(s: Column) -> Column:
         products = components(F.get(s, F.lit(2)))
         candidates = F.concat(components(F.get(s, F.lit(0))), components(F.get(s, F.lit(1))))
-        return bound(F.struct(products.alias("p"), candidates.alias("c"), all_maps(F.filter(products, valid)).alias("m")), lambda x: F.struct(
-            F.filter(x["c"], lambda c: gives(c, x["m"])).alias("reactants"), F.filter(x["c"], lambda c: ~gives(c, x["m"])).alias("reagents"), x["p"].alias("products")))
+        # One look at all parts: those that carry maps and can be read.
+        mapped = lambda parts: F.transform(parts, lambda c: F.struct(c.alias("c"), F.when(F.contains(c, F.lit(":")), valid(c)).otherwise(False).alias("ok")))
+        told = F.transform(F.array(candidates, products), mapped)
+        texts = lambda parts: F.transform(parts, lambda y: y["c"])
+        gives = lambda y, m: y["ok"] & _shares(y["c"], m)
+        split = lambda x: F.struct(
+            texts(F.filter(x["c"], lambda y: gives(y, x["m"]))).alias("reactants"), texts(F.filter(x["c"], lambda y: ~gives(y, x["m"]))).alias("reagents"), products.alias("products"))
+        return bound(bound(told, lambda t: F.struct(F.get(t, F.lit(0)).alias("c"), all_maps(texts(F.filter(F.get(t, F.lit(1)), lambda y: y["ok"]))).alias("m"))), split)
 
     return bound(sections(strip_metadata(reaction)), lambda s: F.when(F.size(s) == 3, roles(s)))
 
@@ -116,8 +120,8 @@ def mapped_components(mapped: Column, valid=looks_valid) -> Column:
     def one(r: Column) -> Column:
         def roles(x: Column) -> Column:
             both = (F.size(x["left"]) > 0) & (F.size(x["right"]) > 0)
-            kept = F.filter(x["right"], valid)
-            return bound(F.struct(F.filter(x["left"], valid).alias("left"), kept.alias("right"), all_maps(kept).alias("m")), lambda y: F.struct(
+            kept = F.transform(F.array(x["left"], x["right"]), lambda parts: F.filter(parts, valid))
+            return bound(bound(kept, lambda k: F.struct(F.get(k, F.lit(0)).alias("left"), F.get(k, F.lit(1)).alias("right"), all_maps(F.get(k, F.lit(1))).alias("m"))), lambda y: F.struct(
                 F.when(both, F.filter(y["left"], lambda c: _shares(c, y["m"]))).otherwise(_none()).alias("reactants"),
                 F.when(both, F.filter(y["left"], lambda c: ~_shares(c, y["m"]))).otherwise(_none()).alias("reagents"),
                 F.when(both, y["right"]).otherwise(_none()).alias("products"),

@@ -154,10 +154,13 @@ def _refined(labels: Column, near: Column, rounds: Column) -> Column:
     """labels of atoms when their number of kinds grows no more, after so many rounds at most; in each a label takes
     in those of its neighbours (near: for each atom an array of struct(i, ord))."""
     once = lambda now: F.transform(near, lambda own, k: F.xxhash64(F.get(now, k), F.array_sort(F.transform(own, lambda x: F.xxhash64(x["ord"], F.get(now, x["i"]))))))
-    state = lambda now, kinds, done: F.struct(now.alias("now"), kinds.alias("kinds"), done.alias("done"))
-    kinds = lambda now: F.size(F.array_distinct(now))
-    moved = lambda s: bound(once(s["now"]), lambda now: bound(kinds(now), lambda k: state(now, k, k <= s["kinds"])))
-    return F.aggregate(F.sequence(F.lit(1), rounds), state(labels, kinds(labels), F.lit(False)), lambda s, _: F.when(s["done"], s).otherwise(moved(s)), lambda s: s["now"])
+    state = lambda now, before: F.struct(now.alias("now"), before.alias("before"))
+
+    def moved(s: Column, _: Column) -> Column:
+        kinds = F.size(F.array_distinct(s["now"]))
+        return F.when(kinds <= s["before"], s).otherwise(state(once(s["now"]), kinds))
+
+    return F.aggregate(F.sequence(F.lit(1), rounds), state(labels, F.lit(0)), moved, lambda s: s["now"])
 
 
 def _certificate(labels: Column, near: Column, n: Column) -> Column:
@@ -227,8 +230,9 @@ def same_structures(a: Column, b: Column, key=structure_key) -> Column:
     """Whether two arrays of readable components are equal as multisets of their keys. Keys are made only where
     both have as many components and the same atoms, which few unlike ones have."""
     heavy = lambda parts: F.array_sort(atom_symbols(parts))
-    keys = lambda parts: F.array_sort(F.transform(parts, lambda c: key(c)))
-    return F.when(F.size(a) != F.size(b), False).when(heavy(a) != heavy(b), False).otherwise(keys(a) == keys(b))
+    # Both sides go through one expression: a key's is long, and planning takes as long as it has copies.
+    keys = F.transform(F.array(a, b), lambda parts: F.array_sort(F.transform(parts, lambda c: key(c))))
+    return F.when(F.size(a) != F.size(b), False).when(heavy(a) != heavy(b), False).otherwise(F.size(F.array_distinct(keys)) == 1)
 
 
 def read_structures(df: DataFrame, component: str) -> DataFrame:
