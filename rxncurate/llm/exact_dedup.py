@@ -73,8 +73,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, keep_id, group_size, kept, text_sha256, bucket, chain) for every row of docs.
 
     Null text counts as empty. Of equal texts the largest id stays; rows that share that id are
-    ties and all stay. A null id stays only where the whole group has none. An empty table gives
-    an empty result; other columns are not read.
+    ties and all stay. A null id stays only where the whole group has none. Very long texts are hashed
+    and compared whole. An empty table gives an empty result; other columns are not read.
     """
     options.setdefault("hash_bits", 64)
     index = build_index(docs, id_col, text_col, **options)

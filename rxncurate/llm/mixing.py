@@ -114,7 +114,10 @@ def _with_times(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def mixed_sizes(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
-    """(doc_id, source, size, source_size, target, times, taken) of every row of docs."""
+    """(doc_id, source, size, source_size, target, times, taken) of every row of docs. Null and empty texts have
+    size 0 and are not taken; null sources are one source; rows of one id, or of null id and one text, may be
+    taken a different number of times. Very long texts are counted whole. An empty table gives an empty
+    result; other columns are not read."""
     rows, cuts = plan_mix(docs, seed, **options)
     timed = _with_times(rows.select("source", "mix_key", "size", F.col("doc_id").alias("row")), cuts)
     return timed.select(F.col("row").alias("doc_id"), "source", "size", "source_size", "target", "times").withColumn("taken", F.col("times") * F.col("size"))

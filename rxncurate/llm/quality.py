@@ -95,7 +95,8 @@ def apply_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOL
 
     score is the mean log ratio over the n-grams of the whole text, null for texts without words.
     kept is false where base_failed, and else whether score is at least threshold. Null and empty
-    texts have no words and fail the base rules. Without trusted documents all scores are 0. Only doc_id and text are read; an empty table gives an empty result.
+    texts have no words and fail the base rules. Without trusted documents all scores are 0. Very long texts are
+    counted whole; repeated rows, and rows of null id, are judged each for itself. Only doc_id and text are read; an empty table gives an empty result.
     """
     ratios = F.broadcast(log_ratios(docs, trusted, buckets))
     base = docs.select("doc_id", F.col("text").alias("t"), words(F.col("text")).alias("w"), F.lit(1).alias("one"))

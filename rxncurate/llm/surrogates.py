@@ -516,8 +516,8 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
 
     Texts without entities, null and empty ones stay as they are. Only rows that may hold a name are
     joined with the name table; the others are read and written where they lie. Names are collected
-    for each distinct text, whatever ids its rows have. Very long texts are worked on whole. An empty
-    table gives an empty result; other columns are not read.
+    for each distinct text, whatever ids its rows have; repeated rows are rewritten each, alike. Very long texts
+    are worked on whole. An empty table gives an empty result; other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text string, n_entities int, kinds array<string>, starts array<int>, ends array<int>"

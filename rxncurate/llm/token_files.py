@@ -226,7 +226,8 @@ def read_token_files(spark, path: str, id_type: str = "bigint") -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone: start counts the
     ids of all documents before it. Each chunk is decoded where it is read and knows how many ids come
     before it in its shard; only the shards' totals, one row a partition, are summed across shards.
-    A file without chunks gives an empty result; null ids come back as null."""
+    A file without chunks gives an empty result; null ids come back as null. A very long document is a
+    chunk of its own; repeated rows are documents each."""
     chunks = spark.read.parquet(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -108,7 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, held_out
 def score(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs and `toxicity`, the probability of label 1 (a column of this name is
     replaced). The model has at most DIMENSIONS + 1 rows and is broadcast. Null and empty texts get
-    the intercept's probability; an empty table stays empty."""
+    the intercept's probability; very long texts are scored whole; repeated rows get equal scores. An empty
+    table stays empty."""
     spark = docs.sparkSession
     rows = model.collect()
     dense = np.zeros(DIMENSIONS)
@@ -141,7 +142,10 @@ def score(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs."""
+    """(doc_id, held_out, score, predicted) for every row of docs. Null and empty texts get the intercept's score;
+    a null id counts as the empty text for the split; repeated rows are scored each, alike; very long texts are
+    scored whole. Without labels the score is the untrained model's. An empty table gives an empty result;
+    other columns are not read."""
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select("doc_id", (id_crc(F.col("doc_id")) % HELD_OUT[0] == HELD_OUT[1]).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= threshold).cast("int").alias("predicted"))
 
