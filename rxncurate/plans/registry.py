@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from rxncurate.plans import curation, outputs, recovery, scoring, structures
+from rxncurate.plans import curation, outputs, recovery, scoring, structures, upkeep
 
-_MODULES = (scoring, curation, outputs, recovery, structures)
+_MODULES = (scoring, curation, outputs, recovery, structures, upkeep)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

@@ -49,6 +49,9 @@ SQL = {
         CASE WHEN o_orderkey % 11 = 0 THEN '[''broken'', ' WHEN o_orderkey % 2 = 0 THEN '[''[CH3:1]>>[CH3:1]'', ''[CH3:1][OH:2]>>[OH:2][CH3:1]'']' ELSE '["[CH3:1]>>[CH3:1]", "[CH3:1][OH:2]>>[OH:2][CH3:1]"]' END AS mapped,
         CASE WHEN o_orderkey % 3 = 0 THEN '[''T'', None]' ELSE '[''T'', ''T'',]' END AS templates, CASE WHEN o_orderkey % 7 = 0 THEN '["it''s", None]' ELSE '[None, None]' END AS mapping_errors,
         CASE WHEN o_orderkey % 2 = 0 THEN '{''A'': "4''-x", ''B'': None}' ELSE '{"A": "4''-x", "B": null}' END AS smiles FROM orders""",
+    "place_steps": """SELECT l_orderkey AS idx, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS INT) AS pos,
+        CASE WHEN l_orderkey % 13 = 0 THEN ' ' WHEN l_partkey % 23 = 0 THEN '' WHEN l_partkey % 19 = 0 THEN 'Error: no answer' WHEN l_partkey % 17 = 0 THEN '[salt (NoSmi)]>>CC' WHEN l_suppkey % 29 = 0 THEN 'CC'
+          WHEN l_suppkey % 11 = 0 THEN concat(repeat('C', CAST(l_partkey % 5 + 1 AS INT)), '>O>') ELSE concat(' ', repeat('C', CAST(l_partkey % 40 + 1 AS INT)), CASE WHEN l_suppkey % 7 = 0 THEN 'Br' ELSE '' END, CASE WHEN l_linenumber % 2 = 0 THEN '>O.N>' ELSE '>>' END, 'CO') END AS value FROM lineitem""",
     "mapped_component": f"""SELECT l_orderkey AS rxn_id, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS section,
         concat('[C:', CAST(l_partkey % 23 + 1 AS STRING), ']') AS smiles FROM lineitem""",
     "answers": """SELECT k, CASE WHEN k % 5 = 0 THEN concat('"', replace(replace(c, chr(92), concat(chr(92), chr(92))), '"', concat(chr(92), '"')), '"') ELSE c END AS answer
