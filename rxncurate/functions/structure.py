@@ -55,7 +55,9 @@ def _tokens(text: Column) -> Column:
         order = F
         for sign, value in ORDERS.items():
             order = order.when(t == sign, F.lit(value))
-        return F.struct(kind.alias("kind"), t.alias("text"), F.replace(t, F.lit("%"), F.lit("")).try_cast("int").alias("name"), order.otherwise(F.lit(None).cast("double")).alias("ord"))
+        # Casts see digits only: one that fails raises inside, which takes longer than all else here.
+        name = F.when(F.rlike(first, F.lit(r"[%\d]")), F.replace(t, F.lit("%"), F.lit("")).cast("int"))
+        return F.struct(kind.alias("kind"), t.alias("text"), name.alias("name"), order.otherwise(F.lit(None).cast("double")).alias("ord"))
 
     whole = lambda tokens: F.when(F.array_join(tokens, "") == text, F.transform(tokens, token))
     return bound(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)), whole)
@@ -115,12 +117,14 @@ def _atoms(tokens: Column) -> Column:
     def atom(t: Column, i: Column) -> Column:
         text = t["text"]
         sign = F.regexp_extract(text, r"([+-]+)(\d*)(?::\d+)?\]$", 1)
-        digits = F.regexp_extract(text, r"([+-]+)(\d*)(?::\d+)?\]$", 2).try_cast("int")
-        size = F.coalesce(digits, F.length(sign))
+        digits = F.regexp_extract(text, r"([+-]+)(\d*)(?::\d+)?\]$", 2)
+        size = F.coalesce(F.when(digits != "", digits.try_cast("int")), F.length(sign))
+        # The zero in front is for atoms without a map.
+        number = F.coalesce(F.concat(F.lit("0"), F.regexp_extract(text, r":(\d+)\]$", 1)).try_cast("int"), F.lit(0))
+        bracket = F.startswith(text, F.lit("["))
         return F.struct(
-            i.alias("place"), F.initcap(F.regexp_extract(text, _SYMBOL, 1)).alias("element"),
-            F.coalesce(F.regexp_extract(text, r":(\d+)\]$", 1).try_cast("int"), F.lit(0)).alias("map"), F.when(F.startswith(sign, F.lit("-")), -size).otherwise(size).alias("charge"),
-            F.rlike(text, F.lit(r"^\[?\d*[a-z]")).alias("aromatic"))
+            i.alias("place"), F.initcap(F.regexp_extract(text, _SYMBOL, 1)).alias("element"), F.when(bracket, number).otherwise(0).alias("map"),
+            F.when(~bracket, 0).when(F.startswith(sign, F.lit("-")), -size).otherwise(size).alias("charge"), F.rlike(text, F.lit(r"^\[?\d*[a-z]")).alias("aromatic"))
 
     return F.transform(F.filter(tokens, lambda t: t["kind"] == _ATOM_KIND), atom)
 

@@ -117,7 +117,7 @@ def name_structure_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _spelt_codes(spark, sf_dir):
     """Codes whose names are written in two ways, some of them ambiguous."""
-    number = F.regexp_extract("value", r"(\d+)", 1).try_cast("int")
+    number = F.nullif(F.regexp_extract("value", r"(\d+)", 1), F.lit("")).cast("int")
     other = F.when(F.col("code").isin("c2", "c5"), F.replace("value", F.lit("[part "), F.lit("[Part-"))).otherwise(F.col("value"))
     return standin(spark, sf_dir, "codes").withColumn("value", F.when(number % 15 == 0, F.concat(F.lit("[compound "), number.cast("string"), F.lit(" (NoSmi)]"))).otherwise(other))
 
