@@ -103,3 +103,9 @@ def test_literals(spark):
     assert column(spark, cells, lambda c: literals.list_error(c).isNotNull()) == [c[3] for c in CELLS]
     assert column(spark, ["{'a': 1}", "['a']", "", "{'a'"], literals.map_error) == [None, literals.NOT_LITERAL, None, literals.NOT_LITERAL]
     assert column(spark, ["['a', None, ' ', 'b ']", "None", "('c', 'd')"], literals.component_list) == [["a", "None", "b"], ["None"], ["c", "d"]]
+
+
+def test_charges_and_maps_of_bracket_atoms(spark):
+    texts = {"[Fe+2]": (2, 0), "[O--:3]": (-2, 3), "[N+:12]": (1, 12), "[CH3:1]": (0, 1), "C": (0, 0), "[C+0]": (0, 0), "[C:99999999999]": (0, 0)}
+    df = spark.createDataFrame([(t,) for t in texts], "c string").withColumn("s", structure.read(F.col("c")))
+    assert {r["c"]: (r["s"]["atoms"][0]["charge"], r["s"]["atoms"][0]["map"]) for r in df.collect()} == texts
