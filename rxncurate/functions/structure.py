@@ -55,7 +55,7 @@ def _tokens(text: Column) -> Column:
         order = F
         for sign, value in ORDERS.items():
             order = order.when(t == sign, F.lit(value))
-        # Casts see digits only: one that fails raises inside, which takes longer than all else here.
+        # Casts see digits only, as those that fail are slow.
         name = F.when(F.rlike(first, F.lit(r"[%\d]")), F.replace(t, F.lit("%"), F.lit("")).cast("int"))
         return F.struct(kind.alias("kind"), t.alias("text"), name.alias("name"), order.otherwise(F.lit(None).cast("double")).alias("ord"))
 
