@@ -66,14 +66,30 @@ def _fold(s: Column, t: Column) -> Column:
 def literal_json(cell: Column) -> Column:
     """A cell as JSON text; null if it is neither JSON nor a literal of lists, tuples, maps, strings, numbers
     and the names in NAMES. A comma may end a list; a lone value in round brackets is that value."""
+    # Tokens stand as they are unless a round bracket or a comma before a closing one calls for the fold.
     start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<struct<at:int,round:boolean,comma:boolean>>").alias("open"), F.lit("").alias("last"))
-    folded = lambda json: whole_json(F.array_join(F.aggregate(json, start, _fold, lambda s: s["out"]), ""))
+    fold = lambda json: F.array_join(F.aggregate(json, start, _fold, lambda s: s["out"]), "")
+    plain = lambda json: ~F.array_contains(json, "(") & ~F.exists(F.zip_with(json, F.slice(json, F.lit(2), F.size(json)), lambda a, b: (a == ",") & b.isin("]", "}", ")")), lambda x: F.coalesce(x, F.lit(False)))
+    folded = lambda json: whole_json(F.when(plain(json), F.array_join(json, "")).otherwise(fold(json)))
     said = lambda tokens: F.filter(tokens, lambda t: ~F.rlike(t, F.lit(r"^\s")))
     known = lambda json: F.when((F.size(json) > 0) & F.forall(json, lambda t: t.isNotNull()), folded(json))
     read = lambda v: bound(F.regexp_extract_all(v, F.lit(f"({_TOKEN})"), F.lit(1)), lambda tokens: F.when(F.array_join(tokens, "") == v, bound(F.transform(said(tokens), _token), known)))
     return bound(F.trim(cell), lambda v: F.coalesce(read(v), whole_json(v)))
 
 
+def read_list(cell: Column) -> Column:
+    """struct(items, error): literal_list and list_error of a cell, which is read once."""
+    none = F.array().cast("array<string>")
+    opens = F.rlike(F.trim(cell), F.lit(r"^[\[(]"))
+    return F.when(is_blank(cell), F.struct(none.alias("items"), F.lit(None).cast("string").alias("error"))).otherwise(bound(literal_json(cell), lambda json: F.struct(
+        F.coalesce(_items(cell, json), none).alias("items"), F.when(opens & json.isNull(), F.lit(NOT_LITERAL)).alias("error"))))
+
+
+def read_map(cell: Column) -> Column:
+    """struct(entries, error): literal_map and map_error of a cell, which is read once."""
+    return bound(literal_map(cell), lambda m: F.struct(m.alias("entries"), F.when(m.isNull(), F.lit(NOT_LITERAL)).alias("error")))
+
+
 def is_blank(cell: Column) -> Column:
     """Whether a cell holds nothing."""
     return F.coalesce(F.trim(cell), F.lit("")) == ""

@@ -12,6 +12,7 @@ from rxncurate.functions.jsonfix import bound
 from rxncurate.functions.reactions import BAD_SECTIONS, components, step_roles, valid_reaction, valid_skeleton
 from rxncurate.functions.stats import rate, wilson
 from rxncurate.functions.structure import looks_valid, same_structures, structure_key
+from rxncurate.operators.once import once_each
 
 #: Label, exact frequency or None, frequency that must be above the template's or None.
 THRESHOLDS = (("N=1", 1, None), ("N<5", None, 5), ("N<10", None, 10))
@@ -80,29 +81,36 @@ def _step(n: dict[str, Column], flags: dict[str, Column], error: Column) -> Colu
     return F.struct(*counts, *[_int(flags[k]).alias(k) for k in STEP_FLAGS], error.alias("error"))
 
 
-def mapped_step(reaction: Column, template_missing: Column, mapping_error: Column, key=structure_key, valid=looks_valid) -> Column:
+def step_facts(reaction: Column, key=structure_key, valid=looks_valid) -> Column:
+    """struct(ok, reactant, reagent, product: numbers, n_left, maps_missing, readable, same) of a mapped reaction:
+    what mapped_step takes from its text alone. same: reactants and products are equal as multisets of their
+    keys, however they are written; key is an expression of a readable component, looked at only where both
+    sides have as many components and the same atoms."""
+    return bound(step_roles(reaction, valid), lambda r: F.struct(
+        r["ok"].alias("ok"), F.size(r["reactants"]).alias("reactant"), F.size(r["reagents"]).alias("reagent"), F.size(r["products"]).alias("product"), r["n_left"].alias("n_left"),
+        r["maps_missing"].alias("maps_missing"), r["readable"].alias("readable"), same_structures(r["reactants"], r["known_products"], key).alias("same")))
+
+
+def mapped_step(reaction: Column, template_missing: Column, mapping_error: Column, key=structure_key, valid=looks_valid, facts=None) -> Column:
     """Counts, flags and error text of a mapped step. Whatever is wrong with it makes it a template
-    failure. Identical structures: reactants and products are equal as multisets of their keys, however they
-    are written; key is an expression of a readable component, looked at only where both sides have as many
-    components and the same atoms."""
+    failure. facts: an expression of the reaction that gives its step_facts, if not step_facts itself."""
 
     def judge(r: Column) -> Column:
-        n = {"reactant": F.size(r["reactants"]), "reagent": F.size(r["reagents"]), "product": F.size(r["products"])}
-        same = same_structures(r["reactants"], r["known_products"], key)
+        n = {k: r[k] for k in ("reactant", "reagent", "product")}
         told = F.nullif(F.trim(mapping_error), F.lit(""))
         errors = F.array(
             F.when(r["n_left"] == 0, F.lit(NO_LEFT)), F.when(n["product"] == 0, F.lit(NO_PRODUCTS)), F.when(r["maps_missing"], F.lit(NO_MAPS)), F.when(template_missing, F.lit(NO_TEMPLATE)),
             told, F.when(~r["readable"], F.lit(UNREADABLE)), F.when(n["reactant"] == 0, F.lit(NO_REACTANTS)))
-        text = F.array_join(F.array_distinct(F.filter(errors, lambda e: e.isNotNull())), ERROR_MARK)
+        text = F.array_join(F.array_distinct(F.array_compact(errors)), ERROR_MARK)
         flags = lambda error: {
             "many_reactants": n["reactant"] > MOST_REACTANTS, "many_products": n["product"] > MOST_PRODUCTS, "many_reagents": n["reagent"] > MOST_REAGENTS,
             "no_reagent": (n["reactant"] > 0) & (n["product"] > 0) & (n["reagent"] == 0), "template_failure": error != "", "missing_product_atom_maps": r["maps_missing"],
-            "identical_structures": (n["reactant"] > 0) & same}
+            "identical_structures": (n["reactant"] > 0) & r["same"]}
         zero = {k: F.lit(0) for k in n}
         none = {k: F.lit(k in ("template_failure", "missing_product_atom_maps")) for k in STEP_FLAGS}
         return F.when(r["ok"], bound(text, lambda error: _step(n, flags(error), error))).otherwise(_step(zero, none, F.lit(BAD_SECTIONS)))
 
-    return bound(step_roles(reaction, valid), judge)
+    return bound(facts(reaction) if facts else step_facts(reaction, key, valid), judge)
 
 
 def unmapped_step(reaction: Column, error: Column) -> Column:
@@ -119,19 +127,24 @@ def step_heuristics(df: DataFrame) -> DataFrame:
     return df.withColumn("_s", step).select(*df.columns, "_s.*")
 
 
-def row_heuristics(df: DataFrame, issue_rare: str = "issue_rare", unresolved: str = "unresolved") -> DataFrame:
+def row_heuristics(df: DataFrame, issue_rare: str = "issue_rare", unresolved: str = "unresolved", texts: DataFrame | None = None) -> DataFrame:
     """df with the flags of its row, over steps aligned by place in the arrays reactions, mapped, templates
     and mapping_errors, as many as the longest has, one at least: any step's flag, the largest counts
     and the distinct errors. An unresolved name is a failure; a rare input, a failure or identical
-    structures make it a rare template. All of it is work on one row."""
+    structures make it a rare template. All of it is work on one row; mapped reactions that are few (see
+    once_each) are read once each. texts: a table of them (text), cheaper to read than df."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     lists = [F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("reactions", "mapped", "templates", "mapping_errors")]
     least = F.array(F.lit(None).cast("string"))
     padded = F.arrays_zip(F.concat(lists[0], F.when(F.greatest(*[F.size(x) for x in lists]) == 0, least).otherwise(F.array().cast("array<string>"))).alias("r"), *[x.alias(n) for x, n in zip(lists[1:], "mte")])
 
+    if texts is None:
+        texts = df.select(F.explode("mapped").alias("text"))
+    facts = once_each(texts, step_facts)
+
     def step(x: Column) -> Column:
         error = F.when(blank(x["e"]), F.lit("")).otherwise(x["e"])
-        return F.when(~blank(x["m"]), mapped_step(x["m"], blank(x["t"]), error)).otherwise(unmapped_step(x["r"], error))
+        return F.when(~blank(x["m"]), mapped_step(x["m"], blank(x["t"]), error, facts=facts)).otherwise(unmapped_step(x["r"], error))
 
     out = df.withColumn("_steps", F.transform(padded, step))
     most = lambda c: F.array_max(F.transform("_steps", lambda s: s[c]))
