@@ -111,24 +111,29 @@ def roles_of_source(reaction: Column, valid=looks_valid) -> Column:
     return bound(sections(strip_metadata(reaction)), lambda s: F.when(F.size(s) == 3, roles(s)))
 
 
-def mapped_components(mapped: Column, valid=looks_valid) -> Column:
+def mapped_roles(reaction: Column, valid=looks_valid) -> Column:
+    """struct(reactants, reagents, products, complete) of one mapped reaction, maps kept: left components by shared
+    maps, the middle left out, unreadable ones dropped. complete: both sides, readable throughout, with maps in
+    the products."""
+
+    def roles(x: Column) -> Column:
+        both = (F.size(x["left"]) > 0) & (F.size(x["right"]) > 0)
+        kept = F.transform(F.array(x["left"], x["right"]), lambda parts: F.filter(parts, valid))
+        return bound(bound(kept, lambda k: F.struct(F.get(k, F.lit(0)).alias("left"), F.get(k, F.lit(1)).alias("right"), all_maps(F.get(k, F.lit(1))).alias("m"))), lambda y: F.struct(
+            F.when(both, F.filter(y["left"], lambda c: _shares(c, y["m"]))).otherwise(_none()).alias("reactants"),
+            F.when(both, F.filter(y["left"], lambda c: ~_shares(c, y["m"]))).otherwise(_none()).alias("reagents"),
+            F.when(both, y["right"]).otherwise(_none()).alias("products"),
+            (both & (F.size(y["left"]) == F.size(x["left"])) & (F.size(y["right"]) == F.size(x["right"])) & (F.size(y["m"]) > 0)).alias("complete")))
+
+    parts = lambda s: F.when(F.size(s).isin(2, 3), F.struct(components(F.get(s, F.lit(0))).alias("left"), components(F.element_at(s, -1)).alias("right"))).otherwise(F.struct(_none().alias("left"), _none().alias("right")))
+    return bound(bound(F.split(reaction, ">", -1), parts), roles)
+
+
+def mapped_components(mapped: Column, valid=looks_valid, roles=None) -> Column:
     """struct(reactants, reagents, products, mapped_reactants, mapped_reagents, mapped_products, complete)
-    of an array of mapped reactions: left components by shared maps, the middle left out, unreadable ones
-    dropped, all reactions' together, without and with maps. complete: there are reactions, each with
-    both sides, readable throughout, with maps in its products."""
-
-    def one(r: Column) -> Column:
-        def roles(x: Column) -> Column:
-            both = (F.size(x["left"]) > 0) & (F.size(x["right"]) > 0)
-            kept = F.transform(F.array(x["left"], x["right"]), lambda parts: F.filter(parts, valid))
-            return bound(bound(kept, lambda k: F.struct(F.get(k, F.lit(0)).alias("left"), F.get(k, F.lit(1)).alias("right"), all_maps(F.get(k, F.lit(1))).alias("m"))), lambda y: F.struct(
-                F.when(both, F.filter(y["left"], lambda c: _shares(c, y["m"]))).otherwise(_none()).alias("reactants"),
-                F.when(both, F.filter(y["left"], lambda c: ~_shares(c, y["m"]))).otherwise(_none()).alias("reagents"),
-                F.when(both, y["right"]).otherwise(_none()).alias("products"),
-                (both & (F.size(y["left"]) == F.size(x["left"])) & (F.size(y["right"]) == F.size(x["right"])) & (F.size(y["m"]) > 0)).alias("complete")))
-
-        parts = lambda s: F.when(F.size(s).isin(2, 3), F.struct(components(F.get(s, F.lit(0))).alias("left"), components(F.element_at(s, -1)).alias("right"))).otherwise(F.struct(_none().alias("left"), _none().alias("right")))
-        return bound(bound(F.split(r, ">", -1), parts), roles)
+    of an array of mapped reactions: all reactions' mapped_roles together, without and with maps. complete: there
+    are reactions, each of them complete. roles: an expression of a reaction that gives its mapped_roles, if not
+    mapped_roles itself."""
 
     def together(x: Column) -> Column:
         every = lambda role: F.flatten(F.transform(x, lambda y: y[role]))
@@ -136,7 +141,7 @@ def mapped_components(mapped: Column, valid=looks_valid) -> Column:
         kinds = ("reactants", "reagents", "products")
         return F.struct(*[plain(k) for k in kinds], *[every(k).alias(f"mapped_{k}") for k in kinds], ((F.size(x) > 0) & F.forall(x, lambda y: y["complete"])).alias("complete"))
 
-    return bound(F.transform(F.coalesce(mapped, _none()), one), together)
+    return bound(F.transform(F.coalesce(mapped, _none()), roles or (lambda r: mapped_roles(r, valid))), together)
 
 
 def roles_of_mapped(reaction: Column) -> Column:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from rxncurate.functions.jsonfix import bound
 from rxncurate.functions.names import unresolved_codes
-from rxncurate.functions.reactions import first_by_key, mapped_components, skeleton_codes, source_parts
+from rxncurate.functions.reactions import first_by_key, mapped_components, mapped_roles, skeleton_codes, source_parts
+from rxncurate.operators.once import once_each
 from rxncurate.operators.score import ROLES
-from rxncurate.operators.structures import mapped_key, with_key_map
+from rxncurate.operators.structures import mapped_key, readable_keys, structure_table, with_key_map
 
 #: Fixed value: fewer agreeing models than this call for review.
 LEAST_AGREEMENT = 4
@@ -106,14 +107,25 @@ def _identity(c: Column) -> Column:
     return F.coalesce(mapped_key(c), c)
 
 
-def model_rows(outputs: DataFrame, ids: Sequence[str] = ("idx", "model"), dimension: DataFrame | None = None) -> DataFrame:
+def model_rows(outputs: DataFrame, ids: Sequence[str] = ("idx", "model"), dimension: DataFrame | None = None, texts: DataFrame | None = None, readable: bool = False) -> DataFrame:
     """What a model made of a row: outputs (ids, smiles: a map, and the arrays skeletons, reactions, mapped,
     mapping_errors) with unresolved (codes of the skeletons), the roles of its mapped reactions, products once
     for each structure, complete, and signature (null with an unresolved code or without products). Mapping is
     complete if all reactions are, with products, without unresolved codes and errors. Structures are told by
-    their keys, so that models that write a molecule differently agree; dimension: see with_key_map."""
+    their keys, so that models that write a molecule differently agree; dimension: see with_key_map. readable:
+    the signature has readable_keys. texts: a table of the mapped reactions (text), cheaper to read than outputs;
+    reactions and structures that are few are read once each (see once_each)."""
+    if texts is None:
+        texts = outputs.select(F.explode("mapped").alias("text"))
+    roles = once_each(texts, mapped_roles)
+    if dimension is None:
+        found = texts.where("text IS NOT NULL").distinct().select(mapped_components(F.array("text"), roles=roles).alias("r"))
+        parts = found.select(F.explode(F.concat(*[F.col(f"r.{r}") for r in ROLES])).alias("text"))
+        dimension = structure_table(parts)
+    if readable:
+        dimension = readable_keys(dimension)
     unresolved = F.array_sort(unresolved_codes(F.col("smiles"), skeleton_codes(F.col("skeletons"))))
-    out = outputs.withColumn("unresolved", F.coalesce(unresolved, F.array().cast("array<string>"))).withColumn("_r", mapped_components(F.col("mapped")))
+    out = outputs.withColumn("unresolved", F.coalesce(unresolved, F.array().cast("array<string>"))).withColumn("_r", mapped_components(F.col("mapped"), roles=roles))
     out = out.withColumns({r: F.col(f"_r.{r}") for r in ROLES} | {"_complete": F.col("_r.complete")}).drop("_r")
     out = with_key_map(out, ids, ROLES, dimension)
     out = out.withColumn("products", first_by_key(F.col("products"), F.transform("products", _identity)))

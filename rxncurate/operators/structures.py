@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxncurate.functions.structure import key_of, read
+from rxncurate.functions.structure import key_of, plain_text, read
+from rxncurate.operators.once import FEW, FEW_CHARS
 from rxncurate.operators.score import prediction_keys, signature_text
 
 #: Schema of the dimension: text of a component, whether it is a structure, its key, and its key with charges.
@@ -41,6 +43,22 @@ def refresh_structures(spark: SparkSession, path: str, texts: DataFrame) -> Data
     return spark.read.schema(DIMENSION).parquet(path)
 
 
+def readable_keys(dimension: DataFrame) -> DataFrame:
+    """dimension with, for a key, the least plain text of those of its texts: equal for equal structures among
+    them, and what a person can read."""
+    shown = dimension.where("valid").groupBy("key").agg(F.min(plain_text(F.col("text"))).alias("shown"))
+    return dimension.join(shown, "key", "left").select("text", "valid", F.col("shown").alias("key"), "strict_key")
+
+
+def key_literal(dimension: DataFrame, strict: bool = False) -> Column | None:
+    """A literal map from the texts of a dimension to their keys; None where they are more than FEW."""
+    if dimension.select("text").limit(FEW + 1).count() > FEW:
+        return None
+    rows = dimension.select("text", F.col("strict_key" if strict else "key").alias("key")).collect()  # at most so many rows
+    text = json.dumps({r["text"]: r["key"] for r in rows})
+    return F.from_json(F.lit(text), "map<string,string>") if len(text) <= FEW_CHARS else None
+
+
 def _texts(columns: Sequence[str]) -> Column:
     none = F.array().cast("array<string>")
     return F.array_distinct(F.concat(*[F.coalesce(F.col(c), none) for c in columns]))
@@ -49,11 +67,14 @@ def _texts(columns: Sequence[str]) -> Column:
 def with_key_map(df: DataFrame, ids: Sequence[str], columns: Sequence[str], dimension: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """df, one row for each value of ids, with structure_keys: a map from the texts of the array columns to
     their keys, null for what is no structure. dimension: rows of structure_table that hold all the texts; without
-    one they are read here. Texts meet the dimension by a join, of which AQE splits common ones, and come
-    back by ids."""
+    one they are read here. A dimension of few texts (key_literal) goes with the plan, whole for each row, and
+    nothing is shuffled; else texts meet it by a join, of which AQE splits common ones, and come back by ids."""
     each = df.select(*ids, F.explode(_texts(columns)).alias("text")).where("text IS NOT NULL")
     if dimension is None:
         dimension = structure_table(each)
+    literal = key_literal(dimension, strict)
+    if literal is not None:
+        return df.withColumn("structure_keys", literal)
     key = F.col("strict_key" if strict else "key").alias("key")
     met = each.join(dimension.select("text", key), "text", "left").groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("text", "key"))).alias("structure_keys"))
     out = df.join(met, list(ids), "left")

@@ -22,6 +22,11 @@ def _rows(spark, sf_dir):
     return rows.join(standin(spark, sf_dir, "model_answers"), "idx").withColumn("smiles", smiles)
 
 
+def _mapped(spark, sf_dir):
+    """The texts of mapped steps, from the steps themselves."""
+    return standin(spark, sf_dir, "model_steps").select(F.col("mapped").alias("text"))
+
+
 def _labels(spark, sf_dir):
     """Ground truth of each row, as a manifest holds it."""
     labels = standin(spark, sf_dir, "model_answers").select("idx", "ground_truth_valid", "first_signature", "second_signature")
@@ -30,13 +35,13 @@ def _labels(spark, sf_dir):
 
 
 def _flags(spark, sf_dir):
-    rows = denoise.row_heuristics(_rows(spark, sf_dir).drop("ground_truth_valid", "first_signature", "second_signature"))
+    rows = denoise.row_heuristics(_rows(spark, sf_dir).drop("ground_truth_valid", "first_signature", "second_signature"), texts=_mapped(spark, sf_dir))
     return denoise.flag_table(rows, _labels(spark, sf_dir))
 
 
 def row_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [f"max_{k}_count" for k in ("reactant", "reagent", "product")]
-    return denoise.row_heuristics(_rows(spark, sf_dir)).select("idx", "reaction_count", *counts, *denoise.STEP_FLAGS, "rare_template", "evaluation_error")
+    return denoise.row_heuristics(_rows(spark, sf_dir), texts=_mapped(spark, sf_dir)).select("idx", "reaction_count", *counts, *denoise.STEP_FLAGS, "rare_template", "evaluation_error")
 
 
 def flag_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +83,9 @@ def noise_free_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = consensus.model_rows(_rows(spark, sf_dir).drop("unresolved", "signature"), ids=["idx"])
+    rows = consensus.model_rows(_rows(spark, sf_dir).drop("unresolved", "signature"), ids=["idx"], texts=_mapped(spark, sf_dir), readable=True)
     parts = [F.array_join(c, ".").alias(c) for c in ("reactants", "reagents", "products")]
-    return rows.select("idx", "complete", F.array_join("unresolved", ".").alias("unresolved"), *parts, F.col("signature").isNotNull().alias("signed"))
+    return rows.select("idx", "complete", F.array_join("unresolved", ".").alias("unresolved"), *parts, "signature")
 
 
 QUERIES = {f.__name__: f for f in (row_heuristics, flag_table, denoising_confusion, chart_metrics, pipeline_flags, stage_summary, noise_free_funnel, model_rows)}
@@ -142,5 +147,5 @@ ORACLE = {
       ag AS (SELECT idx, string_agg(text, '.' ORDER BY k) FILTER (role = 'r') AS reactants, string_agg(text, '.' ORDER BY k) FILTER (role = 'g') AS reagents, string_agg(text, '.' ORDER BY k) FILTER (role = 'p' AND f = 1) AS products,
         string_agg(key, '.' ORDER BY key) FILTER (role = 'r') AS rk, string_agg(key, '.' ORDER BY key) FILTER (role = 'g' AND f = 1) AS gk, string_agg(key, '.' ORDER BY key) FILTER (role = 'p' AND f = 1) AS pk FROM firsts GROUP BY idx)
       SELECT r.idx, CAST(unmapped = 0 AND told = 0 AND ag.products IS NOT NULL AS INT) AS complete, '' AS unresolved, coalesce(reactants, '') AS reactants, coalesce(reagents, '') AS reagents, coalesce(products, '') AS products,
-        products IS NOT NULL AS signed FROM r LEFT JOIN ag USING (idx)"""),
+        CASE WHEN products IS NOT NULL THEN coalesce(rk, '') || '>' || coalesce(gk, '') || '>' || pk END AS signature FROM r LEFT JOIN ag USING (idx)"""),
 }
