@@ -200,15 +200,17 @@ def has_value(c: Column) -> Column:
     return ~F.lower(F.coalesce(F.trim(c), F.lit(""))).isin(*NO_VALUE)
 
 
-def pipeline_flags(rows: DataFrame) -> DataFrame:
+def pipeline_flags(rows: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
     """rows with the success (0 or 1) of each stage, from what the pipeline left of a row: prediction,
     error, the arrays skeletons, reactions, mapper_reactions, mapped, templates, mapping_errors and the
     map smiles; and, with table-wide labels ground_truth_valid, extraction_exact and
     rare_template (0 or 1), whether denoising was right and the row succeeded from end to end. From
-    processing on a stage needs the one before."""
+    processing on a stage needs the one before. predictions: a table of them (text), where few are known to
+    occur over and over, so that each is read once (see once_each)."""
     full = lambda c: (F.size(c) > 0) & F.forall(c, has_value)
     as_many = lambda c: F.size(c) == F.size("reactions")
-    made = structured_output(F.col("prediction"))
+    said = F.coalesce("prediction", F.lit(""))
+    made = once_each(predictions.select(F.coalesce("text", F.lit("")).alias("text")), structured_output)(said) if predictions is not None else structured_output(said)
     generation = has_value(F.col("prediction")) & ~has_value(F.col("error"))
     out = rows.withColumn("_made", made).withColumns({"_generation": generation, "_processing": generation & F.col("_made.ok") & full("skeletons") & F.forall("skeletons", valid_skeleton)})
     conversion = F.col("_processing") & (F.size("smiles") > 0) & F.forall(F.map_values("smiles"), has_value) & full("reactions") & as_many("skeletons") & F.forall("reactions", lambda r: valid_reaction(r))

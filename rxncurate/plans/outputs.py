@@ -63,7 +63,8 @@ def chart_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _staged(spark, sf_dir):
     f = _flags(spark, sf_dir)
     exact = denoise.extraction_exact(F.col("ground_truth_valid"), F.col("alternatives"), F.col("signature"), F.col("unresolved") == 1)
-    return denoise.pipeline_flags(f.withColumn("extraction_exact", exact))
+    predictions = standin(spark, sf_dir, "model_answers").select(F.col("prediction").alias("text"))
+    return denoise.pipeline_flags(f.withColumn("extraction_exact", exact), predictions)
 
 
 _STAGED = (*denoise.STAGES, "extraction_exact", "denoising_correct", "strict_end_to_end_success")
