@@ -43,36 +43,42 @@ def _by_size(groups: Column) -> Column:
     return F.array_sort(groups, lambda a, b: F.when(a["size"] != b["size"], b["size"] - a["size"]).when(a["members"] < b["members"], -1).when(a["members"] == b["members"], 0).otherwise(1))
 
 
-def consensus(sigs: DataFrame) -> DataFrame:
+def consensus(sigs: DataFrame, dealt: bool = False) -> DataFrame:
     """For every idx of (idx, model, model_pos, signature) the largest group (of equal ones that of the
     earliest model): signature, agreement, members, the other models in order of position, and all groups'
-    members, larger ones first. Where no model has a signature nobody agrees: agreement 0, all disagree.
+    members, larger ones first, with their signatures (group_signatures). Where no model has a signature nobody
+    agrees: agreement 0, all disagree.
 
-    Rows are dealt by idx once; models are folded by signature and groups by idx on that dealing, and what is
-    left is work on a row."""
-    one = F.array_sort(F.collect_list(F.struct("model_pos", "model")))
-    groups = sigs.repartition("idx").groupBy("idx", "signature").agg(one.alias("m"))
-    folded = groups.groupBy("idx").agg(F.collect_list(F.struct("signature", "m")).alias("g"))
+    Rows are dealt by idx once, unless dealt says that they are; models are folded by idx on that dealing, and
+    what is left is work on a row."""
+    every = F.array_sort(F.collect_list(F.struct("model_pos", "model", "signature"))).alias("m")
+    folded = (sigs if dealt else sigs.repartition("idx")).groupBy("idx").agg(every)
     names = lambda m: F.transform(m, lambda x: x["model"])
-    models = names(F.array_sort(F.flatten(F.transform("g", lambda x: x["m"]))))
-    signed = F.transform(F.filter("g", lambda x: x["signature"].isNotNull()), lambda x: F.struct(
-        F.size(x["m"]).alias("size"), (-F.element_at(x["m"], 1)["model_pos"]).alias("first"), x["signature"].alias("signature"), names(x["m"]).alias("members")))
+    kinds = F.array_distinct(F.array_compact(F.transform("m", lambda x: x["signature"])))
+    group = lambda s: bound(F.filter("m", lambda x: x["signature"] == s), lambda g: F.struct(
+        F.size(g).alias("size"), (-F.get(g, F.lit(0))["model_pos"]).alias("first"), s.alias("signature"), names(g).alias("members")))
     none = F.array().cast("array<string>")
-    best = folded.select("idx", models.alias("models"), signed.alias("g")).withColumn("b", F.array_max("g"))
+    best = folded.select("idx", names(F.col("m")).alias("models"), F.transform(kinds, group).alias("g")).withColumn("b", F.array_max("g"))
+    ordered = best.withColumn("_g", _by_size(F.transform("g", lambda x: F.struct(x["size"].alias("size"), x["members"].alias("members"), x["signature"].alias("signature")))))
     members = F.coalesce("b.members", none)
-    every = F.transform(_by_size(F.transform("g", lambda x: F.struct(x["size"].alias("size"), x["members"].alias("members")))), lambda x: x["members"])
-    return best.select("idx", F.col("b.signature").alias("signature"), F.size(members).alias("agreement"), members.alias("members"), F.array_except("models", members).alias("disagreeing"), every.alias("groups"))
+    return ordered.select(
+        "idx", F.col("b.signature").alias("signature"), F.size(members).alias("agreement"), members.alias("members"), F.array_except("models", members).alias("disagreeing"), _field("members").alias("groups"),
+        _field("signature").alias("group_signatures"))
+
+
+def _field(field: str) -> Column:
+    """A field of the groups in order."""
+    return F.transform("_g", lambda x: x[field])
 
 
 def with_source(agreed: DataFrame, sigs: DataFrame, source: DataFrame) -> DataFrame:
-    """agreed with the source's own reaction (idx, signature) added: to the group of equal signature, else
-    as a group of its own; groups in order of size, then members, and the others' members."""
+    """agreed (rows of consensus, of sigs, whose groups come with their signatures, so sigs is not read again) with the source's own reaction (idx, signature) added: to the group of equal
+    signature, else as a group of its own; groups in order of size, then members, and the others' members."""
     own = source.where("signature IS NOT NULL").select("idx", F.col("signature").alias("_source"))
-    met = signature_groups(sigs).join(own, "idx").where("signature = _source").select("idx", F.col("members").alias("_met"))
-    joined = agreed.join(own, "idx", "left").join(met, "idx", "left")
+    joined = agreed.join(own, "idx", "left").withColumn("_met", F.array_position("group_signatures", F.col("_source")))
     name = F.array(F.lit(SOURCE))
-    added = F.transform("groups", lambda g: F.when(g == F.col("_met"), F.concat(g, name)).otherwise(g))
-    groups = F.when(F.col("_source").isNull(), F.col("groups")).when(F.col("_met").isNotNull(), added).otherwise(F.concat("groups", F.array(name)))
+    added = F.transform("groups", lambda g, i: F.when(i + 1 == F.col("_met"), F.concat(g, name)).otherwise(g))
+    groups = F.when(F.col("_source").isNull(), F.col("groups")).when(F.col("_met") > 0, added).otherwise(F.concat("groups", F.array(name)))
     sized = _by_size(F.transform(groups, lambda g: F.struct(F.size(g).alias("size"), g.alias("members"))))
     out = joined.withColumn("comparison_groups", F.transform(sized, lambda x: x["members"]))
     rest = F.flatten(F.slice("comparison_groups", F.lit(2), F.greatest(F.size("comparison_groups") - 1, F.lit(0))))
@@ -82,11 +88,14 @@ def with_source(agreed: DataFrame, sigs: DataFrame, source: DataFrame) -> DataFr
 def manual_review(agreed: DataFrame, mapped: DataFrame, rare: DataFrame, least: int = LEAST_AGREEMENT) -> DataFrame:
     """agreed with mapping_complete, rare_input and manual_review: too few agree (none among them), an
     agreeing model is not fully mapped ((idx, model, complete) of mapped), or the input is of a rare
-    template (idx of rare)."""
-    members = agreed.select("idx", F.explode("members").alias("model")).join(mapped, ["idx", "model"], "left")
-    complete = members.groupBy("idx").agg(F.min(F.coalesce("complete", F.lit(0))).alias("mapping_complete"))
+    template (idx of rare). mapped is folded by idx and meets agreed by it, so nothing is shuffled that is
+    dealt by idx already."""
+    own = mapped.groupBy("idx").agg(F.collect_list(F.struct("model", F.coalesce("complete", F.lit(0)).alias("complete"))).alias("_mapped"))
+    of = lambda m: F.array_min(F.transform(F.filter("_mapped", lambda x: x["model"] == m), lambda x: x["complete"]))
+    complete = F.array_min(F.transform("members", lambda m: F.coalesce(of(m), F.lit(0))))
     r = rare.select("idx").distinct().withColumn("rare_input", F.lit(1))
-    out = agreed.join(complete, "idx", "left").join(r, "idx", "left").fillna(0, ["mapping_complete", "rare_input"])
+    out = agreed.join(own, "idx", "left").withColumn("mapping_complete", complete).drop("_mapped")
+    out = out.join(r, "idx", "left").fillna(0, ["mapping_complete", "rare_input"])
     return out.withColumn("manual_review", ((F.col("agreement") < least) | (F.col("mapping_complete") == 0) | (F.col("rare_input") == 1)).cast("int"))
 
 

@@ -60,16 +60,16 @@ def compare_sets(pred: Column, truth: Column) -> Column:
     return bound(own, judge)
 
 
-def compare_alternatives(pred: DataFrame, truth: DataFrame, methods: Sequence) -> DataFrame:
+def compare_alternatives(pred: DataFrame, truth: DataFrame, methods: Sequence, dealt: bool = False) -> DataFrame:
     """One row for each (rxn_id, method) of the reactions of truth: alternatives, an array of struct(slot,
     and compare_sets against it), and has_unresolved.
 
     pred: (rxn_id, method, role, comp, unresolved: boolean); truth: (rxn_id, slot, role, comp). Predictions are
-    dealt by reaction once, folded by method and then into a map, so that each method's sets are made once;
+    dealt by reaction once (unless dealt says that they are), folded by method and then into a map, so that each method's sets are made once;
     truths are folded by the same key and meet them there. All else is work on a row.
     """
     t = truth.groupBy("rxn_id").agg(F.collect_list(F.struct("slot", "role", "comp")).alias("_t"))
-    own = pred.repartition("rxn_id").groupBy("rxn_id", "method").agg(F.collect_list(F.struct("role", "comp")).alias("_c"), F.max(F.coalesce(F.col("unresolved"), F.lit(False)).cast("int")).alias("u"))
+    own = (pred if dealt else pred.repartition("rxn_id")).groupBy("rxn_id", "method").agg(F.collect_list(F.struct("role", "comp")).alias("_c"), F.max(F.coalesce(F.col("unresolved"), F.lit(False)).cast("int")).alias("u"))
     p = own.groupBy("rxn_id").agg(F.map_from_entries(F.collect_list(F.struct("method", F.struct(role_sets(F.col("_c")).alias("sets"), F.col("u").alias("u"))))).alias("_p"))
     slots = F.array_sort(F.array_distinct(F.transform("_t", lambda x: x["slot"])))
     accepted = F.transform(slots, lambda s: F.struct(s.alias("slot"), role_sets(F.filter("_t", lambda x: x["slot"] == s)).alias("sets")))

@@ -52,9 +52,9 @@ def readable_keys(dimension: DataFrame) -> DataFrame:
 
 def key_literal(dimension: DataFrame, strict: bool = False) -> Column | None:
     """A literal map from the texts of a dimension to their keys; None where they are more than FEW."""
-    if dimension.select("text").limit(FEW + 1).count() > FEW:
+    rows = dimension.select("text", F.col("strict_key" if strict else "key").alias("key")).limit(FEW + 1).collect()
+    if len(rows) > FEW:
         return None
-    rows = dimension.select("text", F.col("strict_key" if strict else "key").alias("key")).collect()  # at most so many rows
     text = json.dumps({r["text"]: r["key"] for r in rows})
     return F.from_json(F.lit(text), "map<string,string>") if len(text) <= FEW_CHARS else None
 

@@ -220,7 +220,7 @@ def _signature_of(parts, keys):
 
 
 def _signatures(spark, sf_dir):
-    sig = _signature_of(standin(spark, sf_dir, "pred_components"), ["rxn_id", "method"])
+    sig = _signature_of(standin(spark, sf_dir, "pred_components", dealt=True), ["rxn_id", "method"])
     return sig.select(F.col("rxn_id").alias("idx"), F.col("method").alias("model_pos"), F.concat(F.lit("m"), F.col("method").cast("string")).alias("model"), "signature", "relaxed")
 
 
@@ -229,14 +229,14 @@ def _text(groups):
 
 
 def consensus_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = consensus.consensus(_signatures(spark, sf_dir))
+    c = consensus.consensus(_signatures(spark, sf_dir), dealt=True)
     return c.select("idx", "signature", "agreement", F.array_join("members", ";").alias("members"), F.array_join("disagreeing", ";").alias("disagreeing"), _text("groups").alias("groups"))
 
 
 def consensus_with_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     sigs = _signatures(spark, sf_dir)
-    source = _signature_of(standin(spark, sf_dir, "gt_components"), ["rxn_id"]).select(F.col("rxn_id").alias("idx"), F.when(F.col("rxn_id") % 6 != 0, F.col("signature")).alias("signature"))
-    c = consensus.with_source(consensus.consensus(sigs), sigs, source)
+    source = _signature_of(standin(spark, sf_dir, "gt_components", dealt=True), ["rxn_id"]).select(F.col("rxn_id").alias("idx"), F.when(F.col("rxn_id") % 6 != 0, F.col("signature")).alias("signature"))
+    c = consensus.with_source(consensus.consensus(sigs, dealt=True), sigs, source)
     return c.select("idx", "agreement", _text("comparison_groups").alias("comparison_groups"), F.array_join("comparison_disagreeing", ";").alias("comparison_disagreeing"))
 
 
@@ -244,11 +244,11 @@ def manual_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     sigs = _signatures(spark, sf_dir)
     mapped = sigs.select("idx", "model", ((F.col("idx") + F.col("model_pos")) % 5 != 0).cast("int").alias("complete"))
     rare = table(spark, sf_dir, "orders").where(denoise.issue_is_rare(F.concat(F.lit("Rare_"), F.when(F.col("o_orderstatus") == "P", "Template").otherwise("none")))).select(F.col("o_orderkey").alias("idx"))
-    return consensus.manual_review(consensus.consensus(sigs), mapped, rare).select("idx", "agreement", "mapping_complete", "rare_input", "manual_review")
+    return consensus.manual_review(consensus.consensus(sigs, dealt=True), mapped, rare).select("idx", "agreement", "mapping_complete", "rare_input", "manual_review")
 
 
 def model_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth = _signature_of(standin(spark, sf_dir, "alternatives"), ["rxn_id", "slot"]).withColumnRenamed("rxn_id", "idx")
+    truth = _signature_of(standin(spark, sf_dir, "alternatives", dealt=True), ["rxn_id", "slot"]).withColumnRenamed("rxn_id", "idx")
     sigs = _signatures(spark, sf_dir)
     return consensus.model_support(truth, sigs, sigs.select("idx", "model", ((F.col("idx") + F.col("model_pos")) % 3).alias("steps")))
 

@@ -48,8 +48,8 @@ METHODS = (0, 1, 2, 3)
 
 
 def _compared(spark, sf_dir):
-    pred = standin(spark, sf_dir, "pred_components").withColumn("unresolved", F.col("comp") == 0)
-    return score.compare_alternatives(pred, standin(spark, sf_dir, "alternatives"), METHODS)
+    pred = standin(spark, sf_dir, "pred_components", dealt=True).withColumn("unresolved", F.col("comp") == 0)
+    return score.compare_alternatives(pred, standin(spark, sf_dir, "alternatives", dealt=True), METHODS, dealt=True)
 
 
 def section_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

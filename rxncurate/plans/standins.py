@@ -78,11 +78,13 @@ def with_sql(names: list[str], body: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + body
 
 
-def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stand-in as a DataFrame, on the tables of a folder."""
+def standin(spark: SparkSession, sf_dir: str, name: str, dealt: bool = False) -> DataFrame:
+    """A stand-in as a DataFrame, on the tables of a folder. dealt: its base, if that is lineitem, is dealt by order
+    before it is spread to models and texts, so that what is grouped by reaction afterwards is not shuffled again."""
     base = {"template_rows": "events", "answers": "orders", "names": "part", "dictionary": "part", "decisions": "part", "overrides": "part", "text_cells": "orders"}.get(name, "lineitem")
     text = SQL[name].replace("{", "{{").replace("}", "}}").replace(f"FROM {base}", f"FROM {{{base}}}")
-    return spark.sql(text, **{base: table(spark, sf_dir, base)})
+    rows = table(spark, sf_dir, base)
+    return spark.sql(text, **{base: rows.repartition("l_orderkey") if dealt and base == "lineitem" else rows})
 
 
 def reactions_of(parts: DataFrame) -> DataFrame:
