@@ -9,6 +9,7 @@ from rxncurate.functions import answers, jsonfix, names, reactions
 from rxncurate.operators import audit, consensus, denoise, finetune, review, skeleton
 from rxncurate.operators import names as resolving
 from rxncurate.plans.standins import reactions_of, standin
+from rxncurate.sources.shared import stored
 from rxncurate.sources.tables import table
 
 TITLE = 40
@@ -131,7 +132,7 @@ def unresolved_percentage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recovery(spark, sf_dir):
-    before = resolving.unresolved_usage(_spelt_codes(spark, sf_dir))
+    before = stored(resolving.unresolved_usage(_spelt_codes(spark, sf_dir)))  # read three times below
     number = F.regexp_extract("name_key", r"(\d+)", 1).cast("int")
     after = before.where(number % 10 != 0).withColumn("occurrences", F.when(number % 3 == 0, F.col("occurrences")).otherwise(F.floor(F.col("occurrences") / 2)))
     overrides = before.where(number % 9 == 0).select("name_key", F.lit("alias").alias("kind"))
