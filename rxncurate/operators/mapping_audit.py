@@ -14,7 +14,8 @@ from rxncurate.functions.jsonfix import bound
 from rxncurate.functions.reactions import BAD_SECTIONS, components, remove_maps
 from rxncurate.functions.structure import atom_symbols, looks_valid, read
 from rxncurate.operators.audit import LARGE_CENTRE
-from rxncurate.operators.structures import mapped_key, with_key_map
+from rxncurate.operators.once import once_each
+from rxncurate.operators.structures import mapped_key, structure_table, with_key_map
 
 #: What is told of a mapped reaction, in order.
 BAD_FORMAT, BAD_STRUCTURE = "invalid mapped reaction format", "invalid or empty mapped structure"
@@ -130,7 +131,7 @@ def assigned_roles(left: Column, reactants: Column, reagents: Column) -> Column:
     return F.transform(left, role)
 
 
-def audit_reactions(candidates: DataFrame, ids: Sequence[str] = ("idx", "slot"), dimension: DataFrame | None = None) -> DataFrame:
+def audit_reactions(candidates: DataFrame, ids: Sequence[str] = ("idx", "slot"), dimension: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """candidates (ids, reaction_smiles: an accepted reaction, mapped_reaction: what a mapper made of it; other
     columns stay) with, of the labels: counts of each role, invalid_smiles_count and invalid_smiles (in order),
     element_deficit (JSON) and its flag (none where a part cannot be read), overlaps of the roles' structures
@@ -141,9 +142,15 @@ def audit_reactions(candidates: DataFrame, ids: Sequence[str] = ("idx", "slot"),
 
     Maps of hydrogens count for elements and charges alone. Structures are told by keys with charges and
     without stereo. A mapped reaction of other sections, or with a part that cannot be read, has figures of
-    zero and says so in mapping_detail. dimension: see with_key_map."""
+    zero and says so in mapping_detail. dimension: see with_key_map. texts: a table of the components of both reactions (text),
+    cheaper to read than candidates; components that are few are read once each (see once_each)."""
     out = candidates.withColumn("_l", split_labels(F.col("reaction_smiles"))).withColumn("_m", _sides(F.col("mapped_reaction")))
     out = out.withColumns({r: F.col(f"_l.{r}") for r in ROLES} | {"_plain": F.transform("_m.left", remove_maps)})
+    if texts is None:
+        texts = out.select(F.explode(F.concat(*ROLES, "_m.left", "_m.right")).alias("text"))
+    elif dimension is None:
+        dimension = structure_table(texts.select(F.explode(F.array(F.trim("text"), remove_maps(F.col("text")))).alias("text")))
+    parts = once_each(texts, read)
     out = with_key_map(out, ids, (*ROLES, "_plain"), dimension, strict=True)
     key = lambda c: F.coalesce(mapped_key(c), F.lit(""))
     out = out.withColumns({f"_{r}": F.transform(r, key) for r in ROLES} | {"_left": F.transform("_plain", key)})
@@ -156,7 +163,7 @@ def audit_reactions(candidates: DataFrame, ids: Sequence[str] = ("idx", "slot"),
         "label_error": F.when(~F.col("_l.ok"), BAD_SECTIONS)})
     out = out.withColumn("element_deficit_flag", F.col("element_deficit") != "{}")
 
-    out = out.withColumns({"_sl": F.transform("_m.left", read), "_sr": F.transform("_m.right", read)})
+    out = out.withColumns({"_sl": F.transform("_m.left", parts), "_sr": F.transform("_m.right", parts)})
     readable = (F.size("_sl") > 0) & (F.size("_sr") > 0) & F.forall("_sl", lambda s: s["valid"]) & F.forall("_sr", lambda s: s["valid"])
     own = F.struct(
         _all(F.col("_sl"), "atoms").alias("left_atoms"), _all(F.col("_sr"), "atoms").alias("right_atoms"), _all(F.col("_sl"), "bonds").alias("left_bonds"), _all(F.col("_sr"), "bonds").alias("right_bonds"),
