@@ -18,6 +18,8 @@ COLUMNS = ("localmapper_rxn", "mapped_rxn", "mapping_template", "mapping_confide
 FIELDS = ("reaction", "mapped_rxn", "template", "confident", "error")
 #: What is wrong with a mapper's answer.
 BAD_RESULT, BAD_NUMBER = "LocalMapper returned an invalid result.", "LocalMapper returned a different number of results."
+#: Stored results that are sent with the tasks.
+SENT = 100_000
 #: A mapper: from reactions left>>products to a dict (mapped_rxn, template, confident) for each.
 Mapper = Callable[[list[str]], list[dict]]
 
@@ -101,11 +103,19 @@ def with_mapping_columns(df: DataFrame, ids: Sequence[str], column: str, results
     (rows of STORE) lack the reaction, which then has yet to be mapped.
 
     One join by reaction, of which AQE splits a common one, and one aggregation by ids. Reactions without
-    mapper input have a null key and do not take part in the join."""
+    mapper input have a null key and do not take part in the join. Results of at most SENT rows are sent with the
+    tasks; then only the aggregation shuffles."""
     each = places(df, ids, column)
     r = results.select("reaction", "mapped_rxn", "template", "confident", F.col("error").alias("_error"))
+    few = results.limit(SENT + 1).count() <= SENT
+    if few:
+        both = each.join(F.broadcast(r), "reaction", "left").withColumn("error", F.coalesce("error", "_error")).drop("_error")
+        return _with_entries(df, both, ids, prefix)
     met = each.where("reaction IS NOT NULL").join(r, "reaction", "left").withColumn("error", F.col("_error")).drop("_error")
-    both = met.unionByName(each.where("reaction IS NULL"), allowMissingColumns=True)
+    return _with_entries(df, met.unionByName(each.where("reaction IS NULL"), allowMissingColumns=True), ids, prefix)
+
+
+def _with_entries(df: DataFrame, both: DataFrame, ids: Sequence[str], prefix: str) -> DataFrame:
     entry = F.struct("place", *[F.col(c) for c in FIELDS])
     rows = both.groupBy(*ids).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
     name = lambda c: f"{prefix}_{c}" if prefix else c

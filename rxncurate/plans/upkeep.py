@@ -37,7 +37,7 @@ def _mapper(reactions: list[str]) -> list[dict]:
 
 def mapping_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, path = stored(_places(spark, sf_dir)), shared_dir(spark)
-    asked = mapping_store.mapper_inputs(rows, ["idx"], "reactions")
+    asked = stored(mapping_store.mapper_inputs(rows, ["idx"], "reactions").distinct())  # read twice below
     mapping_store.refresh_store(spark, path, asked.where(F.length("reaction") % 2 == 0), _mapper)
     results = mapping_store.refresh_store(spark, path, asked, _mapper)
     out = mapping_store.with_mapping_columns(rows, ["idx"], "reactions", results, "m")
