@@ -136,7 +136,7 @@ def model_rows(outputs: DataFrame, ids: Sequence[str] = ("idx", "model"), dimens
     unresolved = F.array_sort(unresolved_codes(F.col("smiles"), skeleton_codes(F.col("skeletons"))))
     out = outputs.withColumn("unresolved", F.coalesce(unresolved, F.array().cast("array<string>"))).withColumn("_r", mapped_components(F.col("mapped"), roles=roles))
     out = out.withColumns({r: F.col(f"_r.{r}") for r in ROLES} | {"_complete": F.col("_r.complete")}).drop("_r")
-    out = with_key_map(out, ids, ROLES, dimension)
+    out = with_key_map(out, ids, ROLES, dimension, whole=True)
     out = out.withColumn("products", first_by_key(F.col("products"), F.transform("products", _identity)))
     told = F.coalesce(F.exists("mapping_errors", lambda e: F.coalesce(F.trim(e), F.lit("")) != ""), F.lit(False))
     whole = F.col("_complete") & (F.size("mapped") == F.size("reactions")) & (F.size("products") > 0) & (F.size("unresolved") == 0) & ~told
@@ -148,7 +148,7 @@ def source_signatures(rows: DataFrame, reaction: str, dimension: DataFrame | Non
     """(idx, signature) of the source's own mapped reaction of rows (idx, reaction), as model_rows makes it of a
     model's; null unless source_parts can read it."""
     parts = rows.select("idx", source_parts(F.col(reaction)).alias("_p")).select("idx", *[F.col(f"_p.{r}").alias(r) for r in ROLES])
-    keyed = with_key_map(parts, ["idx"], ROLES, dimension)
+    keyed = with_key_map(parts, ["idx"], ROLES, dimension, whole=True)
     return keyed.select("idx", signature_of(*[F.col(r) for r in ROLES], _identity).alias("signature"))
 
 

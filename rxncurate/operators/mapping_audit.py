@@ -151,7 +151,7 @@ def audit_reactions(candidates: DataFrame, ids: Sequence[str] = ("idx", "slot"),
     elif dimension is None:
         dimension = structure_table(texts.select(F.explode(F.array(F.trim("text"), remove_maps(F.col("text")))).alias("text")))
     parts = once_each(texts, read)
-    out = with_key_map(out, ids, (*ROLES, "_plain"), dimension, strict=True)
+    out = with_key_map(out, ids, (*ROLES, "_plain"), dimension, strict=True, whole=True)
     key = lambda c: F.coalesce(mapped_key(c), F.lit(""))
     out = out.withColumns({f"_{r}": F.transform(r, key) for r in ROLES} | {"_left": F.transform("_plain", key)})
     bad = F.filter(F.concat(*ROLES), lambda c: mapped_key(c).isNull())

@@ -64,17 +64,18 @@ def _texts(columns: Sequence[str]) -> Column:
     return F.array_distinct(F.concat(*[F.coalesce(F.col(c), none) for c in columns]))
 
 
-def with_key_map(df: DataFrame, ids: Sequence[str], columns: Sequence[str], dimension: DataFrame | None = None, strict: bool = False) -> DataFrame:
+def with_key_map(df: DataFrame, ids: Sequence[str], columns: Sequence[str], dimension: DataFrame | None = None, strict: bool = False, whole: bool = False) -> DataFrame:
     """df, one row for each value of ids, with structure_keys: a map from the texts of the array columns to
     their keys, null for what is no structure. dimension: rows of structure_table that hold all the texts; without
-    one they are read here. A dimension of few texts (key_literal) goes with the plan, whole for each row, and
-    nothing is shuffled; else texts meet it by a join, of which AQE splits common ones, and come back by ids."""
+    one they are read here. A dimension of few texts (key_literal) goes with the plan and nothing is
+    shuffled (whole: the map may then hold other rows' texts too, which saves making one for each row); else texts meet it by a join, of which AQE splits common ones, and come back by ids."""
     each = df.select(*ids, F.explode(_texts(columns)).alias("text")).where("text IS NOT NULL")
     if dimension is None:
         dimension = structure_table(each)
     literal = key_literal(dimension, strict)
     if literal is not None:
-        return df.withColumn("structure_keys", literal)
+        own = F.map_from_entries(F.transform(F.array_compact(_texts(columns)), lambda t: F.struct(t.alias("text"), F.try_element_at(literal, t).alias("key"))))
+        return df.withColumn("structure_keys", literal if whole else own)
     key = F.col("strict_key" if strict else "key").alias("key")
     met = each.join(dimension.select("text", key), "text", "left").groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("text", "key"))).alias("structure_keys"))
     out = df.join(met, list(ids), "left")
@@ -97,7 +98,7 @@ def component_signatures(df: DataFrame, ids: Sequence[str], dimension: DataFrame
     with a part that is no structure. A prediction's parts, for scoring, are in the arrays <role>_keys, where
     an unreadable part stays as marked text."""
     roles = ("reactants", "reagents", "products")
-    keyed = with_key_map(df, ids, roles, dimension)
+    keyed = with_key_map(df, ids, roles, dimension, whole=True)
     keys = {r: F.transform(r, lambda c: mapped_key(c)) for r in roles}
     out = keyed.withColumn("signature", signature_text(*[keys[r] for r in roles]))
     return out.withColumns({f"{r}_keys": prediction_keys(keys[r], F.col(r)) for r in roles}).drop("structure_keys")
