@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rxncurate.functions.jsonfix import bound
 from rxncurate.functions.reactions import substitute_codes
 from rxncurate.sources.shared import stored
 
@@ -16,13 +17,15 @@ from rxncurate.sources.shared import stored
 def parsed_steps(steps: Column) -> Column:
     """Steps as struct(number, kind, left, right); null if an equation has not exactly one arrow or a
     key no number. number is the key's minus 1; kind is reaction, involve or work-up."""
-    sides = lambda s: F.split(s["equation"], "->", -1)
     kind = lambda k: F.when(F.contains(F.lower(k), F.lit("reaction")), "reaction").when(F.contains(F.lower(k), F.lit("work-up-involve")), "involve").otherwise("work-up")
-    number = lambda s: F.element_at(F.split(s["step_key"], " "), 1).try_cast("int") - 1
+    number = lambda s: F.substring_index(s["step_key"], " ", 1).try_cast("int") - 1
+    # A key is read, and its equation's arrow found, once for each step, and without patterns.
+    read = F.transform(steps, lambda s: F.struct(number(s).alias("number"), kind(s["step_key"]).alias("kind"), F.instr(s["equation"], F.lit("->")).alias("at"), s["equation"].alias("equation")))
+    before, behind = (lambda s: F.substring(s["equation"], F.lit(1), s["at"] - 1)), (lambda s: F.substring(s["equation"], s["at"] + 2, F.length(s["equation"])))
     one = lambda s: F.struct(
-        number(s).alias("number"), kind(s["step_key"]).alias("kind"), F.array_distinct(F.split(F.get(sides(s), F.lit(0)), r"\+", -1)).alias("left"), F.split(F.get(sides(s), F.lit(1)), r"\+", -1).alias("right"))
-    ok = F.forall(steps, lambda s: (F.size(sides(s)) == 2) & number(s).isNotNull())
-    return F.when(ok, F.transform(steps, one))
+        s["number"].alias("number"), s["kind"].alias("kind"), F.array_distinct(F.split(before(s), r"\+", -1)).alias("left"), F.split(behind(s), r"\+", -1).alias("right"))
+    ok = lambda r: F.forall(r, lambda s: (s["at"] > 0) & ~F.contains(behind(s), F.lit("->")) & s["number"].isNotNull())
+    return bound(read, lambda r: F.when(ok(r), F.transform(r, one)))
 
 
 def step_rows(df: DataFrame, keys: list[str], steps: str = "steps") -> DataFrame:
@@ -36,12 +39,17 @@ def with_groups(df: DataFrame, steps: str = "steps") -> DataFrame:
     A product's inputs are the left side less itself, if any is left; a product made again keeps its
     first place and takes the last inputs. Groups are in order of their first product.
     """
-    pairs = F.filter(F.flatten(F.transform("_parsed", lambda s: F.transform(s["right"], lambda p: F.struct(p.alias("name"), F.array_sort(F.array_except(s["left"], F.array(p))).alias("inputs"))))), lambda x: F.size(x["inputs"]) > 0)
+    # A left side holds a code once, so that one removal takes its product out.
+    pairs = F.filter(F.flatten(F.transform("_parsed", lambda s: F.transform(s["right"], lambda p: F.struct(p.alias("name"), F.sort_array(F.array_remove(s["left"], p)).alias("inputs"))))), lambda x: F.size(x["inputs"]) > 0)
+    # Products made once and inputs used once, the usual case, need no search for others like them.
     last = lambda n: F.element_at(F.filter("_pairs", lambda x: x["name"] == n), -1)
-    made = F.transform(F.array_distinct(F.transform("_pairs", lambda x: x["name"])), last)
-    sets = F.array_distinct(F.transform("_made", lambda x: x["inputs"]))
-    group = lambda k: F.struct(F.array_join(F.array_sort(F.transform(F.filter("_made", lambda x: x["inputs"] == k), lambda x: x["name"])), ".").alias("name"), F.filter(k, lambda i: ~F.contains(i, F.lit("mixture"))).alias("inputs"))
-    return df.withColumn("_parsed", parsed_steps(F.col(steps))).withColumn("_pairs", pairs).withColumn("_made", made).withColumn("_groups", F.transform(sets, group)).drop("_pairs", "_made")
+    named = F.array_distinct(F.col("_pairs")["name"])
+    made = F.when(F.size(named) == F.size("_pairs"), F.col("_pairs")).otherwise(F.transform(named, last))
+    raw = lambda k: F.filter(k, lambda i: ~F.contains(i, F.lit("mixture"))).alias("inputs")
+    group = lambda k: F.struct(F.array_join(F.sort_array(F.filter("_made", lambda x: x["inputs"] == k)["name"]), ".").alias("name"), raw(k))
+    alone = F.transform("_made", lambda x: F.struct(x["name"].alias("name"), raw(x["inputs"])))
+    groups = bound(F.array_distinct(F.col("_made")["inputs"]), lambda sets: F.when(F.size(sets) == F.size("_made"), alone).otherwise(F.transform(sets, group)))
+    return df.withColumn("_parsed", parsed_steps(F.col(steps))).withColumn("_pairs", pairs).withColumn("_made", made).withColumn("_groups", groups).drop("_pairs", "_made")
 
 
 def with_skeletons(df: DataFrame, products: str = "products", steps: str = "steps", out: str = "skeletons") -> DataFrame:
@@ -51,19 +59,21 @@ def with_skeletons(df: DataFrame, products: str = "products", steps: str = "step
     is dropped. Inputs of groups whose place is a reaction step's number are joined, those of
     work-up-involve numbers are set apart; a later segment of one product replaces an earlier.
     """
-    labels = lambda kind: F.transform(F.filter("_parsed", lambda s: s["kind"] == kind), lambda s: s["number"])
-    g = with_groups(df, steps).withColumn("_ends", F.transform("_groups", lambda x: F.exists(F.col(products), lambda p: F.contains(x["name"], p))))
-    g = g.withColumn("_reaction", labels("reaction")).withColumn("_involve", labels("involve"))
+    labels = lambda kind: F.filter("_parsed", lambda s: s["kind"] == kind)["number"]
     joined = lambda x: F.array_join(x["inputs"], ".")
-    piece = lambda x, i: F.when(F.size(x["inputs"]) == 0, "").when(F.array_contains("_reaction", i), F.concat(joined(x), F.lit(">"))).when(F.array_contains("_involve", i), F.concat(F.lit(">"), joined(x), F.lit(">"))).otherwise("")
-    segment = lambda i: F.size(F.filter(F.slice("_ends", 1, i), lambda e: e))
-    g = g.withColumn("_pieces", F.transform("_groups", lambda x, i: F.struct(segment(i).alias("segment"), F.get("_ends", i).alias("end"), x["name"].alias("name"), piece(x, i).alias("text"))))
-    closed = F.transform(F.filter("_pieces", lambda x: x["end"]), lambda e: F.struct(e["name"].alias("name"), F.array_join(F.transform(F.filter("_pieces", lambda x: x["segment"] == e["segment"]), lambda x: x["text"]), "").alias("text")))
-    g = g.withColumn("_closed", closed)
+    piece = lambda x, i, reaction, involve: F.when(F.size(x["inputs"]) == 0, "").when(F.array_contains(reaction, i), F.concat(joined(x), F.lit(">"))).when(F.array_contains(involve, i), F.concat(F.lit(">"), joined(x), F.lit(">"))).otherwise("")
+    # Bound: what a lambda reads is worked out once for a row, not for each group.
+    pieces = bound(labels("reaction"), lambda r: bound(labels("involve"), lambda v: F.transform("_groups", lambda x, i: piece(x, i, r, v))))
+    ends = F.filter(F.transform("_groups", lambda x, i: F.when(F.exists(F.col(products), lambda p: F.contains(x["name"], p)), i)), lambda i: i.isNotNull())
+    g = with_groups(df, steps).withColumn("_pieces", pieces).withColumn("_ends", ends)
+    # A segment begins behind the end before it.
+    begin = lambda k: F.coalesce(F.get("_ends", k - 1) + 1, F.lit(0))
+    text = lambda e, k: F.array_join(F.slice("_pieces", begin(k) + 1, e - begin(k) + 1), "")
+    g = g.withColumn("_closed", F.transform("_ends", lambda e, k: F.struct(F.get("_groups", e)["name"].alias("name"), text(e, k).alias("text"))))
     last = lambda n: F.element_at(F.filter("_closed", lambda x: x["name"] == n), -1)["text"]
     formula = lambda n: F.replace(F.concat(F.ltrim(last(n), F.lit(">")), F.lit(">"), n), F.lit(">>"), F.lit(">"))
-    formulas = F.filter(F.transform(F.array_distinct(F.transform("_closed", lambda x: x["name"])), formula), lambda s: ~F.startswith(s, F.lit(">")))
-    return g.withColumn(out, F.when(F.col(products).isNotNull(), formulas)).drop("_parsed", "_groups", "_ends", "_reaction", "_involve", "_pieces", "_closed")
+    formulas = F.filter(F.transform(F.array_distinct(F.col("_closed")["name"]), formula), lambda s: ~F.startswith(s, F.lit(">")))
+    return g.withColumn(out, F.when(F.col(products).isNotNull(), formulas)).drop("_parsed", "_groups", "_ends", "_pieces", "_closed")
 
 
 #: Fixed value: what stands for the reactions of an answer without skeletons.

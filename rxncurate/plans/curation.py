@@ -32,8 +32,8 @@ def _steps(spark, sf_dir):
     before = F.when(F.col("n") > 1, F.concat(F.lit("+mixture"), (F.col("n") - 1).cast("string"))).otherwise("")
     made = F.when(F.col("n") == F.col("m"), "P").otherwise(F.concat(F.lit("mixture"), number))
     step = F.struct("n", F.concat(number, F.lit(" ("), kind, F.lit(", stir)")).alias("step_key"), F.concat(F.lit("C"), (F.col("l_partkey") % 9).cast("string"), before, F.lit("->"), made).alias("equation"))
-    grouped = rows.select("l_orderkey", step.alias("s")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    return grouped.select(F.col("l_orderkey").alias("idx"), F.array(F.lit("P")).alias("products"), F.transform("s", lambda x: F.struct(x["step_key"].alias("step_key"), x["equation"].alias("equation"))).alias("steps"))
+    grouped = rows.select("l_orderkey", step.alias("s")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list("s")).alias("steps"))
+    return grouped.select(F.col("l_orderkey").alias("idx"), F.array(F.lit("P")).alias("products"), "steps")
 
 
 def step_explode_classify(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,14 @@ def test_skeleton_of_self_reference(spark):
     assert r["skeletons"] == ["A>B"] and r["reactions"] == ["CC>CO"]
 
 
+def test_skeletons_of_shared_inputs_and_repeated_products(spark):
+    rows = [("1 (Reaction)", "A+C->mixture1"), ("2 (Reaction)", "C+A->mixture2"), ("3 (Work-up-involve)", "D+mixture1->B"), ("4 (Reaction)", "E->B2"), ("5 (Reaction)", "F->mixture3"), ("6 (Reaction)", "G+mixture3->B2"), ("7 (Reaction)", "H->mixture4")]
+    df = skeleton.with_skeletons(steps(spark, rows))
+    assert df.first()["skeletons"] == ["A.C>D>B", "G>B2"]
+    # An equation's arrow is looked for once, not for each side and check.
+    assert df._jdf.queryExecution().analyzed().toString().count("equation, ->") == 1
+
+
 def test_malformed_skeletons(spark):
     assert skeleton.with_skeletons(steps(spark, [("1 (Reaction)", "A B")])).first()["skeletons"] is None
     assert skeleton.with_skeletons(steps(spark, [("x (Reaction)", "A->B")])).first()["skeletons"] is None
