@@ -45,9 +45,14 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_TABLE).replace(_BREAK, b" \xff ").split()
 
 
+def _width(words: int) -> str:
+    """How a shard of so many distinct words holds its own numbers."""
+    return "<u2" if words < 1 << 16 else "<u4"
+
+
 def _shards(size: int):
     """(lang, vocabulary, counts, total, ids) of runs of about that many words of a language. ids are little-
-    endian 32-bit numbers of words, from 1 on, and 0 between pieces."""
+    endian numbers of words (see _width), from 1 on, and 0 between pieces."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, tuple[dict, list]] = {}
@@ -58,7 +63,7 @@ def _shards(size: int):
                 ids = np.concatenate(ids)
                 count = np.bincount(ids, minlength=len(number))[1:]
                 vocabulary = [w.decode() for w in list(number)[1:]]
-                yield pd.DataFrame({"lang": [lang], "vocabulary": [vocabulary], "counts": [count], "total": [int(count.sum())], "ids": [ids.tobytes()]})
+                yield pd.DataFrame({"lang": [lang], "vocabulary": [vocabulary], "counts": [count], "total": [int(count.sum())], "ids": [ids.astype(_width(len(vocabulary))).tobytes()]})
             held.clear()
             release()
 
@@ -92,7 +97,7 @@ def _renumber(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         raise ValueError(f"a shard asked for {words} words and got {len(right)}")
     number = np.zeros(words + 1, "<u4")
     number[right["local"].to_numpy()] = right["word_id"].to_numpy()
-    return pd.DataFrame({"shard": left["shard"], "ids": [number[np.frombuffer(x, "<u4")].tobytes() for x in left["ids"]]})
+    return pd.DataFrame({"shard": left["shard"], "ids": [number[np.frombuffer(x, _width(words))].tobytes() for x in left["ids"]]})
 
 
 def windows(ids: np.ndarray, size: int) -> np.ndarray:
@@ -255,19 +260,38 @@ def _bounds(shards: DataFrame, n_shards: int, total: int, size: int, range_windo
     return rows[np.unique(np.linspace(0, len(rows), ranges, endpoint=False).astype(np.int64))[1:]]
 
 
-def _numbered(words: DataFrame) -> DataFrame:
-    """words with word_id, from 1 on without gaps: numbers inside a partition, and partition after partition."""
-    place = F.monotonically_increasing_id()
-    kept = stored(words.withColumns({"_part": F.shiftright(place, 33).cast("int"), "_at": place.bitwiseAND((1 << 33) - 1)}))
-    sizes = sorted((r["_part"], r["n"]) for r in kept.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each task
+def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted rows with at: 0 for rare words, else the word's number among the frequent ones of the partition."""
+    at = 0
+    for b in batches:
+        number = at + b["word"].notna().to_numpy().cumsum()
+        at = int(number[-1]) if len(number) else at
+        yield b.assign(at=np.where(b["often"], number, 0)).drop(columns="often")
+
+
+def _numbered(listed: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame]:
+    """(words, local) of listed (shard, lang, local, word, count): words (lang, word, word_id, n) of min_count or more
+    in all, numbered from 1 on without gaps, inside a partition and partition after partition; and local (of, local,
+    word_id) with every listed row's answer, 0 for other words. Listed rows are shuffled once, to their word, and
+    counted and answered there; a word has one for each shard that holds it."""
+    same = Window.partitionBy("lang", "word")
+    asked = listed.withColumns({"n": F.sum("count").over(same), "first": F.row_number().over(same.orderBy("shard")) == 1})
+    # A frequent word stands, with its count, on the first of its rows only.
+    often = F.col("n") >= min_count
+    asked = asked.select(F.spark_partition_id().alias("_part"), F.col("shard").alias("of"), "local", often.alias("often"), *[F.when(often & F.col("first"), F.col(c)).alias(c) for c in ("lang", "word", "n")])
+    kept = stored(asked.mapInPandas(_places, "_part int, of long, local int, lang string, word string, n long, at long"))
+    sizes = sorted((r["_part"], r["n"]) for r in kept.groupBy("_part").agg(F.count("n").alias("n")).collect())  # a row for each task
     first, total = [], 1
     for part, n in sizes:
         first.append((part, total))
         total += n
     if total > _MOST_WORDS:
         raise ValueError("more frequent words than 32-bit numbers")
-    offsets = words.sparkSession.createDataFrame(first, "_part int, _first long")
-    return kept.join(offsets, "_part").withColumn("word_id", F.col("_first") + F.col("_at")).drop("_part", "_at", "_first")
+    # A row for each task: small enough to go with the tasks.
+    offsets = F.broadcast(listed.sparkSession.createDataFrame(first, "_part int, _first long"))
+    word_id = F.when(F.col("at") > 0, F.col("_first") + F.col("at") - 1).otherwise(0).alias("word_id")
+    words = kept.where("word IS NOT NULL").select("_part", "lang", "word", "n", "at").join(offsets, "_part").select("lang", "word", word_id, "n")
+    return words, kept.select("_part", "of", "local", "at").join(offsets, "_part").select("of", "local", word_id)
 
 
 def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, shard_words: int = SHARD_WORDS, range_windows: int = RANGE_WINDOWS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -279,11 +303,8 @@ def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int =
     shards = stored(texts.mapInPandas(_shards(shard_words), columns).withColumn("shard", F.monotonically_increasing_id()))
     sizes = shards.groupBy("lang").agg(F.sum("total").alias("total"))
     listed = shards.select("shard", "lang", F.posexplode(F.arrays_zip("vocabulary", "counts")).alias("at", "w"))
-    counted = listed.groupBy("lang", F.col("w.vocabulary").alias("word")).agg(F.sum("w.counts").alias("n"))
-    words = stored(_numbered(counted.where(F.col("n") >= min_count)))
-    local = listed.select("shard", "lang", (F.col("at") + 1).alias("local"), F.col("w.vocabulary").alias("word"))
-    answers = F.coalesce("word_id", F.lit(0).cast("long")).alias("word_id")
-    local = local.join(words.select("lang", "word", "word_id"), ["lang", "word"], "left").select(F.col("shard").alias("of"), "local", answers)
+    listed = listed.select("shard", "lang", (F.col("at") + 1).alias("local"), F.col("w.vocabulary").alias("word"), F.col("w.counts").alias("count"))
+    words, local = _numbered(listed, min_count)
     own = shards.select("shard", F.size("vocabulary").alias("words"), "ids")
     numbered = stored(own.groupBy("shard").cogroup(local.groupBy("of")).applyInPandas(_renumber, "shard long, ids binary"))
 

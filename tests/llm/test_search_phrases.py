@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from rxncurate.llm import phrases, search
@@ -145,3 +146,21 @@ def test_transducers():
     plain = Counter(tuple(x[i:i + k]) for x in (ids[:1000].tolist(), ids[1000:].tolist()) for k in range(2, 6) for i in range(len(x) - k + 1) if all(x[i:i + k]))
     assert states == plain
     assert [len(phrases.windows(ids[:k], 5)) for k in (0, 1)] == [0, 0] and phrases.windows(np.array([4, 7], np.uint32), 5).tolist() == [[4, 7, 0, 0, 0]]
+
+
+def test_words_are_numbered_in_one_shuffle(spark):
+    """Counting and answering took two shuffles of all shards' word lists, one of them only beyond a broadcast's size."""
+    listed = spark.createDataFrame([(s, "en", k + 1, f"w{k}", k) for s in range(3) for k in range(40)], "shard long, lang string, local int, word string, count long")
+    words, local = phrases._numbered(listed.repartition(5), 60)
+    numbers = {r["word"]: (r["word_id"], r["n"]) for r in words.collect()}
+    assert {w: n for w, (_, n) in numbers.items()} == {f"w{k}": 3 * k for k in range(20, 40)}
+    assert sorted(i for i, _ in numbers.values()) == list(range(1, 21))
+    assert sorted((r["of"], r["local"], r["word_id"]) for r in local.collect()) == [(s, k + 1, numbers[f"w{k}"][0] if k >= 20 else 0) for s in range(3) for k in range(40)]
+    assert "hashpartitioning" not in local._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_word_lists_hold_short_numbers():
+    docs = pd.DataFrame({"lang": ["en", "en"], "t": ["a b, a", " ".join(f"w{k}" for k in range(70_000))]})
+    narrow, wide = [next(phrases._shards(1)(iter([docs.iloc[[k]]]))).iloc[0] for k in (0, 1)]
+    assert np.frombuffer(narrow["ids"], "<u2").tolist() == [1, 2, 0, 1, 0]
+    assert np.frombuffer(wide["ids"], "<u4").tolist() == [*range(1, 70_001), 0]
