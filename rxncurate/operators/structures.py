@@ -25,7 +25,9 @@ def structure_table(texts: DataFrame, known: DataFrame | None = None) -> DataFra
         new = new.join(known.select("text"), "text", "left_anti")
     # Reading a text takes far longer than a row's bytes tell: no coalescing of small partitions.
     parts = new.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    found = new.repartition(int(parts), "text").withColumn("_s", read(F.col("text")))
+    # Exploded from an array of one, as a filter on what is read (valid) then stays above it: it would else be moved
+    # below the distinct, and every row's text be read.
+    found = new.repartition(int(parts), "text").select("text", F.explode(F.array(read(F.col("text")))).alias("_s"))
     return found.select("text", "_s.valid", key_of(F.col("_s")).alias("key"), key_of(F.col("_s"), strict=True).alias("strict_key"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rxncurate.functions import literals
 from rxncurate.operators.once import once_each
+from rxncurate.operators.structures import readable_keys, structure_table
 from rxncurate.plans import structures
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +37,12 @@ def _plan(df):
 
 def test_literal_cells_reads_each_cell_text_once(spark):
     assert "regexp_extract_all" not in _plan(structures.literal_cells(spark, SF))
+
+
+def test_structures_are_read_above_the_distinct(spark):
+    """A filter on what was read does not go below the distinct, where each row's text would be read."""
+    texts = spark.createDataFrame([(t,) for t in ["CCO", "OCC", "C1CC(", "CCO", None]], "text string")
+    for df in (structure_table(texts).where("valid"), readable_keys(structure_table(texts))):
+        assert not [line for line in _plan(df).splitlines() if "Filter" in line and "regexp_extract_all" in line]
+    got = {r["text"]: (r["valid"], r["key"]) for r in readable_keys(structure_table(texts)).collect()}
+    assert got == {"CCO": (True, "CCO"), "OCC": (True, "CCO"), "C1CC(": (False, None)}
