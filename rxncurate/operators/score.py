@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,26 +37,30 @@ COUNTS = tuple(f"{r}_{c}" for r in ROLES for c in ("tp", "fp", "fn"))
 
 def _numbered(parts: Column) -> Column:
     """A multiset as a set: each element with its number among equal ones."""
-    return F.transform(F.array_sort(parts), lambda x, i: F.struct(x.alias("x"), (i - F.array_position(F.array_sort(parts), x)).alias("i")))
+    return bound(F.sort_array(parts), lambda s: F.transform(s, lambda x, i: F.struct(x.alias("x"), (i - F.array_position(s, x)).alias("i"))))
+
+
+def array_sets(arrays: Sequence[Column]) -> Column:
+    """struct of the roles of their arrays, in the order of ROLES: sets that compare as the roles do."""
+    return F.struct(*[(bound(a, _numbered) if r == MULTISET else F.array_distinct(a)).alias(r) for r, a in zip(ROLES, arrays)])
 
 
 def role_sets(parts: Column) -> Column:
-    """struct of the roles of parts, an array of struct(role, comp): sets that compare as the roles do."""
-    of = lambda r: F.transform(F.filter(parts, lambda x: x["role"] == r), lambda x: x["comp"])
-    return F.struct(*[(bound(of(r), _numbered) if r == MULTISET else F.array_distinct(of(r))).alias(r) for r in ROLES])
+    """array_sets of the roles of parts, an array of struct(role, comp)."""
+    return array_sets([F.transform(F.filter(parts, lambda x: x["role"] == r), lambda x: x["comp"]) for r in ROLES])
 
 
 def compare_sets(pred: Column, truth: Column) -> Column:
-    """struct(exact, covered, tp, errors and each role's tp, fp, fn) of two role_sets, on one row."""
+    """struct(exact, covered, tp, errors and each role's tp, fp, fn) of two array_sets, on one row."""
     cells = {r: F.size(F.array_intersect(pred[r], truth[r])) for r in ROLES}
     own = F.struct(*[c.alias(r) for r, c in cells.items()], *[F.size(pred[r]).alias(f"p_{r}") for r in ROLES], *[F.size(truth[r]).alias(f"g_{r}") for r in ROLES])
 
     def judge(x: Column) -> Column:
-        fp, fn = {r: x[f"p_{r}"] - x[r] for r in ROLES}, {r: x[f"g_{r}"] - x[r] for r in ROLES}
-        lost, errors = sum(fn.values(), F.lit(0)), sum([*fp.values(), *fn.values()], F.lit(0))
+        tp, made, asked = (reduce(Column.__add__, [x[f"{k}{r}"] for r in ROLES]) for k in ("", "p_", "g_"))
+        errors = made + asked - tp - tp
         long = lambda c: c.cast("long")
-        counts = [long(v).alias(f"{r}_{n}") for r in ROLES for n, v in (("tp", x[r]), ("fp", fp[r]), ("fn", fn[r]))]
-        return F.struct((errors == 0).cast("int").alias("exact"), (lost == 0).cast("int").alias("covered"), long(sum((x[r] for r in ROLES), F.lit(0))).alias("tp"), long(errors).alias("errors"), *counts)
+        counts = [long(v).alias(f"{r}_{n}") for r in ROLES for n, v in (("tp", x[r]), ("fp", x[f"p_{r}"] - x[r]), ("fn", x[f"g_{r}"] - x[r]))]
+        return F.struct((errors == 0).cast("int").alias("exact"), (asked == tp).cast("int").alias("covered"), long(tp).alias("tp"), long(errors).alias("errors"), *counts)
 
     return bound(own, judge)
 
@@ -70,15 +75,30 @@ def compare_alternatives(pred: DataFrame, truth: DataFrame, methods: Sequence, d
     """
     t = truth.groupBy("rxn_id").agg(F.collect_list(F.struct("slot", "role", "comp")).alias("_t"))
     own = (pred if dealt else pred.repartition("rxn_id")).groupBy("rxn_id", "method").agg(F.collect_list(F.struct("role", "comp")).alias("_c"), F.max(F.coalesce(F.col("unresolved"), F.lit(False)).cast("int")).alias("u"))
-    p = own.groupBy("rxn_id").agg(F.map_from_entries(F.collect_list(F.struct("method", F.struct(role_sets(F.col("_c")).alias("sets"), F.col("u").alias("u"))))).alias("_p"))
     slots = F.array_sort(F.array_distinct(F.transform("_t", lambda x: x["slot"])))
-    accepted = F.transform(slots, lambda s: F.struct(s.alias("slot"), role_sets(F.filter("_t", lambda x: x["slot"] == s)).alias("sets")))
-    joined = t.select("rxn_id", accepted.alias("_a"), "_t").drop("_t").join(p, "rxn_id", "left")
-    kind = pred.schema["method"].dataType
-    each = joined.select("rxn_id", "_a", "_p", F.explode(F.array(*[F.lit(m).cast(kind) for m in methods])).alias("method"))
-    none = role_sets(F.array().cast(own.schema["_c"].dataType))
-    met = each.withColumn("_own", F.try_element_at("_p", F.col("method")))
-    sets = met.select("rxn_id", "method", "_a", F.coalesce("_own.sets", none).alias("_sets"), F.coalesce("_own.u", F.lit(0)).alias("has_unresolved"))
+    accepted = F.transform(slots, lambda s: F.struct(s.alias("slot"), bound(F.filter("_t", lambda x: x["slot"] == s), role_sets).alias("sets")))
+    return _compared(own.select("rxn_id", "method", role_sets(F.col("_c")).alias("sets"), "u"), t.select("rxn_id", accepted.alias("_a")), methods)
+
+
+def compare_arrays(pred: DataFrame, truth: DataFrame, methods: Sequence) -> DataFrame:
+    """compare_alternatives of rows whose components are in arrays already, named by their roles: pred (rxn_id,
+    method, arrays), a row for each method, truth (rxn_id, slot, arrays), a row for each slot, both dealt by reaction.
+    No name is unresolved. Arrays become sets as they are, not rows that are folded again."""
+    sets = array_sets([F.col(r) for r in ROLES]).alias("sets")
+    t = truth.select("rxn_id", F.struct("slot", sets).alias("_s")).groupBy("rxn_id").agg(F.sort_array(F.collect_list("_s")).alias("_a"))
+    return _compared(pred.select("rxn_id", "method", sets, F.lit(0).alias("u")), t, methods)
+
+
+def _compared(own: DataFrame, accepted: DataFrame, methods: Sequence) -> DataFrame:
+    """compare_alternatives' rows of (rxn_id, method, sets, u) and (rxn_id, _a: array of struct(slot, sets) in order)."""
+    p = own.groupBy("rxn_id").agg(F.map_from_entries(F.collect_list(F.struct("method", F.struct("sets", "u")))).alias("_p"))
+    joined = accepted.join(p, "rxn_id", "left")
+    kind = own.schema["method"].dataType
+    # Each method's row takes its own sets along, not the map of all.
+    of = lambda m: F.struct(m.alias("method"), F.try_element_at("_p", m).alias("own"))
+    each = joined.select("rxn_id", "_a", F.explode(F.array(*[of(F.lit(m).cast(kind)) for m in methods])).alias("_e"))
+    none = array_sets([F.array().cast(own.schema["sets"].dataType["products"].dataType)] * len(ROLES))
+    sets = each.select("rxn_id", "_e.method", "_a", F.coalesce("_e.own.sets", none).alias("_sets"), F.coalesce("_e.own.u", F.lit(0)).alias("has_unresolved"))
     compared = F.transform("_a", lambda a: F.struct(a["slot"].alias("slot"), compare_sets(F.col("_sets"), a["sets"]).alias("c")))
     return sets.select("rxn_id", "method", "has_unresolved", compared.alias("alternatives"))
 

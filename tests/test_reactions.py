@@ -230,6 +230,22 @@ def test_coverage_and_excluded_rows(spark):
     assert {(r["method"], r["evaluated"], r["excluded"]) for r in score.extraction_metrics(every).collect()} == {("ai", 2, 1), ("m", 2, 1)}
 
 
+def test_arrays_compare_as_rows_do(spark):
+    """Components in arrays give what their rows give: repeats, empty roles, a method and a slot that is not there."""
+    made = [(1, "a", ["x", "x", "y"], ["s", "s"], ["p"]), (1, "b", ["x"], [], ["p", "q"]), (2, "a", ["__invalid__:C1"], ["s"], ["p"]), (9, "a", ["x"], [], ["p"])]
+    asked = [(1, 2, ["x", "x"], ["s"], ["p", "p"]), (1, 1, ["x", "y", "x"], ["s"], ["p"]), (2, 1, ["x"], [], ["p"]), (3, 1, ["x"], [], ["p"])]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"rxn_id long, {key}, reactants array<string>, reagents array<string>, products array<string>")
+    pred, truth = frame(made, "method string"), frame(asked, "slot int")
+    named = lambda r: F.transform(r, lambda c: F.struct(F.lit(r).alias("role"), c.alias("comp")))
+    flat = lambda df, key: df.select("rxn_id", key, F.explode(F.concat(*map(named, score.ROLES))).alias("p")).select("rxn_id", key, "p.*")
+    rows = score.compare_alternatives(flat(pred, "method").withColumn("unresolved", F.lit(False)), flat(truth, "slot"), ["a", "b"])
+    shown = lambda df: sorted(str(r) for r in df.select("rxn_id", "method", "has_unresolved", "alternatives").collect())
+    got = score.compare_arrays(pred, truth, ["a", "b"])
+    assert shown(got) == shown(rows) and got.count() == 6
+    first = {(r["rxn_id"], r["method"]): r["alternatives"][0] for r in got.collect()}[(1, "a")]
+    assert first["slot"] == 1 and first["c"]["exact"] == 1 and first["c"]["tp"] == 5
+
+
 def test_stale_mappings(spark):
     rows = spark.createDataFrame([(1, "m", "x", "y", ""), (2, "m", "x", "y", "")], "idx int, model string, mapped string, template string, mapping_error string")
     got = {r["idx"]: (r["mapped"], r["template"], r["mapping_error"]) for r in review.clear_stale(rows, rows.where("idx = 1"), ["mapped", "template"]).collect()}
