@@ -46,3 +46,20 @@ def test_structures_are_read_above_the_distinct(spark):
         assert not [line for line in _plan(df).splitlines() if "Filter" in line and "regexp_extract_all" in line]
     got = {r["text"]: (r["valid"], r["key"]) for r in readable_keys(structure_table(texts)).collect()}
     assert got == {"CCO": (True, "CCO"), "OCC": (True, "CCO"), "C1CC(": (False, None)}
+
+
+@pytest.mark.parametrize("name", ["support_of_spellings", "consensus_of_spellings", "metrics_of_spellings"])
+def test_queries_of_spellings_read_above_the_distinct(spark, monkeypatch, name):
+    """The dimension that a query stores is made of distinct texts."""
+    class Seen(Exception):
+        pass
+
+    def seen(df):
+        raise Seen(_plan(df))
+
+    monkeypatch.setattr(structures, "stored", seen)
+    with pytest.raises(Seen) as plan:
+        structures.QUERIES[name](spark, SF)
+    lines = str(plan.value).splitlines()
+    assert any("regexp_extract_all" in line for line in lines)
+    assert not [line for line in lines if "Filter" in line and "regexp_extract_all" in line]
